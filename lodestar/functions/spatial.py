@@ -61,13 +61,14 @@ def point_in(ring_edges: Column, px: Column, py: Column) -> Column:
 def _edge_meets_box(edge: Column, w, s, e, n, open_box: bool) -> Column:
     """Separating-axis test of a segment against a box (its inside only when ``open_box``)."""
     ax, ay, bx, by = edge["ax"], edge["ay"], edge["bx"], edge["by"]
-    corners = [_side(ax, ay, bx, by, x, y) for x, y in ((w, s), (e, s), (e, n), (w, n))]
-    low, high = F.least(*corners), F.greatest(*corners)
+    sides = F.array(*[_side(ax, ay, bx, by, x, y) for x, y in ((w, s), (e, s), (e, n), (w, n))])
     left, right = F.least(ax, bx), F.greatest(ax, bx)
     bottom, top = F.least(ay, by), F.greatest(ay, by)
     if open_box:
-        return (left < e) & (right > w) & (bottom < n) & (top > s) & (low < 0) & (high > 0)
-    return (left <= e) & (right >= w) & (bottom <= n) & (top >= s) & (low <= 0) & (high >= 0)
+        near = (left < e) & (right > w) & (bottom < n) & (top > s)
+        return near & let(sides, lambda x: (F.array_min(x) < 0) & (F.array_max(x) > 0))
+    near = (left <= e) & (right >= w) & (bottom <= n) & (top >= s)
+    return near & let(sides, lambda x: (F.array_min(x) <= 0) & (F.array_max(x) >= 0))
 
 
 def _intersects(rings: Column, box, w, s, e, n) -> Column:
@@ -94,32 +95,45 @@ def _contains(rings: Column, box, w, s, e, n) -> Column:
     return F.when(reaches, inside).otherwise(F.lit(False))
 
 
-def _double(x) -> Column:
-    return x.cast("double") if isinstance(x, Column) else F.lit(float(x))
+def _boxes(west: Column, south: Column, east: Column, north: Column) -> Column:
+    """The query box as one box, or as two when it crosses the antimeridian."""
 
+    def box(w, s, e, n) -> Column:
+        return F.struct(w.alias("w"), s.alias("s"), e.alias("e"), n.alias("n"))
 
-def box_relation(rings: Column, box: dict[str, Column], query, relation: str) -> Column:
+    split = F.array(box(west, south, F.lit(180.0), north), box(F.lit(-180.0), south, east, north))
+    return F.when(west > east, split).otherwise(F.array(box(west, south, east, north)))
+
+
+def box_relation(rings: Column, box: dict[str, Column], query, relation: str | Column) -> Column:
     """Relation of the record geometry to the query box ``(west, south, east, north)``.
 
-    ``box`` are the record's bounding box columns. ``west > east`` crosses the antimeridian and is
-    read as two boxes. A missing geometry fails every relation.
+    ``box`` are the record's bounding box columns. Query and relation may be columns of the row.
+    ``west > east`` crosses the antimeridian. A missing geometry fails every relation.
     """
-    if relation not in RELATIONS:
+    one = isinstance(relation, str)
+    if one and relation not in RELATIONS:
         raise ValueError(f"unsupported relation {relation!r}, expected one of {RELATIONS}")
-    test = {"intersects": _intersects, "disjoint": _intersects, "within": _within, "contains": _contains}[relation]
-    w, s, e, n = (_double(x) for x in query)
-    plain = test(rings, box, w, s, e, n)
-    east_part = test(rings, box, w, s, F.lit(180.0), n)
-    west_part = test(rings, box, F.lit(-180.0), s, e, n)
-    split = (east_part & west_part) if relation == "contains" else (east_part | west_part)
-    literal = not any(isinstance(x, Column) for x in query)
-    if literal:
-        hit = split if float(query[0]) > float(query[2]) else plain
-    else:
-        hit = F.when(w > e, split).otherwise(plain)
-    if relation == "disjoint":
-        hit = ~hit
-    return F.coalesce(box["xmin"].isNotNull() & hit, F.lit(False))
+    query = [x if isinstance(x, Column) else F.lit(float(x)) for x in query]
+
+    def any_box(test) -> Column:
+        return lambda bs: F.exists(bs, lambda b: test(rings, box, b["w"], b["s"], b["e"], b["n"]))
+
+    meets, inside = any_box(_intersects), any_box(_within)
+
+    def around(bs: Column) -> Column:
+        return F.forall(bs, lambda b: _contains(rings, box, b["w"], b["s"], b["e"], b["n"]))
+
+    def decide(bs: Column) -> Column:
+        if one:
+            return {"intersects": meets, "disjoint": lambda x: ~meets(x), "within": inside, "contains": around}[relation](bs)
+        return (
+            F.when(relation == "within", inside(bs))
+            .when(relation == "contains", around(bs))
+            .when(relation.isin("intersects", "disjoint"), meets(bs) != (relation == "disjoint"))
+        )
+
+    return F.coalesce(box["xmin"].isNotNull() & let(_boxes(*query), decide), F.lit(False))
 
 
 def parse_bbox(text: str) -> tuple[float, float, float, float]:

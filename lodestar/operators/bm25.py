@@ -94,6 +94,7 @@ def term_weights(terms: DataFrame, index: TextIndex, boosts: dict[str, float], k
 
     Document frequencies are counted only for words that some query has.
     """
+    terms = materialise(terms)
     wanted = terms.select("term").distinct()
     df = (
         index.postings.select("field", "term").join(wanted, "term", "left_semi")
@@ -121,16 +122,16 @@ def _contribution() -> Column:
 def _hits(queries: DataFrame, index: TextIndex, boosts: dict[str, float], text: str) -> DataFrame:
     fields = [f for f in index.fields if f in boosts]
     narrowed = TextIndex(index.doc_terms.filter(F.col("field").isin(fields)), fields)
-    weights = term_weights(query_terms(queries, text), narrowed, boosts)
-    # Query words are few next to postings: the planner broadcasts them when their measured size
-    # allows it, and otherwise joins on (field, term), where skewed words are split at run time.
-    return narrowed.postings.join(weights, ["field", "term"])
+    # Written, the weights have a measured size: the planner broadcasts them when it is small, and
+    # otherwise joins on (field, term), where the postings of frequent words are split at run time.
+    weights = materialise(term_weights(query_terms(queries, text), narrowed, boosts))
+    return narrowed.postings.join(weights, ["field", "term"]).select("q", "id", "field", _contribution().alias("part"))
 
 
 def field_scores(queries: DataFrame, index: TextIndex, boosts: dict[str, float] | None = None, text: str = "q") -> DataFrame:
     """``(q, id, field, score)``: BM25 sum over the query's words, any word may match."""
     boosts = boosts or {f: 1.0 for f in index.fields}
-    return _hits(queries, index, boosts, text).groupBy("q", "id", "field").agg(F.sum(_contribution()).alias("score"))
+    return _hits(queries, index, boosts, text).groupBy("q", "id", "field").agg(F.sum("part").alias("score"))
 
 
 def best_fields(queries: DataFrame, index: TextIndex, boosts: dict[str, float] | None = None, text: str = "q") -> DataFrame:
@@ -143,7 +144,7 @@ def best_fields(queries: DataFrame, index: TextIndex, boosts: dict[str, float] |
     if len(fields) > MAX_FIELD_COLUMNS:
         return field_scores(queries, index, boosts, text).groupBy("q", "id").agg(F.max("score").alias("score"))
     hits = _hits(queries, index, boosts, text)
-    sums = [F.sum(F.when(F.col("field") == f, _contribution())).alias(f"_s{i}") for i, f in enumerate(fields)]
+    sums = [F.sum(F.when(F.col("field") == f, F.col("part"))).alias(f"_s{i}") for i, f in enumerate(fields)]
     summed = hits.groupBy("q", "id").agg(*sums)
     columns = [F.col(f"_s{i}") for i in range(len(fields))]
     best = F.greatest(*columns) if len(columns) > 1 else columns[0]

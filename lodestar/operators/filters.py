@@ -184,9 +184,6 @@ def batch_predicate(catalogue_schema: StructType) -> Column:
     clauses.append(F.col("f_end").isNull() | F.coalesce(F.col("end_date") <= F.col("f_end"), F.lit(False)))
     clauses.append(~F.col("f_end_missing") | F.col("end_date").isNull())
     rings, query = F.col("coordinates.coordinates"), [F.get(F.col("f_box"), i) for i in range(4)]
-    spatial = F.lit(False)
-    for relation in RELATIONS:
-        test = box_relation(rings, record_box(), query, relation)
-        spatial = F.when(F.col("f_relation") == relation, test).otherwise(spatial)
+    spatial = box_relation(rings, record_box(), query, F.col("f_relation"))
     clauses.append(F.col("f_box").isNull() | spatial)
     return reduce(lambda a, b: a & b, clauses)

@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 # Up to this k Spark itself drops surplus rows before the shuffle (window group limit).
 GROUP_LIMIT = 1000
+# Scores are ranked after rounding, so that rows of equal score are ordered by id in every run.
+SCORE_DIGITS = 10
 SORT_FIELDS = ("_score", "date", "popularity", "title", "relevancy")
 ORDERS = ("asc", "desc")
 
@@ -45,7 +47,7 @@ def sort_spec(sort: str | None, order: str | None, lang: str = "en") -> tuple[st
 def order_columns(sort: str | None, order: str | None, lang: str = "en", key: str = "id") -> list[Column]:
     """Nulls last in both directions, ties by id."""
     column, direction = sort_spec(sort, order, lang)
-    c = F.col(column)
+    c = rank_score() if column == "score" else F.col(column)
     return [c.asc_nulls_last() if direction == "asc" else c.desc_nulls_last(), F.col(key).asc()]
 
 
@@ -56,9 +58,13 @@ def page(df: DataFrame, order: list[Column], size: int = 10, start: int = 0) ->
     return rows.withColumn("row_num", F.row_number().over(Window.orderBy(*order)))
 
 
+def rank_score(column: str = "score") -> Column:
+    return F.round(column, SCORE_DIGITS)
+
+
 def batch_order() -> list[Column]:
     """Ordering of rows that carry their own ``sort`` and ``order`` (see ``normalise_requests``)."""
-    number = F.when(F.col("sort") == "_score", F.col("score")).when(
+    number = F.when(F.col("sort") == "_score", rank_score()).when(
         F.col("sort") == "popularity", F.col("popularity").cast("double")
     )
     text = F.when(F.col("sort") == "date", F.col("published")).when(

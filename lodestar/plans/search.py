@@ -23,7 +23,7 @@ from lodestar.operators.facets import facet_columns, facet_counts
 from lodestar.operators.filters import FILTER_COLUMNS, batch_predicate, predicate
 from lodestar.operators.ingest import expand_patterns
 from lodestar.operators.knn import knn
-from lodestar.operators.ranking import order_columns, page, pages, top_k
+from lodestar.operators.ranking import order_columns, page, pages, rank_score, top_k
 from lodestar.plans.requests import normalise_requests, with_shapes
 from lodestar.schemas import (
     FLAG_BOOST,
@@ -211,14 +211,14 @@ def _answer(matches: DataFrame, asked: DataFrame, org_facets: bool = True) -> Se
 
 def semantic_search(requests: DataFrame, catalogue: DataFrame, today: dt.date | None = None, **options) -> SearchResult:
     """The hybrid search for requests with a text and browsing for those without."""
-    asked = with_shapes(normalise_requests(requests, today)).filter(F.col("reject").isNull())
+    asked = materialise(with_shapes(normalise_requests(requests, today)).filter(F.col("reject").isNull()))
     return _semantic(asked, catalogue, **options)
 
 
 def _semantic(asked: DataFrame, catalogue: DataFrame, **options) -> SearchResult:
     index, boosts = search_index(catalogue, HYBRID_PATTERNS)
     index = index.materialise()
-    shapes = asked.select("match_id", "org_lang", "q", *FILTER_COLUMNS).dropDuplicates(["match_id"])
+    shapes = asked.select("match_id", "org_lang", "q", *FILTER_COLUMNS).distinct()
     with_text = F.col("q") != ""
     scored = materialise(
         hybrid_matches(shapes.filter(with_text), catalogue, index, boosts, **options).select(
@@ -241,7 +241,7 @@ def _semantic(asked: DataFrame, catalogue: DataFrame, **options) -> SearchResult
 def keyword_search(requests: DataFrame, catalogue: DataFrame, k: int = SERVICE_K, apply_filters: bool = False) -> SearchResult:
     """Best-field text search, first ``k`` hits; filters, sort and paging play no part unless
     ``apply_filters``. Facets are empty."""
-    asked = with_shapes(normalise_requests(requests))
+    asked = materialise(with_shapes(normalise_requests(requests)))
     return _keyword(asked, catalogue, k, apply_filters)
 
 
@@ -250,14 +250,14 @@ def _keyword(asked: DataFrame, catalogue: DataFrame, k: int = SERVICE_K, apply_f
     scored = best_fields(asked.select("q"), index.materialise(), boosts)
     key = "q"
     if apply_filters:
-        shapes = asked.filter(F.col("reject").isNull()).select("match_id", "q", *FILTER_COLUMNS).dropDuplicates(["match_id"])
+        shapes = asked.filter(F.col("reject").isNull()).select("match_id", "q", *FILTER_COLUMNS).distinct()
         scored = (
             scored.join(catalogue.select(*NARROW, *FILTERED), "id").join(shapes, "q")
             .filter(batch_predicate(catalogue.schema)).select("match_id", "id", "score")
         )
         key = "match_id"
     scored = materialise(scored)
-    top = top_k(scored, [key], [F.round("score", 12).desc(), F.col("id").asc()], k, rank="row_num")
+    top = top_k(scored, [key], [rank_score().desc(), F.col("id").asc()], k, rank="row_num")
     totals = scored.groupBy(key).agg(F.count(F.lit(1)).alias("total_hits"))
     hits = asked.select("req_id", key).join(top, key)
     spark = asked.sparkSession
@@ -280,7 +280,7 @@ def highlighted(result: SearchResult, catalogue: DataFrame, column: str = "descr
 
 def search(requests: DataFrame, catalogue: DataFrame, today: dt.date | None = None, **options) -> SearchResult:
     """Dispatch by method: ``SemanticSearch`` is hybrid, every other method is a keyword search."""
-    asked = with_shapes(normalise_requests(requests, today)).filter(F.col("reject").isNull())
+    asked = materialise(with_shapes(normalise_requests(requests, today)).filter(F.col("reject").isNull()))
     semantic = F.col("method") == "SemanticSearch"
     a = _semantic(asked.filter(semantic), catalogue, **options)
     b = _keyword(asked.filter(~semantic), catalogue)
