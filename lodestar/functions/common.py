@@ -1,37 +1,35 @@
-"""Small helpers for column expressions."""
+"""Building blocks of SQL expressions.
+
+The functions of this package take and return SQL text. Text is joined in Python and parsed once by
+Spark, where the same expression put together column by column costs a call into the JVM per node.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+NO_STRINGS = "CAST(array() AS array<string>)"
+
+
+def literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
+def literals(texts) -> str:
+    return ", ".join(literal(t) for t in texts)
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it several times inside ``body``."""
-    return F.element_at(F.transform(F.array(value), body), 1)
 
+def let(name: str, value: str, body: str) -> str:
+    """Evaluate ``value`` once and use it as ``name`` inside ``body``."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
-def run_lengths(values: Column, key: str = "term", count: str = "tf") -> Column:
+
+def run_lengths(values: str, key: str = "term", count: str = "tf") -> str:
     """Distinct elements of an array with their number of occurrences, without a shuffle.
 
     Sort, keep the positions where a run starts, and subtract neighbouring positions.
     """
-
-    def runs(s: Column) -> Column:
-        n = F.size(s)
-        starts = F.filter(
-            F.sequence(F.lit(0), n - 1),
-            lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)),
-        )
-        return let(
-            starts,
-            lambda st: F.zip_with(
-                st,
-                F.concat(F.slice(st, F.lit(2), F.size(st)), F.array(n)),
-                lambda a, b: F.struct(F.get(s, a).alias(key), (b - a).alias(count)),
-            ),
-        )
-
-    return F.when(F.size(values) > 0, let(F.sort_array(values), runs))
+    starts = "filter(sequence(0, size(srt) - 1), pos -> pos = 0 OR get(srt, pos) <> get(srt, pos - 1))"
+    counted = (
+        f"zip_with(st, concat(slice(st, 2, size(st)), array(size(srt))), "
+        f"(a, b) -> named_struct('{key}', get(srt, a), '{count}', b - a))"
+    )
+    return f"CASE WHEN size({values}) > 0 THEN {let('srt', f'sort_array({values})', let('st', starts, counted))} END"

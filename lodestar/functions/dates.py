@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from lodestar.functions.common import literals
 
 # Texts that stand for "no date" and for "today".
 PRESENT = "Present"
@@ -13,26 +12,24 @@ NOT_AVAILABLE = "Not Available; Indisponible"
 NO_DATE = ("null", "not available; indisponible")
 
 
-def is_no_date(text: Column) -> Column:
-    return F.lower(F.trim(text)).isin(list(NO_DATE))
+def is_no_date(text: str) -> str:
+    return f"lower(trim({text})) IN ({literals(NO_DATE)})"
 
 
-def partial_date(text: Column, edge: str, today: dt.date | None = None) -> Column:
+def partial_date(text: str, edge: str, today: dt.date | None = None) -> str:
     """First or last day that a partial date covers; unreadable text gives null.
 
     ``edge`` is ``"first"`` or ``"last"``; ``present`` becomes ``today`` when that is given.
     """
     if edge not in ("first", "last"):
         raise ValueError(f"edge must be 'first' or 'last', got {edge!r}")
-    s = F.trim(text)
-    year = F.try_to_date(F.concat(s, F.lit("-01-01" if edge == "first" else "-12-31")), "yyyy-MM-dd")
-    month_start = F.try_to_date(F.concat(s, F.lit("-01")), "yyyy-MM-dd")
-    month = month_start if edge == "first" else F.last_day(month_start)
-    out = (
-        F.when(s.rlike(r"^\d{4}$"), year)
-        .when(s.rlike(r"^\d{4}-\d{2}$"), month)
-        .when(s.rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_date(F.substring(s, 1, 10), "yyyy-MM-dd"))
+    s = f"trim({text})"
+    year_end = "-01-01" if edge == "first" else "-12-31"
+    month = f"try_to_date(concat({s}, '-01'), 'yyyy-MM-dd')"
+    month = month if edge == "first" else f"last_day({month})"
+    present = "" if today is None else f"WHEN lower({s}) = 'present' THEN DATE'{today.isoformat()}' "
+    return (
+        f"CASE {present}WHEN {s} RLIKE '^[0-9]{{4}}$' THEN try_to_date(concat({s}, '{year_end}'), 'yyyy-MM-dd') "
+        f"WHEN {s} RLIKE '^[0-9]{{4}}-[0-9]{{2}}$' THEN {month} "
+        f"WHEN {s} RLIKE '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}' THEN try_to_date(substring({s}, 1, 10), 'yyyy-MM-dd') END"
     )
-    if today is not None:
-        out = F.when(F.lower(s) == "present", F.lit(today)).otherwise(out)
-    return out

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from lodestar.functions.common import let
+from lodestar.functions.common import NO_STRINGS, let, literal, literals
 from lodestar.schemas import CONTACT, EO_FILTER, OPTION, RINGS
 
 # Protocols that can be drawn on a map.
@@ -39,95 +36,81 @@ THEME_OF_TOPIC = {
 }
 
 
-def json_items(text: Column) -> Column:
+def json_items(text: str) -> str:
     """Elements of a JSON array as JSON texts; one object counts as a one-element array."""
-    s = F.trim(text)
-    listed = F.when(s.startswith("{"), F.concat(F.lit("["), s, F.lit("]"))).otherwise(s)
-    return F.from_json(listed, "array<string>")
+    s = f"trim({text})"
+    return f"from_json(CASE WHEN startswith({s}, '{{') THEN concat('[', {s}, ']') ELSE {s} END, 'array<string>')"
 
 
-def json_objects(text: Column, schema) -> Column:
+def json_objects(text: str, schema) -> str:
     """The objects inside :func:`json_items`, parsed; unreadable text gives an empty array."""
-    objects = F.filter(json_items(text), lambda e: F.ltrim(e).startswith("{"))
-    empty = F.from_json(F.lit("[]"), f"array<{schema.simpleString()}>")
-    return F.coalesce(F.transform(objects, lambda e: F.from_json(e, schema)), empty)
+    kind = schema.simpleString()
+    parsed = f"transform(filter({json_items(text)}, el -> startswith(ltrim(el), '{{')), el -> from_json(el, '{kind}'))"
+    return f"coalesce({parsed}, CAST(array() AS array<{kind}>))"
 
 
-def safe_json(text: Column, schema, default: Column) -> Column:
-    """JSON text as ``schema``, or ``default`` when it is missing or unreadable."""
-    return F.coalesce(F.from_json(text, schema), default)
+def safe_json(text: str, kind: str) -> str:
+    """JSON text as an array of ``kind``, empty when it is missing or unreadable."""
+    return f"coalesce(from_json({text}, 'array<{kind}>'), CAST(array() AS array<{kind}>))"
 
 
-def options_of(text: Column) -> Column:
+def options_of(text: str) -> str:
     return json_objects(text, OPTION)
 
 
-def contacts_of(text: Column) -> Column:
+def contacts_of(text: str) -> str:
     return json_objects(text, CONTACT)
 
 
-def eo_filters_of(text: Column) -> Column:
+def eo_filters_of(text: str) -> str:
     return json_objects(text, EO_FILTER)
 
 
-def rings_of(text: Column) -> Column:
-    return F.from_json(text, RINGS.simpleString())
+def rings_of(text: str) -> str:
+    return f"from_json({text}, '{RINGS.simpleString()}')"
 
 
-def organisation_first(text: Column, lang: str = "en") -> Column:
+def organisation_first(text: str, lang: str = "en") -> str:
     """Organisation of the first contact that names one in ``lang``, even if that name is null."""
-    organisations = F.transform(
-        json_items(text),
-        lambda e: F.from_json(e, "organisation map<string,string>").getField("organisation"),
-    )
-    named = F.filter(organisations, lambda o: o.isNotNull() & F.map_contains_key(o, lang))
-    return F.try_element_at(F.get(named, F.lit(0)), F.lit(lang))
-
-
-def _second_segment(name: Column) -> Column:
-    return F.trim(F.try_element_at(F.split(name, ";"), F.lit(2)))
+    organisations = f"transform({json_items(text)}, el -> from_json(el, 'organisation map<string,string>').organisation)"
+    named = f"filter({organisations}, org -> org IS NOT NULL AND map_contains_key(org, '{lang}'))"
+    return f"try_element_at(get({named}, 0), '{lang}')"
 
 
-def _organisation_of_list(text: Column) -> Column:
-    s = F.trim(text)
-    objects = F.filter(
-        F.when(s.startswith("["), json_items(s)),
-        lambda e: F.ltrim(e).startswith("{") & ~e.rlike(r"^\s*\{\s*\}\s*$"),
-    )
-    return F.get(F.transform(objects, lambda e: F.from_json(e, CONTACT).getField("organisation")), F.lit(0))
+def _second_segment(name: str) -> str:
+    return f"trim(try_element_at(split({name}, ';'), 2))"
 
 
-def organisation_segment(cited: Column, contact: Column) -> Column:
+def organisation_segment(cited: str, contact: str) -> str:
     """``struct<en,fr>``: the part after the first ``;`` of the cited (else contact) organisation."""
-    none_cited = cited.isNull() | cited.isin(list(EMPTY_CITED))
-    source = F.when(none_cited, contact).otherwise(cited)
-    return let(
-        _organisation_of_list(source),
-        lambda o: F.struct(
-            _second_segment(o.getField("en")).alias("en"), _second_segment(o.getField("fr")).alias("fr")
-        ),
-    )
+    source = f"trim(CASE WHEN {cited} IS NULL OR {cited} IN ({literals(EMPTY_CITED)}) THEN {contact} ELSE {cited} END)"
+    items = f"CASE WHEN startswith({source}, '[') THEN {json_items(source)} END"
+    blank = literal(r"^\s*\{\s*\}\s*$")
+    objects = f"filter({items}, el -> startswith(ltrim(el), '{{') AND NOT el RLIKE {blank})"
+    first = f"from_json(get({objects}, 0), '{CONTACT.simpleString()}').organisation"
+    parts = f"named_struct('en', {_second_segment('org.en')}, 'fr', {_second_segment('org.fr')})"
+    return let("org", first, parts)
 
 
-def mappable_flag(options: Column) -> Column:
+def mappable_flag(options: str) -> str:
     """``"true"`` when any option's protocol is one that can be drawn on a map."""
-    hit = F.exists(options.getField("protocol"), lambda p: F.coalesce(F.lower(p).rlike(MAPPABLE_PROTOCOLS), F.lit(False)))
-    return F.coalesce(hit, F.lit(False)).cast("string")
+    drawn = f"exists({options}.protocol, pr -> coalesce(lower(pr) RLIKE '{MAPPABLE_PROTOCOLS}', false))"
+    return f"CAST(coalesce({drawn}, false) AS string)"
 
 
-def resource_types(options: Column) -> Column:
+def resource_types(options: str) -> str:
     """Distinct English option descriptions up to the first ``;``, sorted."""
-    english = F.filter(F.transform(options, lambda o: o["description"]["en"]), lambda d: d.isNotNull())
-    return F.array_sort(F.array_distinct(F.transform(english, lambda d: F.trim(F.substring_index(d, ";", 1)))))
+    english = f"filter(transform({options}, op -> op.description.en), d -> d IS NOT NULL)"
+    return f"array_sort(array_distinct(transform({english}, d -> trim(substring_index(d, ';', 1)))))"
 
 
-def comma_array(text: Column) -> Column:
+def comma_array(text: str) -> str:
     """``"a, b"`` to ``[a, b]``; null gives an empty array."""
-    return F.coalesce(F.transform(F.split(text, ","), lambda x: F.trim(x)), F.array().cast("array<string>"))
+    return f"coalesce(transform(split({text}, ','), part -> trim(part)), {NO_STRINGS})"
 
 
-def theme_bins(topics: Column) -> Column:
+def theme_bins(topics: str) -> str:
     """Themes of a comma-separated topic list, distinct and sorted."""
-    table = F.create_map(*[F.lit(x) for pair in THEME_OF_TOPIC.items() for x in pair])
-    themes = F.transform(comma_array(topics), lambda t: F.try_element_at(table, F.lower(t)))
-    return F.array_sort(F.array_distinct(F.filter(themes, lambda t: t.isNotNull())))
+    table = "map(" + ", ".join(f"{literal(k)}, {literal(v)}" for k, v in THEME_OF_TOPIC.items()) + ")"
+    themes = f"transform({comma_array(topics)}, topic -> try_element_at({table}, lower(topic)))"
+    return f"array_sort(array_distinct(filter({themes}, th -> th IS NOT NULL)))"

@@ -1,4 +1,4 @@
-"""Planar tests between polygon rings and boxes or other polygons.
+"""Planar tests between polygon rings and boxes or other polygons, as SQL text.
 
 A geometry is ``array<ring>``, a ring ``array<array<double>>`` of lon/lat points, first = last.
 All shapes are closed sets, so touching counts as intersecting. The cheap bounding-box comparison
@@ -7,133 +7,102 @@ always runs first; ring tests run only for rows that it cannot decide.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from lodestar.functions.common import let
 
 RELATIONS = ("intersects", "disjoint", "within", "contains")
 BOX = ("xmin", "ymin", "xmax", "ymax")
 
 
-def points(rings: Column) -> Column:
-    return F.flatten(rings)
-
-
-def bounds(rings: Column) -> dict[str, Column]:
-    """Bounding box columns ``xmin, ymin, xmax, ymax``."""
-    xs = F.transform(points(rings), lambda p: F.get(p, 0))
-    ys = F.transform(points(rings), lambda p: F.get(p, 1))
-    return {"xmin": F.array_min(xs), "ymin": F.array_min(ys), "xmax": F.array_max(xs), "ymax": F.array_max(ys)}
+def bounds(rings: str) -> dict[str, str]:
+    """Bounding box expressions ``xmin, ymin, xmax, ymax``."""
+    xs = f"transform(flatten({rings}), pt -> get(pt, 0))"
+    ys = f"transform(flatten({rings}), pt -> get(pt, 1))"
+    return {"xmin": f"array_min({xs})", "ymin": f"array_min({ys})", "xmax": f"array_max({xs})", "ymax": f"array_max({ys})"}
 
 
-def edges(rings: Column) -> Column:
+def edges(rings: str) -> str:
     """All ring edges as ``struct<ax,ay,bx,by>``."""
-
-    def of_ring(ring: Column) -> Column:
-        heads = F.slice(ring, F.lit(1), F.greatest(F.size(ring) - 1, F.lit(0)))
-        tails = F.slice(ring, F.lit(2), F.greatest(F.size(ring) - 1, F.lit(0)))
-        return F.zip_with(
-            heads, tails,
-            lambda a, b: F.struct(
-                F.get(a, 0).alias("ax"), F.get(a, 1).alias("ay"), F.get(b, 0).alias("bx"), F.get(b, 1).alias("by")
-            ),
-        )
-
-    return F.flatten(F.transform(rings, of_ring))
+    pair = "named_struct('ax', get(p1, 0), 'ay', get(p1, 1), 'bx', get(p2, 0), 'by', get(p2, 1))"
+    n = "greatest(size(ring) - 1, 0)"
+    return f"flatten(transform({rings}, ring -> zip_with(slice(ring, 1, {n}), slice(ring, 2, {n}), (p1, p2) -> {pair})))"
 
 
-def _side(ax, ay, bx, by, px, py) -> Column:
-    """Positive left of the line a-b, negative right of it, zero on it."""
-    return (bx - ax) * (py - ay) - (by - ay) * (px - ax)
+def _side(a: str, px: str, py: str) -> str:
+    """Positive left of edge ``a``, negative right of it, zero on its line."""
+    return f"(({a}.bx - {a}.ax) * ({py} - {a}.ay) - ({a}.by - {a}.ay) * ({px} - {a}.ax))"
 
 
-def point_in(ring_edges: Column, px: Column, py: Column) -> Column:
+def point_in(ring_edges: str, px: str, py: str) -> str:
     """Even-odd rule over all rings (holes included)."""
-    crossings = F.filter(
-        ring_edges,
-        lambda e: ((e["ay"] > py) != (e["by"] > py))
-        & (px < F.try_divide((e["bx"] - e["ax"]) * (py - e["ay"]), e["by"] - e["ay"]) + e["ax"]),
+    crossing = (
+        f"((g.ay > {py}) <> (g.by > {py})) AND "
+        f"{px} < try_divide((g.bx - g.ax) * ({py} - g.ay), g.by - g.ay) + g.ax"
     )
-    return F.size(crossings) % 2 == 1
+    return f"size(filter({ring_edges}, g -> {crossing})) % 2 = 1"
 
 
-def _edge_meets_box(edge: Column, w, s, e, n, open_box: bool) -> Column:
+def _edge_meets_box(g: str, b: str, open_box: bool) -> str:
     """Separating-axis test of a segment against a box (its inside only when ``open_box``)."""
-    ax, ay, bx, by = edge["ax"], edge["ay"], edge["bx"], edge["by"]
-    sides = F.array(*[_side(ax, ay, bx, by, x, y) for x, y in ((w, s), (e, s), (e, n), (w, n))])
-    left, right = F.least(ax, bx), F.greatest(ax, bx)
-    bottom, top = F.least(ay, by), F.greatest(ay, by)
-    if open_box:
-        near = (left < e) & (right > w) & (bottom < n) & (top > s)
-        return near & let(sides, lambda x: (F.array_min(x) < 0) & (F.array_max(x) > 0))
-    near = (left <= e) & (right >= w) & (bottom <= n) & (top >= s)
-    return near & let(sides, lambda x: (F.array_min(x) <= 0) & (F.array_max(x) >= 0))
-
-
-def _intersects(rings: Column, box, w, s, e, n) -> Column:
-    apart = (box["xmin"] > e) | (box["xmax"] < w) | (box["ymin"] > n) | (box["ymax"] < s)
-    covered = (box["xmin"] >= w) & (box["xmax"] <= e) & (box["ymin"] >= s) & (box["ymax"] <= n)
-    exact = let(
-        edges(rings),
-        lambda es: F.exists(es, lambda x: _edge_meets_box(x, w, s, e, n, False)) | point_in(es, w, s),
+    corners = [(f"{b}.w", f"{b}.s"), (f"{b}.e", f"{b}.s"), (f"{b}.e", f"{b}.n"), (f"{b}.w", f"{b}.n")]
+    sides = "array(" + ", ".join(_side(g, x, y) for x, y in corners) + ")"
+    lt = "<" if open_box else "<="
+    near = (
+        f"least({g}.ax, {g}.bx) {lt} {b}.e AND {b}.w {lt} greatest({g}.ax, {g}.bx) AND "
+        f"least({g}.ay, {g}.by) {lt} {b}.n AND {b}.s {lt} greatest({g}.ay, {g}.by)"
     )
-    return F.when(apart, F.lit(False)).when(covered, F.lit(True)).otherwise(exact)
+    return f"({near} AND {let('sd', sides, f'array_min(sd) {lt} 0 AND 0 {lt} array_max(sd)')})"
 
 
-def _within(rings: Column, box, w, s, e, n) -> Column:
-    return (box["xmin"] >= w) & (box["xmax"] <= e) & (box["ymin"] >= s) & (box["ymax"] <= n)
+def _covered(b: str) -> str:
+    return f"(xmin >= {b}.w AND xmax <= {b}.e AND ymin >= {b}.s AND ymax <= {b}.n)"
 
 
-def _contains(rings: Column, box, w, s, e, n) -> Column:
-    reaches = (box["xmin"] <= w) & (box["xmax"] >= e) & (box["ymin"] <= s) & (box["ymax"] >= n)
-    inside = let(
-        edges(rings),
-        lambda es: ~F.exists(es, lambda x: _edge_meets_box(x, w, s, e, n, True))
-        & (point_in(es, (w + e) / 2, (s + n) / 2)),
-    )
-    return F.when(reaches, inside).otherwise(F.lit(False))
+def _intersects(rings: str, b: str) -> str:
+    exact = let("es", edges(rings), f"exists(es, eg -> {_edge_meets_box('eg', b, False)}) OR {point_in('es', f'{b}.w', f'{b}.s')}")
+    apart = f"xmin > {b}.e OR xmax < {b}.w OR ymin > {b}.n OR ymax < {b}.s"
+    return f"CASE WHEN {apart} THEN false WHEN {_covered(b)} THEN true ELSE {exact} END"
+
 
+def _contains(rings: str, b: str) -> str:
+    middle = point_in("es", f"({b}.w + {b}.e) / 2", f"({b}.s + {b}.n) / 2")
+    inside = let("es", edges(rings), f"NOT exists(es, eg -> {_edge_meets_box('eg', b, True)}) AND {middle}")
+    reaches = f"xmin <= {b}.w AND xmax >= {b}.e AND ymin <= {b}.s AND ymax >= {b}.n"
+    return f"CASE WHEN {reaches} THEN {inside} ELSE false END"
 
-def _boxes(west: Column, south: Column, east: Column, north: Column) -> Column:
+
+def _boxes(w: str, s: str, e: str, n: str) -> str:
     """The query box as one box, or as two when it crosses the antimeridian."""
 
-    def box(w, s, e, n) -> Column:
-        return F.struct(w.alias("w"), s.alias("s"), e.alias("e"), n.alias("n"))
+    def box(west: str, east: str) -> str:
+        return f"named_struct('w', {west}, 's', {s}, 'e', {east}, 'n', {n})"
 
-    split = F.array(box(west, south, F.lit(180.0), north), box(F.lit(-180.0), south, east, north))
-    return F.when(west > east, split).otherwise(F.array(box(west, south, east, north)))
+    return f"CASE WHEN {w} > {e} THEN array({box(w, '180D')}, {box('-180D', e)}) ELSE array({box(w, e)}) END"
 
 
-def box_relation(rings: Column, box: dict[str, Column], query, relation: str | Column) -> Column:
+def box_relation(rings: str, query, relation: str, fixed: bool = True) -> str:
     """Relation of the record geometry to the query box ``(west, south, east, north)``.
 
-    ``box`` are the record's bounding box columns. Query and relation may be columns of the row.
+    The record's bounding box is read from the columns ``xmin, ymin, xmax, ymax``. Query values may
+    be numbers or SQL; with ``fixed=False`` the relation is SQL as well, decided row by row.
     ``west > east`` crosses the antimeridian. A missing geometry fails every relation.
     """
-    one = isinstance(relation, str)
-    if one and relation not in RELATIONS:
+    if fixed and relation not in RELATIONS:
         raise ValueError(f"unsupported relation {relation!r}, expected one of {RELATIONS}")
-    query = [x if isinstance(x, Column) else F.lit(float(x)) for x in query]
-
-    def any_box(test) -> Column:
-        return lambda bs: F.exists(bs, lambda b: test(rings, box, b["w"], b["s"], b["e"], b["n"]))
-
-    meets, inside = any_box(_intersects), any_box(_within)
-
-    def around(bs: Column) -> Column:
-        return F.forall(bs, lambda b: _contains(rings, box, b["w"], b["s"], b["e"], b["n"]))
-
-    def decide(bs: Column) -> Column:
-        if one:
-            return {"intersects": meets, "disjoint": lambda x: ~meets(x), "within": inside, "contains": around}[relation](bs)
-        return (
-            F.when(relation == "within", inside(bs))
-            .when(relation == "contains", around(bs))
-            .when(relation.isin("intersects", "disjoint"), meets(bs) != (relation == "disjoint"))
+    query = [x if isinstance(x, str) else f"{float(x)!r}D" for x in query]
+    tests = {
+        "intersects": f"exists(bxs, bx -> {_intersects(rings, 'bx')})",
+        "disjoint": f"NOT exists(bxs, bx -> {_intersects(rings, 'bx')})",
+        "within": f"exists(bxs, bx -> {_covered('bx')})",
+        "contains": f"forall(bxs, bx -> {_contains(rings, 'bx')})",
+    }
+    if fixed:
+        decide = tests[relation]
+    else:
+        decide = (
+            f"CASE {relation} WHEN 'within' THEN {tests['within']} WHEN 'contains' THEN {tests['contains']} "
+            f"ELSE {tests['intersects']} <> ({relation} = 'disjoint') END"
         )
-
-    return F.coalesce(box["xmin"].isNotNull() & let(_boxes(*query), decide), F.lit(False))
+    return f"coalesce(xmin IS NOT NULL AND {let('bxs', _boxes(*query), decide)}, false)"
 
 
 def parse_bbox(text: str) -> tuple[float, float, float, float]:
@@ -154,45 +123,33 @@ def parse_bbox(text: str) -> tuple[float, float, float, float]:
     return west, south, east, north
 
 
-def ring_literal(ring: list[tuple[float, float]]) -> Column:
+def ring_literal(ring: list[tuple[float, float]]) -> str:
     """One query ring as a literal geometry; the ring is closed when it is not."""
     closed = list(ring) if tuple(ring[0]) == tuple(ring[-1]) else [*ring, ring[0]]
-    return F.array(F.array(*[F.array(F.lit(float(x)), F.lit(float(y))) for x, y in closed]))
-
-
-def _edges_meet(p: Column, q: Column) -> Column:
-    d1 = _side(p["ax"], p["ay"], p["bx"], p["by"], q["ax"], q["ay"])
-    d2 = _side(p["ax"], p["ay"], p["bx"], p["by"], q["bx"], q["by"])
-    d3 = _side(q["ax"], q["ay"], q["bx"], q["by"], p["ax"], p["ay"])
-    d4 = _side(q["ax"], q["ay"], q["bx"], q["by"], p["bx"], p["by"])
-    overlap = (
-        (F.least(p["ax"], p["bx"]) <= F.greatest(q["ax"], q["bx"]))
-        & (F.least(q["ax"], q["bx"]) <= F.greatest(p["ax"], p["bx"]))
-        & (F.least(p["ay"], p["by"]) <= F.greatest(q["ay"], q["by"]))
-        & (F.least(q["ay"], q["by"]) <= F.greatest(p["ay"], p["by"]))
-    )
-    return overlap & (d1 * d2 <= 0) & (d3 * d4 <= 0)
+    return "array(array(" + ", ".join(f"array({float(x)!r}D, {float(y)!r}D)" for x, y in closed) + "))"
 
 
-def _first_point(rings: Column) -> tuple[Column, Column]:
-    p = F.get(points(rings), 0)
-    return F.get(p, 0), F.get(p, 1)
+def _edges_meet(p: str, q: str) -> str:
+    overlap = " AND ".join(
+        f"least({u}.{a}, {u}.{b}) <= greatest({v}.{a}, {v}.{b})"
+        for u, v in ((p, q), (q, p)) for a, b in (("ax", "bx"), ("ay", "by"))
+    )
+    crossed = f"{_side(p, f'{q}.ax', f'{q}.ay')} * {_side(p, f'{q}.bx', f'{q}.by')} <= 0"
+    crossing = f"{_side(q, f'{p}.ax', f'{p}.ay')} * {_side(q, f'{p}.bx', f'{p}.by')} <= 0"
+    return f"({overlap} AND {crossed} AND {crossing})"
 
 
-def polygons_intersect(rings: Column, box: dict[str, Column], query: Column) -> Column:
-    """Whether the record polygon and the query polygon share a point."""
+def polygons_intersect(rings: str, query: str) -> str:
+    """Whether the record polygon (bounding box in ``xmin…ymax``) and the query polygon share a point."""
     qb = bounds(query)
-    near = (
-        (box["xmin"] <= qb["xmax"]) & (box["xmax"] >= qb["xmin"])
-        & (box["ymin"] <= qb["ymax"]) & (box["ymax"] >= qb["ymin"])
-    )
-    exact = let(
-        edges(rings),
-        lambda es: let(
-            edges(query),
-            lambda qs: F.exists(es, lambda a: F.exists(qs, lambda b: _edges_meet(a, b)))
-            | point_in(es, *_first_point(query))
-            | point_in(qs, *_first_point(rings)),
-        ),
+    near = f"xmin <= {qb['xmax']} AND xmax >= {qb['xmin']} AND ymin <= {qb['ymax']} AND ymax >= {qb['ymin']}"
+
+    def start(shape: str) -> tuple[str, str]:
+        return f"get(get(flatten({shape}), 0), 0)", f"get(get(flatten({shape}), 0), 1)"
+
+    meets = (
+        f"exists(es, e1 -> exists(qs, e2 -> {_edges_meet('e1', 'e2')})) "
+        f"OR {point_in('es', *start(query))} OR {point_in('qs', *start(rings))}"
     )
-    return F.coalesce(F.when(near, exact).otherwise(F.lit(False)), F.lit(False))
+    exact = let("es", edges(rings), let("qs", edges(query), meets))
+    return f"coalesce(CASE WHEN {near} THEN {exact} ELSE false END, false)"

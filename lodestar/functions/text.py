@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestar.functions.common import NO_STRINGS, let, literal, literals
 from lodestar.functions.porter import porter_stem
 
 # One word character, and a token (words joined by an inner apostrophe or full stop).
@@ -23,10 +24,10 @@ STOPWORDS = (
 PUNCTUATION_RE = r"""[!"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~]"""
 
 
-def analyse(text: Column) -> Column:
+def analyse(text: str) -> str:
     """Lower-cased word tokens of ``text`` without stopwords; null text gives no tokens."""
-    tokens = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
-    return F.coalesce(F.filter(tokens, lambda t: ~t.isin(STOPWORDS)), F.array().cast("array<string>"))
+    tokens = f"regexp_extract_all(lower({text}), {literal(TOKEN)}, 0)"
+    return f"coalesce(filter({tokens}, tok -> tok NOT IN ({literals(STOPWORDS)})), {NO_STRINGS})"
 
 
 def long_stopwords() -> list[str]:
@@ -34,23 +35,21 @@ def long_stopwords() -> list[str]:
     return StopWordsRemover.loadDefaultStopWords("english")
 
 
-def clean_tokens(text: Column, stopwords: list[str]) -> Column:
+def clean_tokens(text: str, stopwords: list[str]) -> str:
     """Lower-case, drop punctuation and apostrophes, split on blanks, drop stopwords."""
-    bare = F.regexp_replace(F.lower(text), PUNCTUATION_RE, "")
-    return F.filter(F.split(bare, r"\s+"), lambda t: (t != "") & ~t.isin(stopwords))
+    bare = f"regexp_replace(lower({text}), {literal(PUNCTUATION_RE)}, '')"
+    return f"filter(split({bare}, {literal(chr(92) + 's+')}), tok -> tok <> '' AND tok NOT IN ({literals(stopwords)}))"
 
 
 def _stem_arrays(tokens: pd.Series) -> pd.Series:
     flat = tokens.explode()
     codes, vocabulary = pd.factorize(flat)
     stems = [porter_stem(t) for t in vocabulary]
-    stemmed = pd.Series([stems[c] if c >= 0 else None for c in codes], index=flat.index)
-    lists: list = [[] for _ in range(len(tokens))]
-    position = {label: i for i, label in enumerate(tokens.index)}
-    for label, stem in stemmed.items():
-        if stem is not None:
-            lists[position[label]].append(stem)
-    return pd.Series(lists, index=tokens.index)
+    lists: dict = {label: [] for label in tokens.index}
+    for label, code in zip(flat.index, codes):
+        if code >= 0:
+            lists[label].append(stems[code])
+    return pd.Series([lists[label] for label in tokens.index], index=tokens.index)
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -65,26 +64,21 @@ def stem(token: pd.Series) -> pd.Series:
     return token.map(porter_stem, na_action="ignore")
 
 
-def clean_text(text: Column, stemmed: bool = True) -> Column:
+def clean_text(text: str, stemmed: bool = True) -> Column:
     """Cleaned text, joined by blanks."""
-    tokens = clean_tokens(text, long_stopwords())
+    tokens = F.expr(clean_tokens(text, long_stopwords()))
     return F.array_join(stem_tokens(tokens) if stemmed else tokens, " ")
 
 
-def highlight_pattern(tokens: Column) -> Column:
+def highlight_pattern(tokens: str) -> str:
     """A regular expression that matches any of the analysed ``tokens`` as a whole token."""
-    escaped = F.transform(F.array_distinct(tokens), lambda t: F.replace(t, F.lit("."), F.lit("\\.")))
-    return F.when(
-        F.size(tokens) > 0,
-        F.concat(
-            F.lit(rf"(?iu)(?<!{WORD})(?<!{WORD}{JOINER})("),
-            F.array_join(escaped, "|"),
-            F.lit(rf")(?!{WORD})(?!{JOINER}{WORD})"),
-        ),
-    )
-
-
-def highlight(text: Column, tokens: Column) -> Column:
+    escaped = f"transform(array_distinct({tokens}), tok -> replace(tok, '.', {literal(chr(92) + '.')}))"
+    before = literal(rf"(?iu)(?<!{WORD})(?<!{WORD}{JOINER})(")
+    after = literal(rf")(?!{WORD})(?!{JOINER}{WORD})")
+    return f"CASE WHEN size({tokens}) > 0 THEN concat({before}, array_join({escaped}, '|'), {after}) END"
+
+
+def highlight(text: str, tokens: str) -> str:
     """Put ``<em>`` around every token of ``text`` that the query also has."""
-    pattern = highlight_pattern(tokens)
-    return F.when(pattern.isNull(), text).otherwise(F.regexp_replace(text, pattern, F.lit("<em>$1</em>")))
+    marked = let("pat", highlight_pattern(tokens), f"regexp_replace({text}, pat, '<em>$1</em>')")
+    return f"coalesce({marked}, {text})"

@@ -4,25 +4,24 @@ from __future__ import annotations
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions.common import let, run_lengths
 from lodestar.functions.text import analyse
 
 
-def norm(v: Column) -> Column:
-    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+def norm(v: str) -> str:
+    return f"sqrt(aggregate({v}, 0D, (acc, x) -> acc + double(x) * double(x)))"
 
 
-def dot(a: Column, b: Column) -> Column:
-    products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
-    return F.aggregate(products, F.lit(0.0), lambda s, p: s + p)
+def dot(a: str, b: str) -> str:
+    return f"aggregate(zip_with({a}, {b}, (x, y) -> double(x) * double(y)), 0D, (acc, p) -> acc + p)"
 
 
-def l2_normalise(v: Column) -> Column:
+def l2_normalise(v: str) -> str:
     """The vector divided by its length; a zero vector stays zero."""
-    return let(F.greatest(norm(v), F.lit(1e-12)), lambda n: F.transform(v, lambda x: x.cast("double") / n))
+    return let("vlen", f"greatest({norm(v)}, 1e-12D)", f"transform({v}, x -> double(x) / vlen)")
 
 
 def mean_pool(df: DataFrame, key: str, vector: str, mask: str) -> DataFrame:
@@ -45,28 +44,20 @@ def mean_pool(df: DataFrame, key: str, vector: str, mask: str) -> DataFrame:
     )
 
 
-def hash_embed(text: Column, dim: int = 64) -> Column:
+def hash_embed(text: str, dim: int = 64) -> str:
     """Signed feature hashing of the analysed tokens, length one: the stand-in encoder.
 
     Every token adds +1 or -1 to one of ``dim`` buckets; bucket and sign come from its MD5.
     """
-
-    def code(token: Column) -> Column:
-        h = F.md5(token.cast("binary"))
-        bucket = F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") % dim
-        minus = F.substring(h, 9, 1) >= "8"
-        return (bucket * 2 + F.when(minus, 1).otherwise(0)).cast("int")
-
-    counts = F.map_from_entries(run_lengths(F.transform(analyse(text), code), "code", "n"))
-
-    def bucket_sum(m: Column) -> Column:
-        def at(i: Column) -> Column:
-            return F.coalesce(F.try_element_at(m, i), F.lit(0)).cast("double")
-
-        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: at(i * 2) - at(i * 2 + 1))
-
-    empty = F.map_from_arrays(F.array().cast("array<int>"), F.array().cast("array<int>"))
-    return let(let(F.coalesce(counts, empty), bucket_sum), l2_normalise)
+    bucket = f"CAST(conv(substring(h, 1, 8), 16, 10) AS bigint) % {dim}"
+    code = let("h", "md5(CAST(tk AS binary))", f"CAST(({bucket}) * 2 + IF(substring(h, 9, 1) >= '8', 1, 0) AS int)")
+    counts = f"map_from_entries({run_lengths(f'transform({analyse(text)}, tk -> {code})', 'code', 'n')})"
+    none = "map_from_arrays(CAST(array() AS array<int>), CAST(array() AS array<int>))"
+    sums = (
+        f"transform(sequence(0, {dim - 1}), b -> "
+        "double(coalesce(try_element_at(m, b * 2), 0)) - double(coalesce(try_element_at(m, b * 2 + 1), 0)))"
+    )
+    return let("u", let("m", f"coalesce({counts}, {none})", sums), l2_normalise("u"))
 
 
 def embed(df: DataFrame, text: str, encoder=None, out: str = "vector", dim: int = 64) -> DataFrame:
@@ -76,7 +67,7 @@ def embed(df: DataFrame, text: str, encoder=None, out: str = "vector", dim: int
     loads a model once per Python worker. Without an encoder the hashing stand-in is used.
     """
     if encoder is None:
-        return df.withColumn(out, hash_embed(F.col(text), dim).cast("array<float>"))
+        return df.withColumn(out, F.expr(f"CAST({hash_embed(text, dim)} AS array<float>)"))
 
     from collections.abc import Iterator
 

@@ -9,9 +9,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType
+from pyspark.sql.types import ArrayType, StructType
 
 from lodestar.functions.common import run_lengths
 from lodestar.functions.text import analyse
@@ -22,10 +22,12 @@ from lodestar.sources.tables import materialise
 MAX_FIELD_COLUMNS = 24
 
 
-def field_text(df: DataFrame, path: str) -> Column:
+def field_text(schema: StructType, path: str) -> str:
     """The text of a field; the elements of an array field are joined by blanks."""
-    dtype = df.select(F.col(path)).schema[0].dataType
-    return F.array_join(F.col(path), " ") if isinstance(dtype, ArrayType) else F.col(path).cast("string")
+    node = schema
+    for part in path.split("."):
+        node = node[part].dataType
+    return f"array_join({path}, ' ')" if isinstance(node, ArrayType) else f"CAST({path} AS string)"
 
 
 @dataclass
@@ -69,24 +71,20 @@ class TextIndex:
 
 def build_index(catalogue: DataFrame, fields: list[str], key: str = "id") -> TextIndex:
     """Tokenise ``fields`` of every record and count terms inside the row."""
-    texts = F.array(*[
-        F.struct(F.lit(f).alias("field"), field_text(catalogue, f).alias("text")) for f in fields
-    ])
+    texts = ", ".join(f"named_struct('field', '{f}', 'text', {field_text(catalogue.schema, f)})" for f in fields)
     tokens = (
-        catalogue.select(F.col(key).alias("id"), F.inline(texts))
-        .filter(F.col("text") != "")
-        .select("id", "field", analyse(F.col("text")).alias("tokens"))
-        .filter(F.size("tokens") > 0)
-    )
-    return TextIndex(
-        tokens.select("id", "field", F.size("tokens").alias("dl"), run_lengths(F.col("tokens")).alias("terms")), fields
+        catalogue.selectExpr(f"{key} AS id", f"inline(array({texts}))")
+        .filter("text <> ''")
+        .selectExpr("id", "field", f"{analyse('text')} AS tokens")
+        .filter("size(tokens) > 0")
     )
+    return TextIndex(tokens.selectExpr("id", "field", "size(tokens) AS dl", f"{run_lengths('tokens')} AS terms"), fields)
 
 
 def query_terms(queries: DataFrame, text: str = "q") -> DataFrame:
     """``(q, term, qtf)`` for every distinct query text."""
-    distinct = queries.select(F.col(text).alias("q")).filter(F.col("q") != "").distinct()
-    return distinct.select("q", F.inline(run_lengths(analyse(F.col("q")), "term", "qtf")))
+    distinct = queries.selectExpr(f"{text} AS q").filter("q <> ''").distinct()
+    return distinct.selectExpr("q", f"inline({run_lengths(analyse('q'), 'term', 'qtf')})")
 
 
 def term_weights(terms: DataFrame, index: TextIndex, boosts: dict[str, float], k1: float = K1, b: float = B) -> DataFrame:
@@ -100,32 +98,29 @@ def term_weights(terms: DataFrame, index: TextIndex, boosts: dict[str, float], k
         index.postings.select("field", "term").join(wanted, "term", "left_semi")
         .groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
     )
-    table = F.create_map(*[F.lit(x) for f, boost in boosts.items() for x in (f, float(boost))])
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    boost = "CASE field " + " ".join(f"WHEN '{f}' THEN {float(x)!r}D" for f, x in boosts.items()) + " END"
     # field_stats has one row per field of a fixed field list, so broadcasting it is bounded.
     return (
         terms.join(df, "term")
         .join(F.broadcast(index.field_stats), "field")
-        .select(
+        .selectExpr(
             "q", "field", "term",
-            (F.col("qtf") * idf * (k1 + 1) * F.try_element_at(table, F.col("field"))).alias("weight"),
-            F.lit(k1 * (1 - b)).alias("c0"),
-            (k1 * b / F.col("avgdl")).alias("c1"),
+            f"qtf * ln(1 + (n_docs - df + 0.5D) / (df + 0.5D)) * {k1 + 1!r}D * {boost} AS weight",
+            f"{k1 * (1 - b)!r}D AS c0",
+            f"{k1 * b!r}D / avgdl AS c1",
         )
     )
 
 
-def _contribution() -> Column:
-    return F.col("weight") * F.col("tf") / (F.col("tf") + F.col("c0") + F.col("c1") * F.col("dl"))
-
-
 def _hits(queries: DataFrame, index: TextIndex, boosts: dict[str, float], text: str) -> DataFrame:
     fields = [f for f in index.fields if f in boosts]
     narrowed = TextIndex(index.doc_terms.filter(F.col("field").isin(fields)), fields)
     # Written, the weights have a measured size: the planner broadcasts them when it is small, and
     # otherwise joins on (field, term), where the postings of frequent words are split at run time.
     weights = materialise(term_weights(query_terms(queries, text), narrowed, boosts))
-    return narrowed.postings.join(weights, ["field", "term"]).select("q", "id", "field", _contribution().alias("part"))
+    return narrowed.postings.join(weights, ["field", "term"]).selectExpr(
+        "q", "id", "field", "weight * tf / (tf + c0 + c1 * dl) AS part"
+    )
 
 
 def field_scores(queries: DataFrame, index: TextIndex, boosts: dict[str, float] | None = None, text: str = "q") -> DataFrame:
@@ -144,11 +139,9 @@ def best_fields(queries: DataFrame, index: TextIndex, boosts: dict[str, float] |
     if len(fields) > MAX_FIELD_COLUMNS:
         return field_scores(queries, index, boosts, text).groupBy("q", "id").agg(F.max("score").alias("score"))
     hits = _hits(queries, index, boosts, text)
-    sums = [F.sum(F.when(F.col("field") == f, F.col("part"))).alias(f"_s{i}") for i, f in enumerate(fields)]
-    summed = hits.groupBy("q", "id").agg(*sums)
-    columns = [F.col(f"_s{i}") for i in range(len(fields))]
-    best = F.greatest(*columns) if len(columns) > 1 else columns[0]
-    return summed.select("q", "id", best.alias("score"))
+    sums = ", ".join(f"sum(part) FILTER (WHERE field = '{f}')" for f in fields)
+    best = f"greatest({sums})" if len(fields) > 1 else sums
+    return hits.groupBy("q", "id").agg(F.expr(best).alias("score"))
 
 
 def match(catalogue: DataFrame, text: str, field: str, key: str = "id") -> DataFrame:

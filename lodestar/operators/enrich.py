@@ -2,39 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.functions.common import let
+
 # What is shown when a record has no French text.
 NO_TITLE_FR = "Title not available in French."
 NO_DESCRIPTION = "Description not available."
 NO_KEYWORDS = "Keyword not available."
 
 
-def client_address(address: Column, forwarded: Column) -> Column:
+def client_address(address: str, forwarded: str) -> str:
     """First forwarded address if there is one, else the direct address."""
-    first = F.trim(F.substring_index(forwarded, ",", 1))
-    return F.when(F.coalesce(forwarded, F.lit("")) != "", first).otherwise(F.coalesce(address, F.lit("")))
+    return (
+        f"CASE WHEN coalesce({forwarded}, '') <> '' THEN trim(substring_index({forwarded}, ',', 1)) "
+        f"ELSE coalesce({address}, '') END"
+    )
 
 
-def ip_number(address: Column) -> Column:
+def ip_number(address: str) -> str:
     """Dotted IPv4 as a number; anything else is null."""
-    parts = F.split(address, r"\.")
-    octets = [F.try_element_at(parts, F.lit(i + 1)).try_cast("bigint") for i in range(4)]
-    number = octets[0] * 16777216 + octets[1] * 65536 + octets[2] * 256 + octets[3]
-    valid = F.size(parts) == 4
-    for o in octets:
-        valid = valid & o.between(0, 255)
-    return F.when(valid, number)
+    octets = f"transform(split({address}, '[.]'), part -> try_cast(part AS bigint))"
+    number = "oct[0] * 16777216 + oct[1] * 65536 + oct[2] * 256 + oct[3]"
+    valid = "size(oct) = 4 AND forall(oct, n -> coalesce(n BETWEEN 0 AND 255, false))"
+    return let("oct", octets, f"CASE WHEN {valid} THEN {number} END")
 
 
-def geo_point(text: Column) -> Column:
+def geo_point(text: str) -> str:
     """``"lat,lon"`` as a struct; anything else is null."""
-    parts = F.split(text, ",")
-    lat = F.try_element_at(parts, F.lit(1)).try_cast("double")
-    lon = F.try_element_at(parts, F.lit(2)).try_cast("double")
-    ok = (F.size(parts) == 2) & lat.isNotNull() & lon.isNotNull()
-    return F.when(ok, F.struct(lat.alias("lat"), lon.alias("lon")))
+    numbers = f"transform(split({text}, ','), part -> try_cast(part AS double))"
+    valid = "size(nums) = 2 AND nums[0] IS NOT NULL AND nums[1] IS NOT NULL"
+    return let("nums", numbers, f"CASE WHEN {valid} THEN named_struct('lat', nums[0], 'lon', nums[1]) END")
 
 
 def place_of_addresses(addresses: DataFrame, blocks: DataFrame, ip: str = "ip_num") -> DataFrame:
@@ -45,31 +44,27 @@ def place_of_addresses(addresses: DataFrame, blocks: DataFrame, ip: str = "ip_nu
     once, so a client that sends most of the traffic costs one row. Blocks of equal width are told
     apart by their start.
     """
-    width = F.col("end_ip") - F.col("start_ip") + 1
-    level = F.ceil(F.log2(width)).cast("int")
-    size = F.expr("shiftleft(1L, level)")
     filed = (
-        blocks.withColumn("width", width)
-        .withColumn("level", level)
-        .withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start_ip") / size), F.floor(F.col("end_ip") / size))))
+        blocks.withColumn("width", F.expr("end_ip - start_ip + 1"))
+        .withColumn("level", F.expr("int(ceil(log2(width)))"))
+        .withColumn("step", F.expr("shiftleft(1L, level)"))
+        .withColumn("bucket", F.expr("explode(sequence(start_ip div step, end_ip div step))"))
     )
     distinct = addresses.select(F.col(ip).alias("ip_num")).filter(F.col("ip_num").isNotNull()).distinct()
     # At most 33 block sizes exist for 32-bit addresses, so this list is bounded.
     levels = [r["level"] for r in filed.select("level").distinct().collect()]
-    probes = distinct.select("ip_num", F.explode(F.array(*[F.lit(x) for x in levels]).cast("array<int>")).alias("level"))
-    probes = probes.withColumn("bucket", F.floor(F.col("ip_num") / size))
-    found = probes.join(filed, ["level", "bucket"]).filter(F.col("ip_num").between(F.col("start_ip"), F.col("end_ip")))
-    payload = [c for c in blocks.columns if c not in ("start_ip", "end_ip")]
-    narrowest = F.min_by(
-        F.struct("start_ip", "end_ip", *payload), F.struct("width", "start_ip")
-    )
-    return found.groupBy("ip_num").agg(narrowest.alias("place")).select("ip_num", "place.*")
+    sizes = f"explode(CAST(array({', '.join(map(str, levels))}) AS array<int>)) AS level"
+    probes = distinct.selectExpr("ip_num", sizes).selectExpr("ip_num", "level", "ip_num div shiftleft(1L, level) AS bucket")
+    found = probes.join(filed, ["level", "bucket"]).filter("ip_num BETWEEN start_ip AND end_ip")
+    payload = ", ".join(c for c in blocks.columns if c not in ("start_ip", "end_ip"))
+    narrowest = f"min_by(struct(start_ip, end_ip, {payload}), struct(width, start_ip)) AS place"
+    return found.groupBy("ip_num").agg(F.expr(narrowest)).select("ip_num", "place.*")
 
 
 def add_place(df: DataFrame, blocks: DataFrame, address: str, ip: str = "ip_num") -> DataFrame:
     """Left join of the place of every row's address; ``location`` becomes a geo point."""
-    numbered = df.withColumn(ip, ip_number(F.col(address)))
-    places = place_of_addresses(numbered, blocks, ip).withColumn("location", geo_point(F.col("location")))
+    numbered = df.withColumn(ip, F.expr(ip_number(address)))
+    places = place_of_addresses(numbered, blocks, ip).withColumn("location", F.expr(geo_point("location")))
     return numbered.join(places.withColumnRenamed("ip_num", ip), ip, "left")
 
 

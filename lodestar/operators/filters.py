@@ -2,23 +2,24 @@
 
 For one request everything is a literal, so Spark pushes what it can into the scan. For a table
 of requests the same rules read the request's columns, which :func:`parse_filters` prepares.
+Predicates are SQL text, see ``functions.common``.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-from functools import reduce
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
+from lodestar.functions.common import let, literal
 from lodestar.functions.dates import NO_DATE, is_no_date, partial_date
-from lodestar.functions.spatial import BOX, RELATIONS, box_relation, parse_bbox
+from lodestar.functions.spatial import RELATIONS, box_relation, parse_bbox
 from lodestar.schemas import FILTER_FIELDS
 
+RINGS = "coordinates.coordinates"
 
-def field_values(schema: StructType, path: str) -> Column:
+
+def field_values(schema: StructType, path: str) -> str:
     """All texts under ``path`` as one array, whatever mix of structs and arrays leads there."""
     node, depth = schema, 0
     for part in path.split("."):
@@ -27,10 +28,9 @@ def field_values(schema: StructType, path: str) -> Column:
         node = node[part].dataType
     while isinstance(node, ArrayType):
         node, depth = node.elementType, depth + 1
-    value = F.col(path)
     if depth == 0:
-        return F.array(value)
-    return F.flatten(value) if depth == 2 else value
+        return f"array({path})"
+    return f"flatten({path})" if depth == 2 else path
 
 
 def like_pattern(value: str) -> str:
@@ -45,21 +45,18 @@ def split_values(values: str | None) -> list[str]:
     return [v.strip() for v in (values or "").split(",") if v.strip()]
 
 
-def wildcard(schema: StructType, paths: list[str], values: str | None) -> Column:
+def wildcard(schema: StructType, paths: list[str], values: str | None) -> str:
     """Any value is a case-insensitive substring of any element of any field; no values = no filter."""
     wanted = split_values(values)
     if not wanted:
-        return F.lit(True)
-
-    def hit(element: Column) -> Column:
-        low = F.lower(element)
-        tests = [
-            low.like(like_pattern(v)) if any(c in v for c in "*?") else low.contains(v.lower()) for v in wanted
-        ]
-        return reduce(lambda a, b: a | b, tests)
-
-    clauses = [F.coalesce(F.exists(field_values(schema, p), hit), F.lit(False)) for p in paths]
-    return reduce(lambda a, b: a | b, clauses)
+        return "true"
+    tests = [
+        f"lower(el) LIKE {literal(like_pattern(v))}" if any(c in v for c in "*?")
+        else f"contains(lower(el), {literal(v.lower())})"
+        for v in wanted
+    ]
+    hit = " OR ".join(tests)
+    return "(" + " OR ".join(f"coalesce(exists({field_values(schema, p)}, el -> {hit}), false)" for p in paths) + ")"
 
 
 def _check_date(text: str) -> None:
@@ -72,34 +69,30 @@ def _check_date(text: str) -> None:
     raise ValueError(f"unreadable date {text!r}")
 
 
-def begin_filter(start: str | None) -> Column:
+def begin_filter(start: str | None) -> str:
     if not start or start.strip().lower() in NO_DATE:
-        return F.lit(True)
+        return "true"
     _check_date(start)
-    return F.coalesce(F.col("begin_date") >= partial_date(F.lit(start), "first"), F.lit(False))
+    return f"coalesce(begin_date >= {partial_date(literal(start), 'first')}, false)"
 
 
-def end_filter(end: str | None, today: dt.date | None = None) -> Column:
+def end_filter(end: str | None, today: dt.date | None = None) -> str:
     if not end:
-        return F.lit(True)
+        return "true"
     if end.strip().lower() in NO_DATE:
-        return F.col("end_date").isNull()
+        return "end_date IS NULL"
     if end.strip().lower() != "present":
         _check_date(end)
-    return F.coalesce(F.col("end_date") <= partial_date(F.lit(end), "last", today), F.lit(False))
+    return f"coalesce(end_date <= {partial_date(literal(end), 'last', today)}, false)"
 
 
-def record_box() -> dict[str, Column]:
-    return {c: F.col(c) for c in BOX}
-
-
-def bbox_filter(bbox: str | None, relation: str | None = None) -> Column:
+def bbox_filter(bbox: str | None, relation: str | None = None) -> str:
     if not bbox:
-        return F.lit(True)
-    return box_relation(F.col("coordinates.coordinates"), record_box(), parse_bbox(bbox), relation or "intersects")
+        return "true"
+    return box_relation(RINGS, parse_bbox(bbox), relation or "intersects")
 
 
-def predicate(schema: StructType, request: dict, today: dt.date | None = None) -> Column:
+def predicate(schema: StructType, request: dict, today: dt.date | None = None) -> str:
     """The conjunction of all filters of one request (missing or empty = no filter)."""
     clauses = [
         wildcard(schema, paths, request.get(name)) for name, paths in FILTER_FIELDS.items() if request.get(name)
@@ -109,7 +102,7 @@ def predicate(schema: StructType, request: dict, today: dt.date | None = None) -
         end_filter(request.get("end"), today),
         bbox_filter(request.get("bbox"), request.get("relation")),
     ]
-    return reduce(lambda a, b: a & b, clauses)
+    return " AND ".join(clauses)
 
 
 # --- many requests -----------------------------------------------------------------------------
@@ -117,73 +110,63 @@ def predicate(schema: StructType, request: dict, today: dt.date | None = None) -
 FILTER_COLUMNS = tuple(f"f_{n}" for n in FILTER_FIELDS) + ("f_begin", "f_end", "f_end_missing", "f_box", "f_relation")
 
 
-def _parsed_values(text: Column) -> Column:
+def _parsed_values(text: str) -> str:
     """Comma list -> lower-cased, trimmed, non-empty values; absent or all blank -> null."""
-    values = F.filter(F.transform(F.split(F.lower(text), ","), lambda v: F.trim(v)), lambda v: v != "")
-    return F.when(F.size(values) > 0, F.array_sort(F.array_distinct(values)))
-
+    values = f"filter(transform(split(lower({text}), ','), v -> trim(v)), v -> v <> '')"
+    return let("vs", values, "CASE WHEN size(vs) > 0 THEN array_sort(array_distinct(vs)) END")
 
-def _box_of(text: Column) -> Column:
-    parts = F.filter(F.transform(F.split(text, ","), lambda v: F.trim(v)), lambda v: v != "")
-    return F.transform(parts, lambda v: v.try_cast("double"))
 
-
-def parse_filters(today: dt.date | None = None) -> dict[str, Column]:
-    """Columns derived from the request columns, named as in :data:`FILTER_COLUMNS`, plus ``reject``.
+def parse_filters(today: dt.date | None = None) -> dict[str, str]:
+    """Expressions over the request columns for :data:`FILTER_COLUMNS`, plus ``reject``.
 
     ``reject`` is a reason why the request cannot run, or null.
     """
-    out = {f"f_{n}": _parsed_values(F.col(n)) for n in FILTER_FIELDS}
-    begin, end = F.nullif(F.col("begin"), F.lit("")), F.nullif(F.col("end"), F.lit(""))
-    out["f_begin"] = F.when(~is_no_date(begin), partial_date(begin, "first"))
-    out["f_end"] = F.when(~is_no_date(end), partial_date(end, "last", today))
-    out["f_end_missing"] = F.coalesce(is_no_date(end), F.lit(False))
-    box = _box_of(F.nullif(F.col("bbox"), F.lit("")))
-    relation = F.coalesce(F.nullif(F.col("relation"), F.lit("")), F.lit("intersects"))
+    begin, end, relation = "nullif(`begin`, '')", "nullif(`end`, '')", "coalesce(nullif(relation, ''), 'intersects')"
+    box = "transform(filter(split(nullif(bbox, ''), ','), v -> trim(v) <> ''), v -> try_cast(trim(v) AS double))"
+    first, last = partial_date(begin, "first"), partial_date(end, "last", today)
+    out = {f"f_{n}": _parsed_values(f"`{n}`") for n in FILTER_FIELDS}
+    out["f_begin"] = f"CASE WHEN NOT {is_no_date(begin)} THEN {first} END"
+    out["f_end"] = f"CASE WHEN NOT {is_no_date(end)} THEN {last} END"
+    out["f_end_missing"] = f"coalesce({is_no_date(end)}, false)"
     out["f_box"] = box
-    out["f_relation"] = F.when(box.isNotNull(), relation)
-    w, s, e, n = (F.get(box, i) for i in range(4))
-    out["reject"] = F.when(
-        box.isNotNull(),
-        F.when(F.size(box) != 4, "bbox needs west, south, east, north")
-        .when(F.exists(box, lambda v: v.isNull()), "bbox must be comma-separated numbers")
-        .when(~w.between(-180, 180) | ~e.between(-180, 180), "bbox longitudes must lie in [-180, 180]")
-        .when(~s.between(-90, 90) | ~n.between(-90, 90), "bbox latitudes must lie in [-90, 90]")
-        .when(s > n, "bbox south lies above north")
-        .when(~relation.isin(list(RELATIONS)), "unsupported relation"),
+    out["f_relation"] = f"CASE WHEN nullif(bbox, '') IS NOT NULL THEN {relation} END"
+    known = ", ".join(f"'{r}'" for r in RELATIONS)
+    bad_box = (
+        "CASE WHEN size(bx) <> 4 THEN 'bbox needs west, south, east, north' "
+        "WHEN exists(bx, v -> v IS NULL) THEN 'bbox must be comma-separated numbers' "
+        "WHEN exists(array(bx[0], bx[2]), v -> abs(v) > 180) THEN 'bbox longitudes must lie in [-180, 180]' "
+        "WHEN exists(array(bx[1], bx[3]), v -> abs(v) > 90) THEN 'bbox latitudes must lie in [-90, 90]' "
+        "WHEN bx[1] > bx[3] THEN 'bbox south lies above north' "
+        f"WHEN {relation} NOT IN ({known}) THEN 'unsupported relation' END"
     )
-    unreadable = (begin.isNotNull() & ~is_no_date(begin) & out["f_begin"].isNull()) | (
-        end.isNotNull() & ~is_no_date(end) & out["f_end"].isNull()
+    bad_date = (
+        f"CASE WHEN (NOT {is_no_date(begin)} AND {first} IS NULL) OR (NOT {is_no_date(end)} AND {last} IS NULL) "
+        "THEN 'unreadable date' END"
     )
-    out["reject"] = F.coalesce(out["reject"], F.when(unreadable, "unreadable date"))
+    out["reject"] = f"coalesce(CASE WHEN nullif(bbox, '') IS NOT NULL THEN {let('bx', box, bad_box)} END, {bad_date})"
     return out
 
 
-def _like_of(value: Column) -> Column:
-    escaped = F.regexp_replace(value, r"([\\%_])", r"\\$1")
-    return F.concat(F.lit("%"), F.translate(escaped, "*?", "%_"), F.lit("%"))
-
-
-def _wildcard_columns(schema: StructType, paths: list[str], values: Column) -> Column:
-    def matches(element: Column, v: Column) -> Column:
-        low = F.lower(element)
-        return F.when(v.rlike(r"[*?]"), F.like(low, _like_of(v))).otherwise(F.contains(low, v))
-
+def _wildcard_columns(schema: StructType, paths: list[str], values: str) -> str:
+    escaped = f"regexp_replace(v, {literal('([' + chr(92) * 2 + '%_])')}, {literal(chr(92) * 2 + '$1')})"
+    pattern = f"concat('%', translate({escaped}, '*?', '%_'), '%')"
+    matches = f"CASE WHEN v RLIKE '[*?]' THEN lower(el) LIKE {pattern} ELSE contains(lower(el), v) END"
     texts = [field_values(schema, p) for p in paths]
-    every = F.concat(*texts) if len(texts) > 1 else texts[0]
-    return F.exists(values, lambda v: F.coalesce(F.exists(every, lambda x: matches(x, v)), F.lit(False)))
+    every = f"concat({', '.join(texts)})" if len(texts) > 1 else texts[0]
+    return f"exists({values}, v -> coalesce(exists({every}, el -> {matches}), false))"
 
 
-def batch_predicate(catalogue_schema: StructType) -> Column:
+def batch_predicate(catalogue_schema: StructType) -> str:
     """The filters of a row that holds catalogue columns next to parsed request columns."""
     clauses = [
-        F.col(f"f_{name}").isNull() | _wildcard_columns(catalogue_schema, paths, F.col(f"f_{name}"))
+        f"(f_{name} IS NULL OR {_wildcard_columns(catalogue_schema, paths, 'f_' + name)})"
         for name, paths in FILTER_FIELDS.items()
     ]
-    clauses.append(F.col("f_begin").isNull() | F.coalesce(F.col("begin_date") >= F.col("f_begin"), F.lit(False)))
-    clauses.append(F.col("f_end").isNull() | F.coalesce(F.col("end_date") <= F.col("f_end"), F.lit(False)))
-    clauses.append(~F.col("f_end_missing") | F.col("end_date").isNull())
-    rings, query = F.col("coordinates.coordinates"), [F.get(F.col("f_box"), i) for i in range(4)]
-    spatial = box_relation(rings, record_box(), query, F.col("f_relation"))
-    clauses.append(F.col("f_box").isNull() | spatial)
-    return reduce(lambda a, b: a & b, clauses)
+    query = [f"get(f_box, {i})" for i in range(4)]
+    clauses += [
+        "(f_begin IS NULL OR coalesce(begin_date >= f_begin, false))",
+        "(f_end IS NULL OR coalesce(end_date <= f_end, false))",
+        "(NOT f_end_missing OR end_date IS NULL)",
+        f"(f_box IS NULL OR {box_relation(RINGS, query, 'f_relation', fixed=False)})",
+    ]
+    return " AND ".join(clauses)

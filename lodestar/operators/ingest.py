@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import fnmatch
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from lodestar.functions import json_fields as J
+from lodestar.functions.common import NO_STRINGS, literals
 from lodestar.functions.dates import NOT_AVAILABLE, PRESENT, partial_date
 from lodestar.functions.spatial import bounds
-from lodestar.schemas import LOCALISED, NESTED_TEXT_FIELDS, RAW_COLUMNS, TEXT_FIELDS
+from lodestar.schemas import NESTED_TEXT_FIELDS, RAW_COLUMNS, TEXT_FIELDS
 
 P = "features_properties_"
 # The only tags of the theme table that become themes.
@@ -24,9 +25,8 @@ SPECIAL_TOPIC = ("earthobservation;syntheticaperatureradar", "imageryBaseMapsEar
 def select_columns(raw: DataFrame, columns=RAW_COLUMNS) -> DataFrame:
     """Keep the known raw columns; a column the source lacks is an empty string."""
     have = set(raw.columns)
-    keep = [F.col(c) if c in have else F.lit("").alias(c) for c in columns]
     extra = [c for c in ("load_seq", "vector") if c in have]
-    return raw.select(*keep, *extra)
+    return raw.selectExpr(*[c if c in have else f"'' AS {c}" for c in columns], *extra)
 
 
 def null_sentinels(raw: DataFrame) -> DataFrame:
@@ -43,40 +43,39 @@ def build_extent(raw: DataFrame) -> DataFrame:
     return raw.withColumn("temporalExtent", F.struct(F.col(begin).alias("begin"), F.col(end).alias("end"))).drop(begin, end)
 
 
-def _part(name: str) -> Column:
-    return F.coalesce(F.col(P + name), F.lit(""))
+def _part(name: str) -> str:
+    return f"coalesce({P}{name}, '')"
 
 
-def embedding_text() -> Column:
+NEW_LINE = "chr(10)"
+
+
+def embedding_text() -> str:
     """Title, description and keywords for the English encoder; missing parts are empty."""
-    return F.concat(_part("title_en"), F.lit("\n"), _part("description_en"), F.lit("\nkeywords:"), _part("keywords_en"))
+    return f"concat({_part('title_en')}, {NEW_LINE}, {_part('description_en')}, {NEW_LINE}, 'keywords:', {_part('keywords_en')})"
 
 
-def embedding_text_bilingual() -> Column:
-    return F.concat(
-        _part("title_en"), F.lit("\n"), _part("title_fr"), F.lit("\n"),
-        _part("description_en"), F.lit("\n"), _part("description_fr"),
-        F.lit("\nkeywords:"), _part("keywords_en"), F.lit("\nkeywords:"), _part("keywords_fr"),
-    )
+def embedding_text_bilingual() -> str:
+    lines = [_part(f) for f in ("title_en", "title_fr", "description_en", "description_fr")]
+    lines += [f"concat('keywords:', {_part(f)})" for f in ("keywords_en", "keywords_fr")]
+    return f"concat({f', {NEW_LINE}, '.join(lines)})"
 
 
-def all_text() -> Column:
+def all_text() -> str:
     """Six fields joined by blanks; one null makes the whole text empty."""
     fields = ("title_en", "description_en", "keywords_en", "title_fr", "description_fr", "keywords_fr")
-    parts: list[Column] = []
-    for f in fields:
-        parts += [F.col(P + f), F.lit(" ")]
-    return F.coalesce(F.concat(*parts[:-1]), F.lit(""))
+    parts = ", ' ', ".join(P + f for f in fields)
+    return f"coalesce(concat({parts}), '')"
 
 
-def source_system(name: Column) -> Column:
-    return F.when(name.isNull() | (name == RENAMED_SYSTEM), DEFAULT_SYSTEM).otherwise(name)
+def source_system(name: str) -> str:
+    return f"CASE WHEN {name} IS NULL OR {name} = '{RENAMED_SYSTEM}' THEN '{DEFAULT_SYSTEM}' ELSE {name} END"
 
 
-def topic_rewrite(topic: Column) -> Column:
+def topic_rewrite(topic: str) -> str:
     """The one special topic text is rewritten, everything else kept."""
     bare, replacement = SPECIAL_TOPIC
-    return F.when(F.lower(F.replace(topic, F.lit(" "), F.lit(""))) == bare, replacement).otherwise(topic)
+    return f"CASE WHEN lower(replace({topic}, ' ', '')) = '{bare}' THEN '{replacement}' ELSE {topic} END"
 
 
 def override_organisation(df: DataFrame, contacts: str, overrides: DataFrame, key: str = "id") -> DataFrame:
@@ -94,13 +93,11 @@ def tags_per_id(tags: DataFrame) -> DataFrame:
     return tags.groupBy("uuid").agg(F.array_sort(F.collect_set("tag")).alias("_tags"))
 
 
-def append_tags(themes: Column, tags: Column, allowed=None) -> Column:
+def append_tags(themes: str, tags: str, allowed=None) -> str:
     """Tags not yet among the themes, appended; with ``allowed`` only those."""
-    usable = F.filter(
-        F.coalesce(tags, F.array().cast("array<string>")),
-        lambda t: (t != "") & (t.isin(list(allowed)) if allowed else F.lit(True)),
-    )
-    return F.concat(themes, F.array_except(usable, themes))
+    listed = f" AND tag IN ({literals(allowed)})" if allowed else ""
+    usable = f"filter(coalesce({tags}, {NO_STRINGS}), tag -> tag <> ''{listed})"
+    return f"concat({themes}, array_except({usable}, {themes}))"
 
 
 def join_tags(df: DataFrame, tags: DataFrame, themes: str = "theme", key: str = "id", allowed=None) -> DataFrame:
@@ -108,67 +105,67 @@ def join_tags(df: DataFrame, tags: DataFrame, themes: str = "theme", key: str =
     per_id = tags_per_id(tags).withColumnRenamed("uuid", key)
     return (
         df.join(per_id, key, "left")
-        .withColumn(themes, append_tags(F.col(themes), F.col("_tags"), allowed))
+        .withColumn(themes, F.expr(append_tags(themes, "_tags", allowed)))
         .drop("_tags")
     )
 
 
-def foundational_flag(themes: Column) -> Column:
-    lowered = F.transform(themes, lambda t: F.lower(F.trim(t)))
-    return F.coalesce(F.array_contains(lowered, "foundational"), F.lit(False)).cast("string")
+def foundational_flag(themes: str) -> str:
+    return f"CAST(coalesce(array_contains(transform({themes}, th -> lower(trim(th))), 'foundational'), false) AS string)"
+
+
+# Catalogue column -> expression over the raw columns.
+DOCUMENT = {
+    "id": P + "id",
+    "_rings": J.rings_of("features_geometry_coordinates"),
+    "title_en": P + "title_en",
+    "title_fr": P + "title_fr",
+    "description_en": P + "description_en",
+    "description_fr": P + "description_fr",
+    "published": P + "date_published_date",
+    "keywords_en": J.comma_array(P + "keywords_en"),
+    "keywords_fr": J.comma_array(P + "keywords_fr"),
+    "options": J.options_of(P + "options"),
+    "contact": J.contacts_of(P + "contact"),
+    "cited": J.contacts_of(P + "cited"),
+    "topicCategory": J.comma_array(P + "topicCategory"),
+    "created": P + "date_created_date",
+    "spatialRepresentation": P + "spatialRepresentation",
+    "temporalExtent": "temporalExtent",
+    "graphicOverview": f"coalesce({J.json_items(P + 'graphicOverview')}, {NO_STRINGS})",
+    "language": P + "language",
+    "organisation": J.organisation_segment(P + "cited", P + "contact"),
+    "theme": J.theme_bins(P + "topicCategory"),
+    "popularity": "coalesce(try_cast(features_popularity AS int), 0)",
+    "systemName": source_system(P + "sourceSystemName"),
+    "eoCollection": P + "eoCollection",
+    "eoFilters": J.eo_filters_of(P + "eoFilters"),
+}
+# Columns derived from catalogue columns.
+DERIVED = {
+    "type": J.resource_types("options"),
+    "mappable": J.mappable_flag("options"),
+    "foundational": foundational_flag("theme"),
+    "begin_date": partial_date("temporalExtent.begin", "first"),
+    "end_date": partial_date("temporalExtent.end", "last"),
+    **bounds("_rings"),
+}
 
 
 def to_catalogue(raw: DataFrame) -> DataFrame:
-    """Raw records to catalogue rows in one projection (no shuffle).
+    """Raw records to catalogue rows in two projections (no shuffle).
 
-    ``raw`` may carry ``vector`` and ``load_seq``. Themes are complete after :func:`join_tags`.
+    ``raw`` may carry ``vector`` and ``load_seq``. Themes are complete after :func:`enrich_themes`.
     """
-    src = build_extent(null_sentinels(select_columns(raw)))
-    column = {c: F.col(c) for c in src.columns}
-
-    def p(name: str) -> Column:
-        return column[P + name]
-
-    rings = J.rings_of(F.col("features_geometry_coordinates"))
-    options = J.options_of(p("options"))
-    base = src.select(
-        p("id").alias("id"),
-        rings.alias("_rings"),
-        p("title_en").alias("title_en"),
-        p("title_fr").alias("title_fr"),
-        p("description_en").alias("description_en"),
-        p("description_fr").alias("description_fr"),
-        p("date_published_date").alias("published"),
-        J.comma_array(p("keywords_en")).alias("keywords_en"),
-        J.comma_array(p("keywords_fr")).alias("keywords_fr"),
-        options.alias("options"),
-        J.contacts_of(p("contact")).alias("contact"),
-        J.contacts_of(p("cited")).alias("cited"),
-        J.comma_array(p("topicCategory")).alias("topicCategory"),
-        p("date_created_date").alias("created"),
-        p("spatialRepresentation").alias("spatialRepresentation"),
-        F.col("temporalExtent"),
-        F.coalesce(J.json_items(p("graphicOverview")), F.array().cast("array<string>")).alias("graphicOverview"),
-        p("language").alias("language"),
-        J.organisation_segment(p("cited"), p("contact")).cast(LOCALISED).alias("organisation"),
-        J.theme_bins(p("topicCategory")).alias("theme"),
-        F.coalesce(F.expr("try_cast(features_popularity AS INT)"), F.lit(0)).alias("popularity"),
-        source_system(p("sourceSystemName")).alias("systemName"),
-        p("eoCollection").alias("eoCollection"),
-        J.eo_filters_of(p("eoFilters")).alias("eoFilters"),
-        *[F.col(c) for c in ("vector", "load_seq") if c in column],
-    )
-    box = bounds(F.col("_rings"))
-    return base.select(
+    source = build_extent(null_sentinels(select_columns(raw)))
+    kept = [c for c in ("vector", "load_seq") if c in source.columns]
+    base = source.selectExpr(*[f"{e} AS {name}" for name, e in DOCUMENT.items()], *kept)
+    return base.selectExpr(
         "id",
-        F.struct(F.lit("Polygon").alias("type"), F.col("_rings").alias("coordinates")).alias("coordinates"),
-        *[c for c in base.columns if c not in ("id", "_rings")],
-        J.resource_types(F.col("options")).alias("type"),
-        J.mappable_flag(F.col("options")).alias("mappable"),
-        foundational_flag(F.col("theme")).alias("foundational"),
-        partial_date(F.col("temporalExtent.begin"), "first").alias("begin_date"),
-        partial_date(F.col("temporalExtent.end"), "last").alias("end_date"),
-        *[c.alias(n) for n, c in box.items()],
+        "named_struct('type', 'Polygon', 'coordinates', _rings) AS coordinates",
+        *[c for c in DOCUMENT if c not in ("id", "_rings")],
+        *[f"{e} AS {name}" for name, e in DERIVED.items()],
+        *kept,
     )
 
 
@@ -179,7 +176,7 @@ def enrich_themes(catalogue: DataFrame, theme: DataFrame | None = None, foundati
         out = join_tags(out, theme, allowed=THEME_TAGS)
     if foundational is not None:
         out = join_tags(out, foundational)
-    return out.withColumn("foundational", foundational_flag(F.col("theme")))
+    return out.withColumn("foundational", F.expr(foundational_flag("theme")))
 
 
 def normalise(raw: DataFrame, theme: DataFrame | None = None, foundational: DataFrame | None = None) -> DataFrame:
@@ -199,18 +196,14 @@ def upsert(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
 
 def split_bad_rows(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Good and quarantined rows for the strict load: JSON columns must parse, popularity be a number."""
+    json_columns = ("features_geometry_coordinates", P + "options", P + "contact", P + "graphicOverview", P + "eoFilters")
     checks = [
-        F.col(c).isNotNull() & (F.col(c) != "") & F.try_parse_json(F.col(c)).isNull()
-        for c in ("features_geometry_coordinates", P + "options", P + "contact", P + "graphicOverview", P + "eoFilters")
-        if c in raw.columns
+        f"({c} IS NOT NULL AND {c} <> '' AND try_parse_json({c}) IS NULL)" for c in json_columns if c in raw.columns
     ]
     if "features_popularity" in raw.columns:
-        checks.append(F.col("features_popularity").isNotNull() & F.expr("try_cast(features_popularity AS INT) IS NULL"))
-    bad = F.lit(False)
-    for check in checks:
-        bad = bad | F.coalesce(check, F.lit(False))
-    marked = raw.withColumn("_bad", bad)
-    return marked.filter(~F.col("_bad")).drop("_bad"), marked.filter("_bad").drop("_bad")
+        checks.append("(features_popularity IS NOT NULL AND try_cast(features_popularity AS int) IS NULL)")
+    bad = " OR ".join(checks)
+    return raw.filter(f"NOT ({bad})"), raw.filter(bad)
 
 
 def expand_patterns(schema: StructType, patterns: dict[str, float], nested: bool = False) -> dict[str, float]:

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions.vectors import norm
@@ -32,20 +32,19 @@ MAX_CELLS = 1024
 COS_DIGITS = 12
 
 
-def score_of(cos: Column, transform: str = "reciprocal") -> Column:
+def score_of(cos: str, transform: str = "reciprocal") -> str:
     """Score of a cosine: ``1/(2-cos)``, or ``(1+cos)/2`` for ``linear``."""
     if transform == "reciprocal":
-        return 1.0 / (2.0 - cos)
+        return f"1D / (2D - {cos})"
     if transform == "linear":
-        return (1.0 + cos) / 2.0
+        return f"(1D + {cos}) / 2D"
     raise ValueError(f"unknown score transform {transform!r}")
 
 
 def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
     """Rows with a vector that is neither null nor all zero, as ``(id, v)``."""
-    v = F.col(vector).cast("array<double>")
-    return df.select(F.col(key).alias("id"), v.alias("v")).filter(
-        F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull()) & (norm(F.col("v")) > 0)
+    return df.selectExpr(f"{key} AS id", f"CAST({vector} AS array<double>) AS v").filter(
+        f"v IS NOT NULL AND NOT exists(v, x -> x IS NULL) AND {norm('v')} > 0"
     )
 
 
@@ -190,7 +189,7 @@ def _block_join(visits: DataFrame, cells: DataFrame, k: int, schema: str) -> Dat
 
 def _finish(candidates: DataFrame, k: int, transform: str) -> DataFrame:
     ranked = top_k(candidates, ["qid"], [F.col("cos").desc(), F.col("id").asc()], k)
-    return ranked.select("qid", "id", "cos", score_of(F.col("cos"), transform).alias("score"), "rn")
+    return ranked.selectExpr("qid", "id", "cos", f"{score_of('cos', transform)} AS score", "rn")
 
 
 def _empty(queries: DataFrame, catalogue: DataFrame, k: int, transform: str) -> DataFrame:

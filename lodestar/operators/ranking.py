@@ -64,17 +64,12 @@ def rank_score(column: str = "score") -> Column:
 
 def batch_order() -> list[Column]:
     """Ordering of rows that carry their own ``sort`` and ``order`` (see ``normalise_requests``)."""
-    number = F.when(F.col("sort") == "_score", rank_score()).when(
-        F.col("sort") == "popularity", F.col("popularity").cast("double")
-    )
-    text = F.when(F.col("sort") == "date", F.col("published")).when(
-        F.col("sort") == "title", F.when(F.col("lang") == "fr", F.col("title_fr")).otherwise(F.col("title_en"))
-    )
-    ascending = F.col("order") == "asc"
+    number = f"CASE sort WHEN '_score' THEN round(score, {SCORE_DIGITS}) WHEN 'popularity' THEN double(popularity) END"
+    text = "CASE sort WHEN 'date' THEN published WHEN 'title' THEN IF(lang = 'fr', title_fr, title_en) END"
     return [
-        F.when(ascending, number).otherwise(-number).asc_nulls_last(),
-        F.when(ascending, text).asc_nulls_last(),
-        F.when(~ascending, text).desc_nulls_last(),
+        F.expr(f"IF(`order` = 'asc', {number}, -({number}))").asc_nulls_last(),
+        F.expr(f"CASE WHEN `order` = 'asc' THEN {text} END").asc_nulls_last(),
+        F.expr(f"CASE WHEN `order` <> 'asc' THEN {text} END").desc_nulls_last(),
         F.col("id").asc(),
     ]
 
@@ -85,5 +80,5 @@ def pages(matches: DataFrame, keys: list[str], deepest: int) -> DataFrame:
     if deepest <= 0:
         return matches.withColumn("row_num", F.lit(0)).filter(F.lit(False))
     ranked = top_k(matches, keys, batch_order(), deepest)
-    inside = (F.col("rn") > F.col("from")) & (F.col("rn") <= F.col("from") + F.col("size"))
-    return ranked.filter(inside).withColumn("row_num", (F.col("rn") - F.col("from")).cast("int")).drop("rn")
+    inside = ranked.filter("rn > `from` AND rn <= `from` + size")
+    return inside.withColumn("row_num", F.expr("int(rn - `from`)")).drop("rn")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,7 +19,7 @@ from lodestar.operators.ranking import order_columns, sort_spec, top_k
 from lodestar.plans import fixtures as X
 from lodestar.plans import responses, search
 from lodestar.plans.requests import normalise_requests, rejected_requests
-from lodestar.schemas import FACET_FIELDS, FILTER_FIELDS
+from lodestar.schemas import CONTACT, FACET_FIELDS, FILTER_FIELDS
 from lodestar.sources import tables
 from lodestar.streaming import logs
 
@@ -140,31 +141,31 @@ def select_sentinel_struct(spark, sf):
 
 @query
 def embedding_text(spark, sf):
-    return _raw(spark, sf).select(F.col(P + "id").alias("id"), ingest.embedding_text().alias("text"))
+    return _raw(spark, sf).select(F.col(P + "id").alias("id"), F.expr(ingest.embedding_text()).alias("text"))
 
 
 @query
 def embedding_text_bilingual(spark, sf):
-    return _raw(spark, sf).select(F.col(P + "id").alias("id"), ingest.embedding_text_bilingual().alias("text"))
+    return _raw(spark, sf).select(F.col(P + "id").alias("id"), F.expr(ingest.embedding_text_bilingual()).alias("text"))
 
 
 @query
 def null_concat(spark, sf):
-    return _raw(spark, sf).select(F.col(P + "id").alias("id"), ingest.all_text().alias("text"))
+    return _raw(spark, sf).select(F.col(P + "id").alias("id"), F.expr(ingest.all_text()).alias("text"))
 
 
 @query
 def organisation_first(spark, sf):
     return _raw(spark, sf).select(
         F.col(P + "id").alias("id"),
-        J.organisation_first(F.col(P + "contact")).alias("contact_en"),
-        J.organisation_first(F.col(P + "cited")).alias("cited_en"),
+        F.expr(J.organisation_first(P + "contact")).alias("contact_en"),
+        F.expr(J.organisation_first(P + "cited")).alias("cited_en"),
     )
 
 
 @query
 def organisation_segment(spark, sf):
-    org = J.organisation_segment(F.col(P + "cited"), F.col(P + "contact"))
+    org = F.expr(J.organisation_segment(P + "cited", P + "contact"))
     return _raw(spark, sf).select(F.col(P + "id").alias("id"), org.alias("o")).select(
         "id", F.col("o.en").alias("org_en"), F.col("o.fr").alias("org_fr")
     )
@@ -173,7 +174,7 @@ def organisation_segment(spark, sf):
 @query
 def source_default(spark, sf):
     return _raw(spark, sf).select(
-        F.col(P + "id").alias("id"), ingest.source_system(F.col(P + "sourceSystemName")).alias("system")
+        F.col(P + "id").alias("id"), F.expr(ingest.source_system(P + "sourceSystemName")).alias("system")
     )
 
 
@@ -186,24 +187,21 @@ def partial_dates(spark, sf):
 @query
 def mappable_flag(spark, sf):
     return _raw(spark, sf).select(
-        F.col(P + "id").alias("id"), J.mappable_flag(J.options_of(F.col(P + "options"))).alias("mappable")
+        F.col(P + "id").alias("id"), F.expr(J.mappable_flag(J.options_of(P + "options"))).alias("mappable")
     )
 
 
 @query
 def resource_types(spark, sf):
     return _raw(spark, sf).select(
-        F.col(P + "id").alias("id"), _joined(J.resource_types(J.options_of(F.col(P + "options")))).alias("types")
+        F.col(P + "id").alias("id"), _joined(F.expr(J.resource_types(J.options_of(P + "options")))).alias("types")
     )
 
 
 @query
 def safe_json(spark, sf):
     """Contacts that do not parse, or are missing, become an empty list."""
-    contacts = J.safe_json(
-        F.col(P + "contact"), "array<struct<organisation:struct<en:string,fr:string>>>",
-        F.array().cast("array<struct<organisation:struct<en:string,fr:string>>>"),
-    )
+    contacts = F.expr(J.safe_json(P + "contact", CONTACT.simpleString()))
     return _raw(spark, sf).select(F.col(P + "id").alias("id"), F.size(contacts).cast("bigint").alias("n_contacts"))
 
 
@@ -233,24 +231,22 @@ def polygon_build(spark, sf):
 
 @query
 def theme_bins(spark, sf):
-    return _raw(spark, sf).select(F.col(P + "id").alias("id"), _joined(J.theme_bins(F.col(P + "topicCategory"))).alias("themes"))
+    return _raw(spark, sf).select(F.col(P + "id").alias("id"), _joined(F.expr(J.theme_bins(P + "topicCategory"))).alias("themes"))
 
 
 @query
 def comma_arrays(spark, sf):
     return _raw(spark, sf).select(
         F.col(P + "id").alias("id"),
-        *[_joined(J.comma_array(F.col(P + c))).alias(c) for c in ("topicCategory", "keywords_en", "keywords_fr")],
+        *[_joined(F.expr(J.comma_array(P + c))).alias(c) for c in ("topicCategory", "keywords_en", "keywords_fr")],
     )
 
 
 @query
 def topic_rewrite(spark, sf):
     """Topics of the EO collections are spelled the special way, the others kept."""
-    topic = F.when(F.col(P + "eoCollection") == "sentinel-1", "Earth Observation; Synthetic Aperature Radar").otherwise(
-        F.col(P + "topicCategory")
-    )
-    return _raw(spark, sf).select(F.col(P + "id").alias("id"), ingest.topic_rewrite(topic).alias("topic"))
+    topic = f"CASE WHEN {P}eoCollection = 'sentinel-1' THEN 'Earth Observation; Synthetic Aperature Radar' ELSE {P}topicCategory END"
+    return _raw(spark, sf).selectExpr(f"{P}id AS id", f"{topic} AS topic").select("id", F.expr(ingest.topic_rewrite("topic")).alias("topic"))
 
 
 @query
@@ -293,24 +289,24 @@ def localised_fields(spark, sf):
 
 @query
 def tokens_standard(spark, sf):
-    return X.documents(spark, sf).select("doc_id", T.analyse(F.col("text")).alias("t")).select(
+    return X.documents(spark, sf).select("doc_id", F.expr(T.analyse("text")).alias("t")).select(
         "doc_id", F.size("t").cast("bigint").alias("n_tokens"), F.array_join("t", " ").alias("tokens")
     )
 
 
 @query
 def clean_text(spark, sf):
-    return X.documents(spark, sf).select("doc_id", T.clean_text(F.col("text"), stemmed=False).alias("clean"))
+    return X.documents(spark, sf).select("doc_id", T.clean_text("text", stemmed=False).alias("clean"))
 
 
 @query
 def clean_text_stemmed(spark, sf):
-    return X.documents(spark, sf).select("doc_id", T.clean_text(F.col("text")).alias("clean"))
+    return X.documents(spark, sf).select("doc_id", T.clean_text("text").alias("clean"))
 
 
 @query
 def stem_vocabulary(spark, sf):
-    words = X.documents(spark, sf).select(F.explode(T.clean_tokens(F.col("text"), T.long_stopwords())).alias("word")).distinct()
+    words = X.documents(spark, sf).select(F.explode(F.expr(T.clean_tokens("text", T.long_stopwords()))).alias("word")).distinct()
     return words.select("word", T.stem("word").alias("stem"))
 
 
@@ -367,7 +363,7 @@ def mean_pool(spark, sf):
 
 @query
 def l2_normalise(spark, sf):
-    v = X.vectors(spark, sf).select("vec_id", V.l2_normalise(F.transform("embedding", lambda x: x * 3)).alias("v"))
+    v = X.vectors(spark, sf).select("vec_id", F.expr(V.l2_normalise("transform(embedding, y -> double(y) * 3)")).alias("v"))
     return v.select("vec_id", F.posexplode("v").alias("dim", "value")).select(
         "vec_id", F.col("dim").cast("bigint").alias("dim"), _r6("value", "value")
     )
@@ -474,13 +470,13 @@ SHAPE = [(-110.0, 45.0), (-90.0, 45.0), (-90.0, 62.0), (-110.0, 62.0)]
 @query
 def polygon_intersects(spark, sf):
     c = X.catalogue(spark, sf)
-    return c.filter(polygons_intersect(F.col("coordinates.coordinates"), fl.record_box(), ring_literal(SHAPE))).select("id")
+    return c.filter(polygons_intersect(fl.RINGS, ring_literal(SHAPE))).select("id")
 
 
 @query
 def keyword_and_shape(spark, sf):
     c = X.catalogue(spark, sf)
-    inside = c.filter(polygons_intersect(F.col("coordinates.coordinates"), fl.record_box(), ring_literal(SHAPE))).select("id")
+    inside = c.filter(polygons_intersect(fl.RINGS, ring_literal(SHAPE))).select("id")
     index, boosts = search.search_index(c, search.KEYWORD_PATTERNS)
     return bm25.best_fields(_queries(spark, sf), index.materialise(), boosts).join(inside, "id", "left_semi").select(
         "q", "id", _r6("score", "score")
@@ -553,7 +549,7 @@ def hybrid_prefilter(spark, sf):
 def flag_clause(spark, sf):
     c = X.catalogue(spark, sf)
     weight = search.flag_weight(c)
-    return c.select("id", _r6(F.coalesce(search.flag_clause(F.col("mappable"), weight), F.lit(0.0)), "score"))
+    return c.select("id", _r6(F.expr(f"coalesce({search.flag_clause('mappable', weight)}, 0D)"), "score"))
 
 
 @query
@@ -653,18 +649,18 @@ def sort_columns(spark, sf):
 @query
 def client_address(spark, sf):
     c = X.clients(spark, sf)
-    return c.select("event_id", enrich.client_address(F.col("ip_address"), F.col("ip_address_forward")).alias("ip"))
+    return c.select("event_id", F.expr(enrich.client_address("ip_address", "ip_address_forward")).alias("ip"))
 
 
 @query
 def geo_point(spark, sf):
-    b = X.ip_blocks(spark, sf).select("start_ip", "end_ip", enrich.geo_point(F.col("location")).alias("p"))
+    b = X.ip_blocks(spark, sf).select("start_ip", "end_ip", F.expr(enrich.geo_point("location")).alias("p"))
     return b.select("start_ip", "end_ip", F.col("p.lat").alias("lat"), F.col("p.lon").alias("lon"))
 
 
 @query
 def ip_to_place(spark, sf):
-    c = X.clients(spark, sf).withColumn("ip", enrich.client_address(F.col("ip_address"), F.col("ip_address_forward")))
+    c = X.clients(spark, sf).withColumn("ip", F.expr(enrich.client_address("ip_address", "ip_address_forward")))
     placed = enrich.add_place(c, X.ip_blocks(spark, sf), "ip")
     return placed.select("event_id", "ip", "country_name", F.col("location.lat").alias("lat"), F.col("location.lon").alias("lon"))
 
@@ -679,15 +675,12 @@ def log_streams(spark, sf):
     return logs.list_streams(X.slow_log(spark, sf))
 
 
-def _now(spark, sf):
-    import datetime as dt
-
-    return dt.datetime(2024, 1, 1, 2, 30, tzinfo=dt.timezone.utc)
+NOW = dt.datetime(2024, 1, 1, 2, 30, tzinfo=dt.timezone.utc)
 
 
 @query
 def log_time_window(spark, sf):
-    return logs.recent(X.slow_log(spark, sf), _now(spark, sf), 60).select("stream", "timestamp")
+    return logs.recent(X.slow_log(spark, sf), NOW, 60).select("stream", "timestamp")
 
 
 @query

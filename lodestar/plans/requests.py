@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.functions.common import literals
 from lodestar.operators.filters import FILTER_COLUMNS, parse_filters
 from lodestar.operators.ranking import ORDERS, SORT_FIELDS
 from lodestar.schemas import REQUEST_COLUMNS
@@ -15,14 +16,16 @@ from lodestar.schemas import REQUEST_COLUMNS
 def complete(requests: DataFrame) -> DataFrame:
     """All request columns as strings; a missing column or a null is empty (= absent)."""
     have = set(requests.columns)
-    return requests.select(*[
-        F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) if c in have else F.lit("").alias(c)
-        for c in REQUEST_COLUMNS
+    return requests.selectExpr(*[
+        f"coalesce(CAST(`{c}` AS string), '') AS `{c}`" if c in have else f"'' AS `{c}`" for c in REQUEST_COLUMNS
     ])
 
 
-def _digits(c: Column, default: int) -> Column:
-    return F.coalesce(F.when(c.rlike(r"^[0-9]+$"), c.try_cast("int")), F.lit(default))
+def _digits(column: str, default: int) -> str:
+    return f"coalesce(CASE WHEN {column} RLIKE '^[0-9]+$' THEN try_cast({column} AS int) END, {default})"
+
+
+SORT_GIVEN = "CASE WHEN q = '' THEN 'popularity' WHEN `sort` = '' THEN 'relevancy' ELSE lower(`sort`) END"
 
 
 def normalise_requests(requests: DataFrame, today: dt.date | None = None) -> DataFrame:
@@ -32,31 +35,26 @@ def normalise_requests(requests: DataFrame, today: dt.date | None = None) -> Dat
     parameter forces popularity order; relevancy is always descending.
     """
     r = complete(requests)
-    given_sort = F.when(F.col("q") == "", "popularity").when(F.col("sort") == "", "relevancy").otherwise(F.lower("sort"))
     order = (
-        F.when(given_sort.isin("relevancy", "_score"), "desc")
-        .when(F.col("order") != "", F.lower("order"))
-        .when(given_sort == "title", "asc")
-        .otherwise("desc")
+        f"CASE WHEN {SORT_GIVEN} IN ('relevancy', '_score') THEN 'desc' WHEN `order` <> '' THEN lower(`order`) "
+        f"WHEN {SORT_GIVEN} = 'title' THEN 'asc' ELSE 'desc' END"
     )
     parsed = parse_filters(today)
-    reject = F.coalesce(
-        F.when(~given_sort.isin(list(SORT_FIELDS)), "unsupported sort field"),
-        F.when(~order.isin(list(ORDERS)), "sort order must be asc or desc"),
-        parsed.pop("reject"),
+    reject = (
+        f"coalesce(CASE WHEN {SORT_GIVEN} NOT IN ({literals(SORT_FIELDS)}) THEN 'unsupported sort field' "
+        f"WHEN {order} NOT IN ({literals(ORDERS)}) THEN 'sort order must be asc or desc' END, {parsed.pop('reject')})"
     )
-    text = F.when(F.col("method") == "postText", F.coalesce(F.get_json_object("body", "$.text"), F.lit(""))).otherwise(F.col("q"))
     derived = {
         **parsed,
         "reject": reject,
-        "q": text,
-        "lang": F.when(F.col("lang") == "", "en").otherwise(F.col("lang")),
-        "sort": F.when(given_sort == "relevancy", "_score").otherwise(given_sort),
+        "q": "CASE WHEN method = 'postText' THEN coalesce(get_json_object(body, '$.text'), '') ELSE q END",
+        "lang": "CASE WHEN lang = '' THEN 'en' ELSE lang END",
+        "sort": f"CASE WHEN {SORT_GIVEN} = 'relevancy' THEN '_score' ELSE {SORT_GIVEN} END",
         "order": order,
-        "size": _digits(F.col("size"), 10),
-        "from": _digits(F.col("from"), 0),
+        "size": _digits("size", 10),
+        "from": _digits("`from`", 0),
     }
-    return r.select(*[c for c in r.columns if c not in derived], *[c.alias(n) for n, c in derived.items()])
+    return r.selectExpr(*[f"`{c}`" for c in r.columns if c not in derived], *[f"{e} AS `{n}`" for n, e in derived.items()])
 
 
 def rejected_requests(normalised: DataFrame) -> DataFrame:
@@ -72,7 +70,8 @@ def with_shapes(normalised: DataFrame) -> DataFrame:
 
     Equal requests share both, so however often a request is repeated it is answered once.
     """
-    org_lang = F.when(F.col("lang") == "en", "en").otherwise("fr")
-    keyed = normalised.withColumn("org_lang", org_lang)
-    keyed = keyed.withColumn("match_id", F.sha2(F.to_json(F.struct(*[F.col(c) for c in MATCH_KEY])), 256))
-    return keyed.withColumn("view_id", F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in VIEW_KEY])), 256))
+    keyed = normalised.withColumn("org_lang", F.expr("IF(lang = 'en', 'en', 'fr')"))
+    match = ", ".join(MATCH_KEY)
+    keyed = keyed.withColumn("match_id", F.expr(f"sha2(to_json(struct({match})), 256)"))
+    view = ", ".join(f"`{c}`" for c in VIEW_KEY)
+    return keyed.withColumn("view_id", F.expr(f"sha2(to_json(struct({view})), 256)"))

@@ -13,16 +13,16 @@ import datetime as dt
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import analyse, highlight
-from lodestar.functions.vectors import embed
+from lodestar.functions.vectors import dot, embed, norm
 from lodestar.operators.bm25 import TextIndex, best_fields, build_index
 from lodestar.operators.facets import facet_columns, facet_counts
 from lodestar.operators.filters import FILTER_COLUMNS, batch_predicate, predicate
 from lodestar.operators.ingest import expand_patterns
-from lodestar.operators.knn import knn
+from lodestar.operators.knn import COS_DIGITS, knn, score_of
 from lodestar.operators.ranking import order_columns, page, pages, rank_score, top_k
 from lodestar.plans.requests import normalise_requests, with_shapes
 from lodestar.schemas import (
@@ -69,8 +69,8 @@ def flag_weight(catalogue: DataFrame, mode: str = "bm25") -> float:
     return FLAG_BOOST * math.log(1 + (row["n"] - row["hits"] + 0.5) / (row["hits"] + 0.5)) if row["hits"] else 0.0
 
 
-def flag_clause(mappable: Column, weight: float) -> Column:
-    return F.when(mappable == "true", F.lit(weight))
+def flag_clause(mappable: str, weight: float) -> str:
+    return f"CASE WHEN {mappable} = 'true' THEN {weight!r}D END"
 
 
 def search_index(catalogue: DataFrame, patterns: dict[str, float]) -> tuple[TextIndex, dict[str, float]]:
@@ -105,17 +105,17 @@ def theta_matches(catalogue: DataFrame, shapes: DataFrame) -> DataFrame | None:
     of shapes beyond the limit is answered by further scans instead of a larger broadcast."""
     out = None
     for part in chunks_of(shapes):
-        found = catalogue.join(F.broadcast(part), batch_predicate(catalogue.schema))
+        found = catalogue.join(F.broadcast(part), F.expr(batch_predicate(catalogue.schema)))
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _combined(flag: float) -> Column:
-    return (
-        TEXT_BOOST * F.coalesce("text_score", F.lit(0.0))
-        + F.coalesce(flag_clause(F.col("mappable"), flag), F.lit(0.0))
-        + F.coalesce("knn_score", F.lit(0.0))
-    )
+# Missing parts count as nothing.
+TEXT_AND_NEAR = f"{TEXT_BOOST!r}D * coalesce(text_score, 0D) + coalesce(knn_score, 0D)"
+
+
+def combined_score(flag: float) -> str:
+    return f"{TEXT_AND_NEAR} + coalesce({flag_clause('mappable', flag)}, 0D)"
 
 
 def hybrid_matches(shapes: DataFrame, catalogue: DataFrame, index: TextIndex, boosts: dict[str, float],
@@ -136,14 +136,11 @@ def hybrid_matches(shapes: DataFrame, catalogue: DataFrame, index: TextIndex, bo
 
     cut = -math.inf if min_score is None else min_score
     parts = text.join(knn_parts(queries, catalogue, k, encoder, dim), ["q", "id"], "full_outer")
-    reachable = (
-        TEXT_BOOST * F.coalesce("text_score", F.lit(0.0)) + F.coalesce("knn_score", F.lit(0.0)) + max(flag, 0.0)
-    )
     if cut > -math.inf:
-        # Slack covers the different order of the three additions.
-        parts = parts.filter(reachable >= cut - 1e-9)
+        # The slack covers the rounding of sums taken in another order.
+        parts = parts.filter(f"{TEXT_AND_NEAR} + {max(flag, 0.0)!r}D >= {cut - 1e-9!r}D")
     scored = parts.join(narrow, "id").join(shapes, "q").filter(batch_predicate(catalogue.schema))
-    scored = scored.withColumn("score", _combined(flag))
+    scored = scored.withColumn("score", F.expr(combined_score(flag)))
     if flag >= cut and flag > 0:
         only = theta_matches(narrow.filter(F.col("mappable") == "true"), shapes)
         if only is not None:
@@ -160,22 +157,19 @@ def _prefiltered(shapes, catalogue, narrow, text, k, min_score, flag, encoder, d
     allowed = theta_matches(catalogue, spec)
     near = None
     if allowed is not None:
-        from lodestar.functions.vectors import dot, norm
-        from lodestar.operators.knn import COS_DIGITS, score_of
-
         pairs = allowed.select("match_id", "id", F.col("vector").alias("v")).join(
             encoded.select("match_id", F.col("vector").alias("u")), "match_id"
         )
-        size = norm(F.col("v")) * norm(F.col("u"))
-        cos = F.round(F.try_divide(dot(F.col("v"), F.col("u")), size), COS_DIGITS)
-        near = top_k(
-            pairs.filter((F.size("v") > 0) & (size > 0)).select("match_id", "id", cos.alias("cos")),
-            ["match_id"], [F.col("cos").desc(), F.col("id").asc()], k,
-        ).select("match_id", "id", score_of(F.col("cos")).alias("knn_score"))
+        sized = pairs.filter("size(v) > 0").withColumn("len", F.expr(f"{norm('v')} * {norm('u')}")).filter("len > 0")
+        cos = f"round({dot('v', 'u')} / len, {COS_DIGITS}) AS cos"
+        order = [F.col("cos").desc(), F.col("id").asc()]
+        near = top_k(sized.selectExpr("match_id", "id", cos), ["match_id"], order, k).selectExpr(
+            "match_id", "id", f"{score_of('cos')} AS knn_score"
+        )
     text = text.join(shapes.select("match_id", "q"), "q").drop("q")
     parts = text.join(near, ["match_id", "id"], "full_outer") if near is not None else text.withColumn("knn_score", F.lit(None).cast("double"))
     scored = parts.join(narrow, "id").join(shapes, "match_id").filter(batch_predicate(catalogue.schema))
-    scored = scored.withColumn("score", _combined(flag))
+    scored = scored.withColumn("score", F.expr(combined_score(flag)))
     return scored if min_score is None else scored.filter(F.col("score") >= min_score)
 
 
@@ -185,12 +179,12 @@ def browse_matches(shapes: DataFrame, catalogue: DataFrame) -> DataFrame | None:
     return None if found is None else found.withColumn("score", F.lit(None).cast("double"))
 
 
-def _answer(matches: DataFrame, asked: DataFrame, org_facets: bool = True) -> SearchResult:
+def _answer(matches: DataFrame, asked: DataFrame) -> SearchResult:
     """Totals, facets and pages of a match table, joined to the requests that asked for them."""
     totals = matches.groupBy("match_id").agg(F.count(F.lit(1)).alias("total_hits"))
     facets = facet_columns(matches.schema, "en")
     french = facet_columns(matches.schema, "fr")["unique_org"]
-    facets["unique_org"] = F.when(F.col("org_lang") == "en", facets["unique_org"]).otherwise(french)
+    facets["unique_org"] = f"IF(org_lang = 'en', {facets['unique_org']}, {french})"
     counted = facet_counts(matches, facets, ["match_id"])
 
     views = asked.select("view_id", "match_id", "lang", "sort", "order", "size", "from").distinct()
@@ -198,9 +192,8 @@ def _answer(matches: DataFrame, asked: DataFrame, org_facets: bool = True) -> Se
     columns = matches.select("match_id", "id", "score", "published", "popularity", "title_en", "title_fr")
     paged = pages(columns.join(views, "match_id"), ["view_id"], deepest)
 
-    relevancy = F.when(F.col("sort") == "_score", F.col("score"))
     keys = asked.select("req_id", "match_id", "view_id")
-    hits = keys.join(paged.select("view_id", "row_num", "id", "score", relevancy.alias("relevancy")), "view_id")
+    hits = keys.join(paged.selectExpr("view_id", "row_num", "id", "score", "CASE WHEN sort = '_score' THEN score END AS relevancy"), "view_id")
     return SearchResult(
         hits=hits.select("req_id", "row_num", "id", "score", "relevancy"),
         totals=keys.join(totals, "match_id", "left").select("req_id", F.coalesce("total_hits", F.lit(0)).cast("bigint").alias("total_hits")),
@@ -275,7 +268,7 @@ def _keyword(asked: DataFrame, catalogue: DataFrame, k: int = SERVICE_K, apply_f
 def highlighted(result: SearchResult, catalogue: DataFrame, column: str = "description_en") -> DataFrame:
     """The hits' description with the query's words marked."""
     texts = result.hits.join(result.requests.select("req_id", "q"), "req_id").join(catalogue.select("id", column), "id")
-    return texts.withColumn("highlight", highlight(F.col(column), analyse(F.col("q")))).drop(column, "q")
+    return texts.withColumn("highlight", F.expr(highlight(column, analyse("q")))).drop(column, "q")
 
 
 def search(requests: DataFrame, catalogue: DataFrame, today: dt.date | None = None, **options) -> SearchResult:

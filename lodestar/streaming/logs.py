@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from lodestar.functions.common import literal
 from lodestar.operators.enrich import add_place, client_address
 from lodestar.plans.requests import complete, normalise_requests
 from lodestar.schemas import PLACE, SLOW_LOG
@@ -34,40 +35,35 @@ def without_test_streams(log: DataFrame, excluded=EXCLUDED_STREAMS) -> DataFrame
     return log.filter(~F.col("stream").isin(list(excluded)))
 
 
-def iso_utc(millis: Column) -> Column:
+def iso_utc(millis: str) -> str:
     """Epoch milliseconds as ISO text; the fraction shows only when there is one."""
-    ts = F.timestamp_millis(millis)
-    whole = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
-    return F.when(millis % 1000 == 0, whole).otherwise(F.concat(whole, F.date_format(ts, ".SSSSSS")))
+    ts = f"timestamp_millis({millis})"
+    whole = f"date_format({ts}, {literal(chr(39).join(['yyyy-MM-dd', 'T', 'HH:mm:ss']))})"
+    return f"CASE WHEN {millis} % 1000 = 0 THEN {whole} ELSE concat({whole}, date_format({ts}, '.SSSSSS')) END"
 
 
-def embedded_json(message: Column) -> Column:
+def embedded_json(message: str) -> str:
     """The JSON text inside ``source[…]``, or null."""
-    return F.nullif(F.regexp_extract(message, SOURCE_RE, 1), F.lit(""))
+    return f"nullif(regexp_extract({message}, {literal(SOURCE_RE)}, 1), '')"
 
 
-def clauses(source: Column, path: str = "must") -> Column:
-    return F.get_json_object(source, f"$.query.bool.{path}")
+def clauses(source: str, path: str = "must") -> str:
+    return f"get_json_object({source}, '$.query.bool.{path}')"
 
 
-def search_string(must: Column) -> Column:
+def search_string(must: str) -> str:
     """``_name`` of the first ``match_all`` clause that carries one."""
-    items = F.from_json(must, "array<struct<match_all:map<string,string>>>")
-    named = F.filter(
-        F.transform(items, lambda c: c["match_all"]),
-        lambda m: m.isNotNull() & F.map_contains_key(m, "_name"),
-    )
-    return F.try_element_at(F.get(named, F.lit(0)), F.lit("_name"))
+    items = f"from_json({must}, 'array<struct<match_all:map<string,string>>>').match_all"
+    named = f"filter({items}, m -> m IS NOT NULL AND map_contains_key(m, '_name'))"
+    return f"try_element_at(get({named}, 0), '_name')"
 
 
 def parse_slow_log(log: DataFrame, filters_path: str = "must") -> DataFrame:
     """One parsed row per event, rows without readable JSON kept with nulls."""
-    source = log.withColumn("_must", clauses(embedded_json(F.col("message")), filters_path))
-    return source.select(
-        *[c for c in log.columns if c not in ("timestamp", "message")],
-        iso_utc(F.col("timestamp")).alias("timestamp"),
-        F.col("_must").alias("filters_applied"),
-        search_string(F.col("_must")).alias("search_string"),
+    kept = [c for c in log.columns if c not in ("timestamp", "message")]
+    must = clauses(embedded_json("message"), filters_path)
+    return log.selectExpr(*kept, "timestamp AS _millis", f"{must} AS _must").selectExpr(
+        *kept, f"{iso_utc('_millis')} AS timestamp", "_must AS filters_applied", f"{search_string('_must')} AS search_string"
     )
 
 
@@ -101,33 +97,31 @@ def start_stream(spark: SparkSession, source: str, sink: str, checkpoint: str, d
 
 def request_log(requests: DataFrame, blocks: DataFrame) -> DataFrame:
     """One log row per request, rejected or not, with the place of its client."""
-    raw = complete(requests)
-    given = raw.select(
-        "req_id",
-        client_address(F.col("ip_address"), F.col("ip_address_forward")).alias("_client"),
-        F.col("sort").alias("_sort"), F.col("order").alias("order_param"), F.col("q").alias("_q"),
+    given = complete(requests).selectExpr(
+        "req_id", f"{client_address('ip_address', 'ip_address_forward')} AS _client",
+        "`sort` AS _sort", "`order` AS order_param", "q AS _q",
     )
     rows = normalise_requests(requests).drop("order").join(given, "req_id")
     placed = add_place(rows, blocks, "_client")
     have = set(blocks.columns)
-    place = F.struct(*[
-        (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in PLACE.fields
-    ])
-    return placed.select(
+    place = ", ".join(
+        f"'{f.name}', CAST({f.name if f.name in have else 'NULL'} AS {f.dataType.simpleString()})" for f in PLACE.fields
+    )
+    return placed.selectExpr(
         "req_id",
-        F.timestamp_millis(F.col("timestamp").try_cast("bigint")).alias("timestamp"),
+        "timestamp_millis(try_cast(timestamp AS bigint)) AS timestamp",
         "lang",
-        F.col("_q").alias("q"),
+        "_q AS q",
         "user_agent", "http_method",
-        F.when(F.col("_q") == "", "popularity").otherwise(F.col("_sort")).alias("sort_param"),
+        "CASE WHEN _q = '' THEN 'popularity' ELSE _sort END AS sort_param",
         "order_param",
-        F.col("org").alias("organization_filter"),
-        F.col("source_system").alias("metadata_source_filter"),
-        F.col("theme").alias("theme_filter"),
-        F.col("topic_category").alias("topicCategory_filter"),
-        F.col("type").alias("type_filter"),
-        F.col("protocol").alias("protocol_filter"),
-        F.col("mappable").alias("mappable_filter"),
-        "relation", "size", "from",
-        place.alias("ip2geo"),
+        "org AS organization_filter",
+        "source_system AS metadata_source_filter",
+        "theme AS theme_filter",
+        "topic_category AS topicCategory_filter",
+        "type AS type_filter",
+        "protocol AS protocol_filter",
+        "mappable AS mappable_filter",
+        "relation", "size", "`from`",
+        f"named_struct({place}) AS ip2geo",
     )
