@@ -32,4 +32,4 @@ def run_lengths(values: str, key: str = "term", count: str = "tf") -> str:
         f"zip_with(st, concat(slice(st, 2, size(st)), array(size(srt))), "
         f"(a, b) -> named_struct('{key}', get(srt, a), '{count}', b - a))"
     )
-    return f"CASE WHEN size({values}) > 0 THEN {let('srt', f'sort_array({values})', let('st', starts, counted))} END"
+    return let("srt", f"sort_array({values})", f"CASE WHEN size(srt) > 0 THEN {let('st', starts, counted)} END")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.functions.common import let, literal
+
 
 def first_relevant(results: DataFrame, judged: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """``(req_id, rank)``: rank of the first judged hit among the first ``k``, null when there is none."""
@@ -28,19 +30,20 @@ def judged_pairs(documents: DataFrame, passages: DataFrame, n_words: int = 5) ->
     run of ``n_words`` words after the first one must occur in the document. That run is joined,
     and the full passage is then checked. Passages too short for such a run use one word instead.
     """
-    def words(text: str):
-        return F.split(F.col(text), r"\s+")
+    blank = literal(r"\s+")
 
     def runs(df: DataFrame, length: int) -> DataFrame:
-        w = words("text")
-        starts = F.when(F.size(w) >= length, F.sequence(F.lit(1), F.size(w) - length + 1))
-        joined = F.transform(starts, lambda i: F.array_join(F.slice(w, i, F.lit(length)), " "))
-        return df.select("id", F.explode(joined).alias("run"))
+        """Every run of ``length`` words of a document, split once per document."""
+        joined = (
+            f"CASE WHEN size(ws) >= {length} THEN transform(sequence(1, size(ws) - {length} + 1), "
+            f"i -> array_join(slice(ws, i, {length}), ' ')) END"
+        )
+        return df.selectExpr("id", f"explode({let('ws', f'split(text, {blank})', joined)}) AS run")
 
-    p = passages.withColumn("_w", words("passage"))
+    p = passages.selectExpr("*", f"split(passage, {blank}) AS ws")
     candidates = None
-    for length, chosen in ((n_words, F.size("_w") >= n_words + 2), (1, F.size("_w").between(3, n_words + 1))):
-        anchors = p.filter(chosen).select("req_id", F.array_join(F.slice("_w", 2, length), " ").alias("run"))
+    for length, chosen in ((n_words, f"size(ws) >= {n_words + 2}"), (1, f"size(ws) BETWEEN 3 AND {n_words + 1}")):
+        anchors = p.filter(chosen).selectExpr("req_id", f"array_join(slice(ws, 2, {length}), ' ') AS run")
         pairs = runs(documents, length).join(anchors, "run").select("req_id", "id")
         candidates = pairs if candidates is None else candidates.unionByName(pairs)
     # Long texts never travel with the runs: they are fetched for candidate pairs only.
