@@ -18,7 +18,11 @@ def literals(texts) -> str:
 
 
 def let(name: str, value: str, body: str) -> str:
-    """Evaluate ``value`` once and use it as ``name`` inside ``body``."""
+    """Evaluate ``value`` once and use it as ``name`` inside ``body``.
+
+    A lambda variable hides a column of the same name, so a ``body`` that contains SQL of the caller
+    uses names ending in an underscore.
+    """
     return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 

@@ -35,10 +35,10 @@ def _side(a: str, px: str, py: str) -> str:
 def point_in(ring_edges: str, px: str, py: str) -> str:
     """Even-odd rule over all rings (holes included)."""
     crossing = (
-        f"((g.ay > {py}) <> (g.by > {py})) AND "
-        f"{px} < try_divide((g.bx - g.ax) * ({py} - g.ay), g.by - g.ay) + g.ax"
+        f"((seg_.ay > {py}) <> (seg_.by > {py})) AND "
+        f"{px} < try_divide((seg_.bx - seg_.ax) * ({py} - seg_.ay), seg_.by - seg_.ay) + seg_.ax"
     )
-    return f"size(filter({ring_edges}, g -> {crossing})) % 2 = 1"
+    return f"size(filter({ring_edges}, seg_ -> {crossing})) % 2 = 1"
 
 
 def _edge_meets_box(g: str, b: str, open_box: bool) -> str:
@@ -50,7 +50,7 @@ def _edge_meets_box(g: str, b: str, open_box: bool) -> str:
         f"least({g}.ax, {g}.bx) {lt} {b}.e AND {b}.w {lt} greatest({g}.ax, {g}.bx) AND "
         f"least({g}.ay, {g}.by) {lt} {b}.n AND {b}.s {lt} greatest({g}.ay, {g}.by)"
     )
-    return f"({near} AND {let('sd', sides, f'array_min(sd) {lt} 0 AND 0 {lt} array_max(sd)')})"
+    return f"({near} AND {let('sides_', sides, f'array_min(sides_) {lt} 0 AND 0 {lt} array_max(sides_)')})"
 
 
 def _covered(b: str) -> str:
@@ -58,14 +58,14 @@ def _covered(b: str) -> str:
 
 
 def _intersects(rings: str, b: str) -> str:
-    exact = let("es", edges(rings), f"exists(es, eg -> {_edge_meets_box('eg', b, False)}) OR {point_in('es', f'{b}.w', f'{b}.s')}")
+    exact = let("edges_", edges(rings), f"exists(edges_, edge_ -> {_edge_meets_box('edge_', b, False)}) OR {point_in('edges_', f'{b}.w', f'{b}.s')}")
     apart = f"xmin > {b}.e OR xmax < {b}.w OR ymin > {b}.n OR ymax < {b}.s"
     return f"CASE WHEN {apart} THEN false WHEN {_covered(b)} THEN true ELSE {exact} END"
 
 
 def _contains(rings: str, b: str) -> str:
-    middle = point_in("es", f"({b}.w + {b}.e) / 2", f"({b}.s + {b}.n) / 2")
-    inside = let("es", edges(rings), f"NOT exists(es, eg -> {_edge_meets_box('eg', b, True)}) AND {middle}")
+    middle = point_in("edges_", f"({b}.w + {b}.e) / 2", f"({b}.s + {b}.n) / 2")
+    inside = let("edges_", edges(rings), f"NOT exists(edges_, edge_ -> {_edge_meets_box('edge_', b, True)}) AND {middle}")
     reaches = f"xmin <= {b}.w AND xmax >= {b}.e AND ymin <= {b}.s AND ymax >= {b}.n"
     return f"CASE WHEN {reaches} THEN {inside} ELSE false END"
 
@@ -90,10 +90,10 @@ def box_relation(rings: str, query, relation: str, fixed: bool = True) -> str:
         raise ValueError(f"unsupported relation {relation!r}, expected one of {RELATIONS}")
     query = [x if isinstance(x, str) else f"{float(x)!r}D" for x in query]
     tests = {
-        "intersects": f"exists(bxs, bx -> {_intersects(rings, 'bx')})",
-        "disjoint": f"NOT exists(bxs, bx -> {_intersects(rings, 'bx')})",
-        "within": f"exists(bxs, bx -> {_covered('bx')})",
-        "contains": f"forall(bxs, bx -> {_contains(rings, 'bx')})",
+        "intersects": f"exists(boxes_, box_ -> {_intersects(rings, 'box_')})",
+        "disjoint": f"NOT exists(boxes_, box_ -> {_intersects(rings, 'box_')})",
+        "within": f"exists(boxes_, box_ -> {_covered('box_')})",
+        "contains": f"forall(boxes_, box_ -> {_contains(rings, 'box_')})",
     }
     if fixed:
         decide = tests[relation]
@@ -102,7 +102,7 @@ def box_relation(rings: str, query, relation: str, fixed: bool = True) -> str:
             f"CASE {relation} WHEN 'within' THEN {tests['within']} WHEN 'contains' THEN {tests['contains']} "
             f"ELSE {tests['intersects']} <> ({relation} = 'disjoint') END"
         )
-    return f"coalesce(xmin IS NOT NULL AND {let('bxs', _boxes(*query), decide)}, false)"
+    return f"coalesce(xmin IS NOT NULL AND {let('boxes_', _boxes(*query), decide)}, false)"
 
 
 def parse_bbox(text: str) -> tuple[float, float, float, float]:
@@ -148,8 +148,8 @@ def polygons_intersect(rings: str, query: str) -> str:
         return f"get(get(flatten({shape}), 0), 0)", f"get(get(flatten({shape}), 0), 1)"
 
     meets = (
-        f"exists(es, e1 -> exists(qs, e2 -> {_edges_meet('e1', 'e2')})) "
-        f"OR {point_in('es', *start(query))} OR {point_in('qs', *start(rings))}"
+        f"exists(edges_, edge_ -> exists(query_edges_, query_edge_ -> {_edges_meet('edge_', 'query_edge_')})) "
+        f"OR {point_in('edges_', *start(query))} OR {point_in('query_edges_', *start(rings))}"
     )
-    exact = let("es", edges(rings), let("qs", edges(query), meets))
+    exact = let("edges_", edges(rings), let("query_edges_", edges(query), meets))
     return f"coalesce(CASE WHEN {near} THEN {exact} ELSE false END, false)"

@@ -80,5 +80,5 @@ def highlight_pattern(tokens: str) -> str:
 
 def highlight(text: str, tokens: str) -> str:
     """Put ``<em>`` around every token of ``text`` that the query also has."""
-    marked = let("pat", highlight_pattern(tokens), f"regexp_replace({text}, pat, '<em>$1</em>')")
+    marked = let("pattern_", highlight_pattern(tokens), f"regexp_replace({text}, pattern_, '<em>$1</em>')")
     return f"coalesce({marked}, {text})"

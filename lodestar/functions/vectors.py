@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -69,11 +73,6 @@ def embed(df: DataFrame, text: str, encoder=None, out: str = "vector", dim: int
     if encoder is None:
         return df.withColumn(out, F.expr(f"CAST({hash_embed(text, dim)} AS array<float>)"))
 
-    from collections.abc import Iterator
-
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         run = encoder() if getattr(encoder, "is_factory", False) else encoder

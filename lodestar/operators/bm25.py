@@ -60,13 +60,59 @@ class TextIndex:
         """Tokenise once: write ``doc_terms`` to the shared folder and continue from there."""
         return TextIndex(materialise(self.doc_terms), self.fields)
 
-    def save(self, path: str) -> None:
-        self.doc_terms.write.mode("overwrite").partitionBy("field").parquet(path)
+    def postings_of(self, terms: DataFrame) -> DataFrame:
+        """A superset of the postings of ``terms(term)``; here all of them."""
+        return self.postings
 
-    @staticmethod
-    def load(spark: SparkSession, path: str, fields: list[str]) -> "TextIndex":
-        table = spark.read.parquet(path)
-        return TextIndex(table.filter(F.col("field").isin(fields)), fields)
+    def frequencies_of(self, terms: DataFrame) -> DataFrame:
+        """``(field, term, df)`` of the given terms."""
+        wanted = terms.select("term").distinct()
+        kept = self.postings.select("field", "term").join(wanted, "term", "left_semi")
+        return kept.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
+
+    def narrowed(self, fields: list[str]) -> "TextIndex":
+        return TextIndex(self.doc_terms.filter(F.col("field").isin(fields)), fields)
+
+    def save(self, path: str, buckets: int = 1024) -> None:
+        """Write postings and statistics by field and word bucket, see :class:`SavedIndex`.
+
+        The rebalance hint splits the partition of a frequent word and joins small ones.
+        """
+        by_bucket = f"pmod(xxhash64(term), {buckets}) AS bucket"
+        for name, table in (("postings", self.postings), ("term_stats", self.term_stats)):
+            rows = table.selectExpr("*", by_bucket).hint("rebalance", "field", "bucket")
+            writer = rows.sortWithinPartitions("field", "bucket", "term").write.mode("overwrite")
+            writer.partitionBy("field", "bucket").parquet(f"{path}/{name}")
+        self.field_stats.selectExpr("*", f"{buckets} AS buckets").write.mode("overwrite").parquet(f"{path}/field_stats")
+
+
+class SavedIndex:
+    """A text index on disk. A query reads only the buckets its words fall in."""
+
+    def __init__(self, spark: SparkSession, path: str, fields: list[str]):
+        self.spark, self.path, self.fields = spark, path, fields
+
+    def _read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{name}").filter(F.col("field").isin(self.fields))
+
+    @property
+    def field_stats(self) -> DataFrame:
+        return self._read("field_stats").drop("buckets")
+
+    def _in_buckets_of(self, name: str, terms: DataFrame) -> DataFrame:
+        total = self._read("field_stats").first()["buckets"]
+        # At most ``buckets`` numbers come to the driver; as literals they prune partitions.
+        needed = terms.selectExpr(f"pmod(xxhash64(term), {total}) AS bucket").distinct().collect()
+        return self._read(name).filter(F.col("bucket").isin([r["bucket"] for r in needed])).drop("bucket")
+
+    def postings_of(self, terms: DataFrame) -> DataFrame:
+        return self._in_buckets_of("postings", terms)
+
+    def frequencies_of(self, terms: DataFrame) -> DataFrame:
+        return self._in_buckets_of("term_stats", terms).join(terms.select("term").distinct(), "term", "left_semi")
+
+    def narrowed(self, fields: list[str]) -> "SavedIndex":
+        return SavedIndex(self.spark, self.path, fields)
 
 
 def build_index(catalogue: DataFrame, fields: list[str], key: str = "id") -> TextIndex:
@@ -92,16 +138,10 @@ def term_weights(terms: DataFrame, index: TextIndex, boosts: dict[str, float], k
 
     Document frequencies are counted only for words that some query has.
     """
-    terms = materialise(terms)
-    wanted = terms.select("term").distinct()
-    df = (
-        index.postings.select("field", "term").join(wanted, "term", "left_semi")
-        .groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
-    )
     boost = "CASE field " + " ".join(f"WHEN '{f}' THEN {float(x)!r}D" for f, x in boosts.items()) + " END"
     # field_stats has one row per field of a fixed field list, so broadcasting it is bounded.
     return (
-        terms.join(df, "term")
+        terms.join(index.frequencies_of(terms), "term")
         .join(F.broadcast(index.field_stats), "field")
         .selectExpr(
             "q", "field", "term",
@@ -113,12 +153,12 @@ def term_weights(terms: DataFrame, index: TextIndex, boosts: dict[str, float], k
 
 
 def _hits(queries: DataFrame, index: TextIndex, boosts: dict[str, float], text: str) -> DataFrame:
-    fields = [f for f in index.fields if f in boosts]
-    narrowed = TextIndex(index.doc_terms.filter(F.col("field").isin(fields)), fields)
+    narrowed = index.narrowed([f for f in index.fields if f in boosts])
+    terms = materialise(query_terms(queries, text))
     # Written, the weights have a measured size: the planner broadcasts them when it is small, and
     # otherwise joins on (field, term), where the postings of frequent words are split at run time.
-    weights = materialise(term_weights(query_terms(queries, text), narrowed, boosts))
-    return narrowed.postings.join(weights, ["field", "term"]).selectExpr(
+    weights = materialise(term_weights(terms, narrowed, boosts))
+    return narrowed.postings_of(terms).join(weights, ["field", "term"]).selectExpr(
         "q", "id", "field", "weight * tf / (tf + c0 + c1 * dl) AS part"
     )
 

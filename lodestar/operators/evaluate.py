@@ -33,17 +33,17 @@ def judged_pairs(documents: DataFrame, passages: DataFrame, n_words: int = 5) ->
     blank = literal(r"\s+")
 
     def runs(df: DataFrame, length: int) -> DataFrame:
-        """Every run of ``length`` words of a document, split once per document."""
+        """Hashes of every run of ``length`` words; the passage itself is checked afterwards."""
         joined = (
             f"CASE WHEN size(ws) >= {length} THEN transform(sequence(1, size(ws) - {length} + 1), "
-            f"i -> array_join(slice(ws, i, {length}), ' ')) END"
+            f"i -> xxhash64(array_join(slice(ws, i, {length}), ' '))) END"
         )
         return df.selectExpr("id", f"explode({let('ws', f'split(text, {blank})', joined)}) AS run")
 
     p = passages.selectExpr("*", f"split(passage, {blank}) AS ws")
     candidates = None
     for length, chosen in ((n_words, f"size(ws) >= {n_words + 2}"), (1, f"size(ws) BETWEEN 3 AND {n_words + 1}")):
-        anchors = p.filter(chosen).selectExpr("req_id", f"array_join(slice(ws, 2, {length}), ' ') AS run")
+        anchors = p.filter(chosen).selectExpr("req_id", f"xxhash64(array_join(slice(ws, 2, {length}), ' ')) AS run")
         pairs = runs(documents, length).join(anchors, "run").select("req_id", "id")
         candidates = pairs if candidates is None else candidates.unionByName(pairs)
     # Long texts never travel with the runs: they are fetched for candidate pairs only.

@@ -132,28 +132,28 @@ def parse_filters(today: dt.date | None = None) -> dict[str, str]:
     out["f_relation"] = f"CASE WHEN nullif(bbox, '') IS NOT NULL THEN {relation} END"
     known = ", ".join(f"'{r}'" for r in RELATIONS)
     bad_box = (
-        "CASE WHEN size(bx) <> 4 THEN 'bbox needs west, south, east, north' "
-        "WHEN exists(bx, v -> v IS NULL) THEN 'bbox must be comma-separated numbers' "
-        "WHEN exists(array(bx[0], bx[2]), v -> abs(v) > 180) THEN 'bbox longitudes must lie in [-180, 180]' "
-        "WHEN exists(array(bx[1], bx[3]), v -> abs(v) > 90) THEN 'bbox latitudes must lie in [-90, 90]' "
-        "WHEN bx[1] > bx[3] THEN 'bbox south lies above north' "
+        "CASE WHEN size(box_) <> 4 THEN 'bbox needs west, south, east, north' "
+        "WHEN exists(box_, v -> v IS NULL) THEN 'bbox must be comma-separated numbers' "
+        "WHEN exists(array(box_[0], box_[2]), v -> abs(v) > 180) THEN 'bbox longitudes must lie in [-180, 180]' "
+        "WHEN exists(array(box_[1], box_[3]), v -> abs(v) > 90) THEN 'bbox latitudes must lie in [-90, 90]' "
+        "WHEN box_[1] > box_[3] THEN 'bbox south lies above north' "
         f"WHEN {relation} NOT IN ({known}) THEN 'unsupported relation' END"
     )
     bad_date = (
         f"CASE WHEN (NOT {is_no_date(begin)} AND {first} IS NULL) OR (NOT {is_no_date(end)} AND {last} IS NULL) "
         "THEN 'unreadable date' END"
     )
-    out["reject"] = f"coalesce(CASE WHEN nullif(bbox, '') IS NOT NULL THEN {let('bx', box, bad_box)} END, {bad_date})"
+    out["reject"] = f"coalesce(CASE WHEN nullif(bbox, '') IS NOT NULL THEN {let('box_', box, bad_box)} END, {bad_date})"
     return out
 
 
 def _wildcard_columns(schema: StructType, paths: list[str], values: str) -> str:
-    escaped = f"regexp_replace(v, {literal('([' + chr(92) * 2 + '%_])')}, {literal(chr(92) * 2 + '$1')})"
+    escaped = f"regexp_replace(value_, {literal('([' + chr(92) * 2 + '%_])')}, {literal(chr(92) * 2 + '$1')})"
     pattern = f"concat('%', translate({escaped}, '*?', '%_'), '%')"
-    matches = f"CASE WHEN v RLIKE '[*?]' THEN lower(el) LIKE {pattern} ELSE contains(lower(el), v) END"
+    matches = f"CASE WHEN value_ RLIKE '[*?]' THEN lower(element_) LIKE {pattern} ELSE contains(lower(element_), value_) END"
     texts = [field_values(schema, p) for p in paths]
     every = f"concat({', '.join(texts)})" if len(texts) > 1 else texts[0]
-    return f"exists({values}, v -> coalesce(exists({every}, el -> {matches}), false))"
+    return f"exists({values}, value_ -> coalesce(exists({every}, element_ -> {matches}), false))"
 
 
 def batch_predicate(catalogue_schema: StructType) -> str:

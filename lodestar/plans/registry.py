@@ -513,8 +513,13 @@ for _name in FACET_FIELDS:
     REGISTRY["facet_" + _name.removeprefix("unique_")] = _facet(_name)
 
 
+def _stored(spark, sf):
+    """The catalogue as a written table: a search reads it several times, a few columns each."""
+    return tables.materialise(X.catalogue(spark, sf, True))
+
+
 def _hybrid(spark, sf, **options):
-    return search.semantic_search(X.requests(spark, sf), X.catalogue(spark, sf, True), X.TODAY, **options)
+    return search.semantic_search(X.requests(spark, sf), _stored(spark, sf), X.TODAY, **options)
 
 
 def _hits(result):
@@ -574,7 +579,7 @@ def keyword_search_filtered(spark, sf):
 
 @query
 def method_dispatch(spark, sf):
-    return _hits(search.search(X.requests(spark, sf), X.catalogue(spark, sf, True), X.TODAY))
+    return _hits(search.search(X.requests(spark, sf), _stored(spark, sf), X.TODAY))
 
 
 @query
@@ -599,8 +604,9 @@ def requests_rejected(spark, sf):
 @query
 def geojson_response(spark, sf):
     """Hits flattened again out of the nested responses."""
-    c = X.catalogue(spark, sf, True)
-    r = responses.geojson_responses(_hybrid(spark, sf), c, ["id", "title_en", "mappable"])
+    c = _stored(spark, sf)
+    result = search.semantic_search(X.requests(spark, sf), c, X.TODAY)
+    r = responses.geojson_responses(result, c, ["id", "title_en", "mappable"])
     item = F.explode("response.items").alias("item")
     flat = r.select("req_id", "method", "response.total_hits", "response.returned_hits", F.size("response.aggs").alias("n_facets"), item)
 

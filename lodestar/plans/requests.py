@@ -28,11 +28,12 @@ def _digits(column: str, default: int) -> str:
 SORT_GIVEN = "CASE WHEN q = '' THEN 'popularity' WHEN `sort` = '' THEN 'relevancy' ELSE lower(`sort`) END"
 
 
-def normalise_requests(requests: DataFrame, today: dt.date | None = None) -> DataFrame:
+def normalise_requests(requests: DataFrame, today: dt.date | None = None, also: dict[str, str] | None = None) -> DataFrame:
     """Defaults applied, filters parsed; ``reject`` tells why a request cannot run.
 
     ``q`` is the text to search for (taken from the JSON body for ``postText``); an empty ``q``
-    parameter forces popularity order; relevancy is always descending.
+    parameter forces popularity order; relevancy is always descending. ``also`` are further
+    columns, computed from the parameters as they were sent.
     """
     r = complete(requests)
     order = (
@@ -54,6 +55,7 @@ def normalise_requests(requests: DataFrame, today: dt.date | None = None) -> Dat
         "size": _digits("size", 10),
         "from": _digits("`from`", 0),
     }
+    derived.update(also or {})
     return r.selectExpr(*[f"`{c}`" for c in r.columns if c not in derived], *[f"{e} AS `{n}`" for n, e in derived.items()])
 
 

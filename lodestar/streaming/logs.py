@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lodestar.functions.common import literal
 from lodestar.operators.enrich import add_place, client_address
-from lodestar.plans.requests import complete, normalise_requests
+from lodestar.plans.requests import normalise_requests
 from lodestar.schemas import PLACE, SLOW_LOG
 
 # Test streams the engine makes by itself, and the pattern around the JSON body.
@@ -97,12 +97,11 @@ def start_stream(spark: SparkSession, source: str, sink: str, checkpoint: str, d
 
 def request_log(requests: DataFrame, blocks: DataFrame) -> DataFrame:
     """One log row per request, rejected or not, with the place of its client."""
-    given = complete(requests).selectExpr(
-        "req_id", f"{client_address('ip_address', 'ip_address_forward')} AS _client",
-        "`sort` AS _sort", "`order` AS order_param", "q AS _q",
-    )
-    rows = normalise_requests(requests).drop("order").join(given, "req_id")
-    placed = add_place(rows, blocks, "_client")
+    sent = {
+        "_client": client_address("ip_address", "ip_address_forward"),
+        "_sort": "`sort`", "order_param": "`order`", "_q": "q",
+    }
+    placed = add_place(normalise_requests(requests, also=sent), blocks, "_client")
     have = set(blocks.columns)
     place = ", ".join(
         f"'{f.name}', CAST({f.name if f.name in have else 'NULL'} AS {f.dataType.simpleString()})" for f in PLACE.fields
