@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from lodestar.functions.common import run_lengths
+from lodestar.functions.common import let, run_lengths
 from lodestar.functions.text import analyse
 from lodestar.schemas import B, K1
 from lodestar.sources.tables import materialise
@@ -118,19 +118,24 @@ class SavedIndex:
 def build_index(catalogue: DataFrame, fields: list[str], key: str = "id") -> TextIndex:
     """Tokenise ``fields`` of every record and count terms inside the row."""
     texts = ", ".join(f"named_struct('field', '{f}', 'text', {field_text(catalogue.schema, f)})" for f in fields)
-    tokens = (
+    counted = f"named_struct('dl', size(toks_), 'terms', {run_lengths('toks_')})"
+    one_or_none = let("toks_", analyse("text"), f"IF(size(toks_) > 0, array({counted}), array())")
+    # The outer generator with the filter behind it: a filter on the expression itself would be
+    # pushed below the projection and tokenise every text a second time.
+    doc_terms = (
         catalogue.selectExpr(f"{key} AS id", f"inline(array({texts}))")
         .filter("text <> ''")
-        .selectExpr("id", "field", f"{analyse('text')} AS tokens")
-        .filter("size(tokens) > 0")
+        .selectExpr("id", "field", f"inline_outer({one_or_none})")
+        .filter("dl IS NOT NULL")
     )
-    return TextIndex(tokens.selectExpr("id", "field", "size(tokens) AS dl", f"{run_lengths('tokens')} AS terms"), fields)
+    return TextIndex(doc_terms, fields)
 
 
 def query_terms(queries: DataFrame, text: str = "q") -> DataFrame:
     """``(q, term, qtf)`` for every distinct query text."""
     distinct = queries.selectExpr(f"{text} AS q").filter("q <> ''").distinct()
-    return distinct.selectExpr("q", f"inline({run_lengths(analyse('q'), 'term', 'qtf')})")
+    counted = distinct.selectExpr("q", f"inline_outer({run_lengths(analyse('q'), 'term', 'qtf')})")
+    return counted.filter("term IS NOT NULL")
 
 
 def term_weights(terms: DataFrame, index: TextIndex, boosts: dict[str, float], k1: float = K1, b: float = B) -> DataFrame:

@@ -38,7 +38,8 @@ def judged_pairs(documents: DataFrame, passages: DataFrame, n_words: int = 5) ->
             f"CASE WHEN size(ws) >= {length} THEN transform(sequence(1, size(ws) - {length} + 1), "
             f"i -> xxhash64(array_join(slice(ws, i, {length}), ' '))) END"
         )
-        return df.selectExpr("id", f"explode({let('ws', f'split(text, {blank})', joined)}) AS run")
+        hashes = df.selectExpr("id", f"explode_outer({let('ws', f'split(text, {blank})', joined)}) AS run")
+        return hashes.filter("run IS NOT NULL")
 
     p = passages.selectExpr("*", f"split(passage, {blank}) AS ws")
     candidates = None

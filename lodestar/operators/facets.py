@@ -30,7 +30,8 @@ def facet_counts(matches: DataFrame, facets: dict[str, str], keys: list[str], si
         f"transform({values}, v -> named_struct('facet', '{name}', 'value', v))" for name, values in facets.items()
     )
     counted = (
-        matches.selectExpr(*keys, f"inline(concat({pairs}))")
+        matches.selectExpr(*keys, f"inline_outer(concat({pairs}))")
+        .filter("value IS NOT NULL")
         .groupBy(*keys, "facet", "value")
         .agg(F.count(F.lit(1)).alias("doc_count"))
     )

@@ -222,7 +222,7 @@ def knn_join(queries: DataFrame, catalogue: DataFrame, k: int, transform: str =
     n = c.count()
     if n == 0:
         return _empty(q, c, k, transform)
-    wanted = cells or int(np.ceil(np.sqrt(n)))
+    wanted = cells or int(np.ceil(n / SLICE_ROWS))
     centres = pivots_of(c, max(min(wanted, MAX_CELLS), min(k, n)))
     assigned = materialise(assign_cells(c, centres))
     radius = np.full(len(centres), -np.inf)

@@ -306,7 +306,8 @@ def clean_text_stemmed(spark, sf):
 
 @query
 def stem_vocabulary(spark, sf):
-    words = X.documents(spark, sf).select(F.explode(F.expr(T.clean_tokens("text", T.long_stopwords()))).alias("word")).distinct()
+    tokens = F.explode_outer(F.expr(T.clean_tokens("text", T.long_stopwords())))
+    words = X.documents(spark, sf).select(tokens.alias("word")).filter("word IS NOT NULL").distinct()
     return words.select("word", T.stem("word").alias("stem"))
 
 
@@ -378,7 +379,7 @@ def vector_quality(spark, sf):
 @query
 def embed_hashing(spark, sf):
     v = V.embed(X.documents(spark, sf), "text")
-    return v.select("doc_id", F.posexplode("vector").alias("dim", "value")).filter("value <> 0").select(
+    return v.select("doc_id", F.posexplode_outer("vector").alias("dim", "value")).filter("value <> 0").select(
         "doc_id", F.col("dim").cast("bigint").alias("dim"), F.round(F.col("value").cast("double"), 6).alias("value")
     )
 
