@@ -73,7 +73,7 @@ def begin_filter(start: str | None) -> str:
     if not start or start.strip().lower() in NO_DATE:
         return "true"
     _check_date(start)
-    return f"coalesce(begin_date >= {partial_date(literal(start), 'first')}, false)"
+    return f"begin_date >= {partial_date(literal(start), 'first')}"
 
 
 def end_filter(end: str | None, today: dt.date | None = None) -> str:
@@ -83,13 +83,22 @@ def end_filter(end: str | None, today: dt.date | None = None) -> str:
         return "end_date IS NULL"
     if end.strip().lower() != "present":
         _check_date(end)
-    return f"coalesce(end_date <= {partial_date(literal(end), 'last', today)}, false)"
+    return f"end_date <= {partial_date(literal(end), 'last', today)}"
 
 
 def bbox_filter(bbox: str | None, relation: str | None = None) -> str:
+    """The exact test, behind plain comparisons of the bounding box that reach the Parquet scan."""
     if not bbox:
         return "true"
-    return box_relation(RINGS, parse_bbox(bbox), relation or "intersects")
+    west, south, east, north = query = parse_bbox(bbox)
+    relation = relation or "intersects"
+    exact = box_relation(RINGS, query, relation)
+    near = {
+        "intersects": f"xmin <= {east!r}D AND xmax >= {west!r}D AND ymin <= {north!r}D AND ymax >= {south!r}D",
+        "within": f"xmin >= {west!r}D AND xmax <= {east!r}D AND ymin >= {south!r}D AND ymax <= {north!r}D",
+        "contains": f"xmin <= {west!r}D AND xmax >= {east!r}D AND ymin <= {south!r}D AND ymax >= {north!r}D",
+    }.get(relation)
+    return exact if near is None or west > east else f"{near} AND {exact}"
 
 
 def predicate(schema: StructType, request: dict, today: dt.date | None = None) -> str:

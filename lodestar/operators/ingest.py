@@ -102,7 +102,8 @@ def append_tags(themes: str, tags: str, allowed=None) -> str:
 
 def join_tags(df: DataFrame, tags: DataFrame, themes: str = "theme", key: str = "id", allowed=None) -> DataFrame:
     """Left join of aggregated tags; the planner broadcasts them when they are small."""
-    per_id = tags_per_id(tags).withColumnRenamed("uuid", key)
+    usable = tags.filter(F.col("tag").isin(list(allowed))) if allowed else tags
+    per_id = tags_per_id(usable).withColumnRenamed("uuid", key)
     return (
         df.join(per_id, key, "left")
         .withColumn(themes, F.expr(append_tags(themes, "_tags", allowed)))

@@ -114,9 +114,17 @@ def _knn_scan(query_rows: list, catalogue: DataFrame, k: int, schema: str) -> Da
     return catalogue.mapInPandas(scan, schema)
 
 
-def pivots_of(catalogue: DataFrame, n: int) -> np.ndarray:
-    """``n`` catalogue vectors picked by hash order (repeatable, bounded), as a unit matrix."""
-    rows = catalogue.orderBy(F.xxhash64("id"), "id").limit(n).select("v").collect()
+def _pool(df: DataFrame, n_rows: int, wanted: int) -> DataFrame:
+    """A sample of about ``wanted`` rows to place cells with; a small table is taken whole.
+
+    It only decides where cells lie. Every row is assigned to a cell, so results do not depend on it.
+    """
+    return df if n_rows <= wanted else df.sample(wanted / n_rows, seed=42)
+
+
+def pivots_of(catalogue: DataFrame, n_rows: int, n: int) -> np.ndarray:
+    """At most ``n`` catalogue vectors as a unit matrix, picked by hash order from a bounded pool."""
+    rows = _pool(catalogue, n_rows, 16 * n).orderBy(F.xxhash64("id"), "id").limit(n).select("v").collect()
     return _unit([r["v"] for r in rows]) if rows else np.empty((0, 0))
 
 
@@ -223,7 +231,7 @@ def knn_join(queries: DataFrame, catalogue: DataFrame, k: int, transform: str =
     if n == 0:
         return _empty(q, c, k, transform)
     wanted = cells or int(np.ceil(n / SLICE_ROWS))
-    centres = pivots_of(c, max(min(wanted, MAX_CELLS), min(k, n)))
+    centres = pivots_of(c, n, max(min(wanted, MAX_CELLS), min(k, n)))
     assigned = materialise(assign_cells(c, centres))
     radius = np.full(len(centres), -np.inf)
     for r in assigned.groupBy("cell").agg(F.max("angle").alias("r")).collect():
@@ -247,13 +255,12 @@ def knn_join(queries: DataFrame, catalogue: DataFrame, k: int, transform: str =
 
 def kmeans_cells(catalogue: DataFrame, n_cells: int, key: str = "id", vector: str = "vector",
                  train_rows: int = 100_000, seed: int = 42) -> np.ndarray:
-    """Unit k-means centres. The centres only shape the index, so they are trained on a bounded
-    set of rows in hash order; every row is indexed."""
+    """Unit k-means centres, trained on a bounded pool of rows; every row is indexed."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     c = usable(catalogue, key, vector)
-    train = c.orderBy(F.xxhash64("id"), "id").limit(train_rows).select(array_to_vector("v").alias("features"))
+    train = _pool(c, c.count(), train_rows).select(array_to_vector("v").alias("features"))
     model = KMeans(k=n_cells, seed=seed, distanceMeasure="cosine", maxIter=10).fit(train)
     return _unit(model.clusterCenters())
 

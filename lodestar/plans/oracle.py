@@ -416,14 +416,14 @@ ORACLE["filter_end"] = _filter("end_date <= DATE '2015-02-28'")
 ORACLE["filter_range"] = _filter("begin_date >= DATE '1995-06-01' AND end_date <= DATE '2015-12-31'")
 ORACLE["filter_end_null"] = _filter("end_date IS NULL")
 ORACLE["filter_end_present"] = _filter(f"end_date <= {TODAY}")
-_CANADA = {"w": -120, "s": 49, "e": -100, "n": 60}
+_AREA = {"w": -120, "s": 49, "e": -100, "n": 60}
 ORACLE["filter_conjunction"] = _filter(
     _any("theme", "environment") + " AND mappable = 'true' AND begin_date >= DATE '2000-01-01' AND "
     + MEETS.format(w=-130, s=45, e=-80, n=75)
 )
-ORACLE["bbox_intersects"] = _filter(MEETS.format(**_CANADA))
-ORACLE["bbox_disjoint"] = _filter("NOT " + MEETS.format(**_CANADA))
-ORACLE["bbox_within"] = _filter(INSIDE.format(**_CANADA))
+ORACLE["bbox_intersects"] = _filter(MEETS.format(**_AREA))
+ORACLE["bbox_disjoint"] = _filter("NOT " + MEETS.format(**_AREA))
+ORACLE["bbox_within"] = _filter(INSIDE.format(**_AREA))
 ORACLE["bbox_contains"] = _filter("xmin <= -100 AND xmax >= -99 AND ymin <= 50 AND ymax >= 50.5")
 ORACLE["bbox_antimeridian"] = _filter(MEETS.format(w=100, s=40, e=180, n=70) + " OR " + MEETS.format(w=-180, s=40, e=-120, n=70))
 _SHAPE = MEETS.format(w=-110, s=45, e=-90, n=62)

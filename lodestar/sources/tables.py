@@ -17,13 +17,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Redistribute rows when fewer files than cores feed the plan.
+    """Redistribute the rows of a table too small to give every core a part.
 
-    A file with one row group is read by one task. With many files, the normal case on a cluster,
-    the table is left as it is and nothing is shuffled.
+    A small file is read by one or few tasks. A table that splits into at least as many parts as
+    there are cores, the normal case on a cluster, is left as it is and nothing is shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
 def read_records(spark: SparkSession, *paths: str, schema: T.StructType | None = None) -> DataFrame:

@@ -54,6 +54,15 @@ def test_spatial_partition(catalogue):
     assert set(keep(catalogue, bbox=box, relation="within")) <= set(meets)
 
 
+def test_filters_reach_the_scan(catalogue):
+    request = {"begin": "2000", "end": "2015-02", "bbox": "-120,49,-100,60"}
+    found = catalogue.filter(filters.predicate(catalogue.schema, request, X.TODAY)).select("id")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    pushed = plan.split("PushedFilters:")[1].split("]")[0]
+    assert all(c in pushed for c in ("begin_date", "end_date", "xmin", "ymax"))
+    assert "description_en" not in plan.split("ReadSchema:")[1]
+
+
 def test_batch_filters_equal_single(spark, catalogue):
     wanted = [
         {"req_id": "1", "org": "org 1, cited"}, {"req_id": "2", "theme": "environ*t"}, {"req_id": "3", "protocol": "w?s"},
