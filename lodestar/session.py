@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -18,3 +22,14 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Give the Python workers this package, once per application, wherever they were started."""
+    context = spark.sparkContext
+    if not getattr(context, "_lodestar_shipped", False):
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="lodestar-"), "lodestar"), "zip", root, "lodestar")
+        context.addPyFile(archive)
+        context._lodestar_shipped = True
+    return spark
