@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestar.llm import near_dedup
+from lodestar.llm import decontaminate, line_dedup, near_dedup
 from lodestar.sources.tables import read_table
 
 
@@ -14,8 +15,25 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=4)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.line_dedup(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "text", "n_lines", "n_removed")
+
+
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontaminate(
+        read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), carry=["doc_id"]
+    )
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op4_line_dedup": op4_line_dedup,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
 }
 
 #: DuckDB SQL by query.
@@ -48,3 +66,49 @@ WITH RECURSIVE w AS (
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept
 FROM documents d JOIN m ON m.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 """
+
+# Exact counts of sites everywhere; the first holder keeps its line.
+ORACLE_SQL["op4_line_dedup"] = r"""
+WITH l AS (
+  SELECT doc_id, source, md5(doc_id || '|' || text) AS k, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
+  FROM documents
+), t AS (
+  SELECT doc_id, source, k, line, pos, trim(line, E' \t\r\x0b\f') AS t FROM l
+), b AS (
+  SELECT t FROM t WHERE t <> '' GROUP BY t HAVING count(DISTINCT source) >= 10
+), m AS (
+  SELECT t.doc_id, t.pos, row_number() OVER (PARTITION BY t.t ORDER BY t.doc_id, t.k, t.pos) AS place FROM t JOIN b ON b.t = t.t
+), g AS (
+  SELECT doc_id, pos FROM m WHERE place > 1
+)
+SELECT t.doc_id, coalesce(string_agg(t.line, chr(10) ORDER BY t.pos) FILTER (WHERE g.pos IS NULL), '') AS text,
+  count(*) AS n_lines, count(g.pos) AS n_removed
+FROM t LEFT JOIN g ON g.doc_id = t.doc_id AND g.pos = t.pos GROUP BY t.doc_id
+"""
+
+# Every window of the documents of a length that some item's window has, joined on its words.
+ORACLE_SQL["op9_benchmark_decontamination"] = r"""
+WITH low AS (
+  SELECT 'd' AS kind, doc_id AS id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+  UNION ALL
+  SELECT 'b', item_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark
+), w AS (
+  SELECT kind, id, list_filter(regexp_split_to_array(t, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM low
+), iw AS (
+  SELECT DISTINCT id AS item_id, least(len(ws), 10) AS n, unnest(list_transform(range(1, greatest(len(ws) - 9, 1) + 1), lambda i: array_to_string(ws[i : i + 9], ' '))) AS win
+  FROM w WHERE kind = 'b' AND len(ws) > 0
+), dw AS (
+  SELECT id AS doc_id, n, unnest(range(1, len(ws) - n + 2)) AS i, unnest(list_transform(range(1, len(ws) - n + 2), lambda i: array_to_string(ws[i : i + n - 1], ' '))) AS win
+  FROM w CROSS JOIN (SELECT DISTINCT n FROM iw) WHERE kind = 'd' AND len(ws) >= n
+), hit AS (
+  SELECT dw.doc_id, dw.i, dw.n, iw.item_id FROM dw JOIN iw ON iw.win = dw.win AND iw.n = dw.n
+), words AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM hit) GROUP BY doc_id
+)
+SELECT w.id AS doc_id, len(w.ws) AS n_words, coalesce(words.n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(words.n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN words ON words.doc_id = w.id LEFT JOIN items ON items.doc_id = w.id WHERE w.kind = 'd'
+"""
