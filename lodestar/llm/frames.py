@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodestar.sources.tables import work_dir
 
-#: Bytes of text that a task works on at once.
-BLOCK_BYTES = 4 << 20
+#: Bytes of text, and rows, that a task works on at once.
+BLOCK_BYTES, BLOCK_ROWS = 4 << 20, 2048
 
 
 class Scratch:
@@ -53,12 +53,12 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batch: pa.RecordBatch, column: str, size: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Parts of ``batch`` of about ``size`` bytes in ``column`` each, one row at least."""
+    """Parts of ``batch`` of about ``size`` bytes in ``column`` and a bounded number of rows, one row at least."""
     _, offsets = text_bytes(batch.column(column))
     start = 0
     while start < batch.num_rows:
         stop = int(np.searchsorted(offsets, offsets[start] + size, "right")) - 1
-        stop = min(max(stop, start + 1), batch.num_rows)
+        stop = min(max(stop, start + 1), start + BLOCK_ROWS, batch.num_rows)
         yield batch.slice(start, stop - start)
         start = stop
 
