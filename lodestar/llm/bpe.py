@@ -267,24 +267,39 @@ def as_digests(codec: Codec, ids: list[np.ndarray]) -> tuple[list[pa.Array], lis
     ], ["n_tokens", "ids_sha256", "decoded_sha256"]
 
 
+def as_all(codec: Codec, ids: list[np.ndarray]) -> tuple[list[pa.Array], list[str]]:
+    """Ids, their count and both digests."""
+    arrays, names = as_digests(codec, ids)
+    return [as_ids(codec, ids)[0][0], *arrays], ["token_ids", *names]
+
+
+#: What ``encode`` may return, by name: what makes it of a text's ids, and its columns.
+RESULTS = {
+    "ids": (as_ids, "token_ids array<int>, n_tokens bigint"),
+    "digests": (as_digests, "n_tokens bigint, ids_sha256 string, decoded_sha256 string"),
+    "all": (as_all, "token_ids array<int>, n_tokens bigint, ids_sha256 string, decoded_sha256 string"),
+}
+
+
 def encode(
-    docs: DataFrame, ranks: bytes, pattern: str, text: str = "text", carry: list[str] | None = None, digests: bool = False,
+    docs: DataFrame, ranks: bytes, pattern: str, text: str = "text", carry: list[str] | None = None, result: str = "ids",
 ) -> DataFrame:
     """Encode whole texts: each match of ``pattern`` separately, without special tokens.
 
-    Returns the columns of ``docs`` (or those in ``carry``) with ``token_ids`` (array<int>) and
-    ``n_tokens``, or with ``digests`` with ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``, so that
-    neither ids nor bytes of large tables travel. Null texts count as empty and have no tokens; a
+    Returns the columns of ``docs`` (or those in ``carry``) with those that ``result`` names in
+    ``RESULTS``: the ids, or digests of the ids and of the bytes decoded from them, so that neither
+    has to travel, or all. Null texts count as empty and have no tokens; a
     text may be of any length. Input columns of the added names are replaced. Nothing is shuffled;
     the rank table, a fixed file, is broadcast.
     """
-    added = ("n_tokens", "ids_sha256", "decoded_sha256") if digests else ("token_ids", "n_tokens")
-    fields = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digests else "token_ids array<int>, n_tokens bigint"
+    then, fields = RESULTS[result]
+    fields = T.DataType.fromDDL(fields).fields
+    added = [f.name for f in fields]
     names = [c for c in (docs.columns if carry is None else carry) if c not in added]
     held = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.col(f"`{text}`").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast((ranks, pattern))
-    schema = T.StructType([*held.schema.fields[:-1], *T.DataType.fromDDL(fields).fields])
-    out = held.mapInArrow(_encoded(shared, as_digests if digests else as_ids), schema)
+    schema = T.StructType([*held.schema.fields[:-1], *fields])
+    out = held.mapInArrow(_encoded(shared, then), schema)
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], *added)
 
 

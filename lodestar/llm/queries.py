@@ -18,7 +18,7 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    return bpe.encode(read_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, carry=["doc_id"], digests=True)
+    return bpe.encode(read_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, carry=["doc_id"], result="digests")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
