@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import bpe, decontaminate, hmm, html_text, line_dedup, near_dedup, toxicity
+from lodestar.llm import bpe, decontaminate, hmm, html_text, line_dedup, near_dedup, neighbours, toxicity
 from lodestar.sources.tables import read_table
 
 
@@ -45,6 +45,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(
         read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), carry=["doc_id"]
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_html_extraction": op5_html_extraction,
     "op6_lm_scoring": op6_lm_scoring,
     "op7_toxicity": op7_toxicity,
+    "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
 }
 
