@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import bpe, decontaminate, hmm, html_text, line_dedup, near_dedup, neighbours, toxicity
+from lodestar.llm import bpe, chat, decontaminate, hmm, html_text, line_dedup, near_dedup, neighbours, substring_dedup, toxicity
 from lodestar.sources.tables import read_table
 
 
@@ -16,6 +16,18 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=4)
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations 2k and 2k + 1 are a pair, the first of them chosen."""
+    turns = read_table(spark, sf_dir, "conversations").select(
+        F.floor(F.col("conv_id") / 2).alias("pair_id"), F.when(F.pmod("conv_id", F.lit(2)) == 0, "chosen").otherwise("rejected").alias("side"),
+        "turn", "role", "text",
+    )
+    mask = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
+    return chat.preference_pairs(turns).select(
+        "pair_id", "n_common", "prompt", "chosen", "rejected", mask("chosen_mask").alias("chosen_mask"), mask("rejected_mask").alias("rejected_mask")
+    )
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     return bpe.encode(read_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, carry=["doc_id"], result="digests")
@@ -59,8 +71,13 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(read_table(spark, sf_dir, "documents"), carry=["doc_id"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_chat_formatting": op2_chat_formatting,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_line_dedup": op4_line_dedup,
     "op5_html_extraction": op5_html_extraction,
@@ -68,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_toxicity": op7_toxicity,
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 #: DuckDB SQL by query.
@@ -146,3 +164,35 @@ SELECT w.id AS doc_id, len(w.ws) AS n_words, coalesce(words.n_hit, 0) AS n_hit,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(words.n_hit, 0) > 0 AS contaminated
 FROM w LEFT JOIN words ON words.doc_id = w.id LEFT JOIN items ON items.doc_id = w.id WHERE w.kind = 'd'
 """
+
+# Position by position: the first turn that differs ends the prompt.
+ORACLE_SQL["op2_chat_formatting"] = r"""
+WITH t AS (
+  SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos,
+    coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), p AS (
+  SELECT pair_id, least(count(*) FILTER (WHERE side = 0), count(*) FILTER (WHERE side = 1)) AS shorter FROM t GROUP BY pair_id
+), d AS (
+  SELECT a.pair_id, min(a.pos) AS pos FROM t a JOIN t b ON a.pair_id = b.pair_id AND a.pos = b.pos AND a.side = 0 AND b.side = 1
+  WHERE a.role <> b.role OR a.text <> b.text GROUP BY a.pair_id
+), c AS (
+  SELECT p.pair_id, coalesce(d.pos - 1, p.shorter) AS n_common FROM p LEFT JOIN d USING (pair_id)
+), r AS (
+  SELECT t.*, c.n_common, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS shown FROM t JOIN c USING (pair_id)
+), o AS (
+  SELECT *, coalesce(sum(length(shown)) OVER (PARTITION BY pair_id, side ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM r WHERE pos > n_common
+), m AS (
+  SELECT pair_id,
+    string_agg((off + 13 + length(role))::BIGINT || '-' || (off + length(shown))::BIGINT, ',' ORDER BY pos) FILTER (WHERE side = 0 AND role = 'assistant') AS chosen_mask,
+    string_agg((off + 13 + length(role))::BIGINT || '-' || (off + length(shown))::BIGINT, ',' ORDER BY pos) FILTER (WHERE side = 1 AND role = 'assistant') AS rejected_mask
+  FROM o GROUP BY pair_id
+), s AS (
+  SELECT pair_id, any_value(n_common) AS n_common, string_agg(shown, '' ORDER BY pos) FILTER (WHERE side = 0 AND pos <= n_common) AS prompt,
+    string_agg(shown, '' ORDER BY pos) FILTER (WHERE side = 0 AND pos > n_common) AS chosen,
+    string_agg(shown, '' ORDER BY pos) FILTER (WHERE side = 1 AND pos > n_common) AS rejected
+  FROM r GROUP BY pair_id
+)
+SELECT s.pair_id, n_common::BIGINT AS n_common, coalesce(prompt, '') AS prompt, coalesce(chosen, '') AS chosen, coalesce(rejected, '') AS rejected,
+  coalesce(chosen_mask, '') AS chosen_mask, coalesce(rejected_mask, '') AS rejected_mask
+FROM s LEFT JOIN m ON m.pair_id = s.pair_id
+"""
