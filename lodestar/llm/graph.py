@@ -11,23 +11,21 @@ from lodestar.llm.frames import Scratch
 def components(scratch: Scratch, links: DataFrame) -> DataFrame:
     """``(node, label)`` for every end of a link ``(a, b)``; the label is the component's smallest node.
 
-    Each round a node takes the smallest label among its neighbours and then its label's label, so
-    the rounds grow with the logarithm of the longest path. Both steps are joins and minima, summed
-    up before the shuffle; each round's labels are written, so lineage stays one round long.
+    Each round a node takes the smallest of its neighbours' labels and its label's label, so labels
+    spread over doubling distances and rounds grow slowly with the longest path. Both are joins and minima, partly
+    taken before the shuffle; each round's labels are written, so lineage stays one round long.
     """
-    both = scratch.table(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct())
-    labels = scratch.table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")))
+    both = scratch.table(links.where("a <> b").select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("l")).select("l.*"))
+    labels = scratch.table(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")).select("node", F.least("node", "label").alias("label")))
     while True:
         seen = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        better = labels.join(seen, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        better = scratch.table(better)
-        jump = better.select(F.col("node").alias("via"), F.col("label").alias("next"))
-        after = better.join(jump, better["label"] == jump["via"], "left").select(
-            "node", F.least("label", F.coalesce("next", "label")).alias("label"), "old"
+        jump = labels.select(F.col("node").alias("via"), F.col("label").alias("next"))
+        after = labels.join(seen, "node").join(jump, labels["label"] == jump["via"]).select(
+            "node", F.least("label", "near", "next").alias("label"), F.col("label").alias("old")
         )
         after = scratch.table(after)
         changed = not after.where("label <> old").isEmpty()
-        scratch.drop(labels, better)
+        scratch.drop(labels)
         labels = after
         if not changed:
             scratch.drop(both)

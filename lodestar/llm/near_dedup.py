@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm.frames import Scratch, large_list, mix, seeds, slices, text_bytes
@@ -106,18 +106,88 @@ def _confirmed(percent: int):
     return run
 
 
-def _verified(scratch: Scratch, docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs that are links. Sets are built for documents of some pair only."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    sets = docs.join(ids, "doc_id", "left_semi").mapInArrow(_full_sets(size), f"doc_id {kind}, members binary")
-    sets = scratch.table(sets)
+def _verified(scratch: Scratch, sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs that are links."""
+    kind = sets.schema["doc_id"].dataType.simpleString()
     first = sets.select(F.col("doc_id").alias("a"), F.col("members").alias("set_a"))
     second = sets.select(F.col("doc_id").alias("b"), F.col("members").alias("set_b"))
     both = pairs.join(first, "a").join(second, "b").select("a", "b", "set_a", "set_b")
-    links = scratch.table(both.mapInArrow(_confirmed(percent), f"a {kind}, b {kind}"))
-    scratch.drop(sets)
-    return links
+    return scratch.table(both.mapInArrow(_confirmed(percent), f"a {kind}, b {kind}"))
+
+
+def _incidence(sets: list[np.ndarray]) -> np.ndarray:
+    """Which set holds which of the elements that at least two of them hold."""
+    flat = np.concatenate(sets)
+    values, column, counts = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = np.cumsum(counts > 1) - 1
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    keep = counts[column] > 1
+    out = np.zeros((len(sets), int((counts > 1).sum())), np.float32)
+    out[row[keep], shared[column[keep]]] = 1
+    return out
+
+
+#: Most documents of a bucket in one block, compared rows of it at a time, and elements of one product.
+BLOCK_DOCS, BLOCK_ROWS, BLOCK_COLUMNS = 2048, 512, 4096
+
+
+def _block_links(percent: int):
+    """Links that connect the components of two blocks of a bucket, no more than connect them."""
+
+    def run(table: pa.Table) -> pa.Table:
+        docs = table.column("doc_id").to_pylist()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("members")]
+        sides = table.column("side").to_numpy()
+        labels = np.unique(table.column("label").to_numpy(zero_copy_only=False), return_inverse=True)[1]
+        sizes = np.array([len(s) for s in sets], np.float64)
+        holds = _incidence(sets)
+        parent = np.arange(labels.max() + 1)
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        two = len(np.unique(sides)) > 1
+        found: list[tuple] = []
+        rows = np.flatnonzero(sides == 0) if two else np.arange(len(docs))
+        columns = np.flatnonzero(sides == 1) if two else rows
+        for a in range(0, len(rows), BLOCK_ROWS):
+            own = rows[a : a + BLOCK_ROWS]
+            same = np.zeros((len(own), len(columns)), np.float32)
+            for c in range(0, holds.shape[1], BLOCK_COLUMNS):
+                same += holds[own, c : c + BLOCK_COLUMNS] @ holds[columns, c : c + BLOCK_COLUMNS].T
+            same = same.astype(np.float64)
+            linked = 100 * same >= percent * (sizes[own][:, None] + sizes[columns][None, :] - same)
+            linked &= labels[own][:, None] != labels[columns][None, :]
+            for x, y in zip(*np.nonzero(linked)):
+                p, q = root(labels[own[x]]), root(labels[columns[y]])
+                if p != q:
+                    parent[p] = q
+                    found.append((docs[own[x]], docs[columns[y]]))
+        kind = table.schema.field("doc_id").type
+        return pa.table({"a": pa.array([x for x, _ in found], kind), "b": pa.array([y for _, y in found], kind)})
+
+    return run
+
+
+def _finished(scratch: Scratch, mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All links between components inside the buckets ``mixed(bucket, n, doc_id, label)``.
+
+    A bucket's documents are dealt into blocks, and every two blocks meet in a task. No pair of
+    documents becomes a row; a task returns links that connect components, fewer than documents.
+    """
+    kind = sets.schema["doc_id"].dataType.simpleString()
+    blocks = F.ceil(F.col("n") / BLOCK_DOCS).cast("int")
+    dealt = mixed.select("bucket", "doc_id", "label", blocks.alias("k"), F.pmod(F.xxhash64("doc_id"), blocks).cast("int").alias("own"))
+    dealt = dealt.select("bucket", "doc_id", "label", "own", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
+    dealt = dealt.select(
+        "bucket", "doc_id", "label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+        (F.col("own") > F.col("other")).cast("int").alias("side"),
+    )
+    met = dealt.join(sets, "doc_id").groupBy("bucket", "i", "j").applyInArrow(_block_links(percent), f"a {kind}, b {kind}")
+    return scratch.table(met.distinct())
 
 
 def _likely(percent: int, n: str, m: str) -> str:
@@ -127,7 +197,7 @@ def _likely(percent: int, n: str, m: str) -> str:
 
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80,
-    bands: int = BANDS, rows: int = ROWS, star_rounds: int = 2,
+    bands: int = BANDS, rows: int = ROWS, star_rounds: int = 1,
 ) -> DataFrame:
     """Groups of documents linked by ``percent`` per cent or more shared word shingles.
 
@@ -137,10 +207,10 @@ def near_duplicates(
 
     * Equal sets form a class, found by their digest; only its smallest id goes on.
     * Classes meet in the buckets of their sketches' bands. In each bucket all are compared with one
-      pivot first, the same one in most buckets, so a large group of copies costs a few comparisons
-      a document. Buckets whose documents are not all in one component after ``star_rounds`` such
-      rounds are finished exactly: every document outside the bucket's largest component is compared
-      with all those of other components. No bucket is capped and no link between components lost.
+      pivot first, the one that meets most documents over all bands, so a large group of copies
+      costs a few comparisons a document. Buckets whose documents are not all in one component
+      after ``star_rounds`` such rounds are finished exactly, in blocks of documents whose full sets
+      meet in a task. No bucket is capped and no link between components lost.
     * All comparisons use the full sets.
 
     Null, empty and blank texts have no shingles and no links. A text of fewer than ``shingle`` words
@@ -158,53 +228,50 @@ def near_duplicates(
     classes = scratch.table(usable.groupBy("digest").agg(F.min("doc_id").alias("rep")))
     reps = usable.join(classes, (usable["digest"] == classes["digest"]) & (usable["doc_id"] == classes["rep"]), "left_semi")
     placed = reps.select("doc_id", "n_shingles", F.explode("buckets").alias("bucket"))
-    crowded = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    members = scratch.table(placed.join(crowded, "bucket", "left_semi"))
-    named = docs.where("doc_id IS NOT NULL")
+    crowded = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = placed.join(crowded, "bucket")
+    # How many documents a document meets over all bands: high in the middle of a group of copies.
+    members = scratch.table(members.withColumn("met", F.sum("n").over(Window.partitionBy("doc_id"))))
+    ids = members.select("doc_id").distinct()
+    # Merged whatever its size, so that every run shuffles each text once and not more.
+    sets = docs.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(_full_sets(shingle), f"doc_id {kind}, members binary")
+    sets = scratch.table(sets)
 
     own = usable.join(classes, "digest").select("doc_id", "rep")
     shared = own.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z")
     links = [scratch.table(own.join(shared, "doc_id").select("a", F.col("rep").alias("b")))]
-    seen: list[DataFrame] = []
-    labels = components(scratch, links[0])
+    labels = None if links[0].isEmpty() else components(scratch, links[0])
     for turn in range(star_rounds + 1):
-        at = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-        at = scratch.table(at)
-        if turn < star_rounds:
-            order = F.xxhash64("doc_id", F.lit(turn))
-            centre = at.groupBy("bucket").agg(
-                F.min_by("doc_id", order).alias("pivot"), F.min_by("label", order).alias("pivot_label"), F.min_by("n_shingles", order).alias("m"),
-                F.min("label").alias("low"), F.max("label").alias("high"),
-            ).where("low <> high")
-            met = at.join(scratch.table(centre), "bucket").where("label <> pivot_label").where(_likely(percent, "n_shingles", "m"))
-            pairs = met.select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b"))
+        if labels is None:
+            at = members.withColumn("label", F.col("doc_id"))
         else:
-            sizes = at.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-            mains = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1")
-            mixed = scratch.table(at.join(mains, "bucket"))
-            outer = mixed.where("label <> main").select("bucket", F.col("doc_id").alias("x"), F.col("label").alias("x_label"), F.col("n_shingles").alias("m"))
-            met = mixed.join(outer, "bucket").where("label <> x_label").where(_likely(percent, "n_shingles", "m"))
-            pairs = met.select(F.least("doc_id", "x").alias("a"), F.greatest("doc_id", "x").alias("b"))
-        pairs = pairs.distinct()
-        for before in seen:
-            pairs = pairs.join(before, ["a", "b"], "left_anti")
-        pairs = scratch.table(pairs)
-        scratch.drop(at)
-        if pairs.isEmpty():
-            if turn < star_rounds:
-                continue
+            at = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+        noise = F.pmod(F.xxhash64("doc_id", F.lit(turn)), F.lit(1 << 20))
+        order = F.col("met") * (1 << 20) + noise if turn == 0 else noise
+        centre = at.groupBy("bucket").agg(
+            F.max_by("doc_id", order).alias("pivot"), F.max_by("label", order).alias("pivot_label"), F.max_by("n_shingles", order).alias("m"),
+            F.min("label").alias("low"), F.max("label").alias("high"),
+        ).where("low <> high")
+        mixed = scratch.table(at.join(centre.drop("low", "high"), "bucket"))
+        if mixed.isEmpty():
+            scratch.drop(mixed)
             break
-        seen.append(pairs)
-        links.append(_verified(scratch, named, pairs, shingle, percent))
+        if turn < star_rounds:
+            met = mixed.where("label <> pivot_label").where(_likely(percent, "n_shingles", "m"))
+            pairs = scratch.table(met.select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b")).distinct())
+            links.append(_verified(scratch, sets, pairs, percent))
+            scratch.drop(pairs)
+        else:
+            links.append(_finished(scratch, mixed, sets, percent))
+        scratch.drop(mixed)
         every = links[0]
         for more in links[1:]:
             every = every.unionByName(more)
         labels = components(scratch, every)
-    scratch.drop(members, *seen, *links)
+    scratch.drop(members, sets, *links)
     rows_ = sketches.select("doc_id", "n_shingles", "digest")
-    labelled = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
-        F.col("digest").alias("class_digest"), F.coalesce("label", "rep").alias("component")
-    )
+    found = classes.withColumn("label", F.col("rep")) if labels is None else classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    labelled = found.select(F.col("digest").alias("class_digest"), F.coalesce("label", "rep").alias("component"))
     joined = rows_.join(labelled, (rows_["digest"] == labelled["class_digest"]) & rows_["doc_id"].isNotNull(), "left")
     return joined.select(
         F.col("doc_id").alias(doc_id), "n_shingles", F.coalesce("component", "doc_id").alias("component_id"),
