@@ -54,6 +54,13 @@ def safe_json(text: str, kind: str) -> str:
     return f"coalesce(from_json({text}, 'array<{kind}>'), CAST(array() AS array<{kind}>))"
 
 
+def whole_json(text: str) -> str:
+    """JSON text as a variant array with every key and element; one object counts as an array of one,
+    unreadable text as an empty one."""
+    s = f"trim({text})"
+    return f"coalesce(try_parse_json(CASE WHEN startswith({s}, '{{') THEN concat('[', {s}, ']') ELSE {s} END), parse_json('[]'))"
+
+
 def options_of(text: str) -> str:
     return json_objects(text, OPTION)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.sql.window import Window
+
 from lodestar.functions.common import let, literal
 
 
@@ -23,12 +25,18 @@ def acc_at_k(ranks: DataFrame) -> DataFrame:
     return ranks.agg(F.avg(F.col("rank").isNotNull().cast("double")).alias("acc"))
 
 
+#: Characters of a short passage that find its documents.
+N_CHARS = 3
+
+
 def judged_pairs(documents: DataFrame, passages: DataFrame, n_words: int = 5) -> DataFrame:
     """``(req_id, id)``: documents that contain a passage, found by an equi-join.
 
     The words of a passage except its first and last stand between blanks in both texts, so the
     run of ``n_words`` words after the first one must occur in the document. That run is joined,
-    and the full passage is then checked. Passages too short for such a run use one word instead.
+    and the full passage is then checked. Passages too short for such a run use one word instead, and
+    those of one or two words their first characters, met by the documents' distinct runs of as many.
+    Null and empty passages judge nothing.
     """
     blank = literal(r"\s+")
 
@@ -47,6 +55,11 @@ def judged_pairs(documents: DataFrame, passages: DataFrame, n_words: int = 5) ->
         anchors = p.filter(chosen).selectExpr("req_id", f"xxhash64(array_join(slice(ws, 2, {length}), ' ')) AS run")
         pairs = runs(documents, length).join(anchors, "run").select("req_id", "id")
         candidates = pairs if candidates is None else candidates.unionByName(pairs)
+    short = p.filter("size(ws) < 3 AND passage <> ''").selectExpr("req_id", f"substring(passage, 1, {N_CHARS}) AS run")
+    for n in range(1, N_CHARS + 1):
+        starts = short.filter(F.char_length("run") == n)
+        grams = documents.selectExpr("id", f"explode(array_distinct(transform(sequence(1, greatest(char_length(text) - {n - 1}, 1)), i -> substring(text, i, {n})))) AS run")
+        candidates = candidates.unionByName(grams.join(starts, "run").select("req_id", "id"))
     # Long texts never travel with the runs: they are fetched for candidate pairs only.
     return (
         candidates.distinct()
@@ -62,14 +75,35 @@ def summary(df: DataFrame, columns: list[str]) -> DataFrame:
     tall = df.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns
     ])))
-    quartile = lambda p: F.percentile_approx("value", p, 100_000)
-    return tall.groupBy("column").agg(
+    rows = tall.groupBy("column").agg(
         F.count("value").alias("n"),
         F.avg("value").alias("mean"),
         F.stddev("value").alias("std"),
         F.min("value").alias("min"),
-        quartile(0.25).alias("q25"),
-        quartile(0.5).alias("q50"),
-        quartile(0.75).alias("q75"),
         F.max("value").alias("max"),
     )
+    return rows.join(quartiles(tall), "column", "left").select("column", "n", "mean", "std", "min", "q25", "q50", "q75", "max")
+
+
+def quartiles(tall: DataFrame, parts: int = 256) -> DataFrame:
+    """Exact quartiles ``(column, q25, q50, q75)`` of ``tall(column, value)``: the values of rank ceil(p * n).
+
+    Values are counted, dealt by range of their rank among approximate quantiles and added up by part;
+    only the parts that hold a quartile are then ranked, so no task sorts a whole column.
+    """
+    counts = tall.filter("value IS NOT NULL").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    edges = counts.groupBy("column").agg(F.percentile_approx("value", [i / parts for i in range(1, parts)], 10 * parts).alias("edges"))
+    placed = counts.join(F.broadcast(edges), "column").withColumn("part", F.size(F.filter("edges", lambda e: e < F.col("value")))).drop("edges")
+    sums = placed.groupBy("column", "part").agg(F.sum("n").alias("held"))
+    # One row for each column and part.
+    before = Window.partitionBy("column").orderBy("part")
+    sums = sums.select(
+        "column", "part", (F.sum("held").over(before) - F.col("held")).alias("before"), F.sum("held").over(before).alias("upto"),
+        F.sum("held").over(Window.partitionBy("column")).alias("total"),
+    )
+    wanted = sums.select("*", F.explode(F.array(*[F.struct(F.lit(c).alias("q"), F.ceil(F.col("total") * p).alias("rank")) for c, p in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))])).alias("w"))
+    wanted = wanted.select("column", "part", "before", "w.q", "w.rank").join(sums.select("column", "part", "upto"), ["column", "part"]).filter("rank > before AND rank <= upto")
+    inside = placed.join(F.broadcast(wanted), ["column", "part"])
+    running = F.sum("n").over(Window.partitionBy("column", "q").orderBy("value"))
+    found = inside.withColumn("upto", running + F.col("before")).filter("upto >= rank")
+    return found.groupBy("column").pivot("q", ["q25", "q50", "q75"]).agg(F.min("value"))

@@ -13,7 +13,7 @@ from lodestar.functions import json_fields as J
 from lodestar.functions.common import NO_STRINGS, literals
 from lodestar.functions.dates import NOT_AVAILABLE, PRESENT, partial_date
 from lodestar.functions.spatial import bounds
-from lodestar.schemas import NESTED_TEXT_FIELDS, RAW_COLUMNS, TEXT_FIELDS
+from lodestar.schemas import JSON_FIELDS, NESTED_TEXT_FIELDS, RAW_COLUMNS, TEXT_FIELDS
 
 P = "features_properties_"
 # The only tags of the theme table that become themes.
@@ -129,6 +129,7 @@ DOCUMENT = {
     "options": J.options_of(P + "options"),
     "contact": J.contacts_of(P + "contact"),
     "cited": J.contacts_of(P + "cited"),
+    **{f"{c}_json": J.whole_json(P + c) for c in JSON_FIELDS},
     "topicCategory": J.comma_array(P + "topicCategory"),
     "created": P + "date_created_date",
     "spatialRepresentation": P + "spatialRepresentation",
@@ -190,8 +191,11 @@ def last_per_id(df: DataFrame, key: str = "id", order: str = "load_seq") -> Data
     return df.withColumn("_rn", F.row_number().over(newest)).filter(F.col("_rn") <= 1).drop("_rn")
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
-    """Rows of ``new`` replace rows of ``old`` with the same id."""
+def upsert(old: DataFrame, new: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
+    """Rows of ``new`` replace rows of ``old`` with the same id; of repeated ids in ``new`` the row that
+    comes last by ``order`` holds. Without ``order`` the ids in ``new`` have to be distinct."""
+    if order is not None:
+        new = last_per_id(new, key, order)
     return old.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 

@@ -254,13 +254,13 @@ def knn_join(queries: DataFrame, catalogue: DataFrame, k: int, transform: str =
 
 
 def kmeans_cells(catalogue: DataFrame, n_cells: int, key: str = "id", vector: str = "vector",
-                 train_rows: int = 100_000, seed: int = 42) -> np.ndarray:
-    """Unit k-means centres, trained on a bounded pool of rows; every row is indexed."""
+                 seed: int = 42) -> np.ndarray:
+    """Unit k-means centres, trained on all rows; the fit is distributed and gives ``n_cells`` centres."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     c = usable(catalogue, key, vector)
-    train = _pool(c, c.count(), train_rows).select(array_to_vector("v").alias("features"))
+    train = c.select(array_to_vector("v").alias("features"))
     model = KMeans(k=n_cells, seed=seed, distanceMeasure="cosine", maxIter=10).fit(train)
     return _unit(model.clusterCenters())
 

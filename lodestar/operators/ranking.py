@@ -10,6 +10,9 @@ from pyspark.sql.window import Window
 GROUP_LIMIT = 1000
 # Scores are ranked after rounding, so that rows of equal score are ordered by id in every run.
 SCORE_DIGITS = 10
+#: More rows than Spark's limit counts are never skipped or shown.
+MAX_ROWS = 2**31 - 1
+# Sort fields and orders of a request.
 SORT_FIELDS = ("_score", "date", "popularity", "title", "relevancy")
 ORDERS = ("asc", "desc")
 
@@ -53,6 +56,7 @@ def order_columns(sort: str | None, order: str | None, lang: str = "en", key: st
 
 def page(df: DataFrame, order: list[Column], size: int = 10, start: int = 0) -> DataFrame:
     """One page of a sorted table with 1-based ``row_num``; only ``start + size`` rows are ever kept."""
+    size, start = min(size, MAX_ROWS), min(start, MAX_ROWS)
     rows = df.orderBy(*order).offset(start).limit(size) if start else df.orderBy(*order).limit(size)
     # The page is bounded by its size, so numbering it in one window is safe.
     return rows.withColumn("row_num", F.row_number().over(Window.orderBy(*order)))
@@ -74,11 +78,30 @@ def batch_order() -> list[Column]:
     ]
 
 
-def pages(matches: DataFrame, keys: list[str], deepest: int) -> DataFrame:
-    """The page every request asks for. ``matches`` carries ``size`` and ``from``; ``deepest`` is
-    the largest ``from + size`` among them."""
-    if deepest <= 0:
-        return matches.withColumn("row_num", F.lit(0)).filter(F.lit(False))
-    ranked = top_k(matches, keys, batch_order(), deepest)
-    inside = ranked.filter("rn > `from` AND rn <= `from` + size")
-    return inside.withColumn("row_num", F.expr("int(rn - `from`)")).drop("rn")
+#: The last row of a page, whatever its start and size.
+LAST_ROW = f"coalesce(try_add(`from`, size), {2**63 - 1})"
+
+
+def pages(matches: DataFrame, keys: list[str], depths: dict[str, int]) -> DataFrame:
+    """The page every request asks for. ``matches`` carries ``size`` and ``from``.
+
+    ``depths`` has the largest last row of shallow pages (up to ``GROUP_LIMIT``) and of deep ones. They
+    are ranked apart, so one deep page does not make all others rank as deep.
+    """
+    out = None
+    for name, wanted in (("shallow", f"{LAST_ROW} <= {GROUP_LIMIT}"), ("deep", f"{LAST_ROW} > {GROUP_LIMIT}")):
+        if depths[name] <= 0:
+            continue
+        ranked = top_k(matches.filter(wanted), keys, batch_order(), depths[name])
+        inside = ranked.filter(f"rn > `from` AND rn <= {LAST_ROW}").withColumn("row_num", F.expr("int(rn - `from`)")).drop("rn")
+        out = inside if out is None else out.unionByName(inside)
+    return matches.withColumn("row_num", F.lit(0)).filter(F.lit(False)) if out is None else out
+
+
+def page_depths(asked: DataFrame) -> dict[str, int]:
+    """The largest last row of shallow and of deep pages, 0 where there are none."""
+    last = F.expr(LAST_ROW)
+    row = asked.agg(
+        F.max(F.when(last <= GROUP_LIMIT, last)).alias("shallow"), F.max(F.when(last > GROUP_LIMIT, last)).alias("deep")
+    ).first()
+    return {"shallow": row["shallow"] or 0, "deep": row["deep"] or 0}

@@ -11,7 +11,8 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.operators.ingest import normalise
+from lodestar.functions.vectors import embed
+from lodestar.operators.ingest import embedding_text, normalise
 from lodestar.sources.tables import read_table, spread
 
 TODAY = dt.date(2024, 6, 1)
@@ -39,12 +40,12 @@ def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         "concat(split_part(t, ' ', 4), ', ', split_part(t, ' ', 5)) AS features_properties_keywords_en",
         "CASE WHEN lang = 'fr' THEN split_part(t, ' ', 4) END AS features_properties_keywords_fr",
         """CASE doc_id % 4
-             WHEN 0 THEN '[{"protocol":"OGC:WMS","description":{"en":"Service;WMS;eng","fr":"Service;WMS;fra"}},{"protocol":"HTTPS","description":{"en":"Dataset;CSV;eng"}}]'
+             WHEN 0 THEN '[7,{"protocol":"OGC:WMS","url":"https://maps.example/wms","name":{"en":"Map"},"description":{"en":"Service;WMS;eng","fr":"Service;WMS;fra"}},{"protocol":"HTTPS","description":{"en":"Dataset;CSV;eng"}}]'
              WHEN 1 THEN '[{"protocol":" ESRI REST: Map Service ","description":{"en":"API; ESRI;eng"}},{"protocol":"HTTPS","description":{"en":"API;JSON;eng"}}]'
              WHEN 2 THEN '{"protocol":"HTTPS","description":{"en":"Dataset;CSV;eng"}}'
              ELSE CASE WHEN doc_id % 8 = 3 THEN 'not json' ELSE '[{"protocol":"HTTPS"}]' END END AS features_properties_options""",
         """CASE WHEN doc_id % 13 = 0 THEN NULL WHEN doc_id % 13 = 1 THEN '{bad'
-             ELSE concat('[{"organisation":{"en":"Government;Org ', CAST(doc_id % 11 AS STRING), ' ;Branch","fr":"Gouvernement;Org F', CAST(doc_id % 11 AS STRING), '"}}]')
+             ELSE concat('[{"role":"owner","email":{"en":"x@example.org"},"organisation":{"en":"Government;Org ', CAST(doc_id % 11 AS STRING), ' ;Branch","fr":"Gouvernement;Org F', CAST(doc_id % 11 AS STRING), '"}}]')
              END AS features_properties_contact""",
         """CASE doc_id % 5 WHEN 0 THEN '[]' WHEN 1 THEN '[null]' WHEN 2 THEN NULL
              WHEN 3 THEN '[{"organisation":{"en":"Government;Cited","fr":"Gouvernement"}}]' ELSE '{bad' END AS features_properties_cited""",
@@ -84,12 +85,11 @@ def foundational_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def catalogue(spark: SparkSession, sf_dir: str, with_vectors: bool = False) -> DataFrame:
-    """The complete catalogue; vectors come from the embeddings table and are null elsewhere."""
-    out = normalise(raw_records(spark, sf_dir), theme_tags(spark, sf_dir), foundational_tags(spark, sf_dir))
+    """The complete catalogue; every record's text goes through the encoder that queries go through."""
+    raw = raw_records(spark, sf_dir)
     if with_vectors:
-        v = vectors(spark, sf_dir).selectExpr("concat('doc-', CAST(vec_id AS STRING)) AS id", "embedding AS vector")
-        out = out.join(v, "id", "left")
-    return out
+        raw = embed(raw.withColumn("_text", F.expr(embedding_text())), "_text")
+    return normalise(raw, theme_tags(spark, sf_dir), foundational_tags(spark, sf_dir))
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,8 +106,9 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE WHEN item_id % 2 = 0 THEN 'en' WHEN item_id % 9 = 1 THEN '' ELSE 'fr' END AS lang",
         "CASE item_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'title' WHEN 2 THEN 'date' ELSE 'relevancy' END AS sort",
         "'' AS order",
-        "CASE item_id % 3 WHEN 0 THEN '5' WHEN 1 THEN 'abc' ELSE '' END AS size",
-        "CASE WHEN item_id % 5 = 2 THEN '5' ELSE '' END AS `from`",
+        "CASE WHEN item_id % 20 = 11 THEN '5000000000' WHEN item_id % 20 = 13 THEN '99999999999999999999' WHEN item_id % 3 = 0 THEN '5'"
+        " WHEN item_id % 3 = 1 THEN 'abc' ELSE '' END AS size",
+        "CASE WHEN item_id % 20 = 6 THEN '3000000000' WHEN item_id % 20 = 13 THEN '2147483647' WHEN item_id % 5 = 2 THEN '5' ELSE '' END AS `from`",
     )
 
 
@@ -151,7 +152,10 @@ def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestar.operators.evaluate import judged_pairs
 
     docs = documents(spark, sf_dir).select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("id"), "text")
-    passages = read_table(spark, sf_dir, "benchmark").select(
-        F.col("item_id").cast("string").alias("req_id"), F.col("text").alias("passage")
+    # Some passages are two words, one word or two letters long.
+    passages = read_table(spark, sf_dir, "benchmark").selectExpr(
+        "CAST(item_id AS STRING) AS req_id",
+        "CASE item_id % 10 WHEN 3 THEN concat(split_part(text, ' ', 2), ' ', split_part(text, ' ', 3)) WHEN 4 THEN split_part(text, ' ', 2)"
+        " WHEN 5 THEN substring(text, 2, 2) ELSE text END AS passage",
     )
     return judged_pairs(docs, passages)

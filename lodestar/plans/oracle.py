@@ -33,7 +33,7 @@ def quoted(words) -> str:
 
 RAW = """
 raw AS MATERIALIZED (
-SELECT 'doc-' || doc_id AS id,
+SELECT 'doc-' || doc_id AS id, doc_id AS id_number,
   '[[[' || x0 || ',' || y0 || '],[' || x1 || ',' || y0 || '],[' || x1 || ',' || y1 || '],[' || x0 || ',' || y1 || '],[' || x0 || ',' || y0 || ']]]' AS geometry,
   CAST(x0 AS DOUBLE) AS xmin, CAST(y0 AS DOUBLE) AS ymin, CAST(x1 AS DOUBLE) AS xmax, CAST(y1 AS DOUBLE) AS ymax,
   split_part(t, ' ', 1) || ' ' || split_part(t, ' ', 2) || ' ' || split_part(t, ' ', 3) AS title_en,
@@ -43,12 +43,12 @@ SELECT 'doc-' || doc_id AS id,
   split_part(t, ' ', 4) || ', ' || split_part(t, ' ', 5) AS keywords_en,
   CASE WHEN lang = 'fr' THEN split_part(t, ' ', 4) END AS keywords_fr,
   CASE doc_id % 4
-    WHEN 0 THEN '[{"protocol":"OGC:WMS","description":{"en":"Service;WMS;eng","fr":"Service;WMS;fra"}},{"protocol":"HTTPS","description":{"en":"Dataset;CSV;eng"}}]'
+    WHEN 0 THEN '[7,{"protocol":"OGC:WMS","url":"https://maps.example/wms","name":{"en":"Map"},"description":{"en":"Service;WMS;eng","fr":"Service;WMS;fra"}},{"protocol":"HTTPS","description":{"en":"Dataset;CSV;eng"}}]'
     WHEN 1 THEN '[{"protocol":" ESRI REST: Map Service ","description":{"en":"API; ESRI;eng"}},{"protocol":"HTTPS","description":{"en":"API;JSON;eng"}}]'
     WHEN 2 THEN '{"protocol":"HTTPS","description":{"en":"Dataset;CSV;eng"}}'
     ELSE CASE WHEN doc_id % 8 = 3 THEN 'not json' ELSE '[{"protocol":"HTTPS"}]' END END AS options,
   CASE WHEN doc_id % 13 = 0 THEN NULL WHEN doc_id % 13 = 1 THEN '{bad'
-    ELSE '[{"organisation":{"en":"Government;Org ' || (doc_id % 11) || ' ;Branch","fr":"Gouvernement;Org F' || (doc_id % 11) || '"}}]' END AS contact,
+    ELSE '[{"role":"owner","email":{"en":"x@example.org"},"organisation":{"en":"Government;Org ' || (doc_id % 11) || ' ;Branch","fr":"Gouvernement;Org F' || (doc_id % 11) || '"}}]' END AS contact,
   CASE doc_id % 5 WHEN 0 THEN '[]' WHEN 1 THEN '[null]' WHEN 2 THEN NULL
     WHEN 3 THEN '[{"organisation":{"en":"Government;Cited","fr":"Gouvernement"}}]' ELSE '{bad' END AS cited,
   CASE doc_id % 7 WHEN 0 THEN 'boundaries, society' WHEN 1 THEN 'farming' WHEN 2 THEN 'inlandWaters,oceans'
@@ -133,15 +133,16 @@ SELECT CAST(item_id AS VARCHAR) AS req_id,
   CASE WHEN item_id % 7 = 0 THEN 'org 1, cited' ELSE '' END AS org,
   CASE WHEN item_id % 2 = 0 THEN 'en' WHEN item_id % 9 = 1 THEN '' ELSE 'fr' END AS lang_text,
   CASE item_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'title' WHEN 2 THEN 'date' ELSE 'relevancy' END AS sort_text,
-  CASE item_id % 3 WHEN 0 THEN '5' WHEN 1 THEN 'abc' ELSE '' END AS size_text,
-  CASE WHEN item_id % 5 = 2 THEN '5' ELSE '' END AS from_text
+  CASE WHEN item_id % 20 = 11 THEN '5000000000' WHEN item_id % 20 = 13 THEN '99999999999999999999' WHEN item_id % 3 = 0 THEN '5'
+    WHEN item_id % 3 = 1 THEN 'abc' ELSE '' END AS size_text,
+  CASE WHEN item_id % 20 = 6 THEN '3000000000' WHEN item_id % 20 = 13 THEN '2147483647' WHEN item_id % 5 = 2 THEN '5' ELSE '' END AS from_text
 FROM (SELECT item_id, replace(text, chr(10), ' ') AS t FROM benchmark) b),
 asked AS MATERIALIZED (
 SELECT *, CASE WHEN lang_text = '' THEN 'en' ELSE lang_text END AS lang,
   CASE WHEN q = '' THEN 'popularity' WHEN sort_text IN ('', 'relevancy') THEN '_score' ELSE sort_text END AS sort_by,
   CASE WHEN q <> '' AND sort_text = 'title' THEN 'asc' ELSE 'desc' END AS direction,
-  CASE WHEN size_text = '5' THEN 5 ELSE 10 END AS page_size,
-  CASE WHEN from_text = '5' THEN 5 ELSE 0 END AS page_from,
+  least(CASE WHEN size_text IN ('', 'abc') THEN 10 ELSE CAST(size_text AS HUGEINT) END, 9223372036854775807) AS page_size,
+  CASE WHEN from_text = '' THEN 0 ELSE CAST(from_text AS HUGEINT) END AS page_from,
   list_filter(list_transform(string_split(lower(org), ','), lambda v: trim(v)), lambda v: v <> '') AS orgs,
   CASE WHEN begin_text <> '' THEN DATE '2000-01-01' END AS begin_from,
   CASE WHEN end_text <> '' THEN DATE '2015-02-28' END AS end_to,
@@ -208,17 +209,18 @@ FROM (SELECT k, {code('term')} AS dim, CAST(sum(CASE WHEN substr(md5(term), 9, 1
 WHERE value <> 0"""
 
 
-VEC = """
-vec AS MATERIALIZED (
-SELECT 'doc-' || vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS size
-FROM embeddings JOIN cat ON cat.id = 'doc-' || vec_id)"""
+_EMBEDDED_TEXT = "(SELECT id, title_en || chr(10) || description_en || chr(10) || 'keywords:' || array_to_string(keywords_en, ', ') AS text FROM cat)"
+VEC = f"""
+vec AS MATERIALIZED ({embedded(_EMBEDDED_TEXT, 'id', 'text')}),
+vsize AS (SELECT id, sqrt(sum(value * value)) AS size FROM vec GROUP BY id)"""
 
 QVEC = f"""
 qvec AS MATERIALIZED ({embedded("(SELECT DISTINCT q FROM requests WHERE q <> '')", 'q', 'q')}),
 qsize AS (SELECT q, sqrt(sum(value * value)) AS size FROM qvec GROUP BY q),
+dots AS (SELECT q, id, sum(qvec.value * vec.value) AS dot FROM qvec JOIN vec USING (dim) GROUP BY q, id),
 cosine AS MATERIALIZED (
-SELECT q, id, round(sum(qvec.value * vec.v[dim + 1]) / (any_value(qsize.size) * any_value(vec.size)), 12) AS cos
-FROM qvec JOIN qsize USING (q) CROSS JOIN vec GROUP BY q, id),
+SELECT qsize.q, vsize.id, round(coalesce(dot, 0) / (qsize.size * vsize.size), 12) AS cos
+FROM qsize CROSS JOIN vsize LEFT JOIN dots ON dots.q = qsize.q AND dots.id = vsize.id),
 near AS MATERIALIZED (
 SELECT q, id, 1 / (2 - cos) AS score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY cos DESC, id) AS rn FROM cosine) WHERE rn <= 10)"""
 
@@ -254,7 +256,7 @@ SELECT m.*, a.sort_by, a.page_size, a.page_from, row_number() OVER (PARTITION BY
     CASE WHEN a.sort_by = 'date' THEN c.published END DESC NULLS LAST, m.id) AS rn
 FROM matched m JOIN asked a USING (req_id) JOIN cat c USING (id)),
 pages AS MATERIALIZED (
-SELECT req_id, rn - page_from AS row_num, id, round(score, 6) AS score,
+SELECT req_id, CAST(rn - page_from AS BIGINT) AS row_num, id, round(score, 6) AS score,
   CASE WHEN sort_by = '_score' THEN round(score, 6) END AS relevancy
 FROM ranked WHERE rn > page_from AND rn <= page_from + page_size)"""
 
@@ -310,7 +312,9 @@ ORACLE["document_projection"] = f"""
 WITH {CAT} SELECT id, title_en, title_fr, published, '' AS created, '' AS language,
   array_to_string(keywords_en, '|') AS keywords_en, array_to_string(keywords_fr, '|') AS keywords_fr,
   array_to_string(topic_list, '|') AS topics, array_to_string(theme, '|') AS theme, array_to_string(types, '|') AS type,
-  array_to_string(protocols, '|') AS protocols, CAST(len(contact_objects) AS BIGINT) AS n_contact, CAST(len(cited_objects) AS BIGINT) AS n_cited,
+  array_to_string(protocols, '|') AS protocols,
+  CASE WHEN id_number % 4 = 0 THEN 'https://maps.example/wms' END AS option_url, CASE WHEN id_number % 4 = 0 THEN 'Map' END AS option_name,
+  CASE WHEN id_number % 13 > 1 THEN 'x@example.org' END AS contact_email, CAST(len(contact_objects) AS BIGINT) AS n_contact, CAST(len(cited_objects) AS BIGINT) AS n_cited,
   mappable, foundational, CAST(popularity AS BIGINT) AS popularity, "systemName", "eoCollection",
   array_to_string(polarizations, '|') AS polarizations, array_to_string(orbits, '|') AS orbits FROM cat"""
 ORACLE["polygon_build"] = f"WITH {RAW} SELECT id, 'Polygon' AS geom_type, CAST(5 AS BIGINT) AS n_points, xmin, ymin, xmax, ymax FROM raw"
@@ -366,9 +370,8 @@ ORACLE["l2_normalise"] = f"""
 SELECT vec_id, dim, round(value / sqrt(sum(value * value) OVER (PARTITION BY vec_id)), 6) AS value FROM (
   SELECT vec_id, dim, value * 3 AS value FROM ({_LONG}))"""
 ORACLE["vector_quality"] = """
-SELECT count(*) AS n_rows, count(*) FILTER (embedding IS NULL) AS n_null, CAST(0 AS BIGINT) AS n_null_element,
-  CAST(min(len(embedding)) AS BIGINT) AS min_dim, CAST(max(len(embedding)) AS BIGINT) AS max_dim
-FROM documents LEFT JOIN embeddings ON vec_id = doc_id"""
+SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_null, CAST(0 AS BIGINT) AS n_null_element, CAST(64 AS BIGINT) AS min_dim, CAST(64 AS BIGINT) AS max_dim
+FROM documents"""
 ORACLE["embed_hashing"] = f"SELECT doc_id, dim, round(value, 6) AS value FROM ({embedded('documents', 'doc_id', 'text')})"
 _CENTROIDS = f"""
 pooled AS MATERIALIZED (SELECT label, list(value ORDER BY dim) AS u FROM (SELECT label, dim, avg(value) AS value FROM ({_LONG}) GROUP BY ALL) GROUP BY label),
@@ -470,6 +473,7 @@ ORACLE["hybrid_search"] = f"{hybrid(0.55)} {PAGE_COLUMNS} pages"
 ORACLE["hybrid_min_score"] = f"{hybrid(0.65)} {PAGE_COLUMNS} pages"
 ORACLE["hybrid_prefilter"] = f"{hybrid(0.55, True)} {PAGE_COLUMNS} pages"
 _TOTALS = "SELECT a.req_id, count(m.id) AS total_hits FROM asked a LEFT JOIN matched m USING (req_id) GROUP BY a.req_id"
+ORACLE["hybrid_prefilter_no_cut"] = f"{hybrid(None, True)} {_TOTALS}"
 ORACLE["hybrid_no_cut"] = f"{hybrid(None)} {_TOTALS}"
 ORACLE["total_hits"] = f"{hybrid(0.55)} {_TOTALS}"
 _FACET_PAIRS = " UNION ALL ".join(
@@ -511,7 +515,8 @@ WITH {REQUESTS} SELECT req_id, CASE sort_by WHEN '_score' THEN 'score' WHEN 'dat
 ORACLE["geojson_response"] = f"""
 {hybrid(0.55)}
 SELECT p.req_id, a.method, t.total_hits, r.returned_hits, 'FeatureCollection' AS item_type, 'Polygon' AS geometry_type, c.xmin AS west,
-  p.row_num, p.id, c.title_en, c.mappable
+  p.row_num, p.id, c.title_en, c.mappable, CASE WHEN c.id_number % 4 = 0 THEN 'https://maps.example/wms' END AS option_url,
+  CASE WHEN c.id_number % 13 > 1 THEN 'owner' END AS contact_role
 FROM pages p JOIN asked a USING (req_id) JOIN ({_TOTALS}) t USING (req_id)
 JOIN (SELECT req_id, count(*) AS returned_hits FROM pages GROUP BY req_id) r USING (req_id) JOIN cat c ON c.id = p.id"""
 ORACLE["flat_response"] = f"""
@@ -568,7 +573,9 @@ FROM asked JOIN placed ON req_id = CAST(event_id AS VARCHAR)"""
 
 # --- evaluation ------------------------------------------------------------------------------------
 JUDGED = """
-judged AS MATERIALIZED (SELECT CAST(item_id AS VARCHAR) AS req_id, 'doc-' || doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"""
+judged AS MATERIALIZED (SELECT CAST(item_id AS VARCHAR) AS req_id, 'doc-' || doc_id AS id FROM (
+  SELECT item_id, CASE item_id % 10 WHEN 3 THEN split_part(text, ' ', 2) || ' ' || split_part(text, ' ', 3) WHEN 4 THEN split_part(text, ' ', 2)
+    WHEN 5 THEN substr(text, 2, 2) ELSE text END AS passage FROM benchmark) b JOIN documents d ON passage <> '' AND contains(d.text, passage))"""
 ORACLE["judged_pairs"] = f"WITH {JUDGED} SELECT req_id, id FROM judged"
 _RANKS = f"""
 WITH {_DOCS}, {REQUESTS}, {JUDGED}, {_DOC_BM25},

@@ -57,11 +57,12 @@ def scan_union_dedupe(spark, sf):
 
 @query
 def upsert(spark, sf):
-    """Labelled documents are loaded again with a changed popularity."""
+    """Labelled documents are loaded again, twice in one load; the later row holds."""
     old = ingest.to_catalogue(X.raw_records(spark, sf)).select("id", "popularity")
     labels = tables.read_table(spark, sf, "labels")
     new = labels.select(F.concat(F.lit("doc-"), F.col("doc_id")).alias("id"), (F.col("quality") + 5000).cast("int").alias("popularity"))
-    return ingest.upsert(old, new).select("id", F.col("popularity").cast("bigint").alias("popularity"))
+    twice = new.withColumn("load_seq", F.lit(1)).unionByName(new.select("id", (F.col("popularity") - 1).alias("popularity"), F.lit(0).alias("load_seq")))
+    return ingest.upsert(old, twice, order="load_seq").select("id", F.col("popularity").cast("bigint").alias("popularity"))
 
 
 @query
@@ -212,7 +213,9 @@ def document_projection(spark, sf):
         "id", "title_en", "title_fr", "published", "created", "language",
         _joined("keywords_en").alias("keywords_en"), _joined("keywords_fr").alias("keywords_fr"),
         _joined("topicCategory").alias("topics"), _joined("theme").alias("theme"), _joined("type").alias("type"),
-        _joined("options.protocol").alias("protocols"), F.size("contact").cast("bigint").alias("n_contact"),
+        _joined("options.protocol").alias("protocols"),
+        F.expr("variant_get(options_json, '$[1].url', 'string')").alias("option_url"), F.expr("variant_get(options_json, '$[1].name.en', 'string')").alias("option_name"),
+        F.expr("variant_get(contact_json, '$[0].email.en', 'string')").alias("contact_email"), F.size("contact").cast("bigint").alias("n_contact"),
         F.size("cited").cast("bigint").alias("n_cited"),
         "mappable", "foundational", F.col("popularity").cast("bigint").alias("popularity"), "systemName", "eoCollection",
         _joined(F.flatten("eoFilters.polarizations")).alias("polarizations"),
@@ -551,6 +554,11 @@ def hybrid_prefilter(spark, sf):
     return _hits(_hybrid(spark, sf, prefilter=True))
 
 
+@query
+def hybrid_prefilter_no_cut(spark, sf):
+    return _hybrid(spark, sf, prefilter=True, min_score=None).totals
+
+
 @query
 def flag_clause(spark, sf):
     c = X.catalogue(spark, sf)
@@ -607,7 +615,7 @@ def geojson_response(spark, sf):
     """Hits flattened again out of the nested responses."""
     c = _stored(spark, sf)
     result = search.semantic_search(X.requests(spark, sf), c, X.TODAY)
-    r = responses.geojson_responses(result, c, ["id", "title_en", "mappable"])
+    r = responses.geojson_responses(result, c, ["id", "title_en", "mappable", "options", "contact"])
     item = F.explode("response.items").alias("item")
     flat = r.select("req_id", "method", "response.total_hits", "response.returned_hits", F.size("response.aggs").alias("n_facets"), item)
 
@@ -620,6 +628,7 @@ def geojson_response(spark, sf):
         at("geometry.coordinates[0][0][0]").cast("double").alias("west"),
         at("properties.row_num").cast("bigint").alias("row_num"), at("properties.id").alias("id"),
         at("properties.title_en").alias("title_en"), at("properties.mappable").alias("mappable"),
+        at("properties.options[1].url").alias("option_url"), at("properties.contact[0].role").alias("contact_role"),
     )
 
 
@@ -704,13 +713,15 @@ def log_etl_batch(spark, sf):
 
 @query
 def log_etl_stream(spark, sf):
-    """The same as a stream: JSON files in, Parquet out, run twice over the same checkpoint."""
+    """The same as a stream, JSON files in, Parquet out: the newer half first, then all of it, so that the
+    second run over the same checkpoint meets events that are old and events it has seen."""
     base = tables.work_dir(spark)
     source, sink, checkpoint = f"{base}/in", f"{base}/out", f"{base}/checkpoint"
-    X.slow_log(spark, sf).write.json(source)
-    for _ in range(2):
+    log = X.slow_log(spark, sf)
+    for part in (log.filter("timestamp % 2000 = 0"), log):
+        part.write.mode("append").json(source)
         logs.start_stream(spark, source, sink, checkpoint).awaitTermination()
-    return spark.read.parquet(sink)
+    return spark.read.parquet(sink).select("timestamp", "filters_applied", "search_string")
 
 
 @query

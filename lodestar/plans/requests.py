@@ -22,7 +22,8 @@ def complete(requests: DataFrame) -> DataFrame:
 
 
 def _digits(column: str, default: int) -> str:
-    return f"coalesce(CASE WHEN {column} RLIKE '^[0-9]+$' THEN try_cast({column} AS int) END, {default})"
+    """Digits as a number; more than fit are the largest number, anything else is ``default``."""
+    return f"CASE WHEN {column} RLIKE '^[0-9]+$' THEN coalesce(try_cast({column} AS bigint), {2**63 - 1}) ELSE bigint({default}) END"
 
 
 SORT_GIVEN = "CASE WHEN q = '' THEN 'popularity' WHEN `sort` = '' THEN 'relevancy' ELSE lower(`sort`) END"

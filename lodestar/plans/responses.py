@@ -7,14 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestar.plans.search import SearchResult
+from lodestar.schemas import JSON_FIELDS
 
 HIDDEN = ("vector", "coordinates", "load_seq", "begin_date", "end_date", "xmin", "ymin", "xmax", "ymax")
 
 
-def without_vector(df: DataFrame) -> DataFrame:
-    return df.drop("vector")
-
-
 def feature_collection(fields: list[str]) -> Column:
     """One hit as a one-feature collection; geometry apart, everything else a property."""
     properties = F.struct("row_num", "relevancy", *fields)
@@ -26,8 +23,12 @@ def feature_collection(fields: list[str]) -> Column:
 
 def response_items(result: SearchResult, catalogue: DataFrame, fields: list[str] | None = None) -> DataFrame:
     """``(req_id, row_num, item)``. Only the hits of the pages fetch their catalogue columns."""
-    fields = fields or [c for c in catalogue.columns if c not in HIDDEN]
-    joined = result.hits.join(catalogue.select(*dict.fromkeys(["id", "coordinates", *fields])), "id")
+    whole = {f"{c}_json": c for c in JSON_FIELDS if f"{c}_json" in catalogue.columns}
+    fields = fields or [c for c in catalogue.columns if c not in HIDDEN and c not in whole]
+    # A response shows the JSON fields as they were sent, not only the parts that are searched.
+    shown = {c: j for j, c in whole.items()}
+    columns = [F.col(shown.get(c, c)).alias(c) for c in dict.fromkeys(["id", "coordinates", *fields])]
+    joined = result.hits.join(catalogue.select(*columns), "id")
     return joined.select("req_id", "row_num", feature_collection(fields).alias("item"))
 
 

@@ -23,7 +23,7 @@ from lodestar.operators.facets import facet_columns, facet_counts
 from lodestar.operators.filters import FILTER_COLUMNS, batch_predicate, predicate
 from lodestar.operators.ingest import expand_patterns
 from lodestar.operators.knn import COS_DIGITS, knn, score_of
-from lodestar.operators.ranking import order_columns, page, pages, rank_score, top_k
+from lodestar.operators.ranking import order_columns, page, page_depths, pages, rank_score, top_k
 from lodestar.plans.requests import normalise_requests, with_shapes
 from lodestar.schemas import (
     FLAG_BOOST,
@@ -141,6 +141,12 @@ def hybrid_matches(shapes: DataFrame, catalogue: DataFrame, index: TextIndex, bo
         parts = parts.filter(f"{TEXT_AND_NEAR} + {max(flag, 0.0)!r}D >= {cut - 1e-9!r}D")
     scored = parts.join(narrow, "id").join(shapes, "q").filter(batch_predicate(catalogue.schema))
     scored = scored.withColumn("score", F.expr(combined_score(flag)))
+    return _with_flag_only(scored, shapes, narrow, min_score, flag)
+
+
+def _with_flag_only(scored: DataFrame, shapes: DataFrame, narrow: DataFrame, min_score: float | None, flag: float) -> DataFrame:
+    """Add the records that the flag alone makes a hit, and cut."""
+    cut = -math.inf if min_score is None else min_score
     if flag >= cut and flag > 0:
         only = theta_matches(narrow.filter(F.col("mappable") == "true"), shapes)
         if only is not None:
@@ -170,7 +176,7 @@ def _prefiltered(shapes, catalogue, narrow, text, k, min_score, flag, encoder, d
     parts = text.join(near, ["match_id", "id"], "full_outer") if near is not None else text.withColumn("knn_score", F.lit(None).cast("double"))
     scored = parts.join(narrow, "id").join(shapes, "match_id").filter(batch_predicate(catalogue.schema))
     scored = scored.withColumn("score", F.expr(combined_score(flag)))
-    return scored if min_score is None else scored.filter(F.col("score") >= min_score)
+    return _with_flag_only(scored, shapes, narrow, min_score, flag)
 
 
 def browse_matches(shapes: DataFrame, catalogue: DataFrame) -> DataFrame | None:
@@ -188,9 +194,8 @@ def _answer(matches: DataFrame, asked: DataFrame) -> SearchResult:
     counted = facet_counts(matches, facets, ["match_id"])
 
     views = asked.select("view_id", "match_id", "lang", "sort", "order", "size", "from").distinct()
-    deepest = asked.agg(F.max(F.col("from") + F.col("size"))).first()[0] or 0
     columns = matches.select("match_id", "id", "score", "published", "popularity", "title_en", "title_fr")
-    paged = pages(columns.join(views, "match_id"), ["view_id"], deepest)
+    paged = pages(columns.join(views, "match_id"), ["view_id"], page_depths(views))
 
     keys = asked.select("req_id", "match_id", "view_id")
     hits = keys.join(paged.selectExpr("view_id", "row_num", "id", "score", "CASE WHEN sort = '_score' THEN score END AS relevancy"), "view_id")

@@ -35,13 +35,6 @@ RAW_COLUMNS = (
     "features_properties_eoCollection",
     "features_properties_eoFilters",
 )
-BILINGUAL_ONLY = (
-    "features_properties_title_fr",
-    "features_properties_description_fr",
-    "features_properties_keywords_fr",
-    "features_properties_cited",
-)
-RAW_COLUMNS_EN = tuple(c for c in RAW_COLUMNS if c not in BILINGUAL_ONLY)
 
 RAW = T.StructType([T.StructField(c, _S) for c in RAW_COLUMNS])
 
@@ -49,6 +42,8 @@ LOCALISED = T.StructType([T.StructField("en", _S), T.StructField("fr", _S)])
 OPTION = T.StructType([T.StructField("protocol", _S), T.StructField("description", LOCALISED)])
 CONTACT = T.StructType([T.StructField("organisation", LOCALISED)])
 EO_FILTER = T.StructType([T.StructField("polarizations", T.ArrayType(_S)), T.StructField("orbitState", _S)])
+# Catalogue columns whose JSON is kept whole beside the typed parts.
+JSON_FIELDS = ("options", "contact", "cited", "eoFilters")
 RINGS = T.ArrayType(T.ArrayType(T.ArrayType(T.DoubleType())))
 
 # Filter name -> catalogue paths it searches.
@@ -65,7 +60,6 @@ FILTER_FIELDS = {
     "polarization": ["eoFilters.polarizations"],
     "orbit_direction": ["eoFilters.orbitState"],
 }
-DATE_FIELDS = {"begin": "begin_date", "end": "end_date"}
 
 # Facet name -> catalogue path; the organisation facet follows the language.
 FACET_FIELDS = {
@@ -115,6 +109,7 @@ SLOW_LOG = T.StructType([
 PARSED_LOG = T.StructType([
     T.StructField("timestamp", _S), T.StructField("filters_applied", _S), T.StructField("search_string", _S),
 ])
+PARSED_EVENT = T.StructType([*PARSED_LOG.fields, T.StructField("event", _S), T.StructField("day", _S)])
 GEO_POINT = T.StructType([T.StructField("lat", T.DoubleType()), T.StructField("lon", T.DoubleType())])
 PLACE = T.StructType(
     [T.StructField(c, _S) for c in
@@ -127,7 +122,7 @@ SEARCH_LOG = T.StructType(
        ("lang", "q", "user_agent", "http_method", "sort_param", "order_param", "organization_filter",
         "metadata_source_filter", "theme_filter", "topicCategory_filter", "type_filter", "protocol_filter",
         "mappable_filter", "relation")]
-    + [T.StructField("size", T.IntegerType()), T.StructField("from", T.IntegerType()),
+    + [T.StructField("size", T.LongType()), T.StructField("from", T.LongType()),
        T.StructField("ip2geo", PLACE)]
 )
 

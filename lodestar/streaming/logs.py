@@ -11,12 +11,15 @@ from pyspark.sql.streaming import StreamingQuery
 from lodestar.functions.common import literal
 from lodestar.operators.enrich import add_place, client_address
 from lodestar.plans.requests import normalise_requests
-from lodestar.schemas import PLACE, SLOW_LOG
+from lodestar.schemas import PARSED_EVENT, PARSED_LOG, PLACE, SLOW_LOG
+from lodestar.sources.tables import create_if_absent
 
 # Test streams the engine makes by itself, and the pattern around the JSON body.
 EXCLUDED_STREAMS = ("es-test-log-stream", "cust-test-log-stream")
 SOURCE_RE = r"source\[(\{.*\})\]"
 DEFAULT_MINUTES = 120
+# What tells two events apart.
+EVENT = ("stream", "timestamp", "message")
 
 
 def list_streams(log: DataFrame) -> DataFrame:
@@ -67,31 +70,38 @@ def parse_slow_log(log: DataFrame, filters_path: str = "must") -> DataFrame:
     )
 
 
-def slow_log_etl(log: DataFrame, delay: str | None = None) -> DataFrame:
-    """Drop test streams, drop repeated events, parse. The same function for batch and stream.
+def slow_log_etl(log: DataFrame) -> DataFrame:
+    """Drop test streams, drop repeated events, parse."""
+    kept = without_test_streams(log).dropDuplicates(list(EVENT))
+    return parse_slow_log(kept).select(*PARSED_LOG.fieldNames())
 
-    For a stream the state of the duplicate check is bounded by the watermark ``delay``.
+
+EVENT_KEY = "sha2(to_json(struct(stream, timestamp, message)), 256)"
+EVENT_DAY = "date_format(timestamp_millis(timestamp), 'yyyy-MM-dd')"
+
+
+def load_new_events(log: DataFrame, sink: str) -> None:
+    """Append the parsed events of ``log`` that ``sink`` does not hold yet.
+
+    The sink is partitioned by day and keeps each event's key. Only the days that the batch touches are
+    read, so an event may come as late as it likes, and loading a batch twice adds nothing.
     """
-    kept = without_test_streams(log)
-    identity = ["stream", "timestamp", "message"]
-    if log.isStreaming:
-        timed = kept.withColumn("_ts", F.timestamp_millis("timestamp"))
-        timed = timed.withWatermark("_ts", delay or f"{DEFAULT_MINUTES} minutes")
-        kept = timed.dropDuplicatesWithinWatermark(identity).drop("_ts")
-    else:
-        kept = kept.dropDuplicates(identity)
-    return parse_slow_log(kept).select("timestamp", "filters_applied", "search_string")
-
-
-def start_stream(spark: SparkSession, source: str, sink: str, checkpoint: str, delay: str | None = None,
+    spark = log.sparkSession
+    events = without_test_streams(log).dropDuplicates(list(EVENT)).selectExpr("*", f"{EVENT_KEY} AS event", f"{EVENT_DAY} AS day")
+    create_if_absent(spark, sink, PARSED_EVENT)
+    days = [r["day"] for r in events.select("day").distinct().collect()]
+    have = spark.read.schema(PARSED_EVENT).parquet(sink).filter(F.col("day").isin(days)).select("event")
+    new = parse_slow_log(events.join(have, "event", "left_anti"))
+    new.select(*PARSED_EVENT.fieldNames()).write.mode("append").partitionBy("day").parquet(sink)
+
+
+def start_stream(spark: SparkSession, source: str, sink: str, checkpoint: str, files: int = 1000,
                  available_now: bool = True) -> StreamingQuery:
-    """File source to Parquet sink; with ``available_now`` it processes what is there and ends,
-    which is the scheduled form of the job. A restart continues from the checkpoint."""
-    log = spark.readStream.schema(SLOW_LOG).json(source)
-    writer = (
-        slow_log_etl(log, delay).writeStream.format("parquet").outputMode("append")
-        .option("path", sink).option("checkpointLocation", checkpoint)
-    )
+    """File source to Parquet sink, at most ``files`` files a batch; with ``available_now`` it processes
+    what is there and ends, which is the scheduled form of the job. A restart continues from the
+    checkpoint. The result is that of the batch form, in whatever order the files come."""
+    log = spark.readStream.schema(SLOW_LOG).option("maxFilesPerTrigger", files).json(source)
+    writer = log.writeStream.foreachBatch(lambda batch, _: load_new_events(batch, sink)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 

@@ -1,9 +1,11 @@
 import datetime as dt
+import json
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lodestar.functions import json_fields as J
 from lodestar.operators import bm25, enrich, evaluate, facets, filters, ingest, knn, ranking
 from lodestar.plans import fixtures as X
 from lodestar.plans import search
@@ -254,6 +256,27 @@ def test_judged_pairs(spark):
     passages = spark.createDataFrame([("p", "x one two three four five six seven"), ("s", "one two three")], ["req_id", "passage"])
     got = sorted(map(tuple, evaluate.judged_pairs(docs, passages).collect()))
     assert got == [("p", "1"), ("s", "1"), ("s", "2"), ("s", "3")]
+    short = spark.createDataFrame([("a", "two"), ("b", "e tw"), ("c", "o"), ("d", "zo"), ("e", ""), ("f", None), ("g", "nine")], ["req_id", "passage"])
+    texts = {r["id"]: r["text"] for r in docs.collect()}
+    want = sorted((p["req_id"], i) for p in short.collect() for i, t in texts.items() if p["passage"] and p["passage"] in t)
+    assert sorted(map(tuple, evaluate.judged_pairs(docs, short).collect())) == want
+
+
+def test_quartiles_are_exact(spark):
+    values = [float((i * 7919) % 1009) for i in range(1009)] + [5.0] * 400
+    df = spark.createDataFrame([(v, None if i % 3 else -v) for i, v in enumerate(values)], "a double, b double")
+    got = {r["column"]: r for r in evaluate.summary(df, ["a", "b"]).collect()}
+    for name, column in (("a", values), ("b", [-v for i, v in enumerate(values) if i % 3 == 0])):
+        ranked = sorted(column)
+        assert [got[name][q] for q in ("q25", "q50", "q75")] == [ranked[-int(-len(ranked) * p // 1) - 1] for p in (0.25, 0.5, 0.75)]
+    assert evaluate.summary(df.limit(0), ["a"]).count() == 0
+
+
+def test_whole_json_is_kept(spark):
+    rows = [("1", '[{"url":"u","name":{"en":"n"}},7,[1]]'), ("2", '{"a":1}'), ("3", "bad"), ("4", None)]
+    out = spark.createDataFrame(rows, ["id", "t"]).select("id", F.expr(f"to_json({J.whole_json('t')})").alias("j"))
+    got = {r["id"]: json.loads(r["j"]) for r in out.collect()}
+    assert got == {"1": [{"url": "u", "name": {"en": "n"}}, 7, [1]], "2": [{"a": 1}], "3": [], "4": []}
 
 
 def test_last_per_id_and_upsert(spark):
@@ -262,6 +285,8 @@ def test_last_per_id_and_upsert(spark):
     both = tables.union_collections([a, b])
     assert sorted((r["id"], r["v"]) for r in ingest.last_per_id(both).collect()) == [("1", "x"), ("2", "z"), ("3", "w")]
     assert sorted((r["id"], r["v"]) for r in ingest.upsert(a, b).collect()) == [("1", "x"), ("2", "z"), ("3", "w")]
+    twice = spark.createDataFrame([("2", "late", 9), ("2", "early", 1), ("3", "w", 1)], ["id", "v", "n"])
+    assert sorted((r["id"], r["v"]) for r in ingest.upsert(a, twice, order="n").collect()) == [("1", "x"), ("2", "late"), ("3", "w")]
 
 
 def test_tables(spark, tmp_path):
@@ -291,9 +316,15 @@ def test_stream_is_idempotent(spark, sf, tmp_path):
     for _ in range(2):
         logs.start_stream(spark, src, out, chk).awaitTermination()
     batch = logs.slow_log_etl(log)
-    got = spark.read.parquet(out)
+    got = spark.read.parquet(out).select(batch.columns)
     assert got.count() == batch.count() and got.exceptAll(batch).isEmpty()
     # The same events delivered again in new files add nothing.
     log.write.mode("append").json(src)
     logs.start_stream(spark, src, out, chk).awaitTermination()
     assert spark.read.parquet(out).count() == batch.count()
+    # An event of months ago still comes in, once.
+    old = spark.createDataFrame([("node-1", 1600000000000, "slow"), ("node-1", 1600000000000, "slow")], log.schema)
+    for _ in range(2):
+        old.write.mode("append").json(src)
+        logs.start_stream(spark, src, out, chk).awaitTermination()
+    assert spark.read.parquet(out).count() == batch.count() + 1

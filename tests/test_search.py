@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,6 +85,22 @@ def test_responses(catalogue, result):
     nested = responses.geojson_responses(result, catalogue, ["id", "title_en"])
     bad = nested.filter("response.returned_hits <> size(response.items)")
     assert bad.isEmpty() and nested.count() == result.requests.count()
-    assert "vector" not in responses.without_vector(catalogue).columns
+    whole = responses.geojson_responses(result, catalogue).filter("size(response.items) > 0").first()["response"]["items"][0]
+    shown = json.loads(whole)["features"][0]["properties"]
+    assert isinstance(shown["options"], list) and "vector" not in shown and "options_json" not in shown
     first = nested.filter("size(response.items) > 0").first()["response"]["items"][0]
     assert '"FeatureCollection"' in first and '"row_num":1' in first
+
+
+def test_one_deep_request_among_shallow_ones(spark, sf, catalogue):
+    base = X.requests(spark, sf).filter("method = 'SemanticSearch' AND req_id IN ('0', '1')")
+    deep = base.withColumn("req_id", F.concat(F.lit("deep"), "req_id")).withColumn("size", F.lit("99999999999999999999")).withColumn("from", F.lit("3"))
+    none = base.withColumn("req_id", F.concat(F.lit("none"), "req_id")).withColumn("from", F.lit("9223372036854775807"))
+    result = search.semantic_search(base.unionByName(deep).unionByName(none), catalogue, X.TODAY)
+    rows = {}
+    for r in result.hits.collect():
+        rows.setdefault(r["req_id"], []).append(r["row_num"])
+    total = {r["req_id"]: r["total_hits"] for r in result.totals.collect()}
+    for i in "01":
+        assert sorted(rows.get("deep" + i, [])) == list(range(1, max(total["deep" + i] - 3, 0) + 1))
+        assert "none" + i not in rows and total["none" + i] == total[i]
