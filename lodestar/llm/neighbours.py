@@ -213,8 +213,8 @@ def search(
     columns are not read.
     """
     scratch = Scratch(vectors.sparkSession)
-    rows = vectors.select(F.col(vec_id).cast("bigint").alias("vec_id"), F.col(embedding).cast("array<float>").alias("embedding"), F.col(embedding).alias("original"))
-    rows = usable(rows.select("vec_id", "embedding"))
+    rows = vectors.select(F.col(vec_id).cast("bigint").alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding"))
+    rows = usable(rows)
     rows = scratch.table(rows)
     nodes = scratch.table(_distinct(rows, k + 1))
     graph = build_graph(nodes, **graph_options)

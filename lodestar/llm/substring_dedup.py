@@ -12,8 +12,9 @@ from pyspark.sql import types as T
 
 from lodestar.llm.frames import mix, seeds, slices, text_bytes
 
-#: Mean and largest bytes of a chunk. The rolling hash sees the last 16 bytes.
-MEAN, LARGEST = 24, 1024
+#: Mean and largest bytes of a chunk, and those from which it is compared; a smaller one goes with the
+#: repeated chunks on both sides of it. The rolling hash sees the last 16 bytes.
+MEAN, LARGEST, SMALLEST = 24, 1024, 8
 #: A run of repeated chunks goes if it holds so many words. The ends of a passage lie in chunks that also
 #: hold other text, some 60 bytes together, so this is well below the passages of 50 words and more meant.
 MIN_WORDS = 22
@@ -102,7 +103,7 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             same = known & (key[row] == key[row[first]]) & (ids[row] == ids[row[first]])
             known &= ~same
             deal = np.where(known, mix((np.arange(len(row)) + (row << 32)).astype(np.uint64) ^ digest.view(np.uint64)).view(np.int64), digest)
-            take = np.flatnonzero(~same)
+            take = np.flatnonzero(~same & (size >= SMALLEST))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(deal[take]), pa.array(known[take]), pa.array(ids[row][take]), pa.array(key[row][take]), pa.array((start << 11 | size)[take]),
                  pa.array(np.where(known, ids[row[first]], 0)[take])],
@@ -167,13 +168,20 @@ def _cut_out(min_words: int):
                     of = dict(zip(begins.tolist(), digest.tolist()))
                     # A repeated chunk goes at all its places in the text.
                     gone = {of[c["place"] >> 11]: c["holder"] for c in found}
+                    flagged = np.isin(digest, np.fromiter(gone, np.uint64, len(gone)))
                     runs: list[tuple[int, int, set]] = []
-                    for i in np.flatnonzero(np.isin(digest, np.fromiter(gone, np.uint64, len(gone)))).tolist():
-                        a, b, holder = int(begins[i]), int(ends[i]), gone[int(digest[i])]
-                        if runs and runs[-1][1] == a:
+                    reach = -1
+                    for i in np.flatnonzero(flagged | (ends - begins < SMALLEST)).tolist():
+                        a, b = int(begins[i]), int(ends[i])
+                        if not flagged[i]:
+                            reach = b if reach == a else reach
+                            continue
+                        holder = gone[int(digest[i])]
+                        if runs and reach == a:
                             runs[-1] = (runs[-1][0], b, runs[-1][2] | {holder})
                         else:
                             runs.append((a, b, {holder}))
+                        reach = b
                     # Chunks may end inside a character; what is removed begins and ends at one.
                     whole = [(_next_char(body, a), _char(body, b), h) for a, b, h in runs]
                     whole = [(a, b, h, len(body[a:b].split())) for a, b, h in whole]
@@ -219,8 +227,8 @@ def substring_dedup(
     them, also where they repeat inside it. Neighbouring repeated chunks are one run; runs of
     ``min_words`` words or more are removed. Returns the columns of
     ``docs`` (or those in ``carry``, and the text) with the text as it is after removal, ``spans`` (character ranges of the
-    original text that went), ``holders`` (ids of documents that hold the passages first met) and
-    ``n_removed`` (words). Columns of these names are replaced.
+    original text that went), ``holders`` (ids of earlier documents that hold these passages, one at
+    least for each chunk) and ``n_removed`` (words). Columns of these names are replaced.
 
     Ids are whole numbers. A null id sorts as 0. Null texts stay null, empty ones empty. Rows with the
     same id and text are one document and get the same answer; a copy under another id loses all its text
