@@ -138,15 +138,18 @@ def query_terms(queries: DataFrame, text: str = "q") -> DataFrame:
     return counted.filter("term IS NOT NULL")
 
 
-def term_weights(terms: DataFrame, index: TextIndex, boosts: dict[str, float], k1: float = K1, b: float = B) -> DataFrame:
+def term_weights(terms: DataFrame, index: TextIndex, boosts: dict[str, float], k1: float = K1, b: float = B,
+                 found: DataFrame | None = None) -> DataFrame:
     """``(q, field, term, weight, c0, c1)`` such that a posting scores ``weight*tf/(tf+c0+c1*dl)``.
 
-    Document frequencies are counted only for words that some query has.
+    Document frequencies are counted only for words that some query has, in ``found``, all postings of
+    these words, if that is given.
     """
+    frequencies = index.frequencies_of(terms) if found is None else found.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
     boost = "CASE field " + " ".join(f"WHEN '{f}' THEN {float(x)!r}D" for f, x in boosts.items()) + " END"
     # field_stats has one row per field of a fixed field list, so broadcasting it is bounded.
     return (
-        terms.join(index.frequencies_of(terms), "term")
+        terms.join(frequencies, "term")
         .join(F.broadcast(index.field_stats), "field")
         .selectExpr(
             "q", "field", "term",
@@ -160,10 +163,12 @@ def term_weights(terms: DataFrame, index: TextIndex, boosts: dict[str, float], k
 def _hits(queries: DataFrame, index: TextIndex, boosts: dict[str, float], text: str) -> DataFrame:
     narrowed = index.narrowed([f for f in index.fields if f in boosts])
     terms = materialise(query_terms(queries, text))
+    # The postings are read once; what the queries' words have is small and gives counts and scores.
+    found = materialise(narrowed.postings_of(terms).join(terms.select("term").distinct(), "term", "left_semi"))
     # Written, the weights have a measured size: the planner broadcasts them when it is small, and
     # otherwise joins on (field, term), where the postings of frequent words are split at run time.
-    weights = materialise(term_weights(terms, narrowed, boosts))
-    return narrowed.postings_of(terms).join(weights, ["field", "term"]).selectExpr(
+    weights = materialise(term_weights(terms, narrowed, boosts, found=found))
+    return found.join(weights, ["field", "term"]).selectExpr(
         "q", "id", "field", "weight * tf / (tf + c0 + c1 * dl) AS part"
     )
 

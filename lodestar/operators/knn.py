@@ -49,7 +49,7 @@ def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
 
 
 def _unit(vectors) -> np.ndarray:
-    m = np.stack([np.asarray(v, dtype="float64") for v in vectors])
+    m = np.concatenate(list(vectors)).astype("float64", copy=False).reshape(len(vectors), -1)
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
@@ -58,38 +58,35 @@ class _Best:
 
     def __init__(self, query_ids: np.ndarray, queries: np.ndarray, k: int):
         self.query_ids, self.queries, self.k = query_ids, queries, k
-        self.cos: list[np.ndarray] = [np.empty(0)] * len(query_ids)
-        self.ids: list[np.ndarray] = [np.empty(0)] * len(query_ids)
+        self.cos = np.full((len(query_ids), k), -np.inf)
+        self.ids = np.full((len(query_ids), k), None, object)
 
     def add(self, vectors: np.ndarray, ids: np.ndarray) -> None:
         for at in range(0, len(ids), CHUNK):
             self._add_chunk(vectors[at:at + CHUNK], ids[at:at + CHUNK])
 
     def _add_chunk(self, vectors: np.ndarray, ids: np.ndarray) -> None:
-        cos = np.round(self.queries @ vectors.T, COS_DIGITS)
-        if len(ids) > self.k:
-            kth = np.partition(cos, len(ids) - self.k, axis=1)[:, len(ids) - self.k]
-        else:
-            kth = np.full(len(cos), -np.inf)
-        for row in range(len(cos)):
-            old = self.cos[row]
-            floor = max(kth[row], old[-1]) if len(old) == self.k else kth[row]
-            # Rows as good as the k-th stay in, so that equal scores are decided by id.
-            chosen = np.flatnonzero(cos[row] >= floor)
-            if not len(chosen):
-                continue
-            c = np.concatenate([old, cos[row, chosen]])
-            i = np.concatenate([self.ids[row], ids[chosen]]) if len(old) else ids[chosen]
-            order = np.lexsort((i, -c))[: self.k]
-            self.cos[row], self.ids[row] = c[order], i[order]
+        """Old best rows and the chunk side by side; the k best of each query, equal scores by id."""
+        new = np.round(self.queries @ vectors.T, COS_DIGITS)
+        held = self.ids != None  # noqa: E711
+        names = np.concatenate([self.ids[held], ids.astype(object)])
+        place = np.unique(names, return_inverse=True)[1]
+        old_place = np.zeros(self.ids.shape, np.int64)
+        old_place[held] = place[: int(held.sum())]
+        cos = np.hstack([self.cos, new])
+        places = np.hstack([old_place, np.broadcast_to(place[int(held.sum()):], new.shape)])
+        # Rounded cosines as whole numbers leave room for the order of the ids.
+        scaled = np.where(np.isfinite(cos), cos, -2.0) * 10.0**COS_DIGITS
+        key = -(np.rint(scaled).astype(np.int64) << 21) + places
+        best = np.argpartition(key, self.k - 1, axis=1)[:, : self.k]
+        best = np.take_along_axis(best, np.take_along_axis(key, best, 1).argsort(1), 1)
+        all_ids = np.hstack([self.ids, np.broadcast_to(ids.astype(object), new.shape)])
+        self.cos, self.ids = np.take_along_axis(cos, best, 1), np.take_along_axis(all_ids, best, 1)
 
     def frame(self) -> pd.DataFrame:
-        widths = [len(c) for c in self.cos]
-        found = [i for i in self.ids if len(i)]
+        found = np.isfinite(self.cos)
         return pd.DataFrame({
-            "qid": np.repeat(self.query_ids, widths),
-            "id": np.concatenate(found) if found else [],
-            "cos": np.concatenate(self.cos),
+            "qid": np.repeat(self.query_ids, found.sum(1)), "id": self.ids[found].tolist(), "cos": self.cos[found],
         })
 
 

@@ -280,6 +280,9 @@ SELECT doc_id, n_chars, load_seq, note FROM (
 ORACLE["upsert"] = """
 SELECT 'doc-' || d.doc_id AS id, CAST(CASE WHEN l.doc_id IS NULL THEN n_chars % 1000 ELSE quality + 5000 END AS BIGINT) AS popularity
 FROM documents d FULL JOIN labels l ON l.doc_id = d.doc_id"""
+ORACLE["catalogue_load"] = """
+SELECT 'doc-' || d.doc_id AS id, CAST(CASE WHEN l.doc_id IS NULL THEN n_chars % 1000 ELSE quality + 5000 END AS BIGINT) AS popularity, CAST(64 AS BIGINT) AS dim
+FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id"""
 ORACLE["count_check"] = "SELECT count(*) AS n_rows FROM documents"
 ORACLE["append_table"] = f'WITH {RAW} SELECT "systemName", 2 * count(*) AS n FROM raw GROUP BY 1'
 ORACLE["clear_table"] = 'SELECT CAST(0 AS BIGINT) AS "left", count(*) AS removed FROM documents'
@@ -470,6 +473,7 @@ for _name, _values in _FACET_VALUES.items():
 WITH {CAT} SELECT value, doc_count, CAST(sum_other AS BIGINT) AS sum_other FROM ({_facet_ranks(_pairs, 'k')})"""
 
 ORACLE["hybrid_search"] = f"{hybrid(0.55)} {PAGE_COLUMNS} pages"
+ORACLE["saved_index_search"] = ORACLE["hybrid_search"]
 ORACLE["hybrid_min_score"] = f"{hybrid(0.65)} {PAGE_COLUMNS} pages"
 ORACLE["hybrid_prefilter"] = f"{hybrid(0.55, True)} {PAGE_COLUMNS} pages"
 _TOTALS = "SELECT a.req_id, count(m.id) AS total_hits FROM asked a LEFT JOIN matched m USING (req_id) GROUP BY a.req_id"

@@ -19,8 +19,8 @@ from lodestar.operators.ranking import order_columns, sort_spec, top_k
 from lodestar.plans import fixtures as X
 from lodestar.plans import responses, search
 from lodestar.plans.requests import normalise_requests, rejected_requests
-from lodestar.schemas import CONTACT, FACET_FIELDS, FILTER_FIELDS
-from lodestar.sources import tables
+from lodestar.schemas import CONTACT, FACET_FIELDS, FILTER_FIELDS, CatalogueSpec
+from lodestar.sources import catalogue, tables
 from lodestar.streaming import logs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,20 @@ def upsert(spark, sf):
     return ingest.upsert(old, twice, order="load_seq").select("id", F.col("popularity").cast("bigint").alias("popularity"))
 
 
+@query
+def catalogue_load(spark, sf):
+    """The stored catalogue after two loads, the second one with other numbers for some records, each twice."""
+    path = tables.work_dir(spark)
+    spec = CatalogueSpec(vector_dim=64)
+    raw = X.raw_records(spark, sf)
+    catalogue.load(raw, path, spec, X.theme_tags(spark, sf), X.foundational_tags(spark, sf))
+    labels = tables.read_table(spark, sf, "labels").select(F.concat(F.lit("doc-"), F.col("doc_id")).alias(P + "id"), "quality")
+    again = raw.join(labels, P + "id").withColumn("load_seq", F.lit(0))
+    later = again.withColumn("features_popularity", (F.col("quality") + 5000).cast("string")).withColumn("load_seq", F.lit(1))
+    catalogue.load(again.unionByName(later).drop("quality"), path, spec, X.theme_tags(spark, sf), X.foundational_tags(spark, sf))
+    return catalogue.read(spark, path, spec).select("id", F.col("popularity").cast("bigint").alias("popularity"), F.size("vector").cast("bigint").alias("dim"))
+
+
 @query
 def count_check(spark, sf):
     path = tables.work_dir(spark)
@@ -537,6 +551,15 @@ def hybrid_search(spark, sf):
     return _hits(_hybrid(spark, sf))
 
 
+@query
+def saved_index_search(spark, sf):
+    """The hybrid search over a stored index; only the buckets of the requests' words are read."""
+    c, path = _stored(spark, sf), tables.work_dir(spark)
+    index = search.text_index(c)
+    index.save(path, 64)
+    return _hits(search.semantic_search(X.requests(spark, sf), c, X.TODAY, bm25.SavedIndex(spark, path, index.fields)))
+
+
 @query
 def hybrid_min_score(spark, sf):
     """A stricter cut than the default."""
@@ -732,7 +755,9 @@ def request_log(spark, sf):
         (F.lit(1704067200000) + F.col("event_id") * 1000).cast("string").alias("timestamp"),
     )
     r = X.requests(spark, sf).join(c, "req_id")
-    out = logs.request_log(r, X.ip_blocks(spark, sf))
+    path = tables.work_dir(spark)
+    logs.append_request_log(logs.request_log(r, X.ip_blocks(spark, sf)), path)
+    out = spark.read.parquet(path)
     return out.select(
         "req_id", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("ts"), "lang", "q", "sort_param", "order_param",
         "organization_filter", "relation", F.col("size").cast("bigint").alias("size"), F.col("from").cast("bigint").alias("from"),

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.text import analyse, highlight
 from lodestar.functions.vectors import dot, embed, norm
-from lodestar.operators.bm25 import TextIndex, best_fields, build_index
+from lodestar.operators.bm25 import SavedIndex, TextIndex, best_fields, build_index
 from lodestar.operators.facets import facet_columns, facet_counts
 from lodestar.operators.filters import FILTER_COLUMNS, batch_predicate, predicate
 from lodestar.operators.ingest import expand_patterns
@@ -79,6 +79,14 @@ def search_index(catalogue: DataFrame, patterns: dict[str, float]) -> tuple[Text
     return build_index(catalogue, list(boosts)), boosts
 
 
+def text_index(catalogue: DataFrame, index: TextIndex | SavedIndex | None = None) -> TextIndex | SavedIndex:
+    """The given index, or one over the fields of both kinds of search, tokenised once and written."""
+    if index is not None:
+        return index
+    fields = {**expand_patterns(catalogue.schema, HYBRID_PATTERNS), **expand_patterns(catalogue.schema, KEYWORD_PATTERNS)}
+    return build_index(catalogue, list(fields)).materialise()
+
+
 def text_parts(queries: DataFrame, index: TextIndex, boosts: dict[str, float]) -> DataFrame:
     return best_fields(queries, index, boosts).select("q", "id", F.col("score").alias("text_score"))
 
@@ -207,15 +215,18 @@ def _answer(matches: DataFrame, asked: DataFrame) -> SearchResult:
     )
 
 
-def semantic_search(requests: DataFrame, catalogue: DataFrame, today: dt.date | None = None, **options) -> SearchResult:
-    """The hybrid search for requests with a text and browsing for those without."""
+def semantic_search(requests: DataFrame, catalogue: DataFrame, today: dt.date | None = None,
+                    index: TextIndex | SavedIndex | None = None, **options) -> SearchResult:
+    """The hybrid search for requests with a text and browsing for those without.
+
+    Give a saved ``index`` to search without tokenising the catalogue.
+    """
     asked = materialise(with_shapes(normalise_requests(requests, today)).filter(F.col("reject").isNull()))
-    return _semantic(asked, catalogue, **options)
+    return _semantic(asked, catalogue, text_index(catalogue, index), **options)
 
 
-def _semantic(asked: DataFrame, catalogue: DataFrame, **options) -> SearchResult:
-    index, boosts = search_index(catalogue, HYBRID_PATTERNS)
-    index = index.materialise()
+def _semantic(asked: DataFrame, catalogue: DataFrame, index: TextIndex | SavedIndex, **options) -> SearchResult:
+    boosts = expand_patterns(catalogue.schema, HYBRID_PATTERNS)
     shapes = asked.select("match_id", "org_lang", "q", *FILTER_COLUMNS).distinct()
     with_text = F.col("q") != ""
     scored = materialise(
@@ -236,16 +247,18 @@ def _semantic(asked: DataFrame, catalogue: DataFrame, **options) -> SearchResult
     )
 
 
-def keyword_search(requests: DataFrame, catalogue: DataFrame, k: int = SERVICE_K, apply_filters: bool = False) -> SearchResult:
+def keyword_search(requests: DataFrame, catalogue: DataFrame, k: int = SERVICE_K, apply_filters: bool = False,
+                   index: TextIndex | SavedIndex | None = None) -> SearchResult:
     """Best-field text search, first ``k`` hits; filters, sort and paging play no part unless
     ``apply_filters``. Facets are empty."""
     asked = materialise(with_shapes(normalise_requests(requests)))
-    return _keyword(asked, catalogue, k, apply_filters)
+    if index is None:
+        index = search_index(catalogue, KEYWORD_PATTERNS)[0].materialise()
+    return _keyword(asked, catalogue, index, k, apply_filters)
 
 
-def _keyword(asked: DataFrame, catalogue: DataFrame, k: int = SERVICE_K, apply_filters: bool = False) -> SearchResult:
-    index, boosts = search_index(catalogue, KEYWORD_PATTERNS)
-    scored = best_fields(asked.select("q"), index.materialise(), boosts)
+def _keyword(asked: DataFrame, catalogue: DataFrame, index: TextIndex | SavedIndex, k: int = SERVICE_K, apply_filters: bool = False) -> SearchResult:
+    scored = best_fields(asked.select("q"), index, expand_patterns(catalogue.schema, KEYWORD_PATTERNS))
     key = "q"
     if apply_filters:
         shapes = asked.filter(F.col("reject").isNull()).select("match_id", "q", *FILTER_COLUMNS).distinct()
@@ -276,12 +289,14 @@ def highlighted(result: SearchResult, catalogue: DataFrame, column: str = "descr
     return texts.withColumn("highlight", F.expr(highlight(column, analyse("q")))).drop(column, "q")
 
 
-def search(requests: DataFrame, catalogue: DataFrame, today: dt.date | None = None, **options) -> SearchResult:
-    """Dispatch by method: ``SemanticSearch`` is hybrid, every other method is a keyword search."""
+def search(requests: DataFrame, catalogue: DataFrame, today: dt.date | None = None,
+           index: TextIndex | SavedIndex | None = None, **options) -> SearchResult:
+    """Dispatch by method: ``SemanticSearch`` is hybrid, every other method is a keyword search. Both use one index."""
     asked = materialise(with_shapes(normalise_requests(requests, today)).filter(F.col("reject").isNull()))
     semantic = F.col("method") == "SemanticSearch"
-    a = _semantic(asked.filter(semantic), catalogue, **options)
-    b = _keyword(asked.filter(~semantic), catalogue)
+    index = text_index(catalogue, index)
+    a = _semantic(asked.filter(semantic), catalogue, index, **options)
+    b = _keyword(asked.filter(~semantic), catalogue, index)
     return SearchResult(
         hits=a.hits.unionByName(b.hits), totals=a.totals.unionByName(b.totals),
         facets=a.facets.unionByName(b.facets), requests=asked,

@@ -117,7 +117,7 @@ PLACE = T.StructType(
     + [T.StructField("location", GEO_POINT), T.StructField("time_zone", _S)]
 )
 SEARCH_LOG = T.StructType(
-    [T.StructField("timestamp", T.TimestampType())]
+    [T.StructField("req_id", _S), T.StructField("timestamp", T.TimestampType())]
     + [T.StructField(c, _S) for c in
        ("lang", "q", "user_agent", "http_method", "sort_param", "order_param", "organization_filter",
         "metadata_source_filter", "theme_filter", "topicCategory_filter", "type_filter", "protocol_filter",

@@ -11,8 +11,8 @@ from pyspark.sql.streaming import StreamingQuery
 from lodestar.functions.common import literal
 from lodestar.operators.enrich import add_place, client_address
 from lodestar.plans.requests import normalise_requests
-from lodestar.schemas import PARSED_EVENT, PARSED_LOG, PLACE, SLOW_LOG
-from lodestar.sources.tables import create_if_absent
+from lodestar.schemas import PARSED_EVENT, PARSED_LOG, PLACE, SEARCH_LOG, SLOW_LOG
+from lodestar.sources.tables import append_table, create_if_absent
 
 # Test streams the engine makes by itself, and the pattern around the JSON body.
 EXCLUDED_STREAMS = ("es-test-log-stream", "cust-test-log-stream")
@@ -105,6 +105,13 @@ def start_stream(spark: SparkSession, source: str, sink: str, checkpoint: str, f
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def append_request_log(rows: DataFrame, path: str) -> None:
+    """Append to the declared log table, which is made when it is not there yet."""
+    create_if_absent(rows.sparkSession, path, SEARCH_LOG)
+    declared = rows.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in SEARCH_LOG.fields])
+    append_table(declared, path)
+
+
 def request_log(requests: DataFrame, blocks: DataFrame) -> DataFrame:
     """One log row per request, rejected or not, with the place of its client."""
     sent = {
