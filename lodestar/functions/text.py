@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+import numpy as np
 import pandas as pd
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column
@@ -41,15 +44,20 @@ def clean_tokens(text: str, stopwords: list[str]) -> str:
     return f"filter(split({bare}, {literal(chr(92) + 's+')}), tok -> tok <> '' AND tok NOT IN ({literals(stopwords)}))"
 
 
+# A worker remembers the stems of frequent words from batch to batch.
+stem_of = lru_cache(1 << 17)(porter_stem)
+
+
+def _stem_each(token: pd.Series) -> pd.Series:
+    return token.map(stem_of, na_action="ignore")
+
+
 def _stem_arrays(tokens: pd.Series) -> pd.Series:
-    flat = tokens.explode()
+    lengths = [0 if row is None else len(row) for row in tokens]
+    flat = np.concatenate([row for row in tokens if row is not None and len(row)] or [np.empty(0, object)])
     codes, vocabulary = pd.factorize(flat)
-    stems = [porter_stem(t) for t in vocabulary]
-    lists: dict = {label: [] for label in tokens.index}
-    for label, code in zip(flat.index, codes):
-        if code >= 0:
-            lists[label].append(stems[code])
-    return pd.Series([lists[label] for label in tokens.index], index=tokens.index)
+    stems = np.array([*map(stem_of, vocabulary), None], object)
+    return pd.Series(np.split(stems[codes], np.cumsum(lengths)[:-1]), index=tokens.index, dtype=object)
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -61,7 +69,7 @@ def stem_tokens(tokens: pd.Series) -> pd.Series:
 @F.pandas_udf(T.StringType())
 def stem(token: pd.Series) -> pd.Series:
     """Stem one token per row; meant for a table of distinct words."""
-    return token.map(porter_stem, na_action="ignore")
+    return _stem_each(token)
 
 
 def clean_text(text: str, stemmed: bool = True) -> Column:

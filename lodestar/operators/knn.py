@@ -48,7 +48,7 @@ def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
     )
 
 
-def _unit(vectors) -> np.ndarray:
+def unit_rows(vectors) -> np.ndarray:
     m = np.concatenate(list(vectors)).astype("float64", copy=False).reshape(len(vectors), -1)
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
@@ -99,13 +99,13 @@ def _result_schema(queries: DataFrame, catalogue: DataFrame) -> str:
 def _knn_scan(query_rows: list, catalogue: DataFrame, k: int, schema: str) -> DataFrame:
     """Catalogue scan against a bounded query matrix; k rows per query leave each task."""
     sc = catalogue.sparkSession.sparkContext
-    shared = sc.broadcast((pd.Series([r["id"] for r in query_rows]).to_numpy(), _unit([r["v"] for r in query_rows])))
+    shared = sc.broadcast((pd.Series([r["id"] for r in query_rows]).to_numpy(), unit_rows([r["v"] for r in query_rows])))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best = _Best(*shared.value, k)
         for batch in batches:
             if len(batch):
-                best.add(_unit(batch["v"]), batch["id"].to_numpy())
+                best.add(unit_rows(batch["v"]), batch["id"].to_numpy())
         yield best.frame()
 
     return catalogue.mapInPandas(scan, schema)
@@ -122,7 +122,7 @@ def _pool(df: DataFrame, n_rows: int, wanted: int) -> DataFrame:
 def pivots_of(catalogue: DataFrame, n_rows: int, n: int) -> np.ndarray:
     """At most ``n`` catalogue vectors as a unit matrix, picked by hash order from a bounded pool."""
     rows = _pool(catalogue, n_rows, 16 * n).orderBy(F.xxhash64("id"), "id").limit(n).select("v").collect()
-    return _unit([r["v"] for r in rows]) if rows else np.empty((0, 0))
+    return unit_rows([r["v"] for r in rows]) if rows else np.empty((0, 0))
 
 
 def _angles(unit: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -137,7 +137,7 @@ def assign_cells(df: DataFrame, centres: np.ndarray) -> DataFrame:
         for batch in batches:
             if not len(batch):
                 continue
-            angles = _angles(_unit(batch["v"]), shared.value)
+            angles = _angles(unit_rows(batch["v"]), shared.value)
             cell = angles.argmin(axis=1)
             yield batch.assign(cell=cell.astype("int32"), angle=angles[np.arange(len(batch)), cell])
 
@@ -152,7 +152,7 @@ def _target_cells(queries: DataFrame, choose) -> DataFrame:
         for batch in batches:
             if not len(batch):
                 continue
-            row, cell = np.nonzero(choose(_unit(batch["v"])))
+            row, cell = np.nonzero(choose(unit_rows(batch["v"])))
             yield batch.iloc[row].assign(cell=cell.astype("int32"))
 
     idtype = queries.schema["id"].dataType.simpleString()
@@ -185,8 +185,8 @@ def _block_join(visits: DataFrame, cells: DataFrame, k: int, schema: str) -> Dat
     def nearest(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(c):
             return pd.DataFrame({"qid": [], "id": [], "cos": []})
-        best = _Best(q["id"].to_numpy(), _unit(q["v"]), k)
-        best.add(_unit(c["v"]), c["id"].to_numpy())
+        best = _Best(q["id"].to_numpy(), unit_rows(q["v"]), k)
+        best.add(unit_rows(c["v"]), c["id"].to_numpy())
         return best.frame()
 
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(nearest, schema)
@@ -259,7 +259,7 @@ def kmeans_cells(catalogue: DataFrame, n_cells: int, key: str = "id", vector: st
     c = usable(catalogue, key, vector)
     train = c.select(array_to_vector("v").alias("features"))
     model = KMeans(k=n_cells, seed=seed, distanceMeasure="cosine", maxIter=10).fit(train)
-    return _unit(model.clusterCenters())
+    return unit_rows(model.clusterCenters())
 
 
 def knn_cells(queries: DataFrame, catalogue: DataFrame, centres: np.ndarray, k: int, nprobe: int = 8,

@@ -5,10 +5,22 @@ Every query is put together from common table expressions over the given tables.
 
 from __future__ import annotations
 
-from lodestar.functions.json_fields import THEME_OF_TOPIC
-from lodestar.functions.text import STOPWORDS
 from lodestar.schemas import FACET_FIELDS
 
+# Fixed values, stated again and not taken from the code under test: short stopword list, topics by theme.
+STOPWORDS = """
+a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to
+was will with
+""".split()
+TOPICS_OF_THEME = {
+    "administration": "boundaries planningcadastre location transportation",
+    "economy": "economy farming",
+    "environment": "biota environment elevation inlandwaters oceans climatologymeteorologyatmosphere",
+    "imagery": "imagerybasemapsearthcover earthobservation;syntheticaperatureradar",
+    "infrastructure": "structure transport utilitiescommunication",
+    "science": "geoscientificinformation",
+    "society": "health society intelligencemilitary",
+}
 # The long English stopword list.
 LONG_STOPWORDS = """
 i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers
@@ -66,7 +78,9 @@ FROM (SELECT doc_id, lang, n_chars, text, replace(text, chr(10), ' ') AS t,
              -141 + (doc_id * 37) % 80 + 1 + doc_id % 9 AS x1, 42 + (doc_id * 17) % 38 + 1 + doc_id % 5 AS y1
       FROM documents) s)"""
 
-_THEME_CASE = "CASE lower(trim(t)) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in THEME_OF_TOPIC.items()) + " END"
+_THEME_CASE = "CASE lower(trim(t)) " + " ".join(
+    f"WHEN '{topic}' THEN '{theme}'" for theme, topics in TOPICS_OF_THEME.items() for topic in topics.split()
+) + " END"
 
 
 def _objects(c: str) -> str:
@@ -349,6 +363,95 @@ _PUNCTUATION = r"""[!"#$%&''()*+,\-./:;<=>?@\[\\\]^_`{|}~]"""
 _CLEAN = f"""list_filter(string_split_regex(regexp_replace(lower(text), '{_PUNCTUATION}', '', 'g'), '\\s+'),
   lambda x: x <> '' AND x NOT IN ({quoted(LONG_STOPWORDS)}))"""
 ORACLE["clean_text"] = f"SELECT doc_id, array_to_string({_CLEAN}, ' ') AS clean FROM documents"
+
+
+def _shape(word: str) -> str:
+    """``c`` and ``v`` for the letters of a word."""
+    return (
+        f"list_reduce(list_concat([''], regexp_extract_all({word}, '(?s).')), "
+        "lambda a, x: a || CASE WHEN x IN ('a', 'e', 'i', 'o', 'u') OR (x = 'y' AND right(a, 1) = 'c') THEN 'v' ELSE 'c' END)"
+    )
+
+
+def _measured(shape: str) -> str:
+    return f"len(regexp_extract_all({shape}, 'v+c+'))"
+
+
+def _step(name: str, source: str, expression: str) -> str:
+    return f"{name} AS MATERIALIZED (SELECT word, s, {_shape('s')} AS h FROM (SELECT word, {expression} AS s FROM {source}))"
+
+
+def _suffixes(rules: str, least: int, also: str = "") -> str:
+    """The longest matching suffix decides; ``rules``: lines of suffix and replacement."""
+    pairs = sorted((line.split() + [""] for line in rules.strip().splitlines()), key=lambda p: -len(p[0]))
+    cases = " ".join(
+        f"WHEN s LIKE '%{a}' THEN CASE WHEN {_measured(f'left(h, length(s) - {len(a)})')} > {least} {also if a == 'ion' else ''} "
+        f"THEN left(s, length(s) - {len(a)}) || '{b}' ELSE s END"
+        for a, b, *_ in pairs
+    )
+    return f"CASE {cases} ELSE s END"
+
+
+# The suffixes of the paper's steps.
+_STEP_2 = """
+ational ate
+tional tion
+enci ence
+anci ance
+izer ize
+abli able
+alli al
+entli ent
+eli e
+ousli ous
+ization ize
+ation ate
+ator ate
+alism al
+iveness ive
+fulness ful
+ousness ous
+aliti al
+iviti ive
+biliti ble
+"""
+_STEP_3 = """
+icate ic
+ative
+alize al
+iciti ic
+ical ic
+ful
+ness
+"""
+_STEP_4 = "\n".join("al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize".split())
+_CVC = "(right(h, 3) = 'cvc' AND right(s, 1) NOT IN ('w', 'x', 'y'))"
+_CVC_CUT = "(right(left(h, length(s) - 1), 3) = 'cvc' AND right(left(s, length(s) - 1), 1) NOT IN ('w', 'x', 'y'))"
+_WORDS = f"words AS (SELECT DISTINCT unnest({_CLEAN}) AS word FROM documents)"
+STEMS = ", ".join([
+    _WORDS,
+    _step("p0", "words WHERE length(word) > 2", "word"),
+    _step("p1", "p0", "CASE WHEN s LIKE '%sses' OR s LIKE '%ies' THEN left(s, length(s) - 2) WHEN s LIKE '%ss' THEN s WHEN s LIKE '%s' THEN left(s, length(s) - 1) ELSE s END"),
+    f"""p2 AS MATERIALIZED (SELECT word, s, {_shape('s')} AS h, cut FROM (SELECT word,
+      CASE WHEN s LIKE '%eed' THEN CASE WHEN {_measured('left(h, length(s) - 3)')} > 0 THEN left(s, length(s) - 1) ELSE s END
+           WHEN cut THEN left(s, length(s) - CASE WHEN s LIKE '%ed' THEN 2 ELSE 3 END) ELSE s END AS s, cut
+      FROM (SELECT *, s NOT LIKE '%eed' AND ((s LIKE '%ed' AND contains(left(h, length(s) - 2), 'v')) OR (s LIKE '%ing' AND contains(left(h, length(s) - 3), 'v'))) AS cut FROM p1)))""",
+    _step("p3", "p2", f"""CASE WHEN NOT cut THEN s WHEN s LIKE '%at' OR s LIKE '%bl' OR s LIKE '%iz' THEN s || 'e'
+      WHEN length(s) > 1 AND right(s, 1) = left(right(s, 2), 1) AND right(h, 1) = 'c' AND right(s, 1) NOT IN ('l', 's', 'z') THEN left(s, length(s) - 1)
+      WHEN {_measured('h')} = 1 AND {_CVC} THEN s || 'e' ELSE s END"""),
+    _step("p4", "p3", "CASE WHEN s LIKE '%y' AND contains(left(h, length(s) - 1), 'v') THEN left(s, length(s) - 1) || 'i' ELSE s END"),
+    _step("p5", "p4", _suffixes(_STEP_2, 0)),
+    _step("p6", "p5", _suffixes(_STEP_3, 0)),
+    _step("p7", "p6", _suffixes(_STEP_4, 1, "AND right(left(s, length(s) - 3), 1) IN ('s', 't')")),
+    _step("p8", "p7", f"""CASE WHEN s LIKE '%e' AND ({_measured('left(h, length(s) - 1)')} > 1 OR ({_measured('left(h, length(s) - 1)')} = 1 AND NOT {_CVC_CUT}))
+      THEN left(s, length(s) - 1) ELSE s END"""),
+    f"stems AS (SELECT word, CASE WHEN s LIKE '%ll' AND {_measured('h')} > 1 THEN left(s, length(s) - 1) ELSE s END AS stem FROM p8"
+    " UNION ALL SELECT word, word FROM words WHERE length(word) <= 2)",
+])
+ORACLE["stem_vocabulary"] = f"WITH {STEMS} SELECT word, stem FROM stems"
+ORACLE["clean_text_stemmed"] = f"""
+WITH {STEMS}, t AS (SELECT doc_id, unnest(c) AS word, generate_subscripts(c, 1) AS i FROM (SELECT doc_id, {_CLEAN} AS c FROM documents))
+SELECT d.doc_id, coalesce(string_agg(stem, ' ' ORDER BY i), '') AS clean FROM documents d LEFT JOIN t ON t.doc_id = d.doc_id LEFT JOIN stems USING (word) GROUP BY d.doc_id"""
 _WORD = r"[\p{L}\p{M}\p{N}_]"
 ORACLE["highlight"] = f"""
 {KEYWORD}, words AS (SELECT q, list(term) AS terms FROM qt GROUP BY q)
@@ -392,6 +495,15 @@ SELECT CAST(qid AS BIGINT) AS qid, vec_id AS id, rn, round({score}, 6) AS score
 ORACLE["knn_exact"] = f"WITH {_CENTROIDS} {_ranked_vectors('pooled', 'label', 'u', 20, '1 / (2 - cos)')}"
 ORACLE["knn_scored"] = f"WITH {_CENTROIDS} {_ranked_vectors('pooled', 'label', 'u', 10, '(1 + cos) / 2')}"
 ORACLE["knn_join"] = f"WITH {_CENTROIDS} {_ranked_vectors('v', 'vec_id', 'v', 5, '1 / (2 - cos)')}"
+_COS = "list_dot_product({a}, {b}) / sqrt(list_dot_product({a}, {a}) * list_dot_product({b}, {b}))"
+ORACLE["knn_cells"] = f"""
+WITH {_CENTROIDS}, far AS MATERIALIZED (
+SELECT vec_id, label, row_number() OVER (PARTITION BY vec_id ORDER BY {_COS.format(a='u', b='v')} DESC, label) AS place FROM v CROSS JOIN pooled),
+cell AS (SELECT vec_id, label FROM far WHERE place = 1)
+SELECT CAST(qid AS BIGINT) AS qid, id, rn, round(1 / (2 - cos), 6) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY cos DESC, id) AS rn FROM (
+    SELECT f.vec_id AS qid, c.vec_id AS id, round({_COS.format(a='q.v', b='w.v')}, 12) AS cos
+    FROM far f JOIN cell c USING (label) JOIN v q ON q.vec_id = f.vec_id JOIN v w ON w.vec_id = c.vec_id WHERE f.place <= 6)) WHERE rn <= 5"""
 
 # --- filters ---------------------------------------------------------------------------------------
 _ANY = "len(list_filter({f}, lambda x: {c})) > 0"

@@ -434,8 +434,10 @@ def knn_join(spark, sf):
 
 @query
 def knn_cells(spark, sf):
+    """The 5 nearest vectors of every vector in the 6 cells nearest to it; the means of the labels are the centres."""
     v = X.vectors(spark, sf)
-    centres = knn.kmeans_cells(v, 16, "vec_id", "embedding")
+    means = _centroids(spark, sf).orderBy("label").toPandas()
+    centres = knn.unit_rows(means["vector"])
     return _neighbours(
         knn.knn_cells(v, v, centres, 5, 6, query_key="vec_id", query_vector="embedding", key="vec_id", vector="embedding")
     )
