@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from lodestar.llm.frames import slices
 
 #: Most pieces whose ids a worker remembers, and pieces of a text that it holds at once.
-MEMORY, PIECES = 200_000, 200_000
+MEMORY, PIECES = 250_000, 200_000
 #: Cells of a padded matrix.
 CELLS = 1 << 20
 #: From this many symbols a row merges all occurrences of its pair in one round where that is the same.
@@ -194,30 +194,36 @@ class Codec:
         return out
 
     def encode(self, text: str) -> np.ndarray:
-        """The ids of a whole text, in steps that hold a bounded number of its pieces."""
-        parts = []
-        found = (m.group() for m in self.pattern.finditer(text))
-        first = self.pattern.findall(text) if len(text) <= PIECES else None
-        while True:
-            pieces = first if first is not None else list(islice(found, PIECES))
-            parts.append(self._lookup(pieces))
-            if first is not None or len(pieces) < PIECES:
-                return np.frombuffer(b"".join(parts), "<u4")
-
-    def _lookup(self, pieces: list[str]) -> bytes:
-        missing = set(pieces).difference(self.known)
-        if missing:
-            if len(self.known) + len(missing) > MEMORY:
-                self.known, missing = {}, set(pieces)
-            ids = self.encode_pieces([p.encode() for p in missing])
-            self.known.update((p.decode(), x) for p, x in ids.items())
-        return b"".join(map(self.known.__getitem__, pieces))
-
-    def learn(self, texts: list[str]) -> None:
-        """Encode the pieces of several texts that are not known yet together, in full matrices."""
-        missing = set().union(*(self.pattern.findall(t) for t in texts if len(t) <= PIECES)).difference(self.known)
-        if len(self.known) + len(missing) <= MEMORY:
-            self.known.update((p.decode(), x) for p, x in self.encode_pieces([p.encode() for p in missing]).items())
+        """The ids of a whole text."""
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of whole texts. Pieces not known yet are encoded together, in full matrices; of a
+        text of many pieces a bounded number is held at once."""
+        out = []
+        split = [self.pattern.findall(t) if len(t) <= PIECES else None for t in texts]
+        self._learn({p for pieces in split if pieces for p in pieces})
+        for text, pieces in zip(texts, split):
+            parts = [self._ids(pieces)] if pieces is not None else []
+            if pieces is None:
+                found = (m.group() for m in self.pattern.finditer(text))
+                while pieces := list(islice(found, PIECES)):
+                    parts.append(self._ids(pieces))
+            out.append(np.frombuffer(b"".join(parts), "<u4"))
+        return out
+
+    def _learn(self, pieces: set[str]) -> None:
+        missing = pieces.difference(self.known)
+        if len(self.known) + len(missing) > MEMORY:
+            self.known, missing = {}, pieces
+        self.known.update((p.decode(), x) for p, x in self.encode_pieces([p.encode() for p in missing]).items())
+
+    def _ids(self, pieces: list[str]) -> bytes:
+        try:
+            return b"".join(map(self.known.__getitem__, pieces))
+        except KeyError:
+            self._learn(set(pieces))
+            return b"".join(map(self.known.__getitem__, pieces))
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of a row of ids, gathered from all tokens' bytes laid end to end."""
@@ -240,10 +246,8 @@ def _encoded(shared, then):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(*shared.value)
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                codec.learn(texts)
-                ids = [codec.encode(t) for t in texts]
+            for part in slices(batch, "text"):
+                ids = codec.encode_all([t or "" for t in part.column("text").to_pylist()])
                 arrays, names = then(codec, ids)
                 carried = [c for c in part.schema.names if c != "text"]
                 yield pa.RecordBatch.from_arrays([*map(part.column, carried), *arrays], [*carried, *names])
