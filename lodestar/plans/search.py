@@ -238,6 +238,8 @@ def _semantic(asked: DataFrame, catalogue: DataFrame, index: TextIndex | SavedIn
     browsed = browse_matches(shapes.filter(~with_text).drop("q"), catalogue)
     if browsed is None:
         return SearchResult(ranked.hits, ranked.totals, ranked.facets, asked)
+    # Stored once: totals, facets and pages each read the matches, not the catalogue again.
+    browsed = materialise(browsed.select("match_id", "org_lang", "score", *NARROW))
     listed = _answer(browsed, asked.filter(~with_text))
     return SearchResult(
         hits=ranked.hits.unionByName(listed.hits),

@@ -10,6 +10,8 @@ from lodestar.operators import bm25, enrich, evaluate, facets, filters, ingest,
 from lodestar.plans import fixtures as X
 from lodestar.plans import search
 from lodestar.plans.requests import normalise_requests
+from lodestar.schemas import CatalogueSpec
+from lodestar.sources import catalogue as store
 from lodestar.sources import tables
 from lodestar.streaming import logs
 
@@ -289,6 +291,32 @@ def test_last_per_id_and_upsert(spark):
     assert sorted((r["id"], r["v"]) for r in ingest.upsert(a, twice, order="n").collect()) == [("1", "x"), ("2", "late"), ("3", "w")]
 
 
+def test_catalogue_load(spark, sf, tmp_path):
+    path, spec = str(tmp_path / "catalogue"), CatalogueSpec(vector_dim=64)
+    raw = X.raw_records(spark, sf).cache()
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "20")
+    try:
+        store.load(raw, path, spec)
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    stored = store.read(spark, path, spec)
+    assert stored.count() == raw.count() and stored.where("vector IS NULL").isEmpty()
+    # A filter on place can skip most files by their smallest and largest values.
+    edges = stored.groupBy(F.input_file_name()).agg(F.min("xmin").alias("a"), F.max("xmax").alias("b"))
+    assert edges.where("a <= -130 AND b >= -135").count() < 0.7 * edges.count()
+    one = raw.limit(1).withColumn("features_popularity", F.lit("77")).cache()
+    key = one.first()["features_properties_id"]
+    store.load(one, path, spec)
+    again = store.read(spark, path, spec)
+    assert again.count() == raw.count() and again.where(F.col("id") == key).first()["popularity"] == 77
+    with pytest.raises(Exception, match="declared: 32"):
+        store.write(again, path, CatalogueSpec(vector_dim=32))
+    assert store.read(spark, path, spec).count() == raw.count()
+    spark.range(1).write.parquet(str(tmp_path / "other"))
+    with pytest.raises(ValueError, match="lacks"):
+        store.read(spark, str(tmp_path / "other"), spec)
+
+
 def test_tables(spark, tmp_path):
     path = str(tmp_path / "t")
     df = spark.createDataFrame([("1",), ("2",)], ["id"])
