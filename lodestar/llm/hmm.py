@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestar.llm.frames import Scratch, large_list, mix, slices, text_bytes
-from lodestar.llm.words import _LOWER, word_hashes, word_spans
+from lodestar.llm.words import LOWER, word_hashes, word_spans
 
 #: Latent states and rounds of Baum-Welch.
 STATES, ROUNDS = 8, 6
@@ -29,41 +29,48 @@ FREQUENT = 65_536
 #: Tokens of texts that go through the recursions together, and of a segment of a long text.
 PACK, SEGMENT = 1 << 17, 1024
 _END = 0
-_MERGE = 1 << 20
+_MERGE = 1 << 21
 
 
-def _tokens(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words' hashes and shared classes, text after text, and the place of each text's first word."""
+def _tokens(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Words as numbers, text after text, and the place of each text's first word.
+
+    A number is the word's hash with the word's shared class as its lowest digits.
+    """
     data, offsets = text_bytes(part.column("text"))
-    hashes, firsts = word_hashes(data, offsets)
     starts, ends = word_spans(data, offsets)
+    hashes, firsts = word_hashes(data, offsets, (starts, ends))
     letters = np.zeros(len(starts), np.uint64)
     for at in (starts, np.minimum(starts + 1, ends - 1), np.maximum(ends - 2, starts), ends - 1):
-        letters = letters << np.uint64(8) | _LOWER[data[at]].astype(np.uint64)
-    return hashes, (mix(letters) % np.uint64(SHARED)).astype(np.int16), firsts
+        letters = letters << np.uint64(8) | LOWER[data[at]].astype(np.uint64)
+    return hashes // np.uint64(SHARED) * np.uint64(SHARED) + mix(letters) % np.uint64(SHARED), firsts
 
 
-def _summed(hashes: np.ndarray, classes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    values, first, place = np.unique(hashes, return_index=True, return_inverse=True)
-    return values, classes[first], np.bincount(place, counts, len(values)).astype(np.int64)
+def _summed(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(words)
+    words, counts = words[order], counts[order]
+    head = np.flatnonzero(np.concatenate(([True], words[1:] != words[:-1])))
+    return words[head], np.add.reduceat(counts, head)
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of the words of training texts, added up in the task until they are many."""
 
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
     def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(held[0].view(np.int64)), pa.array(held[1]), pa.array(held[2])], ["word", "shared", "n"])
+        words, counts = _summed(*(np.concatenate(x) for x in zip(*held)))
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], ["word", "n"])
 
-    held = (np.zeros(0, np.uint64), np.zeros(0, np.int16), np.zeros(0, np.int64))
     for batch in batches:
         for part in slices(batch, "text"):
-            hashes, classes, _ = _tokens(part)
-            new = _summed(hashes, classes, np.ones(len(hashes)))
-            held = _summed(*(np.concatenate(pair) for pair in zip(held, new)))
-            if len(held[0]) > _MERGE:
+            words, _ = _tokens(part)
+            if len(words):
+                held.append(np.unique(words, return_counts=True))
+            if sum(len(w) for w, _ in held) > _MERGE:
                 yield out()
-                held = tuple(x[:0] for x in held)
-    if len(held[0]):
+    if held:
         yield out()
 
 
@@ -93,7 +100,8 @@ def _prepared(shared):
         log_counts = np.log10(vocabulary.counts + 0.5)
         for batch in batches:
             for part in slices(batch, "text"):
-                hashes, classes, firsts = _tokens(part)
+                hashes, firsts = _tokens(part)
+                classes = (hashes % np.uint64(SHARED)).astype(np.int16)
                 place = vocabulary.look_up(hashes)
                 frequent = place >= 0
                 own = np.where(frequent, vocabulary.own[place], -1) if len(vocabulary.own) else place
@@ -102,7 +110,7 @@ def _prepared(shared):
                 symbol = np.where(own < 0, classes + np.int16(1 + OWN), own).astype(np.int16)
                 texts = len(firsts) - 1
                 row = np.repeat(np.arange(texts), np.diff(firsts))
-                add = lambda x: np.bincount(row, x, texts)
+                add = lambda x: np.bincount(row, x, texts).astype(np.float64)
                 rare = np.flatnonzero(~frequent)
                 order = rare[np.lexsort((hashes[rare], row[rare]))]
                 new = np.ones(len(order), bool)
@@ -145,65 +153,88 @@ def _packs(texts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np
         yield np.array(own), lengths, symbols
 
 
-def _forward(model: Model, alpha: np.ndarray, emitted: np.ndarray, active: np.ndarray, keep: np.ndarray | None) -> np.ndarray:
-    """Scaled forward recursion from ``alpha`` (before the first step). Returns each step's scales."""
+def _forward(model: Model, alpha: np.ndarray, emitted: np.ndarray, active: np.ndarray, keep: np.ndarray) -> np.ndarray:
+    """Scaled forward recursion from ``alpha`` (before the first step). ``keep`` gets every step's state
+    shares; returns every step's scales."""
     scales = np.ones(emitted.shape[:2], emitted.dtype)
     move = model.move.astype(emitted.dtype)
-    for t in range(len(emitted)):
-        n = active[t]
-        now = alpha[:n] if t == 0 else alpha[:n] @ move
+    for t, n in enumerate(active):
+        now = alpha[:n] @ move if t else alpha[:n]
         now = now * emitted[t, :n]
         total = now.sum(1)
         scales[t, :n] = total
-        alpha[:n] = now / total[:, None]
-        if keep is not None:
-            keep[t] = alpha
+        np.divide(now, total[:, None], out=alpha[:n])
+        keep[t, :n] = alpha[:n]
     return scales
 
 
+#: Steps between two normalisations where only the likelihood is wanted; 64-bit numbers allow for it.
+_STEPS = 8
+#: Segments of long texts that go through the recursion together.
+_TOGETHER = 128
+
+
+def _plain_log(model: Model, symbols: np.ndarray, active: np.ndarray) -> np.ndarray:
+    """Log-likelihoods of the columns of ``symbols``, longest first, of which ``active`` go on at each step."""
+    alpha = np.tile(model.start, (symbols.shape[1], 1))
+    logs = np.zeros(symbols.shape[1])
+    for t, n in enumerate(active):
+        alpha[:n] = (alpha[:n] @ model.move if t else alpha[:n]) * model.emit[symbols[t, :n]]
+        if t % _STEPS == _STEPS - 1:
+            size = alpha[:n].sum(1)
+            logs[:n] += np.log(size)
+            alpha[:n] /= size[:, None]
+    return logs + np.log(alpha.sum(1))
+
+
+def _segments(model: Model, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of ``symbols``, a segment, and each state before it: the states' shares after it, and
+    the log-likelihood of the segment."""
+    many, states = len(symbols), len(model.start)
+    flow = np.tile(model.move, (many, 1, 1))
+    logs = np.zeros((many, states))
+    for t in range(symbols.shape[1]):
+        if t:
+            flow = (flow.reshape(many * states, states) @ model.move).reshape(many, states, states)
+        flow *= model.emit[symbols[:, t]][:, None, :]
+        if t % _STEPS == _STEPS - 1 or t == symbols.shape[1] - 1:
+            size = flow.sum(2)
+            flow /= size[:, :, None]
+            logs += np.log(size)
+    return flow, logs
+
+
 def log_likelihood(model: Model, texts: list[np.ndarray]) -> np.ndarray:
     """The exact natural log-likelihood of each sequence of classes.
 
-    A long text is cut into segments. Each takes one recursion for every state it may begin in, all
-    segments at once; the segments' matrices are then multiplied in order, which is the same sum.
+    A long text is cut into segments. Each takes one recursion for every state it may begin in, those
+    of all long texts together; a text's segments are then multiplied in order, which is the same sum.
     """
     out = np.zeros(len(texts))
-    short = [i for i, t in enumerate(texts) if len(t) <= 2 * SEGMENT]
+    short = np.array([i for i, t in enumerate(texts) if len(t) <= 2 * SEGMENT], np.int64)
     for own, lengths, symbols in _packs([texts[i] for i in short]):
-        emitted = model.emit[symbols]
         active = (lengths[None, :] > np.arange(len(symbols))[:, None]).sum(1)
-        alpha = np.tile(model.start, (len(own), 1))
-        out[np.array(short)[own]] = np.log(_forward(model, alpha, emitted, active, None)).sum(0)
-    states = len(model.start)
-    for i in (i for i, t in enumerate(texts) if len(t) > 2 * SEGMENT):
-        body = texts[i]
-        state, total = model.start * model.emit[body[0]], 0.0
-        total += np.log(state.sum())
-        state = state / state.sum()
-        whole = (len(body) - 1) // SEGMENT
-        for a in range(0, whole, 32):
-            many = min(32, whole - a)
-            symbols = body[1 + a * SEGMENT : 1 + (a + many) * SEGMENT].reshape(many, SEGMENT)
-            # Row (segment, state): the recursion that leaves this state before the segment.
-            flow = np.tile(model.move, (many, 1))
-            scales = np.zeros((many, states))
-            for t in range(SEGMENT):
-                if t:
-                    flow = flow @ model.move
-                flow = flow * np.repeat(model.emit[symbols[:, t]], states, 0)
-                size = flow.sum(1)
-                flow /= size[:, None]
-                scales += np.log(size).reshape(many, states)
-            for s in range(many):
-                top = scales[s].max()
-                state = (state * np.exp(scales[s] - top)) @ flow[s * states : (s + 1) * states]
-                total += top + np.log(state.sum())
-                state = state / state.sum()
-        for symbol in body[1 + whole * SEGMENT :]:
-            state = (state @ model.move) * model.emit[symbol]
-            total += np.log(state.sum())
-            state = state / state.sum()
-        out[i] = total
+        out[short[own]] = _plain_log(model, symbols, active)
+    # First symbol, then whole segments, then what is left.
+    cuts = [(i, a) for i, t in enumerate(texts) if len(t) > 2 * SEGMENT for a in range(1, len(t) - SEGMENT + 1, SEGMENT)]
+    state: dict[int, np.ndarray] = {}
+    for k in range(0, len(cuts), _TOGETHER):
+        part = cuts[k : k + _TOGETHER]
+        flow, logs = _segments(model, np.stack([texts[i][a : a + SEGMENT] for i, a in part]))
+        for (i, a), matrix, scale in zip(part, flow, logs):
+            now = state[i] if a > 1 else model.start * model.emit[texts[i][0]]
+            top = scale.max()
+            now = (now * np.exp(scale - top)) @ matrix
+            size = now.sum()
+            out[i] += top + np.log(size)
+            state[i] = now / size
+    for i, now in state.items():
+        rest = texts[i][1 + (len(texts[i]) - 1) // SEGMENT * SEGMENT :]
+        for symbol in rest:
+            now = (now @ model.move) * model.emit[symbol]
+            size = now.sum()
+            out[i] += np.log(size)
+            now /= size
     return out
 
 
@@ -293,6 +324,18 @@ def _scored(shared, names: list[str]):
     return run
 
 
+def _frequent(counts: DataFrame) -> DataFrame:
+    """The most frequent words, at most ``FREQUENT``: all from some count on, found by the counts' logarithms."""
+    steps = counts.select(F.floor(F.log("n") * 64).alias("step")).groupBy("step").agg(F.count(F.lit(1)).alias("words"))
+    least, total = None, 0
+    for row in steps.orderBy(F.desc("step")).collect():
+        total += row["words"]
+        if total > FREQUENT:
+            break
+        least = row["step"]
+    return counts.where(F.floor(F.log("n") * 64) >= least) if least is not None else counts.limit(0)
+
+
 def score_texts(
     docs: DataFrame, training, doc_id: str = "doc_id", text: str = "text", states: int = STATES, rounds: int = ROUNDS,
 ) -> DataFrame:
@@ -314,15 +357,16 @@ def score_texts(
     scratch = Scratch(spark)
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(training, F.lit(False)).alias("train"))
     trained = docs.where("train")
-    counts = trained.select("text").mapInArrow(_word_counts, "word bigint, shared smallint, n bigint")
-    counts = scratch.table(counts.groupBy("word").agg(F.min("shared").alias("shared"), F.sum("n").alias("n")))
+    counts = trained.select("text").mapInArrow(_word_counts, "word bigint, n bigint")
+    counts = scratch.table(counts.groupBy("word").agg(F.sum("n").alias("n")).withColumn("shared", F.pmod("word", F.lit(SHARED)).cast("int")))
     ends = trained.count()
-    top = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).toPandas()
+    top = _frequent(counts).toPandas().sort_values(["n", "word"], ascending=[False, True])
     own = spark.createDataFrame([(int(w),) for w in top["word"].head(OWN)], "word bigint")
     rest = counts.join(F.broadcast(own), "word", "left_anti")
     by_class = rest.groupBy("shared").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).toPandas()
     size, kinds = np.zeros(SHARED), np.zeros(SHARED)
-    size[by_class["shared"]], kinds[by_class["shared"]] = by_class["n"], by_class["v"]
+    at = by_class["shared"].to_numpy(np.int64)
+    size[at], kinds[at] = by_class["n"], by_class["v"]
     everything = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     n_all, v_all = everything["n"] + ends, everything["v"] + (ends > 0)
     classes = np.full(len(top), -1, np.int16)

@@ -14,11 +14,11 @@ from lodestar.llm.frames import mix, seeds
 _SEGMENT = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_VALUE = seeds(256, 1)[_LOWER]
+_VALUE = seeds(256, 1)[LOWER]
 _VALUE[_SPACE] = 0
 
 
@@ -57,9 +57,14 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The words' hashes, text after text, and the place of each text's first word among them."""
-    starts, ends = word_spans(data, offsets)
+def word_hashes(
+    data: np.ndarray, offsets: np.ndarray, spans: tuple[np.ndarray, np.ndarray] | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """The words' hashes, text after text, and the place of each text's first word among them.
+
+    ``spans`` are those of ``word_spans``, if they are known.
+    """
+    starts, ends = spans or word_spans(data, offsets)
     out = np.empty(len(starts), np.uint64)
     first = 0
     while first < len(starts):
