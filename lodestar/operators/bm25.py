@@ -192,11 +192,3 @@ def best_fields(queries: DataFrame, index: TextIndex, boosts: dict[str, float] |
     sums = ", ".join(f"sum(part) FILTER (WHERE field = '{f}')" for f in fields)
     best = f"greatest({sums})" if len(fields) > 1 else sums
     return hits.groupBy("q", "id").agg(F.expr(best).alias("score"))
-
-
-def match(catalogue: DataFrame, text: str, field: str, key: str = "id") -> DataFrame:
-    """Records with at least one word of ``text`` in ``field``, scored."""
-    queries = catalogue.sparkSession.createDataFrame([(text,)], "q string")
-    return field_scores(queries, build_index(catalogue, [field], key)).select("id", "score")
-
-

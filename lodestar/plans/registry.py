@@ -50,9 +50,12 @@ def _r6(c: str | Column, name: str) -> Column:
 
 @query
 def scan_union_dedupe(spark, sf):
-    docs = tables.read_table(spark, sf, "documents").select("doc_id", "n_chars")
-    again = docs.select("doc_id", (F.col("n_chars") + 1).alias("n_chars"), F.lit("reload").alias("note"))
-    return ingest.last_per_id(tables.union_collections([docs, again]), "doc_id")
+    """A collection and a reload of it, read as one table; the row loaded last of each id."""
+    reload = tables.read_table(spark, sf, "documents").select("doc_id", (F.col("n_chars") + 1).alias("n_chars"), F.lit("reload").alias("note"))
+    path = tables.work_dir(spark)
+    tables.replace_table(reload, path)
+    both = tables.read_records(spark, f"{sf}/documents.parquet", path)
+    return ingest.last_per_id(both.select("doc_id", "n_chars", "load_seq", "note"), "doc_id")
 
 
 @query

@@ -81,7 +81,6 @@ REQUEST_COLUMNS = (
     "lang", "sort", "order", "size", "from",
     "ip_address", "ip_address_forward", "timestamp", "user_agent", "http_method", "body",
 )
-REQUEST = T.StructType([T.StructField(c, _S) for c in REQUEST_COLUMNS])
 
 # Scoring parameters of the hybrid search.
 K1, B = 1.2, 0.75

@@ -9,8 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestar.schemas import SLOW_LOG
-
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -52,10 +50,6 @@ def unwrap_tags(items: DataFrame, attribute: str) -> DataFrame:
     return items.select(F.col("uuid.S").alias("uuid"), F.col(f"{attribute}.S").alias("tag"))
 
 
-def read_slow_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SLOW_LOG).json(path)
-
-
 def replace_table(df: DataFrame, path: str) -> None:
     """Write a table in place of whatever was there."""
     df.write.mode("overwrite").parquet(path)
