@@ -9,14 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.frames import Scratch, mix, seeds
+from lodestar.llm.frames import Scratch
 
 #: Neighbours of a node, neighbours from the other side it is met by, and rounds of descent.
 NEIGHBOURS, REVERSE, ROUNDS = 32, 32, 5
 #: Tables of random planes that give the first neighbours, and the nodes a block of them aims at and may hold.
 TABLES, BLOCK, LARGEST = 5, 128, 512
 #: Nodes a query keeps, expands at once, and rounds of its search at most.
-POOL, EXPAND, SEARCH = 96, 16, 12
+POOL, EXPAND, SEARCH = 160, 32, 12
 
 
 def _rows(column: pa.Array, kind: type = np.float32) -> np.ndarray:
@@ -140,7 +140,8 @@ def _best(edges: DataFrame, k: int) -> DataFrame:
 def build_graph(
     nodes: DataFrame, k: int = NEIGHBOURS, reverse: int = REVERSE, rounds: int = ROUNDS, tables: int = TABLES,
 ) -> DataFrame:
-    """A graph ``(node, others)`` of about the ``k`` nearest of each row of ``nodes(node, embedding)``.
+    """A graph of about the ``k`` nearest of each row of ``nodes(node, embedding)``: ``(node, code, others)``,
+    with the node's vector in small integers.
 
     First neighbours come from blocks of nodes on the same side of some random planes. Then each
     round a node's neighbours, and a fixed number of those that have it as neighbour, meet each
@@ -176,24 +177,47 @@ def build_graph(
         graph = after
         if 200 * changed <= count * k:
             break
-    scratch.drop(coded)
     linked = graph.select(F.col("u").alias("node"), F.col("w").alias("other")).unionByName(graph.select(F.col("w").alias("node"), F.col("u").alias("other")))
     place = F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("node", "other"), "other"))
     # Both directions; of those that many have as neighbour a fixed number.
     kept = graph.select(F.col("u").alias("node"), F.col("w").alias("other")).unionByName(
         linked.join(graph.select(F.col("u").alias("node"), F.col("w").alias("other")), ["node", "other"], "left_anti").withColumn("place", place).where(F.col("place") <= reverse).drop("place")
     )
-    return scratch.table(kept.groupBy("node").agg(F.collect_set("other").alias("others")))
-
-
-def _cosines(table: pa.Table | pa.RecordBatch, a: str, b: str) -> np.ndarray:
-    x, y = _rows(table.column(a), np.float64), _rows(table.column(b), np.float64)
-    return np.einsum("ij,ij->i", x, y) / (np.sqrt(np.einsum("ij,ij->i", x, x)) * np.sqrt(np.einsum("ij,ij->i", y, y)))
+    lists = kept.groupBy(F.col("node").alias("of")).agg(F.collect_set("other").alias("others"))
+    out = scratch.table(coded.select("node", "code").join(lists, coded["node"] == lists["of"], "left").select("node", "code", "others"))
+    scratch.drop(coded, graph)
+    return out
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Exact cosines of queries and nodes, with the ids that each node stands for."""
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("query", "node")), pa.array(_cosines(batch, "target", "embedding")) if batch.num_rows else pa.array([], pa.float64())], ["query", "node", "near"])
+        x, y = _rows(batch.column("target"), np.float64), _rows(batch.column("embedding"), np.float64)
+        near = np.einsum("ij,ij->i", x, y) / (np.sqrt(np.einsum("ij,ij->i", x, x)) * np.sqrt(np.einsum("ij,ij->i", y, y)))
+        yield pa.RecordBatch.from_arrays([batch.column("query"), pa.array(near, pa.float64()), batch.column("ids")], ["query", "near", "ids"])
+
+
+_STATE = "query bigint, code binary, nodes array<bigint>, near array<float>, done array<boolean>"
+
+
+def _walked(state: pa.Table, met: pa.Table) -> pa.Table:
+    """A query's nodes after a step: those expanded are done, those met join, the nearest stay."""
+    if not state.num_rows:
+        return state
+    nodes, near, done = (state.column(c)[0].values.to_numpy(zero_copy_only=False).copy() for c in ("nodes", "near", "done"))
+    done[np.flatnonzero(~done)[:EXPAND]] = True
+    if met.num_rows:
+        found = met.column("node").to_numpy()
+        new = ~np.isin(found, nodes)
+        codes = _unit(_blobs(met.column("code").combine_chunks()))[new]
+        nodes = np.concatenate((nodes, found[new]))
+        near = np.concatenate((near, codes @ _unit(_blobs(state.column("code").combine_chunks()))[0])).astype(np.float32)
+        done = np.concatenate((done, np.zeros(int(new.sum()), bool)))
+    best = np.lexsort((nodes, -near))[:POOL]
+    return pa.table({
+        "query": state.column("query"), "code": state.column("code"), "nodes": pa.array([nodes[best]], pa.list_(pa.int64())),
+        "near": pa.array([near[best]], pa.list_(pa.float32())), "done": pa.array([done[best]], pa.list_(pa.bool_())),
+    })
 
 
 def search(
@@ -220,27 +244,25 @@ def search(
     graph = build_graph(nodes, **graph_options)
     # Only the queries' own rows are joined by their vectors, to find their nodes.
     wanted = rows.where(queries).select(F.col("vec_id").alias("query"), "embedding")
-    named = nodes.select("embedding", "node")
-    asked = scratch.table(wanted.join(named, "embedding").select("query", "node", F.col("embedding").alias("target")))
-    pool = scratch.table(asked.select("query", "node", F.lit(1.0).alias("near"), F.lit(False).alias("done")))
-    targets = asked.select("query", "target")
+    asked = wanted.join(nodes.select("embedding", "node"), "embedding").select("query", "node", F.col("embedding").alias("target"))
+    asked = scratch.table(asked)
+    state = scratch.table(asked.join(graph.select("node", "code"), "node").select(
+        "query", "code", F.array("node").alias("nodes"), F.array(F.lit(1.0).cast("float")).alias("near"), F.array(F.lit(False)).alias("done")
+    ))
     for _ in range(SEARCH):
-        place = F.row_number().over(Window.partitionBy("query").orderBy("done", F.desc("near"), "node"))
-        turn = pool.withColumn("turn", place)
-        open_ = turn.where(f"NOT done AND turn <= {EXPAND}")
+        pairs = F.expr("slice(filter(arrays_zip(nodes, done), p -> NOT p.done), 1, " + str(EXPAND) + ")")
+        open_ = state.select(F.col("query").alias("asker"), F.explode(pairs).alias("p")).select("asker", F.col("p.nodes").alias("node"))
         if open_.isEmpty():
             break
-        reached = open_.join(graph, "node").select("query", F.explode("others").alias("node")).distinct()
-        new = reached.join(pool.select("query", "node"), ["query", "node"], "left_anti")
-        measured = new.join(nodes.select("node", "embedding"), "node").join(targets, "query").mapInArrow(_measured, "query bigint, node bigint, near double")
-        every = turn.select("query", "node", "near", F.expr(f"done OR turn <= {EXPAND}").alias("done")).unionByName(measured.withColumn("done", F.lit(False)))
-        keep = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("near"), "node"))
-        after = scratch.table(every.withColumn("keep", keep).where(F.col("keep") <= POOL).drop("keep"))
-        scratch.drop(pool)
-        pool = after
-    held = pool.join(nodes.select("node", "ids", "embedding"), "node").join(targets, "query")
-    exact = held.mapInArrow(_measured, "query bigint, node bigint, near double")
-    found = exact.join(nodes.select("node", "ids"), "node").select("query", F.explode("ids").alias("vec_id"), "near").where("vec_id <> query")
+        reached = open_.join(graph.select("node", "others"), "node").select("asker", F.explode("others").alias("node")).distinct()
+        met = reached.join(graph.select("node", "code"), "node").select("asker", "node", "code")
+        after = scratch.table(state.groupBy("query").cogroup(met.groupBy("asker")).applyInArrow(_walked, _STATE))
+        scratch.drop(state)
+        state = after
+    pool = state.select("query", F.explode("nodes").alias("node"))
+    held = pool.join(nodes, "node").join(asked.select("query", "target"), "query").select("query", "target", "embedding", "ids")
+    exact = held.mapInArrow(_measured, "query bigint, near double, ids array<bigint>")
+    found = exact.select("query", F.explode("ids").alias("vec_id"), "near").where("vec_id <> query")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("near"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select(
         F.col("query").alias("query_id"), F.col("rank").cast("int").alias("rank"), "vec_id", F.col("near").alias("score")
