@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -83,14 +85,16 @@ def count_check(spark: SparkSession, path: str) -> DataFrame:
 def work_dir(spark: SparkSession) -> str:
     """A fresh path below the shared folder named by ``spark.checkpoint.dir``.
 
-    Only where that setting is unset (local tests) a folder of this machine is taken.
+    Only where that setting is unset (local tests) a folder of this machine is taken, and removed at the end.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-        base = getattr(spark, "_lodestar_work", None) or tempfile.mkdtemp(prefix="lodestar-")
-        spark._lodestar_work = base
+        base = getattr(spark, "_lodestar_work", None)
+        if base is None:
+            base = spark._lodestar_work = tempfile.mkdtemp(prefix="lodestar-")
+            atexit.register(shutil.rmtree, base, True)
     return f"{base.rstrip('/')}/lodestar/{uuid.uuid4().hex}"
 
 
