@@ -12,7 +12,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from lodestar.llm import bpe, chat, decontaminate, hmm, html_text, toxicity
+from lodestar.llm import bpe, chat, decontaminate, hmm, html_text, queries, toxicity
 
 DOCS = "doc_id bigint, text string"
 
@@ -172,6 +172,13 @@ def test_preference_pairs(spark):
     assert chat.preference_pairs(turns.limit(0)).count() == 0
 
 
+def test_preference_pairs_use_expressions_only(spark, sf):
+    pairs = queries.op2_chat_formatting(spark, sf)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 # --- language model -----------------------------------------------------------------------------------
 
 
