@@ -53,24 +53,25 @@ def _features(text: np.ndarray, seen: np.ndarray) -> np.ndarray:
     return found
 
 
-def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Iterator[np.ndarray]]]:
+    """Parts of the batches with the features of their texts, one text at a time."""
     seen = np.zeros(1 << LOG_BUCKETS, bool)
     for batch in batches:
         for part in slices(batch, "text"):
             data, offsets = text_bytes(part.column("text"))
-            yield part, [_features(data[a:b], seen) for a, b in zip(offsets[:-1], offsets[1:])]
+            yield part, (_features(data[a:b], seen) for a, b in zip(offsets[:-1], offsets[1:]))
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """In how many texts of either class each feature occurs, and how many texts there are (-1)."""
     for part, rows in _each(batches):
         toxic = part.column("toxic").to_numpy(zero_copy_only=False)
-        both = np.zeros((2, 1 << LOG_BUCKETS), np.int64)
+        both = np.zeros((2, 1 << LOG_BUCKETS), np.int32)
         for label, features in zip(toxic, rows):
             both[label][features] += 1
         found = np.flatnonzero(both.any(0))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.append(found, -1)), pa.array(np.append(both[0][found], (toxic == 0).sum())), pa.array(np.append(both[1][found], (toxic == 1).sum()))],
+            [pa.array(np.append(found, -1)), *(pa.array(np.append(both[k][found], (toxic == k).sum()).astype(np.int64)) for k in (0, 1))],
             ["feature", "clean", "toxic"],
         )
 
@@ -81,8 +82,7 @@ def _examples(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = shared.value
         for part, rows in _each(batches):
-            own = [place[f] for f in rows]
-            own = [f[f >= 0] for f in own]
+            own = [f[f >= 0] for f in (place[f] for f in rows)]
             ends = np.concatenate(([0], np.cumsum([len(f) for f in own])))
             flat = np.concatenate(own) if own else np.zeros(0, np.int32)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), large_list(flat, ends, pa.int32())], ["doc_id", "toxic", "features"])
@@ -102,19 +102,34 @@ class Model:
         return float(1 / (1 + np.exp(-min(max(z, -500.0), 500.0))))
 
 
+#: Features of the sample that the fit works on at once.
+_AT_ONCE = 1 << 20
+
+
 def _logistic(flat: np.ndarray, ends: np.ndarray, ratio: np.ndarray, y: np.ndarray, rounds: int = 400) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression on features of value ``ratio``, by accelerated gradient steps."""
+    """Ridge logistic regression on features of value ``ratio``, by accelerated gradient steps.
+
+    ``flat`` has the features of all rows, row i those from ``ends[i]`` to ``ends[i + 1]``.
+    """
     n = len(y)
-    row = np.repeat(np.arange(n), np.diff(ends))
-    value = ratio[flat]
-    norms = np.bincount(row, value * value, n) + 1
+    cuts = [0]
+    while cuts[-1] < n:
+        cuts.append(max(int(np.searchsorted(ends, ends[cuts[-1]] + _AT_ONCE, "right")) - 1, cuts[-1] + 1))
+    parts = [(a, b, flat[ends[a] : ends[b]], np.repeat(np.arange(b - a, dtype=np.int32), np.diff(ends[a : b + 1]))) for a, b in zip(cuts, cuts[1:])]
+
+    def rows_of(by_feature: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.bincount(row, by_feature[own], b - a) for a, b, own, row in parts])
+
+    norms = rows_of(ratio * ratio) + 1
     step = 4 / (norms.mean() + np.quantile(norms, 0.99) + RIDGE / n)
     w, b = np.zeros(len(ratio)), float(np.log((y.sum() + 1) / (n - y.sum() + 1)))
     v, c = w.copy(), b
     for k in range(1, rounds + 1):
-        z = c + np.bincount(row, value * v[flat], n)
-        error = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - y
-        w_next = v - step * (np.bincount(flat, value * error[row], len(ratio)) / n + RIDGE / n * v)
+        error = 1 / (1 + np.exp(-np.clip(c + rows_of(ratio * v), -500, 500))) - y
+        slope = np.zeros(len(ratio))
+        for first, last, own, row in parts:
+            slope += np.bincount(own, error[first:last][row], len(ratio))
+        w_next = v - step * (ratio * slope / n + RIDGE / n * v)
         b_next = c - step * error.mean()
         v, c = w_next + (k - 1) / (k + 2) * (w_next - w), b_next + (k - 1) / (k + 2) * (b_next - b)
         w, b = w_next, b_next
