@@ -33,6 +33,25 @@ CLUTTER = frozenset(
     "related recommended recommendations share sharing social newsletter subscribe subscription signup login signin register "
     "pagination pager widget widgets rail tags skip search searchform outbrain taboola form complementary contentinfo".split()
 )
+# What a class or id inside an article must be made of, wholly, to name a container of clutter:
+# one word of KINDS at least, and PARTS. A word that stands alone may also be what the text is about, in an id most of all.
+KINDS = frozenset(
+    "comment comments share sharing social related recommended recommendations newsletter subscribe subscription signup cookie cookies consent "
+    "ad ads advert advertisement advertising sponsor sponsored promo breadcrumb breadcrumbs sidebar pagination pager nav navigation footer tags reply disqus".split()
+)
+PARTS = frozenset(
+    "bar buttons button btn btns icons links list area section wrapper wrap container holder box block panel module widget widgets form thread posts articles "
+    "stories items banner notice popup modal unit slot rail reader user post page article entry story site top bottom left right js wp".split()
+)
+ALONE_ID = frozenset("comments commentlist respond disqus sidebar outbrain taboola".split())
+ALONE_CLASS = ALONE_ID | frozenset(
+    "share sharing sharebar social related recommended newsletter subscribe signup ad ads adv advert adverts advertisement adsense adbox sponsored promo "
+    "breadcrumb breadcrumbs sidebars pagination pager nav navbar menu submenu toolbar footer tags widget widgets popup modal paywall replies searchform".split()
+)
+ROLES = frozenset("navigation complementary search contentinfo dialog alertdialog menu menubar toolbar".split())
+#: Elements that a name can drop inside an article, and those that none drops anywhere.
+CONTAINERS = frozenset("div section ul ol dl details".split())
+PROSE = frozenset("article p pre blockquote".split()) | HEADINGS
 # Words that tell where the article is.
 GOOD = frozenset("article content body entry post story main text blog page hentry".split())
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)(?:((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|$)|([^>]*)(?:>|$))", re.S)
@@ -40,6 +59,8 @@ _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^
 _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 #: Class names of what surrounds clutter or does without it.
 _NEGATED = re.compile(r"(?:^|[-_])(?:no|not|has|with|without)[-_]", re.I)
+#: Class names of what an article is about.
+_TOPIC = re.compile(r"(?:category|cat|tag|topic|author|format|type|status)[-_]", re.I)
 _COMMA = re.compile(r"[,、،，]")
 
 #: Characters of a paragraph that passes points on, and of one that is kept beside the container.
@@ -57,24 +78,56 @@ class Node:
         self.points = 0.0
 
 
-def _clutter(tag: str, attributes: str, inside_article: bool) -> tuple[frozenset[str], bool]:
-    """The words of an element's names, and whether the element is not part of an article."""
-    names: list[str] = []
+def _names_clutter(key: str, token: str, words: list[str], strict: bool) -> bool:
+    """Whether a class, id or role names what is not part of an article; ``strict`` for elements that are inside one."""
+    if _NEGATED.search(token) or key == "class" and _TOPIC.match(token):
+        return False
+    if not strict:
+        # An id is a name of its own element: all of it has to fit.
+        fit = [w in CLUTTER or key == "id" and w in PARTS for w in words]
+        return any(w in CLUTTER for w in words) and (key != "id" or all(fit))
+    if key == "role":
+        return token.lower() in ROLES
+    words = [w for w in words if len(w) > 1]
+    if len(words) == 1:
+        return words[0] in (ALONE_ID if key == "id" else ALONE_CLASS)
+    return any(w in KINDS for w in words) and all(w in KINDS or w in PARTS for w in words)
+
+
+def _clutter(tag: str, attributes: str, inside_article: bool, inside_prose: bool = False) -> tuple[frozenset[str], bool]:
+    """The words of an element's names, and whether the element is not part of an article.
+
+    Names drop no article, heading or paragraph and nothing in one; in an article and for sections, whose
+    ids come from their headings, they drop containers by their whole name only."""
+    tokens: list[tuple[str, str, list[str]]] = []
     hidden = tag in APART or tag == "header" and not inside_article
-    clutter = False
     if attributes:
         for key, double, single, bare in _ATTRIBUTE.findall(attributes):
             key, value = key.lower(), double or single or bare
             if key in ("class", "id", "role"):
-                for token in value.split():
-                    words = [w.lower() for w in _WORD.findall(token)]
-                    names += words
-                    clutter |= any(w in CLUTTER and not (inside_article and w == "header") for w in words) and not _NEGATED.search(token)
+                tokens += [(key, token, [w.lower() for w in _WORD.findall(token)]) for token in value.split()]
             elif key == "hidden" or key == "aria-hidden" and value.lower() == "true":
                 hidden = True
             elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 hidden = True
-    return frozenset(names), tag not in ("html", "body", "main") and (hidden or clutter)
+    strict = inside_article or tag == "section" or any(key == "class" and token == "section" for key, token, _ in tokens)
+    named = tag in CONTAINERS if strict else tag not in PROSE and not inside_prose
+    clutter = named and any(_names_clutter(*token, strict) for token in tokens)
+    return frozenset(w for _, _, words in tokens for w in words), tag not in ("html", "body", "main") and (hidden or clutter)
+
+
+def _closed(page: str, tag: str) -> dict[int, int]:
+    """Where each element of a name that is skipped whole starts, and where its end tag ends; those
+    without an end tag are left out."""
+    out: dict[int, int] = {}
+    opened: list[int] = []
+    for found in re.finditer(rf"<(/?){re.escape(tag)}(?=[\s/>])[^>]*>", page, re.I):
+        if not found[1]:
+            if not found[0].endswith("/>"):
+                opened.append(found.start())
+        elif opened:
+            out[opened.pop()] = found.end()
+    return out
 
 
 def parse(page: str) -> Node:
@@ -82,6 +135,7 @@ def parse(page: str) -> Node:
     follows an unclosed element's last text belongs to it. Formatting elements leave no trace."""
     root = Node("html", None)
     here, at, article = root, 0, 0
+    closed: dict[str, dict[int, int]] = {}
     for found in iter(lambda: _TAG.search(page, at), None):
         if found.start() > at:
             here.children.append(page[at : found.start()])
@@ -102,8 +156,14 @@ def parse(page: str) -> Node:
             continue
         if tag in RAW:
             if not found[1] and not (found[3] or "").endswith("/"):
-                close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-                at = close.end() if close else len(page)
+                if tag in ("script", "style"):
+                    close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+                    at = close.end() if close else len(page)
+                else:
+                    # Of an element that is never closed only the start tag is skipped.
+                    if tag not in closed:
+                        closed[tag] = _closed(page, tag)
+                    at = max(at, closed[tag].get(found.start(), at))
             continue
         if found[1]:
             node = here
@@ -120,16 +180,20 @@ def parse(page: str) -> Node:
         if tag in CLOSES_P or tag in ("li", "dd", "dt", "tr", "td", "th", "option"):
             here = _implied(here, tag)
         attributes = found[3] if found[3] is not None else found[4]
-        words, dropped = _clutter(tag, attributes, article > 0)
+        words, dropped = _clutter(tag, attributes, article > 0, here.tag == "p" or here.tag in HEADINGS)
         node = Node(tag, here, words, dropped)
         here.children.append(node)
         if tag in ("article", "main") and not dropped:
             article += 1
-            # A wrapper's name may sound like clutter; what holds the article is none.
-            up = here
-            while up is not None:
-                up.dropped &= up.tag not in ("div", "section")
+            # A wrapper's name may sound like clutter; what holds the article is none. A comment, or an
+            # article inside another, tells nothing of its wrappers.
+            up = None if tag == "article" and words & {"comment", "comments", "reply"} else here
+            wrappers = []
+            while up is not None and up.tag != "article":
+                wrappers.append(up)
                 up = up.parent
+            for wrapper in wrappers if up is None else []:
+                wrapper.dropped &= wrapper.tag not in ("div", "section")
         if not attributes.endswith("/"):
             here = node
     if at < len(page):
@@ -276,7 +340,9 @@ def extract(page: str) -> str:
         up = node
         while up is not None and id(up) not in kept:
             up = up.parent
-        if up is not None and not (links and 10 * links >= 9 * len(text) and node.tag in ("li", "div", "ul", "nav")):
+        # In an article, or the container found, linked items are its references; in a bare body they may be menus.
+        loose = up is not None and up.tag in ("html", "body") and node.tag in ("li", "div", "ul", "nav")
+        if up is not None and not (loose and links and 10 * links >= 9 * len(text)):
             out.append(text)
     return "\n\n".join(out)
 

@@ -129,6 +129,26 @@ def test_pages(page, text):
     assert html_text.extract(page) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    (f"<article class='post category-social tag-search'><h2 id=related-work>R</h2><p>{LONG}</p></article>", f"R\n\n{LONG}"),
+    (f"<body><article><p>{LONG}</p><section id=discussion><h2>D</h2><p>{LONG} 2</p></section><p class=notice>N</p></article>", f"{LONG}\n\nD\n\n{LONG} 2\n\nN"),
+    (f"<body><section id=related-work><h2 class=banner>R</h2><p>{LONG}</p><p class=notice>N</p></section>", f"R\n\n{LONG}\n\nN"),
+    (f"<article><p>{LONG} <a class=related href=x>see</a> <span class=tag-search>this</span></p><ol class=references><li><a href=a>One</a><li><a href=b>Two</a></ol><div><a href=c>Three</a></div>",
+     f"{LONG} see this\n\nOne\n\nTwo\n\nThree"),
+    (f"<article><p>{LONG}</p><div class='share-bar'>s</div><ul class=related-posts><li>r</ul><div id=comments>c</div><section class=newsletterSignup>n</section><div class='alert'>a</div>", f"{LONG}\n\na"),
+    (f"<article><p>{LONG}</p></article><div class=comments><article class=comment><p>c</p></article></div>", LONG),
+    (f"<article><p>{LONG}</p><div class=related-posts><article><p>{LONG} 2</p></article></div></article>", LONG),
+    *((f"<div><p>{LONG}</p><{tag} a=b><p>{LONG} 2</p><{tag}>x</{tag}><p>end</p></div>", f"{LONG}\n\n{LONG} 2\n\nend") for tag in ("svg", "iframe", "select", "object")),
+    (f"<div><p>{LONG}</p><svg><svg>a</svg>b</svg><p>end</p><script>var a = 1; <p>{LONG}</p>", f"{LONG}\n\nend"),
+])
+def test_names_drop_no_article_text(page, text):
+    assert html_text.extract(page) == text
+
+
+def test_many_unclosed_elements_take_no_longer():
+    assert html_text.extract("<svg>" * 100_000 + f"<p>{LONG}</p>") == LONG
+
+
 def test_pages_cut_anywhere_do_not_fail():
     page = f"<html><body><div class=\"x'y\"><p title=\"a>b\">{LONG}</p><table><tr><td>a<td>b</table><p>{LONG}</p></div></body></html>"
     for n in range(len(page)):
