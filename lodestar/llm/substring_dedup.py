@@ -1,4 +1,4 @@
-"""Passages that repeat across documents, by content-defined chunks and their digests."""
+"""Passages that repeat across documents, by digests of windows of words."""
 
 from __future__ import annotations
 
@@ -12,12 +12,10 @@ from pyspark.sql import types as T
 
 from lodestar.llm.frames import mix, seeds, slices, text_bytes
 
-#: Mean and largest bytes of a chunk, and those from which it is compared; a smaller one goes with the
-#: repeated chunks on both sides of it. The rolling hash sees the last 16 bytes.
-MEAN, LARGEST, SMALLEST = 24, 1024, 8
-#: A run of repeated chunks goes if it holds so many words. The ends of a passage lie in chunks that also
-#: hold other text, some 60 bytes together, so this is well below the passages of 50 words and more meant.
-MIN_WORDS = 22
+#: Mean and largest bytes of a chunk of ``cuts``, which the operator no longer uses; the rolling hash sees the last 16 bytes.
+MEAN, LARGEST = 24, 1024
+#: A passage goes if it holds so many words.
+MIN_WORDS = 50
 
 _GEAR = seeds(256, 8).astype(np.uint16)
 _BYTE = seeds(256, 9)
@@ -73,55 +71,195 @@ def digests(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each chunk. Of equal chunks of a block of texts only the first, by id, goes on to be
+_SPACE = np.zeros(256, bool)
+_SPACE[list(b" \t\n\r\x0b\x0c")] = True
+_CORE = np.ones(256, bool)
+_CORE[:128] = [chr(i).isalnum() for i in range(128)]
+
+
+class Words:
+    """The words of a block of texts, as white space parts them: the text of each and its bounds in the
+    block's bytes, without the ASCII signs at its edges (``core``, ``end``), and digests of windows of them."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        space = _SPACE[data]
+        edge = np.zeros(len(data) + 1, bool)
+        edge[offsets] = True
+        begins = ~space
+        begins[1:] &= space[:-1] | edge[1:-1]
+        start = np.flatnonzero(begins)
+        stops = ~space
+        stops[:-1] &= space[1:] | edge[1:-1]
+        stop = np.flatnonzero(stops) + 1
+        self.row = np.searchsorted(offsets, start, "right") - 1
+        self.first = np.searchsorted(start, offsets)
+        tail = np.minimum(np.append(start[1:], len(data)), offsets[self.row + 1])
+        at = np.flatnonzero(_CORE[data])
+        core = np.append(at, len(data))[np.searchsorted(at, start)]
+        end = np.append(at, -1)[np.searchsorted(at, stop) - 1] + 1
+        bare = core >= stop
+        self.core, self.end = np.where(bare, start, core), np.where(bare, stop, end)
+        parts = digests(data, np.stack((start, self.core, self.end, tail), 1).ravel()).reshape(-1, 4)
+        lead, mid, last = parts[:, 1], parts[:, 2], parts[:, 3]
+        base = np.uint64(_BASE)
+        self._head, self._tail = mix(mid * base + last), mix(lead * base + mid)
+        self._whole = mix(lead * base + self._head)
+
+    def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """A digest of the bytes from each word to the (n - 1)th after it, and whether that is of the same text."""
+        size = len(self.row)
+        good = np.zeros(size, bool)
+        if size < n:
+            return np.zeros(size, np.uint64), good
+        good[: size - n + 1] = self.row[: size - n + 1] == self.row[n - 1 :]
+        out = np.zeros(size, np.uint64)
+        if n == 1:
+            return mix(self._head ^ (self._tail * np.uint64(_BASE))), good
+        # A polynomial over the words between the first and the last: of 2n words from those of n.
+        inner, done, power, length, factor = np.zeros(size, np.uint64), 0, self._whole, 1, _BASE
+        left = n - 2
+        while left:
+            if left & 1:
+                inner = inner * np.uint64(factor) + _shift(power, done)
+                done += length
+            left >>= 1
+            if left:
+                power = power * np.uint64(factor) + _shift(power, length)
+                factor = factor * factor & 0xFFFFFFFFFFFFFFFF
+                length *= 2
+        out = mix(self._head * np.uint64(_BASE) + mix(_shift(inner, 1)) + mix(_shift(self._tail, n - 1)) * np.uint64(_BACK))
+        return out, good
+
+    def chosen(self, digest: np.ndarray, good: np.ndarray, w: int) -> np.ndarray:
+        """The windows whose digest is the smallest of some ``w`` in a row of one text."""
+        most = np.uint64(0xFFFFFFFFFFFFFFFF)
+        low = _slide(np.where(good, digest, most), w, np.minimum, most)
+        whole = good & _shift(good, w - 1) & (self.row == _shift(self.row, w - 1))
+        # The largest of the smallest of the w rows of windows that a window is in.
+        high = _slide(np.where(whole, low, np.uint64(0))[::-1], w, np.maximum, np.uint64(0))[::-1]
+        some = _slide(whole[::-1], w, np.maximum, False)[::-1]
+        return np.flatnonzero(good & some & (high == digest))
+
+
+def _shift(x: np.ndarray, n: int) -> np.ndarray:
+    """``x[i + n]`` at i, zero beyond the end."""
+    out = np.zeros_like(x)
+    if n < len(x):
+        out[: len(x) - n] = x[n:]
+    return out
+
+
+def _slide(x: np.ndarray, w: int, least, fill) -> np.ndarray:
+    """The smallest or largest of ``x[i : i + w]`` at i."""
+    x, have = x.copy(), 1
+    while have < w:
+        step = min(have, w - have)
+        x[:-step] = least(x[:-step], x[step:]) if step < len(x) else x[:-step]
+        have += step
+    return x
+
+
+def _rows(words: Words, digest: np.ndarray, places: np.ndarray, ids: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
+    """One row for each window. Of equal windows of a block of texts only the first, by id, goes on to be
     compared (``deal`` is its digest); the others are known to repeat it and are dealt out evenly."""
-    for batch in batches:
-        for part in slices(batch, "text"):
-            data, offsets = text_bytes(part.column("text"))
-            each = [cuts(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
-            counts = np.array([len(e) for e in each])
-            if not counts.sum():
-                continue
-            # The ends of all chunks of the block, in its bytes: texts end where chunks do.
-            ends = np.concatenate([e + a for e, a in zip(each, offsets[:-1])])
-            digest = digests(data, ends).view(np.int64)
-            row = np.repeat(np.arange(len(counts)), counts)
-            start = np.concatenate(([0], ends[:-1])) - offsets[row]
-            size = np.diff(ends, prepend=0)
-            ids = pa.compute.fill_null(part.column("order_id"), 0).to_numpy()
-            key = part.column("key").to_numpy()
-            order = np.lexsort((start, key[row], ids[row], digest))
-            repeat = np.zeros(len(order), bool)
-            repeat[1:] = digest[order][1:] == digest[order][:-1]
-            head = np.maximum.accumulate(np.where(repeat, 0, np.arange(len(order))))
-            first = np.empty(len(order), np.int64)
-            first[order] = order[head]
-            known = np.zeros(len(order), bool)
-            known[order] = repeat
-            # What repeats inside a document, or in a repeated row, repeats nothing of another document.
-            same = known & (key[row] == key[row[first]]) & (ids[row] == ids[row[first]])
-            known &= ~same
-            deal = np.where(known, mix((np.arange(len(row)) + (row << 32)).astype(np.uint64) ^ digest.view(np.uint64)).view(np.int64), digest)
-            take = np.flatnonzero(~same & (size >= SMALLEST))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(deal[take]), pa.array(known[take]), pa.array(ids[row][take]), pa.array(key[row][take]), pa.array((start << 11 | size)[take]),
-                 pa.array(np.where(known, ids[row[first]], 0)[take])],
-                ["deal", "known", "order_id", "key", "place", "holder"],
-            )
-
-
-_CHUNK = "deal bigint, known boolean, order_id bigint, key bigint, place bigint, holder bigint"
+    row = words.row[places]
+    digest = digest[places].view(np.int64)
+    place = places - words.first[row]
+    ids, key = ids[row], key[row]
+    order = np.lexsort((place, key, ids, digest))
+    repeat = np.zeros(len(order), bool)
+    repeat[1:] = digest[order][1:] == digest[order][:-1]
+    head = np.maximum.accumulate(np.where(repeat, 0, np.arange(len(order))))
+    first = np.empty(len(order), np.int64)
+    first[order] = order[head]
+    known = np.zeros(len(order), bool)
+    known[order] = repeat
+    # What repeats inside a document, or in a repeated row, repeats nothing of another document.
+    same = known & (key == key[first]) & (ids == ids[first])
+    known &= ~same
+    # Of several equal windows of a later document one is enough.
+    again = np.zeros(len(order), bool)
+    again[order[1:]] = repeat[1:] & (ids[order][1:] == ids[order][:-1]) & (key[order][1:] == key[order][:-1])
+    met = np.zeros(len(order), bool)
+    met[first[known]] = True
+    deal = np.where(known, mix((np.arange(len(row)) + (row << 32)).astype(np.uint64) ^ digest.view(np.uint64)).view(np.int64), digest)
+    take = np.flatnonzero(~same & ~again)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(x[take]) for x in (deal, known, met, ids, key, place, np.where(known, ids[first], 0))],
+        ["deal", "known", "met", "order_id", "key", "place", "holder"],
+    )
+
+
+_WINDOW = "deal bigint, known boolean, met boolean, order_id bigint, key bigint, place bigint, holder bigint"
+
+
+def _parts(n: int) -> tuple[int, int]:
+    """Words of a window that is compared first, and of how many in a row one is chosen: n words hold a chosen one."""
+    return (n + 1) // 2, n - (n + 1) // 2 + 1
+
+
+def _chosen(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                words = Words(*text_bytes(part.column("text")))
+                k, w = _parts(n)
+                digest, good = words.windows(k)
+                places = words.chosen(digest, good, w)
+                if len(places):
+                    yield _rows(words, digest, places, *(part.column(c).to_numpy() for c in ("of_id", "of_key")))
+
+    return run
+
+
+def _flagged(words: Words, digest: np.ndarray, good: np.ndarray, found: pa.Array) -> np.ndarray:
+    """The windows equal to those at the ``found`` places of each text, at all their places in it."""
+    out = np.zeros(len(digest), bool)
+    for row, places in enumerate(found):
+        if places.is_valid:
+            a, b = words.first[row], words.first[row + 1]
+            out[a:b] = np.isin(digest[a:b], digest[a + places.values.to_numpy(zero_copy_only=False)]) & good[a:b]
+    return out
+
+
+def _all_near(n: int):
+    """All windows of n words that hold a chosen window which another document has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                words = Words(*text_bytes(part.column("text")))
+                k, w = _parts(n)
+                near = _flagged(words, *words.windows(k), part.column("places"))
+                digest, good = words.windows(n)
+                places = np.flatnonzero(_slide(near, w, np.maximum, False) & good)
+                if len(places):
+                    yield _rows(words, digest, places, *(part.column(c).to_numpy() for c in ("of_id", "of_key")))
+
+    return run
+
+
+_FOUND = ["order_id", "key", "place", "holder"]
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows in order of digest, then of document: those that repeat an earlier one, and its document."""
-    last: tuple[int, int, int] | None = None
+    yield from _matched(batches, False)
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same, and the rows that are repeated."""
+    yield from _matched(batches, True)
+
+
+def _matched(batches: Iterator[pa.RecordBatch], both: bool) -> Iterator[pa.RecordBatch]:
+    last: tuple[int, int, int, int, bool] | None = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        deal, known, ids, key, place, holder = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+        deal, known, met, ids, key, place, holder = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(7))
         free = np.flatnonzero(~known)
+        extra = None
         if len(free):
             d = deal[free]
             begins = np.ones(len(d), bool)
@@ -129,74 +267,69 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             carried = last is not None and last[0] == d[0]
             begins[0] = not carried
             head = np.maximum.accumulate(np.where(begins, np.arange(len(d)), 0))
-            head_id, head_key = ids[free][head], key[free][head]
+            head_id, head_key, head_place = ids[free][head], key[free][head], place[free][head]
             if carried:
                 old = np.cumsum(begins) == 0
-                head_id[old], head_key[old] = last[1:]
+                head_id[old], head_key[old], head_place[old] = last[1:4]
             known = known.copy()
-            known[free] = ~begins & ((head_id != ids[free]) | (head_key != key[free]))
+            later = ~begins & ((head_id != ids[free]) | (head_key != key[free]))
+            told = False
+            if both:
+                group = np.cumsum(begins)
+                shared = np.zeros(group[-1] + 1, bool)
+                shared[group[later | met[free]]] = True
+                told = carried and last[4]
+                if carried and shared[0] and not told:
+                    extra = last[1:4]
+                told = bool(shared[group[-1]] or told and group[-1] == 0)
+                later |= begins & shared[group]
+            known[free] = later
             holder = holder.copy()
             holder[free] = head_id
-            last = (int(d[-1]), int(head_id[-1]), int(head_key[-1]))
+            last = (int(d[-1]), int(head_id[-1]), int(head_key[-1]), int(head_place[-1]), told)
         take = np.flatnonzero(known)
-        yield pa.RecordBatch.from_arrays([pa.array(x[take]) for x in (ids, key, place, holder)], ["order_id", "key", "place", "holder"])
+        yield pa.RecordBatch.from_arrays([pa.array(x[take]) for x in (ids, key, place, holder)], _FOUND)
+        if extra is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (*extra, extra[0])], _FOUND)
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _cut_out(min_words: int):
-    """Merge neighbouring repeated chunks and remove runs of enough words."""
+def _cut_out(n: int):
+    """Remove the windows that were found, and those equal to them, from each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
+                data, offsets = text_bytes(part.column("text"))
+                words = Words(data, offsets) if part.column("places").null_count < len(part) else None
+                digest, good = words.windows(n) if words else (None, None)
                 texts, spans, holders, removed = [], [], [], []
-                for text, chunks in zip(part.column("text"), part.column("chunks")):
-                    found = chunks.as_py() if chunks.is_valid else None
-                    if not found or not text.is_valid:
+                flagged = np.flatnonzero(_flagged(words, digest, good, part.column("places"))) if words else np.zeros(0, np.int64)
+                for row, (text, held) in enumerate(zip(part.column("text"), part.column("holders"))):
+                    at = flagged[slice(*np.searchsorted(flagged, words.first[row : row + 2]))] if words and held.is_valid else flagged[:0]
+                    if not len(at):
                         texts.append(text.as_py())
                         spans.append([])
                         holders.append([])
                         removed.append(0)
                         continue
-                    body = text.as_buffer().to_pybytes()
-                    data = np.frombuffer(body, np.uint8)
-                    ends = cuts(data)
-                    digest = digests(data, ends)
-                    begins = np.concatenate(([0], ends[:-1]))
-                    of = dict(zip(begins.tolist(), digest.tolist()))
-                    # A repeated chunk goes at all its places in the text.
-                    gone = {of[c["place"] >> 11]: c["holder"] for c in found}
-                    flagged = np.isin(digest, np.fromiter(gone, np.uint64, len(gone)))
-                    runs: list[tuple[int, int, set]] = []
-                    reach = -1
-                    for i in np.flatnonzero(flagged | (ends - begins < SMALLEST)).tolist():
-                        a, b = int(begins[i]), int(ends[i])
-                        if not flagged[i]:
-                            reach = b if reach == a else reach
-                            continue
-                        holder = gone[int(digest[i])]
-                        if runs and reach == a:
-                            runs[-1] = (runs[-1][0], b, runs[-1][2] | {holder})
-                        else:
-                            runs.append((a, b, {holder}))
-                        reach = b
-                    # Chunks may end inside a character; what is removed begins and ends at one.
-                    whole = [(_next_char(body, a), _char(body, b), h) for a, b, h in runs]
-                    whole = [(a, b, h, len(body[a:b].split())) for a, b, h in whole]
-                    whole = [r for r in whole if r[3] >= min_words]
-                    kept, at, chars = [], 0, []
-                    for a, b, _, _ in whole:
-                        kept.append(body[at:a])
-                        before = (chars[-1][1] if chars else 0) + len(body[at:a].decode())
+                    # Windows that share a word are one span; what stands between others was not compared.
+                    new = np.flatnonzero(np.diff(at) >= n) + 1
+                    first, last = at[np.concatenate(([0], new))], at[np.concatenate((new, [len(at)])) - 1] + n - 1
+                    body = data[offsets[row] : offsets[row + 1]].tobytes()
+                    kept, end, chars = [], 0, []
+                    for a, b in zip((words.core[first] - offsets[row]).tolist(), (words.end[last] - offsets[row]).tolist()):
+                        kept.append(body[end:a])
+                        before = (chars[-1][1] if chars else 0) + len(kept[-1].decode())
                         chars.append((before, before + len(body[a:b].decode())))
-                        at = b
-                    texts.append(b"".join([*kept, body[at:]]).decode())
+                        end = b
+                    texts.append(b"".join([*kept, body[end:]]).decode())
                     spans.append([{"start": a, "end": b} for a, b in chars])
-                    holders.append(sorted(set().union(*(h for _, _, h, _ in whole))) if whole else [])
-                    removed.append(sum(n for _, _, _, n in whole))
-                carried = [c for c in part.schema.names if c not in ("text", "chunks")]
+                    holders.append(sorted(held.as_py()))
+                    removed.append(int((last - first + 1).sum()))
+                carried = [c for c in part.schema.names if c not in ("text", "of_id", "of_key", "places", "holders")]
                 yield pa.RecordBatch.from_arrays(
                     [*map(part.column, carried), pa.array(texts, pa.string()), pa.array(spans, _SPANS), pa.array(holders, pa.list_(pa.int64())), pa.array(removed, pa.int64())],
                     [*carried, "text", "spans", "holders", "n_removed"],
@@ -205,50 +338,46 @@ def _cut_out(min_words: int):
     return run
 
 
-def _char(body: bytes, at: int) -> int:
-    """The start of the character that ``at`` lies in."""
-    while 0 < at < len(body) and body[at] & 0xC0 == 0x80:
-        at -= 1
-    return at
-
-
-def _next_char(body: bytes, at: int) -> int:
-    while at < len(body) and body[at] & 0xC0 == 0x80:
-        at += 1
-    return at
-
-
 def substring_dedup(
     docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text", carry: list[str] | None = None,
 ) -> DataFrame:
-    """Remove passages that stand in an earlier document.
+    """Remove passages of ``min_words`` words or more that stand in an earlier document.
 
-    Texts are cut into chunks by content; equal chunks stay in the first document by id that holds
-    them, also where they repeat inside it. Neighbouring repeated chunks are one run; runs of
-    ``min_words`` words or more are removed. Returns the columns of
+    Words are what white space parts. Every window of ``min_words`` words, from the first letter or digit
+    of its first word to the last one of its last word, that stands byte for byte in an earlier document
+    by id is removed, at all its places. Returns the columns of
     ``docs`` (or those in ``carry``, and the text) with the text as it is after removal, ``spans`` (character ranges of the
-    original text that went), ``holders`` (ids of earlier documents that hold these passages, one at
-    least for each chunk) and ``n_removed`` (words). Columns of these names are replaced.
+    original text that went), ``holders`` (ids of the first documents that hold these windows) and
+    ``n_removed`` (words). Columns of these names are replaced.
 
     Ids are whole numbers. A null id sorts as 0. Null texts stay null, empty ones empty. Rows with the
-    same id and text are one document and get the same answer; a copy under another id loses all its text
-    but what no run covers. Chunks are compared by 64-bit digests; runs are several chunks long.
+    same id and text are one document and get the same answer; a copy under another id loses all its words
+    if it has so many. Windows are compared by 64-bit digests.
 
-    One shuffle brings equal chunks together, after equal chunks of a block of texts have been made one;
-    so of a chunk however frequent a task reads one row for each block. A second brings each text
-    together with its repeated chunks.
+    First windows of half the words are compared, those with the smallest digest among so many
+    neighbours that every whole window holds one. Then all whole windows around those that two documents have
+    are compared. Equal windows of a block of texts are made one before they are shuffled;
+    so of a window however frequent a task reads one row for each block. Texts are shuffled once.
     """
     key = F.xxhash64(F.col(text))
     order_id = F.coalesce(F.col(doc_id).cast("bigint"), F.lit(0))
-    chunks = docs.select(order_id.alias("order_id"), key.alias("key"), F.col(text).alias("text")).mapInArrow(_chunked, _CHUNK)
-    together = chunks.repartition("deal").sortWithinPartitions("deal", "order_id", "key", "place")
-    found = together.mapInArrow(_repeated, "order_id bigint, key bigint, place bigint, holder bigint")
-    found = found.groupBy(F.col("order_id").alias("of_id"), F.col("key").alias("of_key")).agg(F.collect_list(F.struct("place", "holder")).alias("chunks"))
     added = ("spans", "holders", "n_removed")
     names = [c for c in (docs.columns if carry is None else carry) if c not in (*added, text)]
     held = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.col(f"`{text}`").alias("text"), order_id.alias("of_id"), key.alias("of_key"))
-    met = held.join(found, ["of_id", "of_key"], "left").select(*[f"c{i}" for i in range(len(names))], "text", "chunks")
-    schema = T.StructType([*met.schema.fields[:-2], *T.DataType.fromDDL(
+
+    def compared(windows: DataFrame, match) -> DataFrame:
+        rows = windows.repartition("deal").sortWithinPartitions("deal", "order_id", "key", "place")
+        found = rows.mapInArrow(match, "order_id bigint, key bigint, place bigint, holder bigint")
+        return found.groupBy(F.col("order_id").alias("of_id"), F.col("key").alias("of_key")).agg(
+            F.collect_list("place").alias("places"), F.collect_set("holder").alias("holders"))
+
+    def met(found: DataFrame, how: str) -> DataFrame:
+        # Both joins read all columns, so that they read one shuffle of the texts.
+        return held.join(found.hint("shuffle_merge"), ["of_id", "of_key"], how).select(*held.columns, "places", "holders")
+
+    first = compared(held.select("of_id", "of_key", "text").mapInArrow(_chosen(min_words), _WINDOW), _shared)
+    second = compared(met(first, "inner").mapInArrow(_all_near(min_words), _WINDOW), _repeated)
+    schema = T.StructType([*held.schema.fields[: len(names)], *T.DataType.fromDDL(
         "text string, spans array<struct<start: bigint, end: bigint>>, holders array<bigint>, n_removed bigint").fields])
-    out = met.mapInArrow(_cut_out(min_words), schema)
+    out = met(second, "left").mapInArrow(_cut_out(min_words), schema)
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], F.col("text").alias(text), *added)

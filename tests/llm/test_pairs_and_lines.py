@@ -216,6 +216,57 @@ def test_passage_edge_cases(spark):
     assert substring_dedup.substring_dedup(table(spark, [])).count() == 0
 
 
+def windows_of(text, n=50):
+    """Windows of n words of a text with single spaces, without the signs at both ends."""
+    w = text.split()
+    return [" ".join(w[i : i + n]).strip("(.,)") for i in range(len(w) - n + 1)]
+
+
+def test_passages_are_exactly_those_of_fifty_words(spark):
+    rng = random.Random(5)
+
+    def short(n):
+        return " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 4))) for _ in range(n))
+
+    # Passages of 48 to 52 short words between others; one in brackets; a line repeated in one text, three
+    # times in an earlier one; a text made of parts of two others; half copies.
+    passages = [short(n) for n in (48, 49, 50, 50, 51, 51, 52) for _ in range(12)]
+    rows = [(i, f"{short(9)} {p} {short(9)}", "s") for i, p in enumerate(passages)]
+    rows += [(1000 + i, f"{short(9)} ({p}), {short(9)}", "s") for i, p in enumerate(passages)]
+    rows += [(2000, f"{short(60)} " + "repeated " * 3 + short(60), "s"), (2001, "repeated " * 40 + short(60), "s")]
+    parts = short(200).split(), short(200).split()
+    rows += [(2010, " ".join(parts[0]), "s"), (2011, " ".join(parts[1]), "s"), (2012, " ".join(parts[0][20:60] + parts[1][20:60]), "s")]
+    rows += [(2013, " ".join(parts[0][:120] + parts[1][:49] + parts[0][150:]), "s"), (2014, " ".join(["x"] * 70), "s"), (2015, " ".join(["x"] * 60 + ["y"]), "s")]
+    got = {r.doc_id: r for r in substring_dedup.substring_dedup(table(spark, rows)).collect()}
+    seen: dict[str, int] = {}
+    for i, text, _ in rows:
+        words, found = windows_of(text), set()
+        gone = set()
+        for at, w in enumerate(words):
+            if w in seen:
+                gone |= set(range(at, at + 50))
+                found.add(seen[w])
+        assert (got[i].n_removed, got[i].holders) == (len(gone), sorted(found)), i
+        for w in words:
+            seen.setdefault(w, i)
+    assert sum(r.n_removed > 0 for r in got.values()) >= 62 and got[2001].n_removed == got[2012].n_removed == 0
+    assert not any(p in got[1000 + i].text for i, p in enumerate(passages) if len(p.split()) >= 50)
+
+
+def test_repeats_are_matched_across_batches():
+    import pyarrow as pa
+
+    rows = [(5, 1), (5, 1), (5, 2), (7, 3), (9, 4), (9, 4), (9, 6), (9, 7)]
+    cols = ["deal", "known", "met", "order_id", "key", "place", "holder"]
+    for size in (1, 2, 3, 8):
+        batches = [
+            pa.RecordBatch.from_pylist([dict(zip(cols, (d, False, d == 7, i, 0, 10 * i, 0))) for d, i in rows[a : a + size]], pa.schema(
+                [(c, pa.bool_() if c in ("known", "met") else pa.int64()) for c in cols])) for a in range(0, 8, size)]
+        later, both = ({(r["order_id"], r["place"], r["holder"]) for b in f(iter(batches)) for r in b.to_pylist()} for f in (substring_dedup._repeated, substring_dedup._shared))
+        assert later == {(2, 20, 1), (6, 60, 4), (7, 70, 4)}
+        assert {r[:2] for r in both} == {(1, 10), (2, 20), (3, 30), (4, 40), (6, 60), (7, 70)}
+
+
 def test_chunks_do_not_shift():
     import numpy as np
 
