@@ -253,6 +253,19 @@ def test_passages_are_exactly_those_of_fifty_words(spark):
     assert not any(p in got[1000 + i].text for i, p in enumerate(passages) if len(p.split()) >= 50)
 
 
+def test_passages_just_over_fifty_words_are_found_at_any_word_length(spark):
+    rng = random.Random(11)
+
+    def text(n, low, high):
+        return " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(low, high))) for _ in range(n))
+
+    for low, high in ((1, 4), (2, 8)):
+        passages = [text(51, low, high) for _ in range(300)]
+        rows = [(1000 * k + i, f"{text(30, low, high)} {p} {text(30, low, high)}", "s") for k in range(2) for i, p in enumerate(passages)]
+        got = {r.doc_id: r for r in substring_dedup.substring_dedup(table(spark, rows)).where("n_removed > 0").collect()}
+        assert set(got) == set(range(1000, 1300)) and all(r.n_removed >= 51 and passages[i - 1000] not in r.text for i, r in got.items())
+
+
 def test_repeats_are_matched_across_batches():
     import pyarrow as pa
 
