@@ -25,6 +25,14 @@ def _rows(column: pa.Array, kind: type = np.float32) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
+def _scaled(vectors: np.ndarray) -> np.ndarray:
+    """Each vector by a power of two, so that its largest component is near 1 and no square overflows or vanishes."""
+    if not vectors.size:
+        return vectors
+    _, exponent = np.frexp(np.abs(vectors).max(1, keepdims=True))
+    return np.ldexp(vectors, -exponent)
+
+
 def _blobs(column: pa.Array) -> np.ndarray:
     """A column of binaries of equal length as a matrix of small integers."""
     joined = np.frombuffer(b"".join(x.as_py() for x in column), np.int8)
@@ -56,8 +64,8 @@ def _coded(tables: int, bits: int, planes: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors = _rows(batch.column("embedding"))
-            unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+            vectors = _scaled(_rows(batch.column("embedding"), np.float64))
+            unit = (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).astype(np.float32)
             code = np.rint(unit / np.abs(unit).max(1, keepdims=True) * 127).astype(np.int8)
             signs = (unit @ planes > 0).reshape(len(unit), tables, bits)
             block = (signs << np.arange(bits)).sum(2) + (np.arange(tables) << bits)
@@ -192,7 +200,7 @@ def build_graph(
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Exact cosines of queries and nodes, with the ids that each node stands for."""
     for batch in batches:
-        x, y = _rows(batch.column("target"), np.float64), _rows(batch.column("embedding"), np.float64)
+        x, y = (_scaled(_rows(batch.column(c), np.float64)) for c in ("target", "embedding"))
         near = np.einsum("ij,ij->i", x, y) / (np.sqrt(np.einsum("ij,ij->i", x, x)) * np.sqrt(np.einsum("ij,ij->i", y, y)))
         yield pa.RecordBatch.from_arrays([batch.column("query"), pa.array(near, pa.float64()), batch.column("ids")], ["query", "near", "ids"])
 

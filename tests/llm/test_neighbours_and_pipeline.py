@@ -53,6 +53,21 @@ def test_copies_ties_and_unusable_vectors(spark):
     assert found == {0: [1, 2, 3, 4, 5], 50: [0, 1, 2, 3, 4]}
 
 
+def test_very_long_and_very_short_vectors_keep_their_neighbours(spark):
+    rng = np.random.default_rng(4)
+    data = rng.normal(size=(600, 8)) * np.array([1e-30, 1.0, 1e30])[np.arange(600) % 3][:, None]
+    rows = [(i, v) for i, v in enumerate(data.astype(np.float32).tolist())]
+    wide = [(i, [x * 1e-170 if i % 2 else x * 1e170 for x in v]) for i, v in rows]
+    for kind, given in (("float", rows), ("double", wide)):
+        table = spark.createDataFrame(given, f"vec_id bigint, embedding array<{kind}>")
+        found = {}
+        for r in neighbours.search(table, F.col("vec_id") % 20 == 0).collect():
+            found.setdefault(r.query_id, set()).add(r.vec_id)
+        want = brute([(i, (np.array(v) / np.abs(v).max()).tolist()) for i, v in given], range(0, 600, 20), 5)
+        assert set(found) == set(want) and all(len(v) == 5 for v in found.values())
+        assert np.mean([len(found[q] & {i for i, _ in want[q]}) / 5 for q in want]) >= 0.9
+
+
 def test_few_or_no_candidates(spark):
     rows = [(0, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [1.0, 1.0], 1)]
     table = spark.createDataFrame(rows, VECTORS)
