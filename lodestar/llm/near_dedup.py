@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.frames import Scratch, large_list, mix, seeds, slices, text_bytes
+from lodestar.llm.frames import Scratch, large_list, mix, seeds, slices
 from lodestar.llm.graph import components
-from lodestar.llm.words import shingles, word_hashes
+from lodestar.llm.setlinks import finished, full_sets, likely, sets_of, verified
 
 #: Bands and coordinates a band: a pair of similarity 0.8 shares no band once in some 3 million.
 BANDS, ROWS = 64, 7
@@ -56,16 +56,11 @@ def _bands(rows: np.ndarray, bands: int) -> np.ndarray:
     return mix((each * weights).sum(2, dtype=np.uint64) + seeds(bands, 5)[None, :]).view(np.int64)
 
 
-def _sets(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
-    hashes, firsts = word_hashes(*text_bytes(batch.column("text")))
-    return shingles(hashes, firsts, size)
-
-
 def _sketches(size: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                sets, firsts = _sets(part, size)
+                sets, firsts = sets_of(part, size)
                 buckets = _bands(sketch(sets, firsts, bands * rows), bands)
                 lengths = np.diff(firsts)
                 digests = [hashlib.blake2b(sets[a:b].tobytes(), digest_size=16).digest() for a, b in zip(firsts[:-1], firsts[1:])]
@@ -78,123 +73,6 @@ def _sketches(size: int, bands: int, rows: int):
     return run
 
 
-def _full_sets(size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                sets, firsts = _sets(part, size)
-                blobs = [sets[a:b].tobytes() for a, b in zip(firsts[:-1], firsts[1:])]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(blobs, pa.binary())], ["doc_id", "members"])
-
-    return run
-
-
-def _confirmed(percent: int):
-    """Keep the pairs whose full sets reach the similarity."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            linked = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(batch.column("set_a"), batch.column("set_b"))):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate((x, y))
-                both.sort()
-                same = int((both[1:] == both[:-1]).sum())
-                linked[i] = 100 * same >= percent * (len(x) + len(y) - same)
-            yield batch.select(["a", "b"]).filter(pa.array(linked))
-
-    return run
-
-
-def _verified(scratch: Scratch, sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs that are links."""
-    kind = sets.schema["doc_id"].dataType.simpleString()
-    first = sets.select(F.col("doc_id").alias("a"), F.col("members").alias("set_a"))
-    second = sets.select(F.col("doc_id").alias("b"), F.col("members").alias("set_b"))
-    both = pairs.join(first, "a").join(second, "b").select("a", "b", "set_a", "set_b")
-    return scratch.table(both.mapInArrow(_confirmed(percent), f"a {kind}, b {kind}"))
-
-
-def _incidence(sets: list[np.ndarray]) -> np.ndarray:
-    """Which set holds which of the elements that at least two of them hold."""
-    flat = np.concatenate(sets)
-    values, column, counts = np.unique(flat, return_inverse=True, return_counts=True)
-    shared = np.cumsum(counts > 1) - 1
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    keep = counts[column] > 1
-    out = np.zeros((len(sets), int((counts > 1).sum())), np.float32)
-    out[row[keep], shared[column[keep]]] = 1
-    return out
-
-
-#: Most documents of a bucket in one block, compared rows of it at a time, and elements of one product.
-BLOCK_DOCS, BLOCK_ROWS, BLOCK_COLUMNS = 2048, 512, 4096
-
-
-def _block_links(percent: int):
-    """Links that connect the components of two blocks of a bucket, no more than connect them."""
-
-    def run(table: pa.Table) -> pa.Table:
-        docs = table.column("doc_id").to_pylist()
-        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("members")]
-        sides = table.column("side").to_numpy()
-        labels = np.unique(table.column("label").to_numpy(zero_copy_only=False), return_inverse=True)[1]
-        sizes = np.array([len(s) for s in sets], np.float64)
-        holds = _incidence(sets)
-        parent = np.arange(labels.max() + 1)
-
-        def root(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        two = len(np.unique(sides)) > 1
-        found: list[tuple] = []
-        rows = np.flatnonzero(sides == 0) if two else np.arange(len(docs))
-        columns = np.flatnonzero(sides == 1) if two else rows
-        for a in range(0, len(rows), BLOCK_ROWS):
-            own = rows[a : a + BLOCK_ROWS]
-            same = np.zeros((len(own), len(columns)), np.float32)
-            for c in range(0, holds.shape[1], BLOCK_COLUMNS):
-                same += holds[own, c : c + BLOCK_COLUMNS] @ holds[columns, c : c + BLOCK_COLUMNS].T
-            same = same.astype(np.float64)
-            linked = 100 * same >= percent * (sizes[own][:, None] + sizes[columns][None, :] - same)
-            linked &= labels[own][:, None] != labels[columns][None, :]
-            for x, y in zip(*np.nonzero(linked)):
-                p, q = root(labels[own[x]]), root(labels[columns[y]])
-                if p != q:
-                    parent[p] = q
-                    found.append((docs[own[x]], docs[columns[y]]))
-        kind = table.schema.field("doc_id").type
-        return pa.table({"a": pa.array([x for x, _ in found], kind), "b": pa.array([y for _, y in found], kind)})
-
-    return run
-
-
-def _finished(scratch: Scratch, mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All links between components inside the buckets ``mixed(bucket, n, doc_id, label)``.
-
-    A bucket's documents are dealt into blocks, and every two blocks meet in a task. No pair of
-    documents becomes a row; a task returns links that connect components, fewer than documents.
-    """
-    kind = sets.schema["doc_id"].dataType.simpleString()
-    blocks = F.ceil(F.col("n") / BLOCK_DOCS).cast("int")
-    dealt = mixed.select("bucket", "doc_id", "label", blocks.alias("k"), F.pmod(F.xxhash64("doc_id"), blocks).cast("int").alias("own"))
-    dealt = dealt.select("bucket", "doc_id", "label", "own", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
-    dealt = dealt.select(
-        "bucket", "doc_id", "label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-        (F.col("own") > F.col("other")).cast("int").alias("side"),
-    )
-    met = dealt.join(sets, "doc_id").groupBy("bucket", "i", "j").applyInArrow(_block_links(percent), f"a {kind}, b {kind}")
-    return scratch.table(met.distinct())
-
-
-def _likely(percent: int, n: str, m: str) -> str:
-    """Sets whose sizes differ too much cannot be similar enough."""
-    return f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m})"
-
-
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80,
     bands: int = BANDS, rows: int = ROWS, star_rounds: int = 1,
@@ -234,7 +112,7 @@ def near_duplicates(
     members = scratch.table(members.withColumn("met", F.sum("n").over(Window.partitionBy("doc_id"))))
     ids = members.select("doc_id").distinct()
     # Merged whatever its size, so that every run shuffles each text once and not more.
-    sets = docs.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(_full_sets(shingle), f"doc_id {kind}, members binary")
+    sets = docs.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(full_sets(shingle), f"doc_id {kind}, members binary")
     sets = scratch.table(sets)
 
     own = usable.join(classes, "digest").select("doc_id", "rep")
@@ -257,12 +135,12 @@ def near_duplicates(
             scratch.drop(mixed)
             break
         if turn < star_rounds:
-            met = mixed.where("label <> pivot_label").where(_likely(percent, "n_shingles", "m"))
+            met = mixed.where("label <> pivot_label").where(likely(percent, "n_shingles", "m"))
             pairs = scratch.table(met.select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b")).distinct())
-            links.append(_verified(scratch, sets, pairs, percent))
+            links.append(verified(scratch, sets, pairs, percent))
             scratch.drop(pairs)
         else:
-            links.append(_finished(scratch, mixed, sets, percent))
+            links.append(finished(scratch, mixed.withColumnRenamed("bucket", "region"), sets, percent))
         scratch.drop(mixed)
         every = links[0]
         for more in links[1:]:

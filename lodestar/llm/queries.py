@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import bpe, chat, decontaminate, hmm, html_text, line_dedup, near_dedup, neighbours, substring_dedup, toxicity
+from lodestar.llm import (
+    bpe, centroids, chat, decontaminate, hmm, html_text, lexical, line_dedup, near_dedup, neighbours, substring_dedup, toxicity, voronoi,
+)
 from lodestar.sources.tables import read_table
 
 
@@ -75,6 +77,18 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(read_table(spark, sf_dir, "documents"), carry=["doc_id"])
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voronoi.jaccard_components(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_chat_formatting": op2_chat_formatting,
@@ -86,19 +100,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_jaccard_join": op13_jaccard_join,
 }
 
 #: DuckDB SQL by query.
 ORACLE_SQL: dict[str, str] = {}
 
 # All pairs of sets with a common shingle, then the closure of the links.
-ORACLE_SQL["op1_minhash_near_dedup"] = r"""
+def _components(size: int, percent: int, columns: str) -> str:
+    shingle = " || ' ' || ".join(["ws[i]", *[f"ws[i + {j}]" for j in range(1, size)]])
+    return rf"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
   FROM documents
 ), s AS (
-  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
-    ELSE list_transform(range(1, len(ws) - 2), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3]) END) AS g
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {size} THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - {size - 2}), lambda i: {shingle}) END) AS g
   FROM w
 ), n AS (
   SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
@@ -109,16 +128,82 @@ WITH RECURSIVE w AS (
 ), c AS (
   SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM r x JOIN r y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL
 ), e AS (
-  SELECT a, b FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * k >= 80 * (p.n + q.n - k)
+  SELECT a, b FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * k >= {percent} * (p.n + q.n - k)
 ), reach AS (
   SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, e.b FROM reach JOIN e ON e.a = reach.b
 ), m AS (
   SELECT a, min(b) AS component_id FROM reach GROUP BY a
 )
-SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id{columns}
 FROM documents d JOIN m ON m.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 """
 
+
+ORACLE_SQL["op1_minhash_near_dedup"] = _components(4, 80, ", d.doc_id = m.component_id AS kept")
+ORACLE_SQL["op13_jaccard_join"] = _components(3, 90, "")
+
+# Every score of every document and item.
+ORACLE_SQL["op11_ranked_search"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS place, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws
+  FROM documents
+), t AS (
+  SELECT place, doc_id, term, count(*) AS tf FROM (SELECT place, doc_id, unnest(ws) AS term FROM d) GROUP BY ALL
+), s AS (
+  SELECT count(*) AS n_docs, sum(len(ws))::BIGINT AS n_terms FROM d WHERE len(ws) > 0
+), w AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM t GROUP BY term), s
+), m AS (
+  SELECT place, 50 + (50 * len(ws) * n_docs) // n_terms AS m FROM d, s WHERE len(ws) > 0
+), q AS (
+  SELECT DISTINCT item_id, term FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark)
+), scored AS (
+  SELECT q.item_id, t.place, any_value(t.doc_id) AS doc_id, sum(w.w * ((1000000000 * tf) // (1000 * tf + 20 * m.m)))::BIGINT AS score
+  FROM q JOIN t ON t.term = q.term JOIN w ON w.term = q.term JOIN m ON m.place = t.place GROUP BY q.item_id, t.place
+)
+SELECT item_id, rank, doc_id, score FROM (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM scored WHERE score > 0
+) WHERE rank <= 50
+"""
+
+
+# All squared distances in every round.
+def _clustered(rounds: int) -> str:
+    steps = [r"""
+WITH kept AS (
+  SELECT row_number() OVER () AS place, vec_id, list_transform(embedding, lambda x: greatest(least(floor(64 * x::DOUBLE), 134217728), -134217728)::BIGINT) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), x AS MATERIALIZED (
+  SELECT place, unnest(range(64)) AS i, unnest(v) AS x FROM kept
+), c0 AS MATERIALIZED (
+  SELECT (h - 1)::INTEGER AS cluster, unnest(range(64)) AS i, unnest(v) AS c
+  FROM (SELECT v, row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, v) AS h FROM kept) WHERE h <= 16
+)"""]
+    for r in range(rounds + 1):
+        steps.append(rf"""a{r} AS MATERIALIZED (
+  SELECT place, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS distance
+  FROM (SELECT place, cluster, sum((x - c) * (x - c))::BIGINT AS d FROM x JOIN c{r} USING (i) GROUP BY place, cluster) GROUP BY place
+)""")
+        if r < rounds:
+            steps.append(rf"""m{r} AS (
+  SELECT cluster, i, sum(x)::BIGINT AS s, count(*) AS n FROM a{r} JOIN x USING (place) GROUP BY cluster, i
+), c{r + 1} AS MATERIALIZED (
+  SELECT cluster, i, CASE WHEN n IS NULL THEN c ELSE (s - ((s % n) + n) % n) // n END AS c FROM c{r} LEFT JOIN m{r} USING (cluster, i)
+)""")
+    return ",\n".join(steps) + rf""", p AS (
+  SELECT cluster, sum(distance)::BIGINT AS cluster_inertia FROM a{rounds} GROUP BY cluster
+), h AS (
+  SELECT cluster, sha256(string_agg(c::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY cluster
+)
+SELECT vec_id, cluster, distance, cluster_inertia, (SELECT sum(distance)::BIGINT FROM a{rounds}) AS inertia, centroid_sha256
+FROM kept JOIN a{rounds} USING (place) JOIN p USING (cluster) JOIN h USING (cluster)
+"""
+
+
+ORACLE_SQL["op12_centroid_clustering"] = _clustered(3)
+
 # Exact counts of sites everywhere; the first holder keeps its line.
 ORACLE_SQL["op4_line_dedup"] = r"""
 WITH l AS (
