@@ -1,4 +1,4 @@
-"""Passages that repeat across documents, by digests of windows of words."""
+"""Passages that repeat across documents, by content-defined chunks and, around those, windows of words."""
 
 from __future__ import annotations
 
@@ -12,10 +12,12 @@ from pyspark.sql import types as T
 
 from lodestar.llm.frames import mix, seeds, slices, text_bytes
 
-#: Mean and largest bytes of a chunk of ``cuts``, which the operator no longer uses; the rolling hash sees the last 16 bytes.
-MEAN, LARGEST = 24, 1024
 #: A passage goes if it holds so many words.
 MIN_WORDS = 50
+#: Bytes that the rolling hash sees, and words that hold as many, each with white space behind it.
+REACH, REACH_WORDS = 16, 8
+#: Words of the smallest chunk that is compared where there are others; shorter ones stand nearly everywhere and tell little.
+LEAST = 3
 
 _GEAR = seeds(256, 8).astype(np.uint16)
 _BYTE = seeds(256, 9)
@@ -24,24 +26,6 @@ _BACK = pow(_BASE, -1, 1 << 64)
 _STEP = 1 << 20
 
 
-def cuts(data: np.ndarray) -> np.ndarray:
-    """Where chunks of a text end. A chunk ends where the gear hash of the last 16 bytes is low, so a
-    passage is cut alike wherever it stands, and at the largest size where that never happens.
-
-    The hash of all places at once: h over 2n bytes is h over the last n plus h over the n before, shifted.
-    """
-    hashed = _GEAR[data]
-    for n in (1, 2, 4, 8):
-        hashed[n:] = hashed[n:] + (hashed[:-n] << np.uint16(n))
-    ends = np.flatnonzero(hashed < 65536 // MEAN) + 1
-    ends = np.unique(np.concatenate((ends, [len(data)]))) if len(data) else ends[:0]
-    gaps = np.diff(ends, prepend=0)
-    if len(gaps) and gaps.max() > LARGEST:
-        more = [np.arange(end - gap + LARGEST, end, LARGEST) for end, gap in zip(ends[gaps > LARGEST], gaps[gaps > LARGEST])]
-        ends = np.unique(np.concatenate((ends, *more)))
-    return ends
-
-
 class _Powers:
     """Powers of the digest's base and of its inverse."""
 
@@ -77,20 +61,111 @@ _CORE = np.ones(256, bool)
 _CORE[:128] = [chr(i).isalnum() for i in range(128)]
 
 
+def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word starts and stops, as white space and the texts' edges part them."""
+    space = _SPACE[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    begins = ~space
+    begins[1:] &= space[:-1] | edge[1:-1]
+    stops = ~space
+    stops[:-1] &= space[1:] | edge[1:-1]
+    return np.flatnonzero(begins), np.flatnonzero(stops) + 1
+
+
+def gear(data: np.ndarray, at: np.ndarray, floor: np.ndarray) -> np.ndarray:
+    """The gear hash of the ``REACH`` bytes before each place ``at``, of those from ``floor`` on where they are fewer.
+
+    A byte's hash is doubled by every byte after it, and of 16 bits nothing is left after 16. The hash of all places at
+    once: h over 2n bytes is h over the last n plus h over the n before, shifted.
+    """
+    rolled = _GEAR[data]
+    for n in (1, 2, 4, 8):
+        rolled[n:] = rolled[n:] + (rolled[:-n] << np.uint16(n))
+    out = rolled[at - 1]
+    few = np.flatnonzero(at - floor < REACH)
+    short = np.zeros(len(few), np.uint16)
+    for j in range(REACH):
+        spot = at[few] - 1 - j
+        short += np.where(spot >= floor[few], _GEAR[data[np.maximum(spot, 0)]] << np.uint16(j), np.uint16(0))
+    out[few] = short
+    return out
+
+
+def spread(n: int) -> int:
+    """Of so many places in a row one is a cut, so that n words always hold a whole chunk cut by nothing but them."""
+    return (n - REACH_WORDS + 2) // 4
+
+
+class Chunks:
+    """Content-defined chunks of a block of texts: ``cut`` are the words before which a text is cut, ``digest`` those of the
+    chunks from each to the next, ``inner`` tells whether that is a cut of the same text, ``large`` whether the chunk also has
+    ``LEAST`` words, and ``compared`` are the large chunks and those of windows that hold no large one.
+
+    Before each word the gear hash of the bytes before it is taken; the smallest of any ``spread(n)`` in a row is a
+    cut. So what is cut inside a passage depends on the passage alone, wherever it stands, but for its first
+    ``REACH_WORDS`` words and ``spread(n)`` words at both ends, and what is left of n words has two cuts.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, n: int):
+        start, _ = word_bounds(data, offsets)
+        self.row = np.searchsorted(offsets, start, "right") - 1
+        self.first = np.searchsorted(start, offsets)
+        inner = np.ones(len(start), bool)
+        inner[self.first[:-1][np.diff(self.first) > 0]] = False
+        hashed = np.zeros(len(start), np.uint64)
+        at = np.flatnonzero(inner)
+        if len(at):
+            hashed[at] = gear(data, start[at], offsets[self.row[at]])
+        self.cut = chosen(self.row, hashed, inner, spread(n))
+        edges = np.unique(np.concatenate((start[self.cut], offsets)))
+        at = np.searchsorted(edges, start[self.cut])
+        self.digest = digests(data, edges[1:])[at] if len(self.cut) else np.zeros(0, np.uint64)
+        same = np.zeros(len(self.cut), bool)
+        same[:-1] = self.row[self.cut[1:]] == self.row[self.cut[:-1]]
+        self.inner, self.words = same, np.where(same, np.diff(self.cut, append=0), 0)
+        self.large = same & (self.words >= LEAST)
+        _, a, b = self.windows(n)
+        few = self._held(self.large, a, b) == 0
+        marks = np.zeros(len(self.cut) + 1, np.int64)
+        np.add.at(marks, a[few], 1)
+        np.add.at(marks, b[few], -1)
+        self.compared = self.large | (np.cumsum(marks)[:-1] > 0) & same
+
+    def windows(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The windows of n words of one text, and the chunks of each, from the first to before the last, between cuts that depend on it alone."""
+        w = spread(n)
+        i = np.arange(max(len(self.row) - n + 1, 0))
+        i = i[self.row[i] == self.row[i + n - 1]]
+        a = np.searchsorted(self.cut, i + REACH_WORDS + w - 1)
+        return i, a, np.searchsorted(self.cut, i + n - w, "right") - 1
+
+    @staticmethod
+    def _held(flags: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        total = np.concatenate(([0], np.cumsum(flags)))
+        return total[b] - total[a]
+
+    def candidates(self, places: pa.Array, n: int) -> np.ndarray:
+        """The windows of n words of which all large chunks, or all if none is, are among those at the ``places`` of their text;
+        so all windows that stand in another document, if the places are of all compared chunks that do."""
+        known = np.zeros(len(self.cut), bool)
+        begins = np.searchsorted(self.cut, self.first)
+        for row, found in enumerate(places):
+            if found.is_valid:
+                a, b = begins[row], begins[row + 1]
+                at = np.searchsorted(self.cut, self.first[row] + found.values.to_numpy(zero_copy_only=False))
+                known[a:b] = np.isin(self.digest[a:b], self.digest[at])
+        i, a, b = self.windows(n)
+        needed = np.where(self._held(self.large, a, b) > 0, self._held(self.large & ~known, a, b), self._held(self.inner & ~known, a, b))
+        return i[needed == 0]
+
+
 class Words:
     """The words of a block of texts, as white space parts them: the text of each and its bounds in the
     block's bytes, without the ASCII signs at its edges (``core``, ``end``), and digests of windows of them."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        space = _SPACE[data]
-        edge = np.zeros(len(data) + 1, bool)
-        edge[offsets] = True
-        begins = ~space
-        begins[1:] &= space[:-1] | edge[1:-1]
-        start = np.flatnonzero(begins)
-        stops = ~space
-        stops[:-1] &= space[1:] | edge[1:-1]
-        stop = np.flatnonzero(stops) + 1
+        start, stop = word_bounds(data, offsets)
         self.row = np.searchsorted(offsets, start, "right") - 1
         self.first = np.searchsorted(start, offsets)
         tail = np.minimum(np.append(start[1:], len(data)), offsets[self.row + 1])
@@ -130,15 +205,16 @@ class Words:
         out = mix(self._head * np.uint64(_BASE) + mix(_shift(inner, 1)) + mix(_shift(self._tail, n - 1)) * np.uint64(_BACK))
         return out, good
 
-    def chosen(self, digest: np.ndarray, good: np.ndarray, w: int) -> np.ndarray:
-        """The windows whose digest is the smallest of some ``w`` in a row of one text."""
-        most = np.uint64(0xFFFFFFFFFFFFFFFF)
-        low = _slide(np.where(good, digest, most), w, np.minimum, most)
-        whole = good & _shift(good, w - 1) & (self.row == _shift(self.row, w - 1))
-        # The largest of the smallest of the w rows of windows that a window is in.
-        high = _slide(np.where(whole, low, np.uint64(0))[::-1], w, np.maximum, np.uint64(0))[::-1]
-        some = _slide(whole[::-1], w, np.maximum, False)[::-1]
-        return np.flatnonzero(good & some & (high == digest))
+
+def chosen(row: np.ndarray, digest: np.ndarray, good: np.ndarray, w: int) -> np.ndarray:
+    """The places whose digest is the smallest of some ``w`` good ones in a row of one text."""
+    most = np.uint64(0xFFFFFFFFFFFFFFFF)
+    low = _slide(np.where(good, digest, most), w, np.minimum, most)
+    whole = _slide(good, w, np.minimum, False) & _shift(good, w - 1) & (row == _shift(row, w - 1))
+    # The largest of the smallest of the w rows of places that a place is in.
+    high = _slide(np.where(whole, low, np.uint64(0))[::-1], w, np.maximum, np.uint64(0))[::-1]
+    some = _slide(whole[::-1], w, np.maximum, False)[::-1]
+    return np.flatnonzero(good & some & (high == digest))
 
 
 def _shift(x: np.ndarray, n: int) -> np.ndarray:
@@ -193,21 +269,22 @@ def _rows(words: Words, digest: np.ndarray, places: np.ndarray, ids: np.ndarray,
 _WINDOW = "deal bigint, known boolean, met boolean, order_id bigint, key bigint, place bigint, holder bigint"
 
 
-def _parts(n: int) -> tuple[int, int]:
-    """Words of a window that is compared first, and of how many in a row one is chosen: n words hold a chosen one."""
-    return (n + 1) // 2, n - (n + 1) // 2 + 1
+_CHUNK = ["deal", "known", "met", "key", "place"]
+
 
+def _chunks(n: int):
+    """The chunks of each text that are compared."""
 
-def _chosen(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                words = Words(*text_bytes(part.column("text")))
-                k, w = _parts(n)
-                digest, good = words.windows(k)
-                places = words.chosen(digest, good, w)
-                if len(places):
-                    yield _rows(words, digest, places, *(part.column(c).to_numpy() for c in ("of_id", "of_key")))
+                found = Chunks(*text_bytes(part.column("text")), n)
+                at = np.flatnonzero(found.compared)
+                if len(at):
+                    key = part.column("of_key").to_numpy()
+                    digest = np.zeros(len(found.row), np.uint64)
+                    digest[found.cut] = found.digest
+                    yield _rows(found, digest, found.cut[at], key, key).select(_CHUNK)
 
     return run
 
@@ -223,17 +300,16 @@ def _flagged(words: Words, digest: np.ndarray, good: np.ndarray, found: pa.Array
 
 
 def _all_near(n: int):
-    """All windows of n words that hold a chosen window which another document has."""
+    """All windows of n words whose chunks another document has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                words = Words(*text_bytes(part.column("text")))
-                k, w = _parts(n)
-                near = _flagged(words, *words.windows(k), part.column("places"))
-                digest, good = words.windows(n)
-                places = np.flatnonzero(_slide(near, w, np.maximum, False) & good)
+                data, offsets = text_bytes(part.column("text"))
+                places = Chunks(data, offsets, n).candidates(part.column("places"), n)
                 if len(places):
+                    words = Words(data, offsets)
+                    digest, _ = words.windows(n)
                     yield _rows(words, digest, places, *(part.column(c).to_numpy() for c in ("of_id", "of_key")))
 
     return run
@@ -248,8 +324,15 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same, and the rows that are repeated."""
-    yield from _matched(batches, True)
+    """From chunks in order of digest, then of document: those that stand in two documents."""
+
+    def wide() -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            deal, known, met, key, place = batch.columns
+            yield pa.RecordBatch.from_arrays([deal, known, met, key, key, place, key], ["deal", "known", "met", "order_id", "key", "place", "holder"])
+
+    for found in _matched(wide(), True):
+        yield found.select(["key", "place"])
 
 
 def _matched(batches: Iterator[pa.RecordBatch], both: bool) -> Iterator[pa.RecordBatch]:
@@ -352,32 +435,34 @@ def substring_dedup(
 
     Ids are whole numbers. A null id sorts as 0. Null texts stay null, empty ones empty. Rows with the
     same id and text are one document and get the same answer; a copy under another id loses all its words
-    if it has so many. Windows are compared by 64-bit digests.
+    if it has so many. Chunks and windows are compared by 64-bit digests. ``min_words`` is 10 or more.
 
-    First windows of half the words are compared, those with the smallest digest among so many
-    neighbours that every whole window holds one. Then all whole windows around those that two documents have
-    are compared. Equal windows of a block of texts are made one before they are shuffled;
-    so of a window however frequent a task reads one row for each block. Texts are shuffled once.
+    First texts are cut into chunks by content, and chunks are deduplicated by digest: any ``min_words`` words hold
+    chunks that are cut alike wherever they stand. Then the windows whose chunks all stand in other
+    documents are compared as a whole, so what goes is exact at both edges. Equal chunks and windows of a
+    block of texts are made one before they are shuffled; so of one however frequent a task reads one row for each
+    block. Texts are shuffled once.
     """
-    key = F.xxhash64(F.col(text))
+    if min_words < 10:
+        raise ValueError("a passage has 10 words or more")
     order_id = F.coalesce(F.col(doc_id).cast("bigint"), F.lit(0))
+    # What is the same document: id and text.
+    key = F.xxhash64(order_id, F.xxhash64(F.col(text)))
     added = ("spans", "holders", "n_removed")
     names = [c for c in (docs.columns if carry is None else carry) if c not in (*added, text)]
     held = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.col(f"`{text}`").alias("text"), order_id.alias("of_id"), key.alias("of_key"))
 
-    def compared(windows: DataFrame, match) -> DataFrame:
-        rows = windows.repartition("deal").sortWithinPartitions("deal", "order_id", "key", "place")
-        found = rows.mapInArrow(match, "order_id bigint, key bigint, place bigint, holder bigint")
-        return found.groupBy(F.col("order_id").alias("of_id"), F.col("key").alias("of_key")).agg(
-            F.collect_list("place").alias("places"), F.collect_set("holder").alias("holders"))
-
-    def met(found: DataFrame, how: str) -> DataFrame:
+    def met(found: DataFrame, how: str, *more: str) -> DataFrame:
         # Both joins read all columns, so that they read one shuffle of the texts.
-        return held.join(found.hint("shuffle_merge"), ["of_id", "of_key"], how).select(*held.columns, "places", "holders")
-
-    first = compared(held.select("of_id", "of_key", "text").mapInArrow(_chosen(min_words), _WINDOW), _shared)
-    second = compared(met(first, "inner").mapInArrow(_all_near(min_words), _WINDOW), _repeated)
+        return held.join(found.hint("shuffle_merge"), "of_key", how).select(*held.columns, "places", *more)
+
+    chunks = held.select("of_key", "text").mapInArrow(_chunks(min_words), "deal bigint, known boolean, met boolean, key bigint, place bigint")
+    chunks = chunks.repartition("deal").sortWithinPartitions("deal", "key", "place").mapInArrow(_shared, "key bigint, place bigint")
+    first = chunks.groupBy(F.col("key").alias("of_key")).agg(F.collect_list("place").alias("places"))
+    windows = met(first, "inner").mapInArrow(_all_near(min_words), _WINDOW)
+    windows = windows.repartition("deal").sortWithinPartitions("deal", "order_id", "key", "place").mapInArrow(_repeated, "order_id bigint, key bigint, place bigint, holder bigint")
+    second = windows.groupBy(F.col("key").alias("of_key")).agg(F.collect_list("place").alias("places"), F.collect_set("holder").alias("holders"))
     schema = T.StructType([*held.schema.fields[: len(names)], *T.DataType.fromDDL(
         "text string, spans array<struct<start: bigint, end: bigint>>, holders array<bigint>, n_removed bigint").fields])
-    out = met(second, "left").mapInArrow(_cut_out(min_words), schema)
+    out = met(second, "left", "holders").mapInArrow(_cut_out(min_words), schema)
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], F.col("text").alias(text), *added)

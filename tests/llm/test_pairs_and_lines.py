@@ -198,7 +198,8 @@ def test_planted_passages_are_found_and_others_left(spark):
             kept.append(text[i][at : s.start])
             at = s.end
         assert "".join(kept) + text[i][at:] == r.text
-        assert passages[(i - 1008) % 12].find(text[i][r.spans[0].start : r.spans[0].end].strip()) >= 0
+        # Words beside the passage may be equal by chance; what goes is what an earlier document has too.
+        assert any(text[i][r.spans[0].start : r.spans[0].end] in text[h] for h in r.holders)
 
 
 def test_passage_edge_cases(spark):
@@ -275,20 +276,57 @@ def test_repeats_are_matched_across_batches():
         batches = [
             pa.RecordBatch.from_pylist([dict(zip(cols, (d, False, d == 7, i, 0, 10 * i, 0))) for d, i in rows[a : a + size]], pa.schema(
                 [(c, pa.bool_() if c in ("known", "met") else pa.int64()) for c in cols])) for a in range(0, 8, size)]
-        later, both = ({(r["order_id"], r["place"], r["holder"]) for b in f(iter(batches)) for r in b.to_pylist()} for f in (substring_dedup._repeated, substring_dedup._shared))
+        later, both = ({(r["order_id"], r["place"], r["holder"]) for b in substring_dedup._matched(iter(batches), all_) for r in b.to_pylist()} for all_ in (False, True))
         assert later == {(2, 20, 1), (6, 60, 4), (7, 70, 4)}
         assert {r[:2] for r in both} == {(1, 10), (2, 20), (3, 30), (4, 40), (6, 60), (7, 70)}
 
 
-def test_chunks_do_not_shift():
+def block_of(texts):
     import numpy as np
 
+    raw = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+
+
+def test_chunks_do_not_shift():
     rng = random.Random(2)
-    text = sentence(rng, 500).encode()
-    whole = np.frombuffer(text, np.uint8)
-    moved = np.frombuffer(b"some words before " + text, np.uint8)
-    a = set(substring_dedup.digests(whole, substring_dedup.cuts(whole)).tolist())
-    b = set(substring_dedup.digests(moved, substring_dedup.cuts(moved)).tolist())
-    assert len(a & b) >= len(a) - 3
-    flat = np.zeros(5000, np.uint8)
-    assert np.diff(substring_dedup.cuts(flat), prepend=0).max() <= substring_dedup.LARGEST
+    text = sentence(rng, 2000)
+    words = text.split()
+    # Whatever stands before, behind or in another text of the block, the chunks of the passage are the same.
+    changed = " ".join([*words[:900], "inserted", *words[900:]])
+    found = substring_dedup.Chunks(*block_of([text, "some words before " + text, "x", changed, ""]), 50)
+    of = [set(found.digest[found.row[found.cut] == i].tolist()) for i in range(5)]
+    assert len(of[0]) > 250 and not of[2] and not of[4]
+    assert len(of[0] & of[1]) >= len(of[0]) - 3 and len(of[0] & of[3]) >= len(of[0]) - 6
+    sizes = found.words[found.words > 0]
+    assert sizes.max() <= substring_dedup.spread(50) and 4 < sizes.mean() < 7
+
+
+def test_any_fifty_words_hold_a_chunk_that_they_alone_cut():
+    rng = random.Random(3)
+    for low, high in ((1, 1), (1, 3), (2, 8)):
+        short = lambda n: " ".join("".join(rng.choice("ab") for _ in range(rng.randint(low, high))) for _ in range(n))  # noqa: E731, B023
+        for _ in range(40):
+            passage, before = short(50), [rng.randint(0, 30) for _ in range(2)]
+            texts = [f"{short(n)} {passage} {short(rng.randint(0, 30))}".strip() for n in before]
+            found = substring_dedup.Chunks(*block_of(texts), 50)
+            w, inner = substring_dedup.spread(50), []
+            for row, n in enumerate(before):
+                place = found.cut[found.row[found.cut] == row] - found.first[row] - n
+                inner.append(place[(place >= substring_dedup.REACH_WORDS + w - 1) & (place <= 50 - w)].tolist())
+            assert inner[0] == inner[1] and len(inner[0]) > 1
+
+
+def test_the_gear_hash_rolls():
+    import numpy as np
+
+    data, offsets = block_of(["first text of some length", "second"])
+    at = np.array([5, 10, 20, 25, 28])
+    floor = np.array([0, 0, 0, 0, 25])
+    got = substring_dedup.gear(data, at, floor)
+    for place, start, h in zip(at, floor, got):
+        plain = 0
+        for byte in data[start:place]:
+            plain = (2 * plain + int(substring_dedup._GEAR[byte])) % 65536
+        assert h == plain
+
