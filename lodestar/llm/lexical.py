@@ -168,10 +168,21 @@ class Postings:
         self.tops = self.headers["top"] * weight
         self.top = int(self.tops.max())
         self.decompressed = 0
+        self._edge: tuple[int, tuple[np.ndarray, np.ndarray]] | None = None
 
     def between(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
-        """Documents a to b - 1 of the list, and their counts."""
-        doc, count = self.decompress(np.arange(np.searchsorted(self.last, a), np.searchsorted(self.first, b)))
+        """Documents a to b - 1 of the list, and their counts; asked for window after window."""
+        start, stop = int(np.searchsorted(self.last, a)), int(np.searchsorted(self.first, b))
+        if start >= stop:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        # A block that reaches into the next window is kept for it.
+        parts = [self._edge[1]] if self._edge and self._edge[0] == start else []
+        if start + len(parts) < stop:
+            parts.append(self.decompress(np.arange(start + len(parts), stop)))
+        doc, count = (np.concatenate(x) for x in zip(*parts))
+        if self.last[stop - 1] >= b:
+            held = int(self.headers["count"][stop - 1])
+            self._edge = stop - 1, (doc[-held:], count[-held:])
         inside = (doc >= a) & (doc < b)
         return doc[inside], count[inside]
 
