@@ -112,7 +112,7 @@ def near_duplicates(
     members = scratch.table(members.withColumn("met", F.sum("n").over(Window.partitionBy("doc_id"))))
     ids = members.select("doc_id").distinct()
     # Merged whatever its size, so that every run shuffles each text once and not more.
-    sets = docs.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(full_sets(shingle), f"doc_id {kind}, members binary")
+    sets = docs.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(full_sets(shingle), f"doc_id {kind}, members binary, profile binary")
     sets = scratch.table(sets)
 
     own = usable.join(classes, "digest").select("doc_id", "rep")

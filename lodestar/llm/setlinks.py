@@ -15,6 +15,8 @@ from lodestar.llm.words import shingles, word_hashes
 
 #: Documents and shingles of a block, on the mean; and shared shingles that one matrix product takes.
 BLOCK_DOCS, BLOCK_SHINGLES, BLOCK_COLUMNS = 2048, 1 << 21, 4096
+#: Classes of shingles that a profile counts.
+PROFILE = 64
 
 
 def sets_of(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -24,7 +26,8 @@ def sets_of(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def full_sets(size: int):
-    """``(doc_id, text)`` as ``(doc_id, members)``: the bytes of the sorted set, where it is not empty.
+    """``(doc_id, text)`` as ``(doc_id, members, profile)``: the bytes of the sorted set, where it is not empty, and how many
+    of each of ``PROFILE`` classes of shingles it holds. Two sets share no more than the smaller counts add up to.
 
     Of rows in a row with the same id and the same set the first is given; a merge join puts an id's rows in a row.
     """
@@ -34,7 +37,7 @@ def full_sets(size: int):
         for batch in batches:
             for part in slices(batch, "text"):
                 sets, firsts = sets_of(part, size)
-                take, blobs = [], []
+                take, blobs, profiles = [], [], []
                 for i, doc in enumerate(part.column("doc_id").to_pylist()):
                     if doc != last:
                         last, seen = doc, set()
@@ -43,7 +46,11 @@ def full_sets(size: int):
                         seen.add(digest)
                         take.append(i)
                         blobs.append(blob)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(take, pa.int64())), pa.array(blobs, pa.binary())], ["doc_id", "members"])
+                        classes = (sets[firsts[i] : firsts[i + 1]] % np.uint64(PROFILE)).astype(np.int64)
+                        profiles.append(np.bincount(classes, minlength=PROFILE).astype("<u4").tobytes())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id").take(pa.array(take, pa.int64())), pa.array(blobs, pa.binary()), pa.array(profiles, pa.binary())], ["doc_id", "members", "profile"]
+                )
 
     return run
 
@@ -65,13 +72,37 @@ def _confirmed(percent: int):
     return run
 
 
+def _profiles(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(x.as_py() for x in column), "<u4").reshape(-1, PROFILE).astype(np.int64)
+
+
+def _may_link(same: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    return 100 * same >= percent * (n + m - same)
+
+
+def _possible(percent: int):
+    """Keep the pairs that may reach the similarity by their profiles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = _profiles(batch.column("profile_a")), _profiles(batch.column("profile_b"))
+            yield batch.select(["a", "b"]).filter(pa.array(_may_link(np.minimum(x, y).sum(1), x.sum(1), y.sum(1), percent)))
+
+    return run
+
+
 def verified(scratch: Scratch, sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` that are links."""
+    """The pairs ``(a, b)`` that are links; whole sets are read for pairs that their profiles allow."""
     kind = sets.schema["doc_id"].dataType.simpleString()
-    first = sets.select(F.col("doc_id").alias("a"), F.col("members").alias("set_a"))
-    second = sets.select(F.col("doc_id").alias("b"), F.col("members").alias("set_b"))
-    both = pairs.join(first, "a").join(second, "b").select("a", "b", "set_a", "set_b")
-    return scratch.table(both.mapInArrow(_confirmed(percent), f"a {kind}, b {kind}"))
+
+    def both(pairs: DataFrame, column: str, name: str) -> DataFrame:
+        sides = [sets.select(F.col("doc_id").alias(x), F.col(column).alias(f"{name}_{x}")) for x in "ab"]
+        return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", f"{name}_a", f"{name}_b")
+
+    likely_pairs = scratch.table(both(pairs, "profile", "profile").mapInArrow(_possible(percent), f"a {kind}, b {kind}").distinct())
+    links = scratch.table(both(likely_pairs, "members", "set").mapInArrow(_confirmed(percent), f"a {kind}, b {kind}"))
+    scratch.drop(likely_pairs)
+    return links
 
 
 def likely(percent: int, n: str, m: str) -> str:
@@ -109,14 +140,48 @@ def intersections(rows: list[np.ndarray], columns: list[np.ndarray]) -> np.ndarr
     return out
 
 
+def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of a group's two blocks; those of one block meet each other."""
+    sides = table.column("side").to_numpy()
+    rows = np.flatnonzero(sides == 0)
+    return rows, np.flatnonzero(sides == 1) if sides.any() else rows
+
+
+def _labels(table: pa.Table) -> np.ndarray:
+    return np.unique(table.column("label").to_numpy(zero_copy_only=False), return_inverse=True)[1]
+
+
+def _with_partners(percent: int):
+    """The documents of two blocks of a region that may be linked with one of another component, by their profiles."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows, columns = _sides(table)
+        labels, profiles = _labels(table), _profiles(table.column("profile"))
+        sizes = profiles.sum(1)
+        found = np.zeros(table.num_rows, bool)
+        for a in range(0, len(rows), BLOCK_DOCS // 4):
+            own = rows[a : a + BLOCK_DOCS // 4]
+            for c in range(0, len(columns), BLOCK_DOCS):
+                other = columns[c : c + BLOCK_DOCS]
+                same = np.zeros((len(own), len(other)), np.int64)
+                for i in range(PROFILE):
+                    same += np.minimum(profiles[own, i][:, None], profiles[other, i][None, :])
+                may = _may_link(same, sizes[own][:, None], sizes[other][None, :], percent) & (labels[own][:, None] != labels[other][None, :])
+                found[own] |= may.any(1)
+                found[other] |= may.any(0)
+        return table.select(["region", "doc_id"]).filter(pa.array(found))
+
+    return run
+
+
 def _block_links(percent: int):
     """Links that connect the components of two blocks of a region, no more than connect them."""
 
     def run(table: pa.Table) -> pa.Table:
         docs = table.column("doc_id").to_pylist()
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("members")]
-        sides = table.column("side").to_numpy()
-        labels = np.unique(table.column("label").to_numpy(zero_copy_only=False), return_inverse=True)[1]
+        rows, columns = _sides(table)
+        labels = _labels(table)
         sizes = np.array([len(s) for s in sets], np.float64)
         parent = np.arange(labels.max() + 1)
 
@@ -127,14 +192,12 @@ def _block_links(percent: int):
             return x
 
         found: list[tuple] = []
-        rows = np.flatnonzero(sides == 0)
-        columns = np.flatnonzero(sides == 1) if sides.any() else rows
         # A hash deals the blocks, so one may hold some more than the mean.
         for a in range(0, len(rows), BLOCK_DOCS):
             for c in range(0, len(columns), BLOCK_DOCS):
                 own, other = rows[a : a + BLOCK_DOCS], columns[c : c + BLOCK_DOCS]
                 same = intersections([sets[i] for i in own], [sets[i] for i in other])
-                linked = 100 * same >= percent * (sizes[own][:, None] + sizes[other][None, :] - same)
+                linked = _may_link(same, sizes[own][:, None], sizes[other][None, :], percent)
                 linked &= labels[own][:, None] != labels[other][None, :]
                 for x, y in zip(*np.nonzero(linked)):
                     p, q = root(labels[own[x]]), root(labels[other[y]])
@@ -147,29 +210,43 @@ def _block_links(percent: int):
     return run
 
 
-def finished(scratch: Scratch, mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All links between components inside the regions ``mixed(region, doc_id, n_shingles, label)``.
+def _blocks(mixed: DataFrame) -> DataFrame:
+    """``mixed(region, doc_id, n_shingles, label)`` dealt into pairs of blocks ``(region, i, j)``, ``side`` telling which of two.
 
-    A region's documents are dealt into blocks of bounded documents and shingles, those of its most frequent label apart,
-    and every two blocks meet in a task, unless both are of that label. No pair of documents becomes a
-    row; a task returns links that connect components, fewer than documents.
+    A region's documents are dealt into blocks of bounded documents and shingles, those of its most frequent label
+    apart, and every two blocks meet, unless both are of that label.
     """
-    kind = sets.schema["doc_id"].dataType.simpleString()
     blocks = lambda n, w: F.greatest(F.ceil(F.col(n) / BLOCK_DOCS), F.ceil(F.col(w) / BLOCK_SHINGLES)).cast("int")
     held = mixed.groupBy("region", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w"))
     held = held.groupBy("region").agg(
         F.max_by("label", "n").alias("most"), F.max("n").alias("n_most"), F.max_by("w", "n").alias("w_most"),
         F.sum("n").alias("n"), F.sum("w").alias("w"),
-    ).withColumns({"n_rest": F.col("n") - F.col("n_most"), "w_rest": F.col("w") - F.col("w_most")})
+    ).withColumns({"n_rest": F.col("n") - F.col("n_most"), "w_rest": F.col("w") - F.col("w_most")}).where("n_rest > 0")
     held = held.select("region", "most", blocks("n_rest", "w_rest").alias("rest"), blocks("n_most", "w_most").alias("more"))
     draw = F.xxhash64("doc_id")
     dealt = mixed.join(held, "region").withColumn("is_most", F.col("label") == F.col("most"))
     dealt = dealt.withColumn("own", F.when(F.col("is_most"), F.col("rest") + F.pmod(draw, F.col("more"))).otherwise(F.pmod(draw, F.col("rest"))).cast("int"))
     last = F.when(F.col("is_most"), F.col("rest")).otherwise(F.col("rest") + F.col("more")) - 1
     dealt = dealt.select("region", "doc_id", "label", "own", F.explode(F.sequence(F.lit(0), last)).alias("other"))
-    dealt = dealt.select(
+    return dealt.select(
         "region", "doc_id", "label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
         (F.col("own") > F.col("other")).cast("int").alias("side"),
     )
-    met = dealt.join(sets, "doc_id").groupBy("region", "i", "j").applyInArrow(_block_links(percent), f"a {kind}, b {kind}")
-    return scratch.table(met.distinct())
+
+
+def finished(scratch: Scratch, mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All links between components inside the regions ``mixed(region, doc_id, n_shingles, label)``.
+
+    Blocks of documents meet in a task, twice: first by profiles, which leaves the documents that may have
+    a partner in their region, then by whole sets. No pair of documents becomes a row; a task returns links
+    that connect components, fewer than documents.
+    """
+    kind = sets.schema["doc_id"].dataType.simpleString()
+    keys = ("region", "i", "j")
+    mixed = mixed.select("region", "doc_id", "n_shingles", "label")
+    some = _blocks(mixed).join(sets.select("doc_id", "profile"), "doc_id").groupBy(*keys).applyInArrow(_with_partners(percent), f"region bigint, doc_id {kind}")
+    some = scratch.table(mixed.join(some.distinct(), ["region", "doc_id"]))
+    met = _blocks(some).join(sets.select("doc_id", "members"), "doc_id").groupBy(*keys).applyInArrow(_block_links(percent), f"a {kind}, b {kind}")
+    links = scratch.table(met.distinct())
+    scratch.drop(some)
+    return links

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm.frames import Scratch, large_list, mix, seeds, slices
@@ -16,6 +16,8 @@ from lodestar.llm.setlinks import finished, full_sets, likely, sets_of, verified
 
 #: Pivots of a region that is split, the documents up to which a region is not, and documents measured in one task.
 PIVOTS, SMALL, SLICE = 8, 1024, 512
+#: Regions of so many documents are compared whole by as many pivots, less one.
+FEW = 4
 #: A region that keeps more than this share of its parent's documents is finished without a further split.
 SHRINK = 0.7
 
@@ -113,7 +115,7 @@ def _split(scratch: Scratch, large: DataFrame, sets: DataFrame, percent: int, le
     cut = F.ceil(F.col("n") / SLICE).cast("int")
     rows = large.select("region", "doc_id", F.pmod(F.xxhash64("doc_id", F.lit(level)), cut).cast("int").alias("slice"), F.lit(False).alias("is_pivot"))
     centres = drawn.select("region", "doc_id", F.explode(F.sequence(F.lit(0), cut - 1)).alias("slice"), F.lit(True).alias("is_pivot"))
-    met = rows.unionByName(centres).join(sets, "doc_id").groupBy("region", "slice").applyInArrow(_regions(percent), f"region bigint, doc_id {kind}, pivot {kind}, linked boolean")
+    met = rows.unionByName(centres).join(sets.select("doc_id", "members"), "doc_id").groupBy("region", "slice").applyInArrow(_regions(percent), f"region bigint, doc_id {kind}, pivot {kind}, linked boolean")
     met = scratch.table(met.distinct())
     links = met.where("linked AND doc_id <> pivot").select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b")).distinct()
     parents = large.groupBy("region").agg(F.max("n").alias("n_parent"))
@@ -132,8 +134,8 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
       a pivot, so the triangle inequality cannot part them. There the pivots are parts of sets: see ``parts``. Two
       linked documents hold an equal part, distance 0, and every other pivot there is farther than a link can span.
       Of regions with the same documents one stays.
-    * Each region is measured against its centre, the document that meets most others. Regions whose documents are one
-      component then are done.
+    * Each region is measured against its centre, the document that meets most others, and one of a few documents against
+      all. Regions whose documents are one component then are done.
     * The rest is joined recursively. A larger region takes pivots, each document goes to the nearest (its Voronoi cell), and
       also to each pivot at most twice a link's distance farther; these regions are joined in turn. A region that is
       small, or did not shrink because all its documents lie in the windows, is finished by comparing whole
@@ -161,7 +163,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     members = scratch.table(placed.join(cells, "region"))
     meets = members.groupBy("doc_id").agg(F.sum("n").alias("met"))
     # Merged whatever its size, so that every run shuffles each text once and not more.
-    sets = scratch.table(docs.join(members.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").mapInArrow(full_sets(shingle), f"doc_id {kind}, members binary"))
+    sets = scratch.table(docs.join(members.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").mapInArrow(full_sets(shingle), f"doc_id {kind}, members binary, profile binary"))
 
     own = usable.join(classes, "digest").select("doc_id", "rep")
     shared = own.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z")
@@ -186,16 +188,18 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
             every = every.unionByName(x)
         return components(scratch, every)
 
-    # The centre of each region first.
-    at = labelled(members).join(meets, "doc_id")
-    order = F.col("met") * (1 << 20) + F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-    centre = at.groupBy("region").agg(F.max_by("doc_id", order).alias("pivot"), F.max_by("label", order).alias("pivot_label"), F.max_by("n_shingles", order).alias("m"))
-    met = at.join(centre, "region").where("label <> pivot_label").where(likely(percent, "n_shingles", "m"))
+    # The centre of each region first; in one of FEW documents all but one are centres.
+    order = Window.partitionBy("region").orderBy(F.desc("met"), F.xxhash64("doc_id"))
+    centres = members.join(meets, "doc_id").withColumn("place", F.row_number().over(order)).where(F.col("place") < FEW).where(F.col("place") <= F.when(F.col("n") <= FEW, FEW - 1).otherwise(1))
+    centres = centres.select("region", F.col("doc_id").alias("pivot"), F.col("n_shingles").alias("m"))
+    met = members.join(centres, "region").where("doc_id <> pivot").where(likely(percent, "n_shingles", "m"))
     pairs = scratch.table(met.select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b")).distinct())
     labels = add(verified(scratch, sets, pairs, percent))
     scratch.drop(pairs)
+    # What is compared with all others of its region leaves it.
+    rest = members.where(F.col("n") > FEW).join(centres.withColumnRenamed("pivot", "doc_id").select("region", "doc_id"), ["region", "doc_id"], "left_anti")
 
-    regions, level = members.withColumn("n_parent", F.lit(None).cast("bigint")), 0
+    regions, level = rest.withColumn("n_parent", F.lit(None).cast("bigint")), 0
     while True:
         left = mixed(regions.select("region", "n", "n_parent", "doc_id", "n_shingles"))
         if left.isEmpty():
