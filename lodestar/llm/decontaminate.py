@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestar.llm.frames import slices
+from lodestar.llm.frames import Scratch, slices
 
 #: Most characters of benchmark in one automaton; more are searched in blocks, one scan each.
 MAX_CHARS = 8_000_000
@@ -143,9 +143,11 @@ def decontaminate(
 
     One automaton is sent to all tasks and whole texts are scanned once, without a shuffle. The
     benchmark's size is measured first: one of more than ``max_chars`` characters is dealt by item
-    into blocks below that bound, with one automaton and one scan each, and the same result.
+    into blocks below that bound, with one automaton and one scan each, and the same result. Each scan is a job of
+    its own and its result is stored, so a task never holds two automata.
     """
     spark = docs.sparkSession
+    scratch = Scratch(spark)
     items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("text")).distinct()
     total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     blocks = 1 + 2 * total // max_chars if total > max_chars else 1
@@ -159,7 +161,11 @@ def decontaminate(
         shared = spark.sparkContext.broadcast((hashlib.sha256(repr((rows, size)).encode()).hexdigest(), rows))
         last = k == blocks - 1
         more = "n_words bigint, n_hit bigint, spans array<struct<start: bigint, end: bigint>>" if last else "text string, ranges array<struct<a: bigint, b: bigint>>"
-        held = held.mapInArrow(_scan(shared, size, last), T.StructType([*own, *T.DataType.fromDDL(more + ", items array<string>").fields]))
+        scanned = held.mapInArrow(_scan(shared, size, last), T.StructType([*own, *T.DataType.fromDDL(more + ", items array<string>").fields]))
+        if not last:
+            scanned = scratch.table(scanned)
+            scratch.drop(held)
+        held = scanned
     return held.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], *added)
 
 
