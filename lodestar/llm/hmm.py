@@ -243,11 +243,69 @@ def _sequences(part: pa.RecordBatch) -> list[np.ndarray]:
     return [np.append(np.frombuffer(x.as_buffer(), np.int16), np.int16(_END)) for x in part.column("symbols")]
 
 
+def _last_shares(model: Model, texts: list[np.ndarray]) -> np.ndarray:
+    """The states' shares after each whole sequence."""
+    out = np.zeros((len(texts), len(model.start)))
+    for own, lengths, symbols in _packs(texts):
+        active = (lengths[None, :] > np.arange(len(symbols))[:, None]).sum(1)
+        alpha = np.tile(model.start, (len(own), 1))
+        for t, n in enumerate(active):
+            alpha[:n] = (alpha[:n] @ model.move if t else alpha[:n]) * model.emit[symbols[t, :n]]
+            alpha[:n] /= alpha[:n].sum(1, keepdims=True)
+        out[own] = alpha
+    return out
+
+
+@dataclass
+class Piece:
+    """A text or a segment of a long one: the states' shares ``before`` it (none at a text's start), and
+    how likely what follows is ``after`` it from each state, up to a factor."""
+
+    symbols: np.ndarray
+    before: np.ndarray | None
+    after: np.ndarray
+
+
+def _pieces(model: Model, texts: list[np.ndarray]) -> list[Piece]:
+    """Texts as pieces that the recursions can take side by side, with the same counts as whole texts.
+
+    A long text is cut into segments behind a first piece. All segments' flows from state to state are
+    taken together; one walk over a text's flows forward gives the shares before each segment, one back the likelihoods after it.
+    """
+    ones = np.ones(len(model.start))
+    out = [Piece(t, None, ones) for t in texts if len(t) <= 2 * SEGMENT]
+    long = [t for t in texts if len(t) > 2 * SEGMENT]
+    starts = [(len(t) - 1) % SEGMENT + 1 for t in long]
+    shares = _last_shares(model, [t[:a] for t, a in zip(long, starts)])
+    segments = [(i, k) for i, t in enumerate(long) for k in range(starts[i], len(t), SEGMENT)]
+    flows = []
+    for k in range(0, len(segments), _TOGETHER):
+        flow, logs = _segments(model, np.stack([long[i][c : c + SEGMENT] for i, c in segments[k : k + _TOGETHER]]))
+        flows.append(flow * np.exp(logs - logs.max(1, keepdims=True))[:, :, None])
+    flow = np.concatenate(flows) if flows else np.zeros((0, len(ones), len(ones)))
+    first = np.searchsorted([i for i, _ in segments], np.arange(len(long) + 1))
+    for i, t in enumerate(long):
+        own = range(first[i], first[i + 1])
+        before, after = {}, {}
+        now = shares[i]
+        for k in own:
+            before[k] = now
+            now = now @ flow[k]
+            now = now / now.sum()
+        back = ones
+        for k in reversed(own):
+            after[k] = back
+            back = flow[k] @ back
+            back = back / back.max()
+        out.append(Piece(t[: starts[i]], None, back))
+        out += [Piece(t[segments[k][1] : segments[k][1] + SEGMENT], before[k], after[k]) for k in own]
+    return out
+
+
 def _expected(shared):
     """Expected counts of one round over a task's texts, as one row for each class and state.
 
-    Key -1 - k has the moves out of state k, key -1 - STATES the starts. Texts above two segments are
-    trained on segment by segment.
+    Key -1 - k has the moves out of state k, key -1 - STATES the starts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,14 +315,18 @@ def _expected(shared):
         emissions, moves, starts = np.zeros((CLASSES, states)), np.zeros((states, states)), np.zeros(states)
         for batch in batches:
             for part in slices(batch, "symbols", 1 << 20):
-                texts = [s for t in _sequences(part) for s in (np.split(t, range(SEGMENT, len(t), SEGMENT)) if len(t) > 2 * SEGMENT else [t])]
-                for own, lengths, symbols in _packs(texts):
+                pieces = _pieces(model, _sequences(part))
+                for own, lengths, symbols in _packs([p.symbols for p in pieces]):
                     active = (lengths[None, :] > np.arange(len(symbols))[:, None]).sum(1)
                     emitted = emit[symbols]
                     kept = np.zeros_like(emitted)
-                    alpha = np.tile(model.start.astype(np.float32), (len(own), 1))
+                    begins = np.array([pieces[i].before is None for i in own])
+                    before = np.stack([model.start if pieces[i].before is None else pieces[i].before for i in own])
+                    alpha = np.where(begins[:, None], before, before @ model.move).astype(np.float32)
                     scales = _forward(model, alpha, emitted, active, kept)
-                    beta = np.ones((len(own), states), np.float32)
+                    # Now alpha has the shares after each piece.
+                    beta = np.stack([pieces[i].after for i in own]).astype(np.float32)
+                    beta /= (alpha * beta).sum(1, keepdims=True)
                     for t in range(len(symbols) - 1, -1, -1):
                         n = active[t]
                         after = emitted[t, :n] * beta[:n] / scales[t, :n, None]
@@ -273,7 +335,9 @@ def _expected(shared):
                             # kept[t - 1] still has alpha: it takes part before its own turn.
                             moves += move * (kept[t - 1, :n].T @ after)
                             beta[:n] = after @ move.T
-                    starts += kept[0].sum(0)
+                        else:
+                            moves += model.move * (before[~begins].T @ after[~begins])
+                    starts += kept[0, begins].sum(0)
                     inside = np.arange(len(symbols))[:, None] < lengths[None, :]
                     flat, weight = symbols[inside], kept[inside]
                     for k in range(states):
