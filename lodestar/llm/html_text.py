@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -46,8 +47,15 @@ PARTS = frozenset(
 ALONE_ID = frozenset("comments commentlist respond disqus sidebar outbrain taboola".split())
 ALONE_CLASS = ALONE_ID | frozenset(
     "share sharing sharebar social related recommended newsletter subscribe signup ad ads adv advert adverts advertisement adsense adbox sponsored promo "
-    "breadcrumb breadcrumbs sidebars pagination pager nav navbar menu submenu toolbar footer tags widget widgets popup modal paywall replies searchform".split()
+    "breadcrumb breadcrumbs sidebars pagination pager nav navbar menu submenu toolbar footer tags widget widgets popup modal paywall replies searchform "
+    "notice notices notification notifications alert banner banners".split()
 )
+#: Classes that alone name what others have placed on the page, on any of these elements and anywhere.
+PLACED = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising adsbygoogle ad-banner ad-box ad-container ad-slot ad-unit ad-wrapper sponsored "
+    "cookie-notice cookie-banner cookie-bar cookie-consent cookie-message cookies-notice gdpr-notice".split()
+)
+PLACES = frozenset("p span div li section a figure".split())
 ROLES = frozenset("navigation complementary search contentinfo dialog alertdialog menu menubar toolbar".split())
 #: Elements that a name can drop inside an article, and those that none drops anywhere.
 CONTAINERS = frozenset("div section ul ol dl details".split())
@@ -63,19 +71,43 @@ _NEGATED = re.compile(r"(?:^|[-_])(?:no|not|has|with|without)[-_]", re.I)
 _TOPIC = re.compile(r"(?:category|cat|tag|topic|author|format|type|status)[-_]", re.I)
 _COMMA = re.compile(r"[,、،，]")
 
-#: Characters of a paragraph that passes points on, and of one that is kept beside the container.
-PARAGRAPH, BESIDE = 25, 80
+#: Characters of a paragraph that passes points on, of one that is kept beside the container, and ancestors that get points.
+PARAGRAPH, BESIDE, LEVELS = 25, 80, 16
+
+# Which open elements a start tag ends, and at which element the search for them stops.
+_LI, _DD, _TR, _TD = range(2, 6)
+_ENDS = ((_LI, frozenset({"li"}), frozenset({"ul", "ol", "menu"})), (_DD, frozenset({"dd", "dt"}), frozenset({"dl"})),
+         (_TR, frozenset({"tr"}), frozenset({"table"})), (_TD, frozenset({"td", "th"}), frozenset({"tr", "table"})))
+_ENDED = {"li": _LI, "dd": _DD, "dt": _DD, "tr": _TR, "td": _TD, "th": _TD}
+_SCOPE = frozenset("td th table caption html body article section div blockquote li main".split())
 
 
 class Node:
-    """An element: its children in order, texts among them, and what the scoring needs of it."""
+    """An element: its children in order, texts among them, and what the parsing and scoring need of it.
 
-    __slots__ = ("tag", "parent", "children", "points", "names", "dropped")
+    ``near`` has the nearest open elements, itself among them, that a start tag below may end: a paragraph, a
+    paragraph or heading, and those of lists and tables. They are handed down, so that no search walks up the tree.
+    """
+
+    __slots__ = ("tag", "parent", "children", "points", "names", "dropped", "near", "in_article", "cleared", "chars", "links", "keeper")
 
     def __init__(self, tag: str, parent: "Node | None", names: frozenset[str] = frozenset(), dropped: bool = False):
         self.tag, self.parent, self.names, self.dropped = tag, parent, names, dropped
         self.children: list[Node | str] = []
         self.points = 0.0
+        self.chars = self.links = 0
+        self.keeper: Node | None = None
+        self.cleared = False
+        self.in_article = tag == "article" or parent is not None and parent.in_article
+        above = parent.near if parent is not None else (None,) * 6
+        if tag == "p":
+            near = [self, self]
+        elif tag in HEADINGS:
+            near = [above[0], self]
+        else:
+            near = [None, None] if tag in _SCOPE else [*above[:2]]
+        near += [self if tag in ends else None if tag in stops else above[kind] for kind, ends, stops in _ENDS]
+        self.near = tuple(near) if near != list(above) else above
 
 
 def _names_clutter(key: str, token: str, words: list[str], strict: bool) -> bool:
@@ -113,6 +145,7 @@ def _clutter(tag: str, attributes: str, inside_article: bool, inside_prose: bool
     strict = inside_article or tag == "section" or any(key == "class" and token == "section" for key, token, _ in tokens)
     named = tag in CONTAINERS if strict else tag not in PROSE and not inside_prose
     clutter = named and any(_names_clutter(*token, strict) for token in tokens)
+    clutter |= tag in PLACES and any(key == "class" and token.lower() in PLACED for key, token, _ in tokens)
     return frozenset(w for _, _, words in tokens for w in words), tag not in ("html", "body", "main") and (hidden or clutter)
 
 
@@ -136,6 +169,22 @@ def parse(page: str) -> Node:
     root = Node("html", None)
     here, at, article = root, 0, 0
     closed: dict[str, dict[int, int]] = {}
+    # Open elements by name since each open body, and in all.
+    opened: list[Counter[str]] = [Counter()]
+    total: Counter[str] = Counter()
+
+    def leave(node: Node) -> Node:
+        """Close ``here`` and what is open below ``node``, which stays open."""
+        nonlocal article, here
+        while here is not node:
+            article -= here.tag in ("article", "main") and not here.dropped
+            if here.tag in ("body", "html"):
+                opened.pop()
+            opened[-1][here.tag] -= 1
+            total[here.tag] -= 1
+            here = here.parent
+        return here
+
     for found in iter(lambda: _TAG.search(page, at), None):
         if found.start() > at:
             here.children.append(page[at : found.start()])
@@ -166,19 +215,15 @@ def parse(page: str) -> Node:
                     at = max(at, closed[tag].get(found.start(), at))
             continue
         if found[1]:
-            node = here
-            while node is not None and node.tag != tag:
-                # A stray end tag inside a section does not end the section.
-                node = node.parent if node.tag not in ("body", "html") or tag in ("body", "html") else None
-            if node is not None and node.parent is not None:
-                while here is not node:
-                    article -= here.tag in ("article", "main") and not here.dropped
-                    here = here.parent
-                article -= here.tag in ("article", "main") and not here.dropped
-                here = here.parent
+            # A stray end tag inside a section does not end the section.
+            if (total if tag in ("body", "html") else opened[-1])[tag]:
+                node = here
+                while node.tag != tag:
+                    node = node.parent
+                leave(node.parent)
             continue
         if tag in CLOSES_P or tag in ("li", "dd", "dt", "tr", "td", "th", "option"):
-            here = _implied(here, tag)
+            leave(_implied(here, tag))
         attributes = found[3] if found[3] is not None else found[4]
         words, dropped = _clutter(tag, attributes, article > 0, here.tag == "p" or here.tag in HEADINGS)
         node = Node(tag, here, words, dropped)
@@ -187,41 +232,29 @@ def parse(page: str) -> Node:
             article += 1
             # A wrapper's name may sound like clutter; what holds the article is none. A comment, or an
             # article inside another, tells nothing of its wrappers.
-            up = None if tag == "article" and words & {"comment", "comments", "reply"} else here
-            wrappers = []
-            while up is not None and up.tag != "article":
-                wrappers.append(up)
+            up = here
+            if tag == "article" and words & {"comment", "comments", "reply"} or here.in_article:
+                up = None
+            while up is not None and not up.cleared:
+                up.cleared = True
+                up.dropped &= up.tag not in ("div", "section")
                 up = up.parent
-            for wrapper in wrappers if up is None else []:
-                wrapper.dropped &= wrapper.tag not in ("div", "section")
         if not attributes.endswith("/"):
             here = node
+            total[tag] += 1
+            opened[-1][tag] += 1
+            if tag in ("body", "html"):
+                opened.append(Counter())
     if at < len(page):
         here.children.append(page[at:])
     return root
 
 
-# Which open elements a start tag ends, and at which element the search stops.
-_ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}),
-         "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
-_SCOPE = frozenset("td th table caption html body article section div blockquote li main".split())
-
-
 def _implied(here: Node, tag: str) -> Node:
-    ends, stops = _ENDS.get(tag, (frozenset(), frozenset()))
-    node = here
-    while node is not None and node.tag not in stops:
-        if node.tag in ends:
-            return node.parent
-        if not ends and node.tag in _SCOPE:
-            break
-        node = node.parent
-    node = here
-    while node is not None and node.tag not in _SCOPE:
-        if node.tag == "p" or node.tag in HEADINGS and tag in CLOSES_P:
-            return node.parent
-        node = node.parent
-    return here
+    """The element that stays open where ``tag`` starts."""
+    ended = here.near[_ENDED[tag]] if tag in _ENDED else None
+    ended = ended or here.near[1 if tag in CLOSES_P else 0]
+    return ended.parent if ended is not None else here
 
 
 _BLOCKS = CLOSES_P | frozenset("html body".split())
@@ -274,7 +307,7 @@ def extract(page: str) -> str:
     """The article's blocks, joined by an empty line; empty if there is none.
 
     A paragraph gives one point, one for each comma and one for each hundred characters up to three;
-    its parent gets them all, the next ancestor half, those above a share that falls with the
+    its parent gets them all, the next ancestor half, those above, up to ``LEVELS``, a share that falls with the
     distance. An element's points are discounted by the share of links in its text. The best one is
     the container; siblings are kept that have a fifth of its points, or are prose or headings with
     few links. Within an ``article`` or ``main`` element around the container all is kept.
@@ -283,28 +316,27 @@ def extract(page: str) -> str:
     found = blocks(root)
     if not found:
         return ""
-    sizes: dict[int, list[int]] = {}
+    every = _elements(root)
     scored: dict[int, Node] = {}
     for node, text, links in found:
-        up: Node | None = node
-        while up is not None:
-            size = sizes.setdefault(id(up), [0, 0])
-            size[0] += len(text)
-            size[1] += links
-            up = up.parent
+        node.chars += len(text)
+        node.links += links
         if len(text) < PARAGRAPH or _is_heading(node) or 2 * links > len(text):
             continue
         points = 1 + len(_COMMA.findall(text)) + min(len(text) // 100, 3)
         # Text that stands in a container without a paragraph of its own counts for the container.
         up, level = (node.parent if node.tag in ("p", "pre", "blockquote", "li", "td", "dd") else node), 0
-        while up is not None:
+        while up is not None and level < LEVELS:
             up.points += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
             scored[id(up)] = up
             up, level = up.parent, level + 1
+    for node in reversed(every):
+        if node.parent is not None:
+            node.parent.chars += node.chars
+            node.parent.links += node.links
 
     def density(node: Node) -> float:
-        size = sizes.get(id(node), [0, 0])
-        return size[1] / size[0] if size[0] else 0.0
+        return node.links / node.chars if node.chars else 0.0
 
     def value(node: Node) -> float:
         return node.points * (1 - density(node)) * (1.25 if node.names & GOOD or node.tag in ("article", "main") else 1)
@@ -331,15 +363,15 @@ def extract(page: str) -> str:
         for other in best.parent.children if best.parent is not None else []:
             if isinstance(other, str) or other is best or other.dropped:
                 continue
-            size = sizes.get(id(other), [0, 0])[0]
+            size = other.chars
             prose = other.tag in ("p", "pre", "blockquote", "ul", "ol", "table", "figure") and density(other) < 0.25 and (size >= BESIDE or other.tag == "p" and size > 0)
             if id(other) in scored and value(other) >= least or prose or _is_heading(other) and density(other) < 0.5:
                 kept.add(id(other))
+    for node in every:
+        node.keeper = node if id(node) in kept else node.parent.keeper if node.parent is not None else None
     out = []
     for node, text, links in found:
-        up = node
-        while up is not None and id(up) not in kept:
-            up = up.parent
+        up = node.keeper
         # In an article, or the container found, linked items are its references; in a bare body they may be menus.
         loose = up is not None and up.tag in ("html", "body") and node.tag in ("li", "div", "ul", "nav")
         if up is not None and not (loose and links and 10 * links >= 9 * len(text)):
@@ -347,6 +379,14 @@ def extract(page: str) -> str:
     return "\n\n".join(out)
 
 
+def _elements(root: Node) -> list[Node]:
+    """All elements, each after its parent."""
+    out = [root]
+    for node in out:
+        out += [child for child in node.children if isinstance(child, Node)]
+    return out
+
+
 def _only_article(node: Node) -> Node | None:
     """The one article below ``node``, if it is the only one."""
     found: list[Node] = []

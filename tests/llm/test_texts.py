@@ -3,6 +3,7 @@
 import base64
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -135,7 +136,10 @@ def test_pages(page, text):
     (f"<body><section id=related-work><h2 class=banner>R</h2><p>{LONG}</p><p class=notice>N</p></section>", f"R\n\n{LONG}\n\nN"),
     (f"<article><p>{LONG} <a class=related href=x>see</a> <span class=tag-search>this</span></p><ol class=references><li><a href=a>One</a><li><a href=b>Two</a></ol><div><a href=c>Three</a></div>",
      f"{LONG} see this\n\nOne\n\nTwo\n\nThree"),
-    (f"<article><p>{LONG}</p><div class='share-bar'>s</div><ul class=related-posts><li>r</ul><div id=comments>c</div><section class=newsletterSignup>n</section><div class='alert'>a</div>", f"{LONG}\n\na"),
+    (f"<article><p>{LONG}</p><div class='share-bar'>s</div><ul class=related-posts><li>r</ul><div id=comments>c</div><section class=newsletterSignup>n</section><div class='alert'>a</div>", LONG),
+    *((f"<article><p>{LONG}</p><{tag} class='{name}'>placed</{tag}><p>end</p></article>", f"{LONG}\n\nend") for tag in ("p", "div") for name in ("ad", "advertisement", "x cookie-notice", "Sponsored")),
+    *((f"<article><p>{LONG}</p><div class={name}>placed</div><p class={name}>end</p></article>", f"{LONG}\n\nend") for name in ("notice", "banner", "alert")),
+    (f"<div><p>{LONG}</p><p>an <span class=ad>placed</span> word</p><p class=ad-hoc>ad hoc</p></div>", f"{LONG}\n\nan word\n\nad hoc"),
     (f"<article><p>{LONG}</p></article><div class=comments><article class=comment><p>c</p></article></div>", LONG),
     (f"<article><p>{LONG}</p><div class=related-posts><article><p>{LONG} 2</p></article></div></article>", LONG),
     *((f"<div><p>{LONG}</p><{tag} a=b><p>{LONG} 2</p><{tag}>x</{tag}><p>end</p></div>", f"{LONG}\n\n{LONG} 2\n\nend") for tag in ("svg", "iframe", "select", "object")),
@@ -149,6 +153,82 @@ def test_many_unclosed_elements_take_no_longer():
     assert html_text.extract("<svg>" * 100_000 + f"<p>{LONG}</p>") == LONG
 
 
+@pytest.mark.parametrize("page", [
+    f"<div><p>{LONG}" * 50_000, "<a>" * 50_000 + f"<div>{LONG}</p></div>" * 10_000, "<ul><li>" * 50_000 + f"<p>{LONG}", "<div>" * 50_000 + "</span></p></li>" * 50_000 + LONG,
+    "<div>" * 30_000 + f"<main><p>{LONG}</p></main>" * 10_000, "<table><tr><td>" * 30_000 + LONG, f"<body><div></body><p>{LONG}</div>" * 20_000, f"<section><h2>T<p>{LONG}</section></p>" * 20_000,
+])
+def test_time_grows_with_the_page(page):
+    start = time.process_time()
+    html_text.extract(page)
+    assert time.process_time() - start < 15
+
+
+def extract_plainly(page):
+    """The same rules, every sum and search done over again for each element."""
+    h = html_text
+    found = h.blocks(h.parse(page))
+    nodes, top = {}, None
+    chain = lambda n: [n, *chain(n.parent)] if n is not None else []
+    for node, _, _ in found:
+        for n in chain(node):
+            nodes[id(n)] = n
+            top = n
+    if top is None:
+        return ""
+    below = lambda n: [(len(t), k) for node, t, k in found if any(x is n for x in chain(node))]
+    density = lambda n: sum(k for _, k in below(n)) / max(sum(c for c, _ in below(n)), 1)
+
+    def points(n):
+        total = 0.0
+        for node, t, k in found:
+            if len(t) >= 25 and node.tag not in h.HEADINGS and 2 * k <= len(t):
+                first = chain(node)[1:] if node.tag in ("p", "pre", "blockquote", "li", "td", "dd") else chain(node)
+                for level, up in enumerate(first[: h.LEVELS]):
+                    if up is n:
+                        total += (1 + sum(t.count(c) for c in ",、،，") + min(len(t) // 100, 3)) / (1 if level == 0 else 2 if level == 1 else 3 * level)
+        return total
+
+    value = lambda n: points(n) * (1 - density(n)) * (1.25 if n.names & h.GOOD or n.tag in ("article", "main") else 1)
+    order = {}
+    for node, t, k in found:
+        if len(t) >= 25 and node.tag not in h.HEADINGS and 2 * k <= len(t):
+            for up in chain(node)[1:] if node.tag in ("p", "pre", "blockquote", "li", "td", "dd") else chain(node):
+                order.setdefault(id(up), up)
+    best = max(order.values(), key=value) if order else next((n for n, _, _ in found if n.tag in ("article", "main")), top)
+    whole = next((n for n in chain(best) if n.tag == "article"), None) or next((n for n in chain(best) if n.tag == "main"), None)
+    if whole is not None:
+        kept = [(h._only_article(whole) or whole) if whole.tag != "article" else whole]
+    else:
+        kept = [best]
+        for other in best.parent.children if best.parent is not None else []:
+            if isinstance(other, str) or other is best or other.dropped:
+                continue
+            size = sum(c for c, _ in below(other))
+            prose = other.tag in ("p", "pre", "blockquote", "ul", "ol", "table", "figure") and density(other) < 0.25 and (size >= 80 or other.tag == "p" and size > 0)
+            if id(other) in order and value(other) >= max(2.0, 0.2 * value(best)) or prose or other.tag in h.HEADINGS and density(other) < 0.5:
+                kept.append(other)
+    out = []
+    for node, t, k in found:
+        up = next((n for n in chain(node) if any(n is x for x in kept)), None)
+        loose = up is not None and up.tag in ("html", "body") and node.tag in ("li", "div", "ul", "nav")
+        if up is not None and not (loose and k and 10 * k >= 9 * len(t)):
+            out.append(t)
+    return "\n\n".join(out)
+
+
+def test_scores_are_those_of_plain_sums():
+    rng = random.Random(12)
+    tags = ["div", "div", "section", "p", "p", "ul", "li", "h2", "a", "span", "article", "main", "td", "table", "body", "blockquote"]
+    names = ["", "", "", " class=content", " class=comments", " class='ad'", " id=sidebar", " class=post"]
+    for _ in range(300):
+        page = []
+        for _ in range(rng.randint(1, 40)):
+            tag = rng.choice(tags)
+            page.append(rng.choice([f"<{tag}{rng.choice(names)}>", f"</{tag}>", f"{sentence(rng, rng.randint(1, 30))}, ", f"<p>{LONG}</p>", "<a href=x>link text</a>"]))
+        page = "".join(page)
+        assert html_text.extract(page) == extract_plainly(page), page
+
+
 def test_pages_cut_anywhere_do_not_fail():
     page = f"<html><body><div class=\"x'y\"><p title=\"a>b\">{LONG}</p><table><tr><td>a<td>b</table><p>{LONG}</p></div></body></html>"
     for n in range(len(page)):
@@ -227,6 +307,43 @@ def test_forward_is_exact(monkeypatch):
     assert abs(np.exp(hmm.log_likelihood(model, every)).sum() - 1) < 1e-9
 
 
+def test_baum_welch_counts_are_those_of_whole_texts(monkeypatch):
+    """Expected counts of one round against a plain forward-backward pass over each whole text, long ones too."""
+    import types
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(hmm, "SEGMENT", 16)
+    rng = np.random.default_rng(4)
+    model = model_of(rng, 3, hmm.CLASSES)
+    texts = [rng.integers(1, hmm.CLASSES, n).astype(np.int16) for n in (0, 1, 2, 30, 31, 32, 33, 47, 48, 64, 65, 500)]
+    emissions, moves, starts = np.zeros((hmm.CLASSES, 3)), np.zeros((3, 3)), np.zeros(3)
+    for text in texts:
+        x = np.append(text, 0)
+        alpha = [model.start * model.emit[x[0]]]
+        alpha[0] /= alpha[0].sum()
+        for symbol in x[1:]:
+            now = alpha[-1] @ model.move * model.emit[symbol]
+            alpha.append(now / now.sum())
+        beta = np.ones(3)
+        for t in range(len(x) - 1, -1, -1):
+            share = alpha[t] * beta / (alpha[t] * beta).sum()
+            emissions[x[t]] += share
+            if t:
+                both = alpha[t - 1][:, None] * model.move * (model.emit[x[t]] * beta)[None, :]
+                moves += both / both.sum()
+                beta = model.move @ (model.emit[x[t]] * beta)
+                beta /= beta.sum()
+            else:
+                starts += share
+    batch = pa.RecordBatch.from_arrays([pa.array([t.tobytes() for t in texts], pa.binary())], ["symbols"])
+    (got,) = hmm._expected(types.SimpleNamespace(value=model))(iter([batch]))
+    rows = np.stack([got.column(f"s{k}").to_numpy() for k in range(3)], 1)
+    assert np.allclose(rows[: hmm.CLASSES], emissions, atol=1e-4)
+    assert np.allclose(rows[hmm.CLASSES : hmm.CLASSES + 3], moves, rtol=1e-4)
+    assert np.allclose(rows[hmm.CLASSES + 3], starts, rtol=1e-4) and abs(starts.sum() - len(texts)) < 1e-9
+
+
 def test_language_model_scores(spark):
     rng = random.Random(9)
     vocabularies = [[sentence(rng, 1) + end for _ in range(60)] for end in ("ing", "tion", "é")]
