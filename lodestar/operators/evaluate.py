@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
 from pyspark.sql.window import Window
 
 from lodestar.functions.common import let, literal
+from lodestar.operators.containment import holding
+from lodestar.sources.tables import materialise
 
 
 def first_relevant(results: DataFrame, judged: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
@@ -25,49 +26,59 @@ def acc_at_k(ranks: DataFrame) -> DataFrame:
     return ranks.agg(F.avg(F.col("rank").isNotNull().cast("double")).alias("acc"))
 
 
-#: Characters of a short passage that find its documents.
-N_CHARS = 3
+#: Candidates are sent to the texts, not the texts to them, up to so many bytes of them (measured).
+MAX_CANDIDATE_BYTES = 64 << 20
 
 
 def judged_pairs(documents: DataFrame, passages: DataFrame, n_words: int = 5) -> DataFrame:
-    """``(req_id, id)``: documents that contain a passage, found by an equi-join.
-
-    The words of a passage except its first and last stand between blanks in both texts, so the
-    run of ``n_words`` words after the first one must occur in the document. That run is joined,
-    and the full passage is then checked. Passages too short for such a run use one word instead, and
-    those of one or two words their first characters, met by the documents' distinct runs of as many.
+    """``(req_id, id)``: documents that contain a passage, found by equi-joins on parts of it.
+
+    The words of a passage except its first and last stand between blanks in both texts. A passage of
+    ``n_words`` more than these two is found by the run of words after its first one; one of three words or
+    more by the inner word that the fewest documents hold. A shorter passage stands inside one word, or at the
+    end of one and the start of the next: its longer piece is looked up among the distinct words of
+    all documents, by their runs of a few characters, and the words that hold it find the documents.
+    So texts are read word by word, each kind of passage only if there is one, and no step
+    looks at a text character by character. Candidates are checked against the whole text.
     Null and empty passages judge nothing.
     """
     blank = literal(r"\s+")
-
-    def runs(df: DataFrame, length: int) -> DataFrame:
-        """Hashes of every run of ``length`` words; the passage itself is checked afterwards."""
-        joined = (
-            f"CASE WHEN size(ws) >= {length} THEN transform(sequence(1, size(ws) - {length} + 1), "
-            f"i -> xxhash64(array_join(slice(ws, i, {length}), ' '))) END"
+    asked = passages.filter("passage <> ''").select("req_id", "passage").distinct()
+    p = asked.select("passage").distinct().selectExpr("passage", f"split(passage, {blank}) AS ws")
+    is_long, is_inner, is_short = f"size(ws) >= {n_words + 2}", f"size(ws) BETWEEN 3 AND {n_words + 1}", "size(ws) < 3"
+    kinds = p.agg(*[F.coalesce(F.expr(f"bool_or({c})"), F.lit(False)) for c in (is_long, is_inner, is_short)]).first()
+    pairs = documents.sparkSession.createDataFrame([], f"passage string, id {documents.schema['id'].dataType.simpleString()}")
+    sure = pairs
+    if kinds[0]:
+        run = f"xxhash64(array_join(slice(ws, {{}}, {n_words}), ' '))"
+        runs = f"CASE WHEN size(ws) >= {n_words} THEN transform(sequence(1, size(ws) - {n_words} + 1), i -> {run.format('i')}) END"
+        held = documents.selectExpr("id", f"explode({let('ws', f'split(text, {blank})', runs)}) AS run")
+        pairs = pairs.unionByName(held.join(p.filter(is_long).selectExpr("passage", f"{run.format(2)} AS run"), "run").select("passage", "id"))
+    if kinds[1] or kinds[2]:
+        # A text with a blank also holds a word that stands for all its blanks.
+        every = f"array_distinct(concat(split(text, {blank}), CASE WHEN text rlike {blank} THEN array(' ') ELSE array() END))"
+        words = documents.selectExpr("id", f"explode({every}) AS word")
+        inner = p.filter(is_inner).selectExpr("passage", "explode(slice(ws, 2, size(ws) - 2)) AS word")
+        short = p.filter(is_short).selectExpr(
+            "passage", "size(ws) = 1 AS one",
+            "CASE WHEN ws = array('', '') THEN ' ' WHEN size(ws) = 1 OR char_length(ws[0]) >= char_length(ws[1]) THEN ws[0] ELSE ws[1] END AS piece",
         )
-        hashes = df.selectExpr("id", f"explode_outer({let('ws', f'split(text, {blank})', joined)}) AS run")
-        return hashes.filter("run IS NOT NULL")
-
-    p = passages.selectExpr("*", f"split(passage, {blank}) AS ws")
-    candidates = None
-    for length, chosen in ((n_words, f"size(ws) >= {n_words + 2}"), (1, f"size(ws) BETWEEN 3 AND {n_words + 1}")):
-        anchors = p.filter(chosen).selectExpr("req_id", f"xxhash64(array_join(slice(ws, 2, {length}), ' ')) AS run")
-        pairs = runs(documents, length).join(anchors, "run").select("req_id", "id")
-        candidates = pairs if candidates is None else candidates.unionByName(pairs)
-    short = p.filter("size(ws) < 3 AND passage <> ''").selectExpr("req_id", f"substring(passage, 1, {N_CHARS}) AS run")
-    for n in range(1, N_CHARS + 1):
-        starts = short.filter(F.char_length("run") == n)
-        grams = documents.selectExpr("id", f"explode(array_distinct(transform(sequence(1, greatest(char_length(text) - {n - 1}, 1)), i -> substring(text, i, {n})))) AS run")
-        candidates = candidates.unionByName(grams.join(starts, "run").select("req_id", "id"))
-    # Long texts never travel with the runs: they are fetched for candidate pairs only.
-    return (
-        candidates.distinct()
-        .join(passages, "req_id")
-        .join(documents.select("id", "text"), "id")
-        .filter(F.contains("text", "passage"))
-        .select("req_id", "id")
-    )
+        inside = materialise(holding(words.select("word").distinct(), short.select("piece").distinct()))
+        wanted = inside.select("word").unionByName(inner.select("word")).distinct()
+        hits = materialise(words.join(wanted, "word"))
+        rarest = inner.join(hits.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "word", "left")
+        rarest = rarest.groupBy("passage").agg(F.min_by("word", F.struct(F.coalesce("n", F.lit(0)), "word")).alias("word"))
+        pairs = pairs.unionByName(hits.join(rarest, "word").select("passage", "id"))
+        near = hits.join(inside, "word").select("piece", "id").distinct().join(short, "piece")
+        # What has no blank and stands in a word stands in the text.
+        sure = near.filter("one").select("passage", "id")
+        pairs = pairs.unionByName(near.filter("NOT one").select("passage", "id"))
+    pairs = materialise(pairs.distinct())
+    size = pairs.agg(F.sum(F.octet_length("passage") + F.octet_length(F.col("id").cast("string")) + 64)).first()[0]
+    if (size or 0) <= MAX_CANDIDATE_BYTES:
+        pairs = F.broadcast(pairs)
+    checked = documents.select("id", "text").join(pairs, "id").filter(F.contains("text", "passage")).select("passage", "id")
+    return asked.join(checked.unionByName(sure), "passage").select("req_id", "id").distinct()
 
 
 def summary(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -4,15 +4,20 @@ Three plans share one numpy kernel that never emits more than ``k`` rows per que
 
 * few queries (their number is checked): the query matrix goes to every task, the catalogue is
   scanned once and not shuffled;
-* many queries, exact: catalogue and queries meet in cells around pivots. Angles between unit
-  vectors obey the triangle inequality, so a cell is skipped only when no member can be among
-  the k nearest. Cells are cut into slices of bounded size, whatever their population;
-* approximate: the same cells from k-means centres, every query visits its ``nprobe`` nearest.
+* many queries, exact: the catalogue lies in a tree of cells, coarse ones and in each of those smaller
+  ones, with a centre and a radius at both levels. A query first ranks its nearest small cells, which bounds
+  its k-th neighbour. Angles between unit vectors obey the triangle inequality, so a coarse cell,
+  and then a small one, is skipped only when no member can be nearer than that bound;
+* approximate: the same tree, or given centres, and every query visits its ``nprobe`` nearest cells.
+
+The number of cells grows with the rows: a table of n rows has about n^(1/4) coarse cells and n^(1/2) small ones of
+n^(1/2) rows each. Cells are cut into slices of bounded size, whatever their population.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -27,7 +32,10 @@ MAX_BROADCAST_QUERIES = 4096
 SLICE_ROWS = 4096
 # Catalogue rows multiplied with the query matrix at a time, which bounds the task's memory.
 CHUNK = 1024
+# Coarse cells at most, and rows for each that the centres are fitted on: a bounded sample, by a hash of the
+# id. It only decides where cells lie; every row is put in a cell.
 MAX_CELLS = 1024
+COARSE_POOL, CELL_POOL = 32, 4
 # Scores are compared after rounding, so that equal vectors tie and ids decide on every layout.
 COS_DIGITS = 12
 
@@ -111,20 +119,6 @@ def _knn_scan(query_rows: list, catalogue: DataFrame, k: int, schema: str) -> Da
     return catalogue.mapInPandas(scan, schema)
 
 
-def _pool(df: DataFrame, n_rows: int, wanted: int) -> DataFrame:
-    """A sample of about ``wanted`` rows to place cells with; a small table is taken whole.
-
-    It only decides where cells lie. Every row is assigned to a cell, so results do not depend on it.
-    """
-    return df if n_rows <= wanted else df.sample(wanted / n_rows, seed=42)
-
-
-def pivots_of(catalogue: DataFrame, n_rows: int, n: int) -> np.ndarray:
-    """At most ``n`` catalogue vectors as a unit matrix, picked by hash order from a bounded pool."""
-    rows = _pool(catalogue, n_rows, 16 * n).orderBy(F.xxhash64("id"), "id").limit(n).select("v").collect()
-    return unit_rows([r["v"] for r in rows]) if rows else np.empty((0, 0))
-
-
 def _angles(unit: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(unit @ centres.T, -1.0, 1.0))
 
@@ -168,8 +162,7 @@ def _block_join(visits: DataFrame, cells: DataFrame, k: int, schema: str) -> Dat
     slices = lambda df, name: df.groupBy("cell").agg(
         F.ceil(F.count(F.lit(1)) / SLICE_ROWS).cast("int").alias(name)
     )
-    # One row per cell, at most MAX_CELLS rows: a bounded broadcast.
-    counts = F.broadcast(slices(visits, "n_q").join(slices(cells, "n_c"), "cell"))
+    counts = slices(visits, "n_q").join(slices(cells, "n_c"), "cell")
 
     def cut(df: DataFrame, mine: str, other: str, my_count: str, other_count: str) -> DataFrame:
         return df.join(counts, "cell").select(
@@ -215,10 +208,153 @@ def knn(queries: DataFrame, catalogue: DataFrame, k: int, transform: str = "reci
     return knn_join(queries, catalogue, k, transform, query_key, query_vector, key, vector)
 
 
+@dataclass
+class Cells:
+    """A catalogue in a tree of cells."""
+
+    #: Unit centres of the coarse cells, at most ``MAX_CELLS``, and the largest angle of a member to each (-inf: none).
+    coarse: np.ndarray
+    reach: np.ndarray
+    #: ``(cell, coarse, centre, radius, n)``, one row for each small cell with members.
+    small: DataFrame
+    #: ``(id, v, cell)``, every row of the catalogue.
+    rows: DataFrame
+
+
+def draw(salt: int, key: str = "id") -> str:
+    """A number from 0 to 1 that a row's id decides, the same in any engine that has md5."""
+    return f"CAST(conv(substring(md5(concat('{salt}:', coalesce(CAST({key} AS string), ''))), 1, 12), 16, 10) AS double) / {float(1 << 48)!r}D"
+
+
+def _fitted(pool: np.ndarray, k: int) -> np.ndarray:
+    """Centres: the first ``k`` rows, and then the mean of the rows nearest to each."""
+    near = np.round(pool @ pool[:k].T, COS_DIGITS).argmax(1)
+    means = [pool[near == i].mean(0) for i in range(min(k, len(pool))) if (near == i).any()]
+    return unit_rows([m if np.linalg.norm(m) > 0 else pool[0] for m in means])
+
+
+def _meet(rows: DataFrame, centres: DataFrame, each, schema: str) -> DataFrame:
+    """``each(rows, centres)`` for the rows and centres of a coarse cell, the rows in slices of bounded size."""
+    counts = rows.groupBy("coarse").agg(F.ceil(F.count(F.lit(1)) / SLICE_ROWS).cast("int").alias("slices"))
+    left = rows.join(counts, "coarse").select(*rows.columns, F.pmod(F.xxhash64("id"), F.col("slices")).cast("int").alias("slice"))
+    right = centres.join(counts, "coarse").select(*centres.columns, F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+    empty = pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        return each(a, b.sort_values("cell")) if len(a) and len(b) else empty
+
+    return left.groupBy("coarse", "slice").cogroup(right.groupBy("coarse", "slice")).applyInPandas(run, schema)
+
+
+def cell_tree(catalogue: DataFrame, n: int, per_cell: int | None = None) -> Cells:
+    """The tree of cells of ``catalogue(id, v)``, which has ``n`` rows.
+
+    Coarse centres are the first rows by a draw over the ids, then the means of the pool rows nearest to each.
+    In each coarse cell, that of a row being the nearest, small cells of about ``per_cell`` rows (the root of
+    n) are fitted in the same way. A row's cell is the nearest small centre of its coarse cell.
+    """
+    per_cell = per_cell or int(np.ceil(np.sqrt(n)))
+    k = min(MAX_CELLS, int(np.ceil(n**0.25)))
+    kind = catalogue.schema["id"].dataType.simpleString()
+    # At most 2^15 rows on the mean.
+    first = catalogue.withColumn("draw", F.expr(draw(0))).filter(F.col("draw") < COARSE_POOL * k / n)
+    pool = first.orderBy("draw", "id", "v").select("v").collect() or catalogue.orderBy(F.expr(draw(0)), "id", "v").limit(k).select("v").collect()
+    coarse = _fitted(unit_rows([r["v"] for r in pool]), k)
+    shared = catalogue.sparkSession.sparkContext.broadcast(coarse)
+
+    def to_coarse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                cos = unit_rows(batch["v"]) @ shared.value.T
+                cell = np.round(cos, COS_DIGITS).argmax(1)
+                yield batch.assign(coarse=cell.astype("int32"), angle=np.arccos(np.clip(cos[np.arange(len(batch)), cell], -1, 1)))
+
+    placed = materialise(catalogue.select("id", "v").mapInPandas(to_coarse, f"id {kind}, v array<double>, coarse int, angle double"))
+    reach = np.full(len(coarse), -np.inf)
+    held = placed.groupBy("coarse").agg(F.count(F.lit(1)).alias("m"), F.max("angle").alias("far")).withColumn("k", F.ceil(F.col("m") / per_cell))
+    for r in held.collect():
+        reach[r["coarse"]] = r["far"]
+
+    # The pool of a coarse cell grows with its small cells, not with its rows.
+    drawn = placed.withColumn("draw", F.expr(draw(1))).join(held, "coarse")
+    least = drawn.groupBy("coarse").agg(F.min("draw").alias("least"))
+    pool = drawn.join(least, "coarse").filter((F.col("draw") < CELL_POOL * F.col("k") / F.col("m")) | (F.col("draw") == F.col("least")))
+
+    def fit(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.assign(order=[tuple(v) for v in group["v"]]).sort_values(["draw", "id", "order"])
+        centres = _fitted(unit_rows(group["v"]), int(group["k"].iloc[0]))
+        number = int(group["coarse"].iloc[0])
+        return pd.DataFrame({"coarse": number, "cell": (number << 32) + np.arange(len(centres)), "centre": list(centres)})
+
+    centres = materialise(pool.select("coarse", "id", "v", "k", "draw").groupBy("coarse").applyInPandas(fit, "coarse int, cell bigint, centre array<double>"))
+
+    def to_cell(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        cos = unit_rows(rows["v"]) @ unit_rows(own["centre"]).T
+        near = np.round(cos, COS_DIGITS).argmax(1)
+        far = np.arccos(np.clip(cos[np.arange(len(rows)), near], -1, 1))
+        return pd.DataFrame({"id": rows["id"], "v": rows["v"], "cell": own["cell"].to_numpy()[near], "angle": far})
+
+    rows = materialise(_meet(placed.select("coarse", "id", "v"), centres, to_cell, f"id {kind}, v array<double>, cell bigint, angle double"))
+    sizes = rows.groupBy("cell").agg(F.max("angle").alias("radius"), F.count(F.lit(1)).alias("n"))
+    return Cells(coarse, reach, materialise(centres.join(sizes, "cell").select("cell", "coarse", "centre", "radius", "n")), rows.select("id", "v", "cell"))
+
+
+def nearest_cells(queries: DataFrame, cells: Cells, nprobe: int, coarse_probes: int) -> DataFrame:
+    """``(id, v, cell)``: the ``nprobe`` small cells with the nearest centres, of the ``coarse_probes`` nearest coarse cells."""
+    shared = queries.sparkSession.sparkContext.broadcast((cells.coarse, cells.reach))
+    kind = queries.schema["id"].dataType.simpleString()
+
+    def near(unit: np.ndarray) -> np.ndarray:
+        centres, reach = shared.value
+        cos = np.where(np.isfinite(reach)[None, :], np.round(unit @ centres.T, COS_DIGITS), -2.0)
+        mask = np.zeros(cos.shape, bool)
+        np.put_along_axis(mask, np.argsort(-cos, axis=1, kind="stable")[:, :coarse_probes], True, axis=1)
+        return mask & (cos > -2)
+
+    def rank(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        cos = np.round(unit_rows(rows["v"]) @ unit_rows(own["centre"]).T, COS_DIGITS)
+        best = np.argsort(-cos, axis=1, kind="stable")[:, :nprobe]
+        each = best.shape[1]
+        return pd.DataFrame({
+            "id": rows["id"].repeat(each), "v": rows["v"].repeat(each), "cell": own["cell"].to_numpy()[best].ravel(), "cos": np.take_along_axis(cos, best, 1).ravel(),
+        })
+
+    coarse = materialise(_target_cells(queries, near).withColumnRenamed("cell", "coarse"))
+    ranked = _meet(coarse, cells.small, rank, f"id {kind}, v array<double>, cell bigint, cos double")
+    return top_k(ranked, ["id"], [F.col("cos").desc(), F.col("cell").asc()], nprobe).select("id", "v", "cell")
+
+
+def reachable_cells(queries: DataFrame, cells: Cells) -> DataFrame:
+    """``(id, v, cell)``: all cells that may hold a vector within the angle ``bound`` of ``queries(id, v, bound)``."""
+    shared = queries.sparkSession.sparkContext.broadcast((cells.coarse, cells.reach))
+    kind = queries.schema["id"].dataType.simpleString()
+
+    def coarse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        centres, reach = shared.value
+        for batch in batches:
+            if len(batch):
+                row, cell = np.nonzero(_angles(unit_rows(batch["v"]), centres) - reach[None, :] <= batch["bound"].to_numpy()[:, None])
+                yield batch.iloc[row].assign(coarse=cell.astype("int32"))
+
+    def small(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        apart = _angles(unit_rows(rows["v"]), unit_rows(own["centre"])) - own["radius"].to_numpy()[None, :]
+        row, cell = np.nonzero(apart <= rows["bound"].to_numpy()[:, None])
+        return pd.DataFrame({"id": rows["id"].to_numpy()[row], "v": rows["v"].to_numpy()[row], "cell": own["cell"].to_numpy()[cell]})
+
+    near = materialise(queries.select("id", "v", "bound").mapInPandas(coarse, f"id {kind}, v array<double>, bound double, coarse int"))
+    return _meet(near, cells.small, small, f"id {kind}, v array<double>, cell bigint")
+
+
+def visited_share(visits: DataFrame, cells: Cells) -> DataFrame:
+    """One row: ``pairs`` of query and row that ``visits`` compares, and ``rows`` of the catalogue."""
+    per = visits.groupBy("cell").agg(F.count(F.lit(1)).alias("visits"))
+    return cells.small.join(per, "cell", "left").agg(F.coalesce(F.sum(F.col("n") * F.col("visits")), F.lit(0)).alias("pairs"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
+
+
 def knn_join(queries: DataFrame, catalogue: DataFrame, k: int, transform: str = "reciprocal",
              query_key: str = "id", query_vector: str = "vector", key: str = "id", vector: str = "vector",
              cells: int | None = None) -> DataFrame:
-    """Exact kNN of a large query table; nothing is broadcast but pivots and cell radii."""
+    """Exact kNN of a large query table; only coarse centres are broadcast. ``cells`` small cells, if given."""
     q, c = usable(queries, query_key, query_vector), usable(catalogue, key, vector)
     schema = _result_schema(q, c)
     # Of equal vectors only the k smallest ids can be among k nearest, so a large group of copies
@@ -227,27 +363,34 @@ def knn_join(queries: DataFrame, catalogue: DataFrame, k: int, transform: str =
     n = c.count()
     if n == 0:
         return _empty(q, c, k, transform)
-    wanted = cells or int(np.ceil(n / SLICE_ROWS))
-    centres = pivots_of(c, n, max(min(wanted, MAX_CELLS), min(k, n)))
-    assigned = materialise(assign_cells(c, centres))
-    radius = np.full(len(centres), -np.inf)
-    for r in assigned.groupBy("cell").agg(F.max("angle").alias("r")).collect():
-        radius[r["cell"]] = r["r"]
-    shared = q.sparkSession.sparkContext.broadcast((centres, radius))
-    kth = min(k, len(centres)) - 1
-    exhaustive = len(centres) < k
-
-    def reachable(unit: np.ndarray) -> np.ndarray:
-        pivots, radii = shared.value
-        angles = _angles(unit, pivots)
-        # The pivots are catalogue rows, so the k-th nearest pivot bounds the k-th neighbour.
-        # The margin covers the rounding of arccos near zero.
-        bound = np.partition(angles, kth, axis=1)[:, kth] + 1e-6
-        near = (angles - radii[None, :]) <= bound[:, None]
-        return (near | exhaustive) & np.isfinite(radii)[None, :]
-
-    visits = materialise(_target_cells(q, reachable))
-    return _finish(_block_join(visits, assigned, k, schema), k, transform)
+    tree = cell_tree(c, n, cells and int(np.ceil(n / cells)))
+    visits = exact_visits(q, tree, k, schema)
+    return _finish(_block_join(visits, tree.rows, k, schema), k, transform)
+
+
+def exact_visits(queries: DataFrame, tree: Cells, k: int, schema: str, probes: int = 2) -> DataFrame:
+    """The cells that may hold one of the ``k`` nearest: a search of the nearest cells bounds the k-th, and the bound the cells."""
+    first = _block_join(materialise(nearest_cells(queries, tree, probes, probes)), tree.rows, k, schema)
+    # The margin covers the rounding of arccos near zero.
+    kth = top_k(first, ["qid"], [F.col("cos").desc(), F.col("id").asc()], k).groupBy("qid").agg(F.count(F.lit(1)).alias("found"), F.min("cos").alias("least"))
+    kth = kth.filter(F.col("found") >= k).select("qid", (F.acos(F.least(F.greatest("least", F.lit(-1.0)), F.lit(1.0))) + 2e-6).alias("near"))
+    bounded = queries.join(kth, queries["id"].eqNullSafe(kth["qid"]), "left").select("id", "v", F.coalesce("near", F.lit(4.0)).alias("bound"))
+    return materialise(reachable_cells(bounded, tree))
+
+
+def knn_tree(queries: DataFrame, catalogue: DataFrame, k: int, nprobe: int = 16, coarse_probes: int = 8, transform: str = "reciprocal",
+             query_key: str = "id", query_vector: str = "vector", key: str = "id", vector: str = "vector") -> DataFrame:
+    """Approximate kNN: every query looks into its ``nprobe`` nearest small cells, ranked exactly.
+
+    A cell holds about the root of the rows, so what a query compares grows with the root of the table.
+    """
+    q, c = usable(queries, query_key, query_vector), materialise(usable(catalogue, key, vector))
+    n = c.count()
+    if n == 0:
+        return _empty(q, c, k, transform)
+    tree = cell_tree(c, n)
+    visits = materialise(nearest_cells(q, tree, nprobe, coarse_probes))
+    return _finish(_block_join(visits, tree.rows, k, _result_schema(q, c)), k, transform)
 
 
 def kmeans_cells(catalogue: DataFrame, n_cells: int, key: str = "id", vector: str = "vector",

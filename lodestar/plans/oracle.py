@@ -505,6 +505,44 @@ SELECT CAST(qid AS BIGINT) AS qid, id, rn, round(1 / (2 - cos), 6) AS score FROM
     SELECT f.vec_id AS qid, c.vec_id AS id, round({_COS.format(a='q.v', b='w.v')}, 12) AS cos
     FROM far f JOIN cell c USING (label) JOIN v q ON q.vec_id = f.vec_id JOIN v w ON w.vec_id = c.vec_id WHERE f.place <= 6)) WHERE rn <= 5"""
 
+
+def _fit(name: str, rows: str, group: str, k: str) -> str:
+    """Centres of each group of ``rows(vec_id, u, r)``: the first k, then the mean of the rows nearest to each."""
+    return f"""
+{name}_near AS MATERIALIZED (
+SELECT {group} AS g, p.u, s.r AS seed, row_number() OVER (PARTITION BY {group}, p.vec_id ORDER BY round(list_dot_product(p.u, s.u), 12) DESC, s.r) AS place
+FROM {rows} p JOIN (SELECT {group} AS h, u, r FROM {rows} p WHERE r <= {k}) s ON s.h = {group}),
+{name}_mean AS (
+SELECT g, seed, list(x ORDER BY dim) AS x FROM (
+  SELECT g, seed, dim, avg(x) AS x FROM (SELECT g, seed, unnest(range(len(u))) AS dim, unnest(u) AS x FROM {name}_near WHERE place = 1) GROUP BY ALL) GROUP BY g, seed),
+{name} AS MATERIALIZED (SELECT g, seed, list_transform(x, lambda y: y / sqrt(list_dot_product(x, x))) AS c FROM {name}_mean)"""
+
+
+_DRAW = "CAST(('0x' || substr(md5('{0}:' || vec_id), 1, 12)) AS BIGINT)::DOUBLE / 281474976710656"
+ORACLE["knn_tree"] = f"""
+WITH {_CENTROIDS}, size AS (SELECT count(*)::DOUBLE AS n, ceil(sqrt(count(*))) AS per_cell, ceil(pow(count(*), 0.25)) AS k FROM v),
+d AS MATERIALIZED (
+SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u, {_DRAW.format(0)} AS first_draw, {_DRAW.format(1)} AS draw FROM v),
+pool AS MATERIALIZED (SELECT vec_id, u, k, row_number() OVER (ORDER BY first_draw, vec_id) AS r FROM d, size WHERE first_draw < 32 * k / n),
+{_fit('coarse', 'pool', '0', 'p.k')},
+placed AS MATERIALIZED (SELECT * FROM (
+  SELECT d.*, seed AS coarse, row_number() OVER (PARTITION BY vec_id ORDER BY round(list_dot_product(u, c), 12) DESC, seed) AS place FROM d CROSS JOIN coarse) WHERE place = 1),
+held AS (SELECT coarse, count(*) AS m, ceil(count(*) / any_value(per_cell)) AS k, min(draw) AS least FROM placed, size GROUP BY coarse),
+own AS MATERIALIZED (
+SELECT vec_id, u, coarse, k, row_number() OVER (PARTITION BY coarse ORDER BY draw, vec_id) AS r FROM placed JOIN held USING (coarse) WHERE draw < 4 * k / m OR draw = least),
+{_fit('small', 'own', 'p.coarse', 'p.k')},
+inside AS MATERIALIZED (SELECT * FROM (
+  SELECT vec_id, coarse, seed, row_number() OVER (PARTITION BY vec_id ORDER BY round(list_dot_product(u, c), 12) DESC, seed) AS place FROM placed JOIN small ON g = coarse) WHERE place = 1),
+probed AS (SELECT * FROM (
+  SELECT vec_id, u, seed AS coarse, row_number() OVER (PARTITION BY vec_id ORDER BY round(list_dot_product(u, c), 12) DESC, seed) AS place
+  FROM d CROSS JOIN coarse WHERE seed IN (SELECT coarse FROM held)) WHERE place <= 4),
+visited AS (SELECT * FROM (
+  SELECT vec_id, coarse, seed, row_number() OVER (PARTITION BY vec_id ORDER BY round(list_dot_product(u, c), 12) DESC, coarse, seed) AS place FROM probed JOIN small ON g = coarse) WHERE place <= 8)
+SELECT CAST(qid AS BIGINT) AS qid, id, rn, round(1 / (2 - cos), 6) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY cos DESC, id) AS rn FROM (
+    SELECT f.vec_id AS qid, c.vec_id AS id, round({_COS.format(a='q.v', b='w.v')}, 12) AS cos
+    FROM visited f JOIN inside c USING (coarse, seed) JOIN v q ON q.vec_id = f.vec_id JOIN v w ON w.vec_id = c.vec_id)) WHERE rn <= 5"""
+
 # --- filters ---------------------------------------------------------------------------------------
 _ANY = "len(list_filter({f}, lambda x: {c})) > 0"
 

@@ -446,6 +446,13 @@ def knn_cells(spark, sf):
     )
 
 
+@query
+def knn_tree(spark, sf):
+    """The 5 nearest vectors of every vector in its 8 nearest cells, of the 4 nearest coarse cells; cells grow with the rows."""
+    v = X.vectors(spark, sf)
+    return _neighbours(knn.knn_tree(v, v, 5, 8, 4, query_key="vec_id", query_vector="embedding", key="vec_id", vector="embedding"))
+
+
 # --- filters ---------------------------------------------------------------------------------------
 
 FILTER_VALUES = {

@@ -3,8 +3,8 @@
 Work is done per distinct *match shape* (text + filters) and per distinct *view* (order + page), and
 only joined to the requests at the end. A request with a text meets the catalogue through equi-joins
 (words, nearest neighbours); its filters are checked on those candidates. A request without a text
-has only filters: their distinct combinations, a bounded number at a time, are checked against each
-catalogue row in one scan, and the matches are aggregated before anything is shuffled.
+has only filters: a few distinct combinations are checked against each catalogue row in one scan, more
+are joined on the keys of their rarest clause, see ``operators.predicate_index``.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from lodestar.operators.facets import facet_columns, facet_counts
 from lodestar.operators.filters import FILTER_COLUMNS, batch_predicate, predicate
 from lodestar.operators.ingest import expand_patterns
 from lodestar.operators.knn import COS_DIGITS, knn, score_of
+from lodestar.operators.predicate_index import indexed_matches
 from lodestar.operators.ranking import order_columns, page, page_depths, pages, rank_score, top_k
 from lodestar.plans.requests import normalise_requests, with_shapes
 from lodestar.schemas import (
@@ -35,8 +36,8 @@ from lodestar.schemas import (
 )
 from lodestar.sources.tables import materialise
 
-# Distinct filter combinations that are broadcast to one catalogue scan.
-MAX_BROADCAST_SHAPES = 512
+# Distinct filter combinations that one catalogue scan checks row by row; more are indexed.
+MAX_BROADCAST_SHAPES = 32
 NARROW = (
     "id", "published", "popularity", "title_en", "title_fr", "mappable", "options", "organisation",
     "systemName", "eoCollection", "topicCategory", "theme",
@@ -99,23 +100,15 @@ def knn_parts(queries: DataFrame, catalogue: DataFrame, k: int, encoder=None, di
     return found.select(F.col("qid").alias("q"), "id", F.col("score").alias("knn_score"))
 
 
-def chunks_of(shapes: DataFrame, limit: int = MAX_BROADCAST_SHAPES) -> list[DataFrame]:
-    """Split a table of distinct shapes by hash so that one part stays below ``limit`` rows."""
-    n = shapes.count()
-    if n <= limit:
-        return [shapes] if n else []
-    parts = math.ceil(2 * n / limit)
-    return [shapes.filter(F.pmod(F.xxhash64("match_id"), F.lit(parts)) == i) for i in range(parts)]
-
-
 def theta_matches(catalogue: DataFrame, shapes: DataFrame) -> DataFrame | None:
-    """Catalogue rows per filter combination: every part is a size-checked broadcast, and a table
-    of shapes beyond the limit is answered by further scans instead of a larger broadcast."""
-    out = None
-    for part in chunks_of(shapes):
-        found = catalogue.join(F.broadcast(part), F.expr(batch_predicate(catalogue.schema)))
-        out = found if out is None else out.unionByName(found)
-    return out
+    """Catalogue rows per filter combination. A few combinations (counted) are sent to one catalogue scan
+    and checked there; more meet the catalogue by the keys of their clauses."""
+    n = shapes.count()
+    if n == 0:
+        return None
+    if n <= MAX_BROADCAST_SHAPES:
+        return catalogue.join(F.broadcast(shapes), F.expr(batch_predicate(catalogue.schema)))
+    return indexed_matches(catalogue, shapes)
 
 
 # Missing parts count as nothing.

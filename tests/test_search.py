@@ -62,13 +62,32 @@ def test_flag_only_rows_when_the_flag_passes_the_cut(spark, sf, catalogue):
     assert got.totals.filter(F.col("total_hits") < n).isEmpty()
 
 
-def test_many_shapes_take_several_scans(spark, sf, catalogue, monkeypatch, result):
-    monkeypatch.setattr(search, "MAX_BROADCAST_SHAPES", 3)
-    monkeypatch.setattr(search.chunks_of, "__defaults__", (3,))
+def test_many_shapes_are_indexed_with_the_same_result(spark, sf, catalogue, monkeypatch, result):
+    monkeypatch.setattr(search, "MAX_BROADCAST_SHAPES", 0)
     again = search.semantic_search(X.requests(spark, sf), catalogue, X.TODAY)
     assert rows(again.totals, "req_id") == rows(result.totals, "req_id")
 
 
+def test_index_finds_what_the_predicate_does(spark, catalogue):
+    """Every kind of clause, alone and together, against one check of each record and combination."""
+    asked = [
+        {}, {"type": "api"}, {"type": "s*v?ce, nothing"}, {"protocol": "*"}, {"theme": "??"}, {"org": "org 1"}, {"org": "z" * 9}, {"theme": "ENVIRON, econ", "mappable": "true"},
+        {"begin": "2005"}, {"end": "2015-06"}, {"end": "null"}, {"begin": "9999"}, {"begin": "2001", "end": "2030", "source_system": "cube"},
+        {"bbox": "-180,-90,180,90"}, {"bbox": "-100,40,-60,60", "relation": "within"}, {"bbox": "-75,45,-75,45"}, {"bbox": "-75.1,45,-75,45.2", "relation": "contains"},
+        {"bbox": "170,-90,-100,90"}, {"bbox": "-100,40,-60,60", "relation": "disjoint"}, {"bbox": "0,0,5,5", "type": "a"},
+    ]
+    names = ["req_id", "method", "q", "lang", *filters.FILTER_FIELDS, "begin", "end", "bbox", "relation"]
+    table = spark.createDataFrame([(str(i), "SemanticSearch", "", "en", *[r.get(n, "") for n in names[4:]]) for i, r in enumerate(asked)], ", ".join(f"`{n}` string" for n in names))
+    shapes = tables.materialise(search.with_shapes(search.normalise_requests(table, X.TODAY)).select("match_id", *search.FILTER_COLUMNS).distinct())
+    narrow = catalogue.select(*search.NARROW, *search.FILTERED)
+    found = search.indexed_matches(narrow, shapes)
+    plain = narrow.join(F.broadcast(shapes), F.expr(filters.batch_predicate(narrow.schema)))
+    got = rows(found.select("match_id", "id"), "match_id", "id")
+    assert got == rows(plain.select("match_id", "id"), "match_id", "id") and len(got) > 100
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Cross" not in plan and "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_browse_equals_batch(catalogue, result):
     for r in result.requests.filter("q = ''").limit(3).collect():
         raw = {k: r[k] for k in ("bbox", "relation", "begin", "end", "org")}
