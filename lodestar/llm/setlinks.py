@@ -76,7 +76,7 @@ def _profiles(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(x.as_py() for x in column), "<u4").reshape(-1, PROFILE).astype(np.int64)
 
 
-def _may_link(same: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+def may_link(same: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     return 100 * same >= percent * (n + m - same)
 
 
@@ -86,7 +86,7 @@ def _possible(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = _profiles(batch.column("profile_a")), _profiles(batch.column("profile_b"))
-            yield batch.select(["a", "b"]).filter(pa.array(_may_link(np.minimum(x, y).sum(1), x.sum(1), y.sum(1), percent)))
+            yield batch.select(["a", "b"]).filter(pa.array(may_link(np.minimum(x, y).sum(1), x.sum(1), y.sum(1), percent)))
 
     return run
 
@@ -140,14 +140,14 @@ def intersections(rows: list[np.ndarray], columns: list[np.ndarray]) -> np.ndarr
     return out
 
 
-def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+def sides_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """The rows of a group's two blocks; those of one block meet each other."""
     sides = table.column("side").to_numpy()
     rows = np.flatnonzero(sides == 0)
     return rows, np.flatnonzero(sides == 1) if sides.any() else rows
 
 
-def _labels(table: pa.Table) -> np.ndarray:
+def labels_of(table: pa.Table) -> np.ndarray:
     return np.unique(table.column("label").to_numpy(zero_copy_only=False), return_inverse=True)[1]
 
 
@@ -155,8 +155,8 @@ def _with_partners(percent: int):
     """The documents of two blocks of a region that may be linked with one of another component, by their profiles."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows, columns = _sides(table)
-        labels, profiles = _labels(table), _profiles(table.column("profile"))
+        rows, columns = sides_of(table)
+        labels, profiles = labels_of(table), _profiles(table.column("profile"))
         sizes = profiles.sum(1)
         found = np.zeros(table.num_rows, bool)
         for a in range(0, len(rows), BLOCK_DOCS // 4):
@@ -166,7 +166,7 @@ def _with_partners(percent: int):
                 same = np.zeros((len(own), len(other)), np.int64)
                 for i in range(PROFILE):
                     same += np.minimum(profiles[own, i][:, None], profiles[other, i][None, :])
-                may = _may_link(same, sizes[own][:, None], sizes[other][None, :], percent) & (labels[own][:, None] != labels[other][None, :])
+                may = may_link(same, sizes[own][:, None], sizes[other][None, :], percent) & (labels[own][:, None] != labels[other][None, :])
                 found[own] |= may.any(1)
                 found[other] |= may.any(0)
         return table.select(["region", "doc_id"]).filter(pa.array(found))
@@ -174,43 +174,57 @@ def _with_partners(percent: int):
     return run
 
 
+class Joined:
+    """Components of labels that are joined by and by, and the pairs of documents that joined two."""
+
+    def __init__(self, labels: np.ndarray):
+        self.labels, self.parent = labels, np.arange(labels.max() + 1)
+        self.found: list[tuple[int, int]] = []
+
+    def root(self, x: int) -> int:
+        while self.parent[x] != x:
+            self.parent[x] = self.parent[self.parent[x]]
+            x = self.parent[x]
+        return x
+
+    def apart(self, x: int, y: int) -> bool:
+        return self.root(self.labels[x]) != self.root(self.labels[y])
+
+    def join(self, x: int, y: int) -> None:
+        p, q = self.root(self.labels[x]), self.root(self.labels[y])
+        if p != q:
+            self.parent[p] = q
+            self.found.append((x, y))
+
+    def links(self, table: pa.Table) -> pa.Table:
+        doc = table.column("doc_id")
+        return pa.table([doc.take(pa.array([p[k] for p in self.found], pa.int64())) for k in (0, 1)], ["a", "b"])
+
+
 def _block_links(percent: int):
     """Links that connect the components of two blocks of a region, no more than connect them."""
 
     def run(table: pa.Table) -> pa.Table:
-        docs = table.column("doc_id").to_pylist()
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("members")]
-        rows, columns = _sides(table)
-        labels = _labels(table)
+        rows, columns = sides_of(table)
         sizes = np.array([len(s) for s in sets], np.float64)
-        parent = np.arange(labels.max() + 1)
-
-        def root(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        found: list[tuple] = []
+        joined = Joined(labels_of(table))
+        labels = joined.labels
         # A hash deals the blocks, so one may hold some more than the mean.
         for a in range(0, len(rows), BLOCK_DOCS):
             for c in range(0, len(columns), BLOCK_DOCS):
                 own, other = rows[a : a + BLOCK_DOCS], columns[c : c + BLOCK_DOCS]
                 same = intersections([sets[i] for i in own], [sets[i] for i in other])
-                linked = _may_link(same, sizes[own][:, None], sizes[other][None, :], percent)
+                linked = may_link(same, sizes[own][:, None], sizes[other][None, :], percent)
                 linked &= labels[own][:, None] != labels[other][None, :]
                 for x, y in zip(*np.nonzero(linked)):
-                    p, q = root(labels[own[x]]), root(labels[other[y]])
-                    if p != q:
-                        parent[p] = q
-                        found.append((docs[own[x]], docs[other[y]]))
-        kind = table.schema.field("doc_id").type
-        return pa.table({"a": pa.array([x for x, _ in found], kind), "b": pa.array([y for _, y in found], kind)})
+                    joined.join(own[x], other[y])
+        return joined.links(table)
 
     return run
 
 
-def _blocks(mixed: DataFrame) -> DataFrame:
+def blocks_of(mixed: DataFrame) -> DataFrame:
     """``mixed(region, doc_id, n_shingles, label)`` dealt into pairs of blocks ``(region, i, j)``, ``side`` telling which of two.
 
     A region's documents are dealt into blocks of bounded documents and shingles, those of its most frequent label
@@ -234,19 +248,20 @@ def _blocks(mixed: DataFrame) -> DataFrame:
     )
 
 
-def finished(scratch: Scratch, mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def finished(scratch: Scratch, mixed: DataFrame, sets: DataFrame, percent: int, by_profile: bool = True) -> DataFrame:
     """All links between components inside the regions ``mixed(region, doc_id, n_shingles, label)``.
 
-    Blocks of documents meet in a task, twice: first by profiles, which leaves the documents that may have
+    Blocks of documents meet in a task: first ``by_profile``, which leaves the documents that may have
     a partner in their region, then by whole sets. No pair of documents becomes a row; a task returns links
     that connect components, fewer than documents.
     """
     kind = sets.schema["doc_id"].dataType.simpleString()
     keys = ("region", "i", "j")
-    mixed = mixed.select("region", "doc_id", "n_shingles", "label")
-    some = _blocks(mixed).join(sets.select("doc_id", "profile"), "doc_id").groupBy(*keys).applyInArrow(_with_partners(percent), f"region bigint, doc_id {kind}")
-    some = scratch.table(mixed.join(some.distinct(), ["region", "doc_id"]))
-    met = _blocks(some).join(sets.select("doc_id", "members"), "doc_id").groupBy(*keys).applyInArrow(_block_links(percent), f"a {kind}, b {kind}")
+    some = mixed = mixed.select("region", "doc_id", "n_shingles", "label")
+    if by_profile:
+        some = blocks_of(mixed).join(sets.select("doc_id", "profile"), "doc_id").groupBy(*keys).applyInArrow(_with_partners(percent), f"region bigint, doc_id {kind}")
+        some = scratch.table(mixed.join(some.distinct(), ["region", "doc_id"]))
+    met = blocks_of(some).join(sets.select("doc_id", "members"), "doc_id").groupBy(*keys).applyInArrow(_block_links(percent), f"a {kind}, b {kind}")
     links = scratch.table(met.distinct())
     scratch.drop(some)
     return links

@@ -7,17 +7,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.frames import Scratch, large_list, mix, seeds, slices
 from lodestar.llm.graph import components
-from lodestar.llm.setlinks import finished, full_sets, likely, sets_of, verified
+from lodestar.llm.setlinks import BLOCK_DOCS, Joined, blocks_of, finished, full_sets, labels_of, may_link, sets_of, sides_of, verified
 
 #: Pivots of a region that is split, the documents up to which a region is not, and documents measured in one task.
 PIVOTS, SMALL, SLICE = 8, 1024, 512
-#: Regions of so many documents are compared whole by as many pivots, less one.
-FEW = 4
+#: Classes of shingles that a profile counts at least, and shingles of a set for each of them at most.
+CLASSES, PER_CLASS = 64, 64
 #: A region that keeps more than this share of its parent's documents is finished without a further split.
 SHRINK = 0.7
 
@@ -53,6 +53,62 @@ def parts(sets: np.ndarray, firsts: np.ndarray, percent: int) -> tuple[np.ndarra
     return key[order], np.searchsorted(owner[order], np.arange(len(firsts)))
 
 
+def profile(members: np.ndarray) -> bytes:
+    """How many shingles of a set fall in each of some classes, more classes for a larger set."""
+    classes = CLASSES
+    while len(members) > classes * PER_CLASS:
+        classes *= 2
+    return np.bincount((members % np.uint64(classes)).astype(np.int64), minlength=classes).astype("<u4").tobytes()
+
+
+def _folded(profile: bytes, classes: int) -> np.ndarray:
+    return np.frombuffer(profile, "<u4").astype(np.int64).reshape(-1, classes).sum(0)
+
+
+def may_be_linked(x: bytes, y: bytes, percent: int) -> bool:
+    """Two sets share no more than the smaller counts of their classes add up to."""
+    classes = min(len(x), len(y)) // 4
+    a, b = _folded(x, classes), _folded(y, classes)
+    return bool(may_link(np.minimum(a, b).sum(), a.sum(), b.sum(), percent))
+
+
+def _likely_pairs(percent: int):
+    """Keep the pairs that may be links by their profiles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = batch.column("profile_a").to_pylist(), batch.column("profile_b").to_pylist()
+            may = np.array([may_be_linked(p, q, percent) for p, q in zip(x, y)], bool)
+            yield batch.select(["a", "b"]).filter(pa.array(may))
+
+    return run
+
+
+def _likely_links(percent: int):
+    """Likely pairs that connect the components of two blocks of a region, no more than connect them."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows, columns = sides_of(table)
+        joined = Joined(labels_of(table))
+        profiles = table.column("profile").to_pylist()
+        coarse = np.stack([_folded(p, CLASSES) for p in profiles])
+        sizes, labels = coarse.sum(1), joined.labels
+        for a in range(0, len(rows), BLOCK_DOCS // 4):
+            own = rows[a : a + BLOCK_DOCS // 4]
+            for c in range(0, len(columns), BLOCK_DOCS):
+                other = columns[c : c + BLOCK_DOCS]
+                same = np.zeros((len(own), len(other)), np.int64)
+                for i in range(CLASSES):
+                    same += np.minimum(coarse[own, i][:, None], coarse[other, i][None, :])
+                may = may_link(same, sizes[own][:, None], sizes[other][None, :], percent) & (labels[own][:, None] != labels[other][None, :])
+                for x, y in zip(*np.nonzero(may)):
+                    if joined.apart(own[x], other[y]) and may_be_linked(profiles[own[x]], profiles[other[y]], percent):
+                        joined.join(own[x], other[y])
+        return joined.links(table)
+
+    return run
+
+
 def _coded(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -61,8 +117,9 @@ def _coded(size: int, percent: int):
                 keys, begins = parts(sets, firsts, percent)
                 digests = [hashlib.blake2b(sets[a:b].tobytes(), digest_size=16).digest() for a, b in zip(firsts[:-1], firsts[1:])]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(np.diff(firsts)), pa.array(digests, pa.binary()), large_list(keys.view(np.int64), begins, pa.int64())],
-                    ["doc_id", "n_shingles", "digest", "parts"],
+                    [part.column("doc_id"), pa.array(np.diff(firsts)), pa.array(digests, pa.binary()),
+                     pa.array([profile(sets[a:b]) for a, b in zip(firsts[:-1], firsts[1:])], pa.binary()), large_list(keys.view(np.int64), begins, pa.int64())],
+                    ["doc_id", "n_shingles", "digest", "profile", "parts"],
                 )
 
     return run
@@ -134,9 +191,10 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
       a pivot, so the triangle inequality cannot part them. There the pivots are parts of sets: see ``parts``. Two
       linked documents hold an equal part, distance 0, and every other pivot there is farther than a link can span.
       Of regions with the same documents one stays.
-    * Each region is measured against its centre, the document that meets most others, and one of a few documents against
-      all. Regions whose documents are one component then are done.
-    * The rest is joined recursively. A larger region takes pivots, each document goes to the nearest (its Voronoi cell), and
+    * In each region documents are compared by profiles, counts of their shingles in some classes, which bound what two
+      sets share: first with the region's centre, then, in blocks, what that leaves apart. What likely pairs connect
+      is one region from here on, so a document that met its copies in many regions is measured in one.
+    * Regions are joined recursively. A larger region takes pivots, each document goes to the nearest (its Voronoi cell), and
       also to each pivot at most twice a link's distance farther; these regions are joined in turn. A region that is
       small, or did not shrink because all its documents lie in the windows, is finished by comparing whole
       sets in blocks of bounded size.
@@ -150,7 +208,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     scratch = Scratch(docs.sparkSession)
     docs = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    coded = scratch.table(docs.mapInArrow(_coded(shingle, percent), f"doc_id {kind}, n_shingles bigint, digest binary, parts array<bigint>"))
+    coded = scratch.table(docs.mapInArrow(_coded(shingle, percent), f"doc_id {kind}, n_shingles bigint, digest binary, profile binary, parts array<bigint>"))
     usable = coded.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = scratch.table(usable.groupBy("digest").agg(F.min("doc_id").alias("rep")))
     # Equal sets have equal parts, so of any number of repeated rows one goes on.
@@ -161,26 +219,42 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     cells = placed.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(name).alias("x"), F.sum(F.pmod(name, F.lit(1 << 31))).alias("s")).where("n > 1")
     cells = cells.groupBy("n", "x", "s").agg(F.min("region").alias("region")).select("region", "n")
     members = scratch.table(placed.join(cells, "region"))
-    meets = members.groupBy("doc_id").agg(F.sum("n").alias("met"))
-    # Merged whatever its size, so that every run shuffles each text once and not more.
-    sets = scratch.table(docs.join(members.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").mapInArrow(full_sets(shingle), f"doc_id {kind}, members binary, profile binary"))
-
-    own = usable.join(classes, "digest").select("doc_id", "rep")
-    shared = own.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z")
-    links = [scratch.table(own.join(shared, "doc_id").select("a", F.col("rep").alias("b")))]
-    labels = None if links[0].isEmpty() else components(scratch, links[0])
+    profiles = usable.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min("profile").alias("profile")).select("doc_id", "profile").distinct()
+    profiles = scratch.table(profiles.join(members.select("doc_id").distinct(), "doc_id", "left_semi"))
 
-    def labelled(regions: DataFrame) -> DataFrame:
+    def labelled(regions: DataFrame, labels: DataFrame | None) -> DataFrame:
         if labels is None:
             return regions.withColumn("label", F.col("doc_id"))
         return regions.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
 
-    def mixed(regions: DataFrame) -> DataFrame:
+    def mixed(regions: DataFrame, labels: DataFrame | None) -> DataFrame:
         """Regions of more than one component."""
-        at = labelled(regions)
+        at = labelled(regions, labels)
         some = at.groupBy("region").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("region")
         return scratch.table(at.join(some, "region"))
 
+    # Likely pairs: of each region's documents with its centre, the one that meets most others, then those between what is still apart.
+    meets = members.groupBy("doc_id").agg(F.sum("n").alias("met"))
+    order = F.struct("met", F.xxhash64("doc_id"))
+    centre = members.join(meets, "doc_id").groupBy("region").agg(F.max_by("doc_id", order).alias("pivot"))
+    met = members.join(centre, "region").where("doc_id <> pivot")
+    pairs = met.select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b")).distinct()
+    sides = [profiles.select(F.col("doc_id").alias(x), F.col("profile").alias(f"profile_{x}")) for x in "ab"]
+    near = [scratch.table(pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "profile_a", "profile_b").mapInArrow(_likely_pairs(percent), f"a {kind}, b {kind}"))]
+    # What was compared with all others of its region leaves it.
+    rest = members.join(centre, "region").where("doc_id <> pivot AND n > 2").select("region", "doc_id", "n_shingles")
+    apart = mixed(rest, components(scratch, near[0]))
+    near.append(scratch.table(
+        blocks_of(apart).join(profiles, "doc_id").groupBy("region", "i", "j").applyInArrow(_likely_links(percent), f"a {kind}, b {kind}").distinct()
+    ))
+    groups = components(scratch, near[0].unionByName(near[1])).withColumnRenamed("node", "doc_id")
+    scratch.drop(apart, *near)
+
+    own = usable.join(classes, "digest").select("doc_id", "rep")
+    shared = own.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z")
+    links = [scratch.table(own.join(shared, "doc_id").select("a", F.col("rep").alias("b")))]
+    labels = None if links[0].isEmpty() else components(scratch, links[0])
+
     def add(more: DataFrame) -> DataFrame:
         links.append(more)
         every = links[0]
@@ -188,26 +262,21 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
             every = every.unionByName(x)
         return components(scratch, every)
 
-    # The centre of each region first; in one of FEW documents all but one are centres.
-    order = Window.partitionBy("region").orderBy(F.desc("met"), F.xxhash64("doc_id"))
-    centres = members.join(meets, "doc_id").withColumn("place", F.row_number().over(order)).where(F.col("place") < FEW).where(F.col("place") <= F.when(F.col("n") <= FEW, FEW - 1).otherwise(1))
-    centres = centres.select("region", F.col("doc_id").alias("pivot"), F.col("n_shingles").alias("m"))
-    met = members.join(centres, "region").where("doc_id <> pivot").where(likely(percent, "n_shingles", "m"))
-    pairs = scratch.table(met.select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b")).distinct())
-    labels = add(verified(scratch, sets, pairs, percent))
-    scratch.drop(pairs)
-    # What is compared with all others of its region leaves it.
-    rest = members.where(F.col("n") > FEW).join(centres.withColumnRenamed("pivot", "doc_id").select("region", "doc_id"), ["region", "doc_id"], "left_anti")
-
-    regions, level = rest.withColumn("n_parent", F.lit(None).cast("bigint")), 0
+    # Documents that likely pairs connect are a region each; only their whole sets are needed, and each once.
+    # Merged whatever its size, so that every run shuffles each text once and not more.
+    sets = scratch.table(docs.join(groups.select("doc_id").hint("merge"), "doc_id", "left_semi").mapInArrow(full_sets(shingle), f"doc_id {kind}, members binary, profile binary"))
+    sizes = members.select("doc_id", "n_shingles").groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
+    regions = groups.select(F.xxhash64("label").alias("region"), "doc_id").join(sizes, "doc_id")
+    regions = scratch.table(regions.join(regions.groupBy("region").agg(F.count(F.lit(1)).alias("n")), "region").withColumn("n_parent", F.lit(None).cast("bigint")))
+    level = 0
     while True:
-        left = mixed(regions.select("region", "n", "n_parent", "doc_id", "n_shingles"))
+        left = mixed(regions.select("region", "n", "n_parent", "doc_id", "n_shingles"), labels)
         if left.isEmpty():
             scratch.drop(left)
             break
         level += 1
         whole = f"(n <= {SMALL} OR coalesce(n > {SHRINK} * n_parent, false))"
-        labels = add(finished(scratch, left.where(whole), sets, percent))
+        labels = add(finished(scratch, left.where(whole), sets, percent, by_profile=False))
         large = scratch.table(left.where(f"NOT {whole}").select("region", "n", "doc_id", "n_shingles", "label"))
         scratch.drop(left)
         if large.isEmpty():
@@ -216,8 +285,9 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         labels = add(verified(scratch, sets, near, percent))
         count = placed.groupBy("region").agg(F.count(F.lit(1)).alias("n"))
         regions = scratch.table(placed.join(count, "region"))
-    scratch.drop(members, sets, *links)
+    scratch.drop(members, profiles, sets, *links)
     rows = coded.select("doc_id", "n_shingles", "digest")
-    found = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("digest").alias("class_digest"), F.coalesce("label", "rep").alias("component"))
+    ends = scratch.spark.createDataFrame([], f"node {kind}, label {kind}") if labels is None else labels
+    found = classes.join(ends.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("digest").alias("class_digest"), F.coalesce("label", "rep").alias("component"))
     joined = rows.join(found, (rows["digest"] == found["class_digest"]) & rows["doc_id"].isNotNull(), "left")
     return joined.select(F.col("doc_id").alias(doc_id), "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

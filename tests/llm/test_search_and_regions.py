@@ -237,6 +237,7 @@ def test_regions_are_split_around_pivots(spark, monkeypatch):
     monkeypatch.setattr(voronoi, "SMALL", 4)
     monkeypatch.setattr(voronoi, "SHRINK", 0.95)
     monkeypatch.setattr(voronoi, "SLICE", 16)
+    monkeypatch.setattr(voronoi, "may_be_linked", lambda *a: True)
     splits = []
     plain = voronoi._split
     monkeypatch.setattr(voronoi, "_split", lambda *a: splits.append(a[1].count()) or plain(*a))
@@ -274,6 +275,19 @@ def test_linked_sets_hold_an_equal_part():
                 assert np.intersect1d(keys[: begins[1]], keys[begins[1] :]).size
 
 
+def test_profiles_bound_what_sets_share():
+    rng = np.random.default_rng(9)
+    for size in (1, 5, 80, 5000, 9000, 40_000):
+        a = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+        for share in (0.5, 0.85, 0.93, 1.0):
+            b = np.unique(np.concatenate((a[: int(size * share)], rng.integers(0, 1 << 63, size - int(size * share) + size // 20, dtype=np.uint64))))
+            linked = 100 * len(np.intersect1d(a, b)) >= 90 * len(np.union1d(a, b))
+            may = voronoi.may_be_linked(voronoi.profile(a), voronoi.profile(b), 90)
+            assert may or not linked
+            if size > 50 and share == 0.5:
+                assert not may
+
+
 def test_intersections_are_counted_in_column_blocks(monkeypatch):
     monkeypatch.setattr(setlinks, "BLOCK_COLUMNS", 7)
     rng = np.random.default_rng(8)
