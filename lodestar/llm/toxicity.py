@@ -19,6 +19,8 @@ SIZES = (3, 4, 5, 6)
 LOG_BUCKETS = 20
 #: Most labelled rows the classifier is fitted on, the first by a hash of their id; all others are only scored.
 MAX_LABELLED = 30_000
+#: Most weighted features, over all texts of the sample, that the fit takes; no text has more than 2 ** LOG_BUCKETS.
+MAX_FEATURES = 1 << 24
 #: n-grams in fewer texts of the sample, or whose log-count ratio is closer to 0, carry no weight.
 MIN_TEXTS, MIN_RATIO = 5, 1.0
 #: Strength of the ridge penalty.
@@ -136,10 +138,11 @@ def _logistic(flat: np.ndarray, ends: np.ndarray, ratio: np.ndarray, y: np.ndarr
     return w, b
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_features: int = MAX_FEATURES) -> Model:
     """Fit on the texts of ``docs(doc_id, text)`` that ``labels(doc_id, toxic)`` marks 0 or 1.
 
-    At most ``max_labelled`` ids take part, the first by a hash of the id. Only their ids are
+    At most ``max_labelled`` ids take part, the first by a hash of the id, and of their texts the first of the same order
+    that together have at most ``max_features`` weighted features, so the fit's memory is bounded however long texts are. Only their ids are
     broadcast; feature counts are summed by Spark into one row a feature, and the driver gets these
     counts and the sample's few weighted features. Rows with a null id, label or text teach
     nothing; of contrary labels of an id the larger holds. With one class only, or no rows, every
@@ -169,10 +172,17 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     place = np.full(1 << LOG_BUCKETS, -1, np.int32)
     place[feature] = np.arange(len(feature))
     shared = spark.sparkContext.broadcast(place)
-    rows = texts.mapInArrow(_examples(shared), T.StructType([
+    examples = scratch.table(texts.mapInArrow(_examples(shared), T.StructType([
         docs.schema["doc_id"], T.StructField("toxic", T.IntegerType()), T.StructField("features", T.ArrayType(T.IntegerType()))
-    ])).toArrow().sort_by([("doc_id", "ascending")])
+    ])))
     shared.unpersist()
+    draw = F.xxhash64("doc_id")
+    # One row for each text of the sample.
+    sizes = examples.select(draw.alias("draw"), F.size("features").alias("n")).groupBy("draw").agg(F.sum("n").alias("n")).toPandas().sort_values("draw")
+    within = sizes[(sizes["n"].cumsum() <= max_features) | (sizes["draw"] == sizes["draw"].min())]
+    if len(within) < len(sizes):
+        examples = examples.where(draw <= int(within["draw"].max()))
+    rows = examples.toArrow().sort_by([("doc_id", "ascending")])
     scratch.drop(texts)
     lists = rows.column("features").combine_chunks()
     ends = np.concatenate(([0], np.cumsum(pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))))

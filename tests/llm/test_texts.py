@@ -395,6 +395,59 @@ def test_classifier_separates_held_out_texts(spark):
     assert empty[900] == empty[901] < 0.5
 
 
+def plain_features(text):
+    """Distinct buckets of the 3- to 6-byte runs of a text, one run at a time."""
+    t = toxicity
+    folded = b" " + b" ".join(text.encode().lower().split()) + b" "
+    out = set()
+    for size in t.SIZES:
+        for i in range(len(folded) - size + 1):
+            h = 0
+            for j, byte in enumerate(folded[i : i + size]):
+                h = (h + (byte * 0x9E3779B1 & 0xFFFFFFFF) * int(t._WEIGHTS[j])) & 0xFFFFFFFF
+            h = ((h ^ h >> 15) * (0x2C1B3C6D + 2 * (size - 1))) & 0xFFFFFFFF
+            out.add(h >> 32 - t.LOG_BUCKETS)
+    return out
+
+
+def test_weights_are_those_of_plain_counts(spark):
+    """Log-count ratios by counting each text, and a fit whose slope vanishes there; a bound on features takes the first texts by hash."""
+    rng = random.Random(31)
+    rows, labels = [], []
+    for i in range(120):
+        words = sentence(rng, rng.randint(5, 30)).split()
+        if i % 3 == 0:
+            words.insert(rng.randrange(len(words)), rng.choice(["vile", "nasty"]))
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i % 3 == 0)))
+    marks, docs = spark.createDataFrame(labels, "doc_id bigint, toxic int"), table(spark, rows)
+    features = [plain_features(t) for _, t in rows]
+    seen = np.zeros(1 << toxicity.LOG_BUCKETS, bool)
+    for (_, t), own in zip(rows, features):
+        assert set(toxicity._features(np.frombuffer(t.encode(), np.uint8), seen).tolist()) == own
+
+    def check(model, chosen):
+        n = [sum(labels[i][1] == k for i in range(120)) for k in (0, 1)]
+        every = [Counter(f for i in range(120) if labels[i][1] == k for f in features[i]) for k in (0, 1)]
+        ratio = {f: math.log((every[1][f] + 1) / (n[1] + 2)) - math.log((every[0][f] + 1) / (n[0] + 2)) for f in every[0] | every[1] if every[0][f] + every[1][f] >= toxicity.MIN_TEXTS}
+        ratio = {f: r for f, r in ratio.items() if abs(r) >= toxicity.MIN_RATIO}
+        assert set(np.flatnonzero(model.weights)) <= set(ratio)
+        order = sorted(ratio)
+        r = np.array([ratio[f] for f in order])
+        x = np.array([[f in features[i] for f in order] for i in chosen], float) * r
+        y = np.array([labels[i][1] for i in chosen], float)
+        w = model.weights[order] / r
+        error = 1 / (1 + np.exp(-(x @ w + model.bias))) - y
+        slope = x.T @ error / len(y) + toxicity.RIDGE / len(y) * w
+        assert np.abs(slope).max() < 2e-3 and abs(error.mean()) < 2e-3
+        return order
+
+    order = check(toxicity.fit(docs, marks), range(120))
+    drawn = [r.doc_id for r in marks.orderBy(F.xxhash64("doc_id")).collect()]
+    sizes = np.cumsum([sum(f in features[i] for f in order) for i in drawn])
+    check(toxicity.fit(docs, marks, max_features=int(sizes[60])), drawn[:61])
+
+
 def test_classifier_without_a_second_class(spark):
     docs = table(spark, [(1, "a b c"), (2, None)])
     marks = spark.createDataFrame([(1, 0)], "doc_id bigint, toxic int")
