@@ -191,11 +191,17 @@ def last_per_id(df: DataFrame, key: str = "id", order: str = "load_seq") -> Data
     return df.withColumn("_rn", F.row_number().over(newest)).filter(F.col("_rn") <= 1).drop("_rn")
 
 
+def distinct_ids(df: DataFrame, key: str = "id") -> DataFrame:
+    """``df``, failing where an id is repeated: nothing tells which of its rows is the last."""
+    number = F.row_number().over(Window.partitionBy(key).orderBy(F.lit(0)))
+    error = f"raise_error(concat('id ', coalesce(CAST(`{key}` AS string), '?'), ' is repeated, and no order tells which row is the last'))"
+    return df.withColumn("_rn", number).filter(F.expr(f"CASE WHEN _rn = 1 THEN true ELSE CAST({error} AS boolean) END")).drop("_rn")
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
     """Rows of ``new`` replace rows of ``old`` with the same id; of repeated ids in ``new`` the row that
-    comes last by ``order`` holds. Without ``order`` the ids in ``new`` have to be distinct."""
-    if order is not None:
-        new = last_per_id(new, key, order)
+    comes last by ``order`` holds. Without ``order`` an id that is repeated in ``new`` fails the job."""
+    new = last_per_id(new, key, order) if order is not None else distinct_ids(new, key)
     return old.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 

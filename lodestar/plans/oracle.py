@@ -297,6 +297,9 @@ FROM documents d FULL JOIN labels l ON l.doc_id = d.doc_id"""
 ORACLE["catalogue_load"] = """
 SELECT 'doc-' || d.doc_id AS id, CAST(CASE WHEN l.doc_id IS NULL THEN n_chars % 1000 ELSE quality + 5000 END AS BIGINT) AS popularity, CAST(64 AS BIGINT) AS dim
 FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id"""
+ORACLE["upsert_repeated"] = """
+SELECT 'doc-' || d.doc_id AS id, CAST(CASE WHEN l.doc_id IS NULL THEN n_chars % 1000 WHEN d.doc_id % 3 = 0 THEN 8000 ELSE 7002 END AS BIGINT) AS popularity
+FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id"""
 ORACLE["count_check"] = "SELECT count(*) AS n_rows FROM documents"
 ORACLE["append_table"] = f'WITH {RAW} SELECT "systemName", 2 * count(*) AS n FROM raw GROUP BY 1'
 ORACLE["clear_table"] = 'SELECT CAST(0 AS BIGINT) AS "left", count(*) AS removed FROM documents'
@@ -701,6 +704,10 @@ ORACLE["log_stream_exclude"] = f"WITH {LOG} SELECT stream, timestamp FROM slow_l
 _ETL = f"WITH {LOG} SELECT timestamp, filters_applied, search_string FROM parsed WHERE stream <> 'es-test-log-stream'"
 ORACLE["log_etl_batch"] = _ETL
 ORACLE["log_etl_stream"] = _ETL
+_LATE = LOG.replace("AS body FROM slow_log", "AS body FROM late").replace("parsed AS (", """late AS (
+SELECT DISTINCT stream, CASE WHEN timestamp % 5000 <> 0 THEN timestamp END AS timestamp, message FROM slow_log WHERE stream <> 'es-test-log-stream'),
+parsed AS (""")
+ORACLE["log_etl_late"] = f"WITH {_LATE} SELECT timestamp, filters_applied, search_string FROM parsed"
 PLACES = """
 client AS (
 SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '10.1.' || (user_id % 256) || '.7' ELSE '10.0.' || (user_id % 256) || '.' || (event_id % 256) END AS ip FROM events),

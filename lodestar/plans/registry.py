@@ -82,6 +82,19 @@ def catalogue_load(spark, sf):
     return catalogue.read(spark, path, spec).select("id", F.col("popularity").cast("bigint").alias("popularity"), F.size("vector").cast("bigint").alias("dim"))
 
 
+@query
+def upsert_repeated(spark, sf):
+    """Three loads of the stored catalogue: all, labelled records three times each, and of these every third again."""
+    path, spec = tables.work_dir(spark), CatalogueSpec(vector_dim=64)
+    raw = X.raw_records(spark, sf)
+    catalogue.load(raw, path, spec)
+    labels = tables.read_table(spark, sf, "labels").select(F.concat(F.lit("doc-"), F.col("doc_id")).alias(P + "id"), F.col("doc_id").alias("n"))
+    again = raw.join(labels, P + "id").withColumn("load_seq", F.explode(F.array(F.lit(2), F.lit(0), F.lit(1))))
+    catalogue.load(again.withColumn("features_popularity", (F.col("load_seq") + 7000).cast("string")).drop("n"), path, spec)
+    catalogue.load(again.where("n % 3 = 0 AND load_seq = 0").withColumn("features_popularity", F.lit("8000")).drop("n", "load_seq"), path, spec)
+    return catalogue.read(spark, path, spec).select("id", F.col("popularity").cast("bigint").alias("popularity"))
+
+
 @query
 def count_check(spark, sf):
     path = tables.work_dir(spark)
@@ -759,6 +772,16 @@ def log_etl_stream(spark, sf):
     return spark.read.parquet(sink).select("timestamp", "filters_applied", "search_string")
 
 
+@query
+def log_etl_late(spark, sf):
+    """Loads that overlap, late ones and one repeated, some events without a time: each distinct event once."""
+    sink = tables.work_dir(spark)
+    log = X.slow_log(spark, sf).withColumn("timestamp", F.expr("CASE WHEN timestamp % 5000 <> 0 THEN timestamp END"))
+    for part in (log.filter("timestamp IS NULL OR timestamp % 2000 = 0"), log, log):
+        logs.load_new_events(part, sink)
+    return spark.read.parquet(sink).select("timestamp", "filters_applied", "search_string")
+
+
 @query
 def request_log(spark, sf):
     """Requests with the address of the event of the same number."""

@@ -1,7 +1,14 @@
-"""The stored catalogue: loading, and the layout that lets filters skip parts of it."""
+"""The stored catalogue: loading, and the layout that lets loads and filters skip parts of it.
+
+The table is partitioned by a bucket of the id. A load replaces only the buckets of its ids, so its cost
+grows with the load and the buckets it touches, not with the table. What is to be put in place is written beside the
+table first; nothing is deleted before its replacement is complete, and a load that broke off in between is
+finished by the next one, or by the next reader.
+"""
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,12 +21,17 @@ from lodestar.schemas import CatalogueSpec
 # Degrees of a cell that records are laid out by.
 CELL = 5
 LAYOUT = (f"floor(xmin / {CELL})", f"floor(ymin / {CELL})", "begin_date", "id")
+#: Buckets of a new table; a table keeps its own number, which is part of the partition column's name.
+BUCKETS = 16
+_PARTITION = re.compile(r"bucket_of_(\d+)")
 
 
 def load(raw: DataFrame, path: str, spec: CatalogueSpec = CatalogueSpec(), theme: DataFrame | None = None,
-         foundational: DataFrame | None = None, encoder=None) -> None:
+         foundational: DataFrame | None = None, encoder=None, buckets: int = BUCKETS) -> None:
     """Raw records into the stored catalogue: embedded, normalised, the last row of each id by
-    ``load_seq`` (where the load has it), and put in place of stored rows with the same id.
+    ``load_seq``, and put in place of stored rows with the same id. Without ``load_seq`` a load that
+    repeats an id fails, as it does not say which row is the last. ``buckets`` is for a table that is not there yet;
+    one of the order of its size over a gigabyte lets a load rewrite little.
 
     A vector of another length than declared ends the load before the stored table is touched.
     """
@@ -28,7 +40,84 @@ def load(raw: DataFrame, path: str, spec: CatalogueSpec = CatalogueSpec(), theme
     new = normalise(texts.drop("_text"), theme, foundational)
     if "load_seq" in new.columns:
         new = last_per_id(new).drop("load_seq")
-    write(new if not exists(spark, path) else upsert(spark.read.parquet(path), checked(new, spec)), path, spec)
+    recover(spark, path)
+    if not exists(spark, path):
+        write(new, path, spec, buckets)
+        return
+    stored = spark.read.parquet(path)
+    column, n = _bucketing(stored)
+    # Written once: the buckets it touches are read off, and the rows then go in.
+    incoming = f"{_beside(path)}.load-{uuid.uuid4().hex}"
+    _bucketed(checked(new, spec), column, n).write.parquet(incoming)
+    load_ = spark.read.schema(stored.schema).parquet(incoming)
+    touched = [r[0] for r in load_.select(column).distinct().collect()]
+    # An equality on the partition column reads the touched folders only.
+    old = stored.filter(F.col(column).isin(touched))
+    _stage(upsert(old, load_), path, column)
+    _delete(spark, incoming)
+    recover(spark, path)
+
+
+def _beside(path: str) -> str:
+    return path.rstrip("/")
+
+
+def _bucketing(stored: DataFrame) -> tuple[str, int]:
+    """The partition column of a stored table and its number of buckets."""
+    for column in stored.columns:
+        if found := _PARTITION.fullmatch(column):
+            return column, int(found[1])
+    raise ValueError("the stored table has no buckets")
+
+
+def _bucketed(rows: DataFrame, column: str, n: int) -> DataFrame:
+    return rows.withColumn(column, F.coalesce(F.pmod(F.xxhash64("id"), F.lit(n)), F.lit(0)).cast("int"))
+
+
+def _laid_out(rows: DataFrame, column: str) -> DataFrame:
+    """Rows of a bucket together and in it near records together, so the smallest and largest ``xmin`` and
+    ``begin_date`` of a row group tell a filter on place or date that it can skip it."""
+    order = [F.col(column), *[F.expr(e) for e in LAYOUT]]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
+def _stage(rows: DataFrame, path: str, column: str) -> None:
+    """Write whole buckets to where ``recover`` looks; Spark marks the folder when it is complete."""
+    _laid_out(rows, column).write.mode("overwrite").partitionBy(column).parquet(f"{_beside(path)}.pending")
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Put buckets in place that a load has written completely. Doing so twice has the same result."""
+    pending = f"{_beside(path)}.pending"
+    if not exists(spark, f"{pending}/_SUCCESS"):
+        return
+    system, place = _system(spark, pending)
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path
+    for status in system.listStatus(place):
+        name = status.getPath().getName()
+        if not _PARTITION.match(name):
+            continue
+        target, aside = jvm_path(f"{path}/{name}"), jvm_path(f"{path}/.replaced-{name}")
+        # Renames only; the old bucket is deleted when the new one is there.
+        if system.exists(target):
+            system.delete(aside, True)
+            if not system.rename(target, aside):
+                raise OSError(f"{target} stays as it is, its replacement is in {pending}")
+        if not system.rename(status.getPath(), target):
+            raise OSError(f"the replacement of {target} stays in {pending}")
+        system.delete(aside, True)
+    system.delete(place, True)
+    spark.catalog.refreshByPath(path)
+
+
+def _system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    system, place = _system(spark, path)
+    system.delete(place, True)
 
 
 def checked(catalogue: DataFrame, spec: CatalogueSpec) -> DataFrame:
@@ -38,33 +127,34 @@ def checked(catalogue: DataFrame, spec: CatalogueSpec) -> DataFrame:
     return catalogue.withColumn("vector", F.expr(f"CASE WHEN {wrong} THEN CAST({error} AS array<float>) ELSE vector END"))
 
 
-def write(catalogue: DataFrame, path: str, spec: CatalogueSpec = CatalogueSpec()) -> None:
-    """Write beside the old table, sorted by place and date, and then put it in the old one's place.
-
-    Near records lie together, so the smallest and largest ``xmin`` and ``begin_date`` of a row group
-    tell a filter on place or date that it can skip it.
-    """
+def write(catalogue: DataFrame, path: str, spec: CatalogueSpec = CatalogueSpec(), buckets: int = BUCKETS) -> None:
+    """The whole table anew: written beside the old one, which is renamed aside, and deleted last."""
     spark = catalogue.sparkSession
-    fresh = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
-    order = [F.expr(e) for e in LAYOUT]
-    checked(catalogue, spec).repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(fresh)
-    place, source = spark._jvm.org.apache.hadoop.fs.Path(path), spark._jvm.org.apache.hadoop.fs.Path(fresh)
-    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
-    system.delete(place, True)
+    fresh, aside = (f"{_beside(path)}.{part}{uuid.uuid4().hex}" for part in ("", "replaced-"))
+    column = f"bucket_of_{buckets}"
+    rows = _bucketed(checked(catalogue.drop(*[c for c in catalogue.columns if _PARTITION.fullmatch(c)]), spec), column, buckets)
+    _laid_out(rows, column).write.partitionBy(column).parquet(fresh)
+    system, place = _system(spark, path)
+    source, old = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (fresh, aside))
+    if system.exists(place) and not system.rename(place, old):
+        raise OSError(f"{path} stays as it is, the new table is {fresh}")
     if not system.rename(source, place):
-        raise OSError(f"the new table stays at {fresh}")
+        raise OSError(f"the new table stays at {fresh}, the old one at {aside}")
+    system.delete(old, True)
+    spark.catalog.refreshByPath(path)
 
 
 def read(spark: SparkSession, path: str, spec: CatalogueSpec = CatalogueSpec()) -> DataFrame:
     """The stored catalogue; a table without the declared columns is refused."""
+    recover(spark, path)
     table = spark.read.parquet(path)
     missing = {p.split(".")[0] for p in spec.text_fields} | {spec.geometry, "vector"}
     missing -= set(table.columns)
     if missing:
         raise ValueError(f"{path} lacks {sorted(missing)}")
-    return table
+    return table.drop(_bucketing(table)[0])
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+    system, place = _system(spark, path)
+    return system.exists(place)

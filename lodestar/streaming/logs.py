@@ -77,22 +77,35 @@ def slow_log_etl(log: DataFrame) -> DataFrame:
 
 
 EVENT_KEY = "sha2(to_json(struct(stream, timestamp, message)), 256)"
-EVENT_DAY = "date_format(timestamp_millis(timestamp), 'yyyy-MM-dd')"
+#: Events without a time have a day of their own, so that they too are found again.
+EVENT_DAY = "coalesce(date_format(timestamp_millis(timestamp), 'yyyy-MM-dd'), 'unknown')"
+#: A Parquet option of the sink: a Bloom filter for the event keys of each file.
+BLOOM = {"parquet.bloom.filter.enabled#event": "true", "parquet.bloom.filter.expected.ndv#event": "1000000"}
+
+
+#: Keys of a batch that are looked up one by one.
+MAX_KEYS = 200
 
 
 def load_new_events(log: DataFrame, sink: str) -> None:
     """Append the parsed events of ``log`` that ``sink`` does not hold yet.
 
     The sink is partitioned by day and keeps each event's key. Only the days that the batch touches are
-    read, so an event may come as late as it likes, and loading a batch twice adds nothing.
+    read, so an event may come as late as it likes, and loading a batch twice adds nothing. Events without a
+    time have a day of their own. A small batch asks for its own keys, so files whose Bloom filter holds none of them
+    are not read.
     """
     spark = log.sparkSession
     events = without_test_streams(log).dropDuplicates(list(EVENT)).selectExpr("*", f"{EVENT_KEY} AS event", f"{EVENT_DAY} AS day")
     create_if_absent(spark, sink, PARSED_EVENT)
     days = [r["day"] for r in events.select("day").distinct().collect()]
     have = spark.read.schema(PARSED_EVENT).parquet(sink).filter(F.col("day").isin(days)).select("event")
+    # Counted first: so many keys fit in a filter that reaches the scan.
+    few = [r["event"] for r in events.select("event").limit(MAX_KEYS + 1).collect()]
+    if len(few) <= MAX_KEYS:
+        have = have.filter(F.col("event").isin(few))
     new = parse_slow_log(events.join(have, "event", "left_anti"))
-    new.select(*PARSED_EVENT.fieldNames()).write.mode("append").partitionBy("day").parquet(sink)
+    new.select(*PARSED_EVENT.fieldNames()).write.mode("append").options(**BLOOM).partitionBy("day").parquet(sink)
 
 
 def start_stream(spark: SparkSession, source: str, sink: str, checkpoint: str, files: int = 1000,

@@ -291,6 +291,61 @@ def test_last_per_id_and_upsert(spark):
     assert sorted((r["id"], r["v"]) for r in ingest.upsert(a, twice, order="n").collect()) == [("1", "x"), ("2", "late"), ("3", "w")]
 
 
+def test_upsert_of_repeated_ids_needs_an_order(spark):
+    a, b = (spark.createDataFrame(rows, "id string, v string") for rows in ([("1", "x")], [("2", "y"), ("2", "z")]))
+    with pytest.raises(Exception, match="id 2 is repeated"):
+        ingest.upsert(a, b).collect()
+
+
+def bucket_files(path):
+    return {str(f.relative_to(path)): f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+
+
+def test_a_load_rewrites_its_buckets_only(spark, sf, tmp_path):
+    path, spec = tmp_path / "catalogue", CatalogueSpec(vector_dim=64)
+    raw = tables.materialise(X.raw_records(spark, sf))
+    store.load(raw, str(path), spec)
+    before = bucket_files(path)
+    assert len({f.split("/")[0] for f in before}) == store.BUCKETS
+    one = raw.limit(1).withColumn("features_popularity", F.lit("77"))
+    key = one.first()["features_properties_id"]
+    store.load(one, str(path), spec)
+    after = bucket_files(path)
+    changed = {f.split("/")[0] for f in before.keys() ^ after.keys()} | {f.split("/")[0] for f in before if f in after and before[f] != after[f]}
+    assert len(changed) == 1 and len(list(path.parent.iterdir())) == 1
+    assert store.read(spark, str(path), spec).where(F.col("id") == key).first()["popularity"] == 77
+    with pytest.raises(Exception, match="is repeated"):
+        store.load(one.unionByName(one), str(path), spec)
+    assert store.read(spark, str(path), spec).count() == raw.count()
+
+
+def test_a_load_that_broke_off_is_finished_later(spark, sf, tmp_path):
+    path, spec = tmp_path / "catalogue", CatalogueSpec(vector_dim=64)
+    raw = tables.materialise(X.raw_records(spark, sf).limit(60))
+    store.load(raw, str(path), spec)
+    stored = spark.read.parquet(str(path))
+    column, _ = store._bucketing(stored)
+    # A complete replacement of two buckets that was not put in place yet, one bucket renamed aside already.
+    chosen = [r[0] for r in stored.select(column).distinct().orderBy(column).limit(2).collect()]
+    held = stored.where(F.col(column).isin(chosen)).count()
+    store._stage(stored.where(F.col(column).isin(chosen)).withColumn("popularity", F.lit(5)), str(path), column)
+    (path / f"{column}={chosen[0]}").rename(path / f".replaced-{column}={chosen[0]}")
+    got = store.read(spark, str(path), spec)
+    assert got.count() == 60 and got.where("popularity = 5").count() >= held > 0
+    # An incomplete one is not used.
+    store._stage(spark.read.parquet(str(path)).withColumn("popularity", F.lit(6)), str(path), column)
+    (path.parent / "catalogue.pending" / "_SUCCESS").unlink()
+    assert store.read(spark, str(path), spec).where("popularity = 6").isEmpty()
+
+
+def test_events_without_a_time_are_loaded_once(spark, tmp_path):
+    log = spark.createDataFrame([("a", None, "m"), ("a", None, "m"), ("c", 5, None), ("b", 86_400_000, "x")], "stream string, timestamp bigint, message string")
+    for _ in range(3):
+        logs.load_new_events(log, str(tmp_path / "sink"))
+    got = spark.read.parquet(str(tmp_path / "sink"))
+    assert sorted(r["day"] for r in got.collect()) == ["1970-01-01", "1970-01-02", "unknown"]
+
+
 def test_catalogue_load(spark, sf, tmp_path):
     path, spec = str(tmp_path / "catalogue"), CatalogueSpec(vector_dim=64)
     raw = X.raw_records(spark, sf).cache()
