@@ -100,6 +100,50 @@ def test_pipeline_gives_what_its_stages_give(spark, sf):
     assert 0 < out.count() < spark.read.parquet(f"{sf}/documents.parquet").count()
 
 
+def test_pipeline_gives_what_plain_rules_give(spark, sf):
+    """From what the classifier leaves on: lines and windows by SQL over all rows, groups by all pairs, ids by the library."""
+    import base64
+    import hashlib
+
+    import duckdb
+    import public_tokenizers
+    import tiktoken
+    from test_pairs_and_lines import expected_groups
+
+    from lodestar.llm.queries import ORACLE_SQL
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW benchmark AS SELECT * FROM '{sf}/benchmark.parquet'")
+    left = corpus_pipeline.drop_toxic(spark, docs, sf).toPandas()
+    db.register("documents", left)
+    lines = dict(db.execute(f"SELECT doc_id, text FROM ({ORACLE_SQL['op4_line_dedup']})").fetchall())
+    group = expected_groups([(i, t, "") for i, t in lines.items()], 5, 80)
+    kept = {i: t for i, t in lines.items() if group[i] == i}
+    db.unregister("documents")
+    left = left[left["doc_id"].isin(kept)].assign(text=lambda d: d["doc_id"].map(kept))
+    db.register("documents", left)
+    clean = [i for i, bad in db.execute(f"SELECT doc_id, contaminated FROM ({ORACLE_SQL['op9_benchmark_decontamination']})").fetchall() if not bad]
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as file:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in file if line.strip())}
+    library = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ids = lambda text: hashlib.sha256(np.array(library.encode_ordinary(text), "<u4").tobytes()).hexdigest()
+    assert {r.doc_id: r.ids_sha256 for r in corpus_pipeline.run(spark, sf).collect()} == {i: ids(kept[i]) for i in clean}
+
+
+def test_stages_keep_columns_of_any_name(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(30)
+    odd = ["score", "n_hit", "n_words", "spans", "items", "n_lines", "n_removed", "kept", "component_id", "gone", "key"]
+    given = docs.unionByName(docs.limit(3)).unionByName(docs.limit(1).withColumn("text", F.lit(None).cast("string")).withColumn("doc_id", F.lit(None).cast("bigint")))
+    given = given.select("*", *[F.concat(F.lit(f"{c} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(c) for c in odd])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, given, sf)
+        assert out.columns == given.columns
+        for r in out.collect():
+            assert all(r[c] == f"{c} {'none' if r.doc_id is None else r.doc_id}" for c in odd)
+    assert corpus_pipeline.encode(spark, given, sf).count() == 34
+
+
 def test_stages_of_nothing(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
@@ -116,8 +160,8 @@ def test_toxic_documents_go_and_clean_ones_stay(spark, sf):
     assert len(toxic - left) >= 0.8 * len(toxic)
 
 
-def test_all_ten_and_the_pipeline_are_registered():
+def test_all_and_the_pipeline_are_registered():
     names = entry.queries()
     assert "pipeline" in names
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(name.startswith(f"op{n}_") for name in names) == 1
