@@ -18,7 +18,7 @@ from lodestar.llm.setlinks import BLOCK_DOCS, Joined, blocks_of, finished, full_
 PIVOTS, SMALL, SLICE = 8, 1024, 512
 #: Classes of shingles that a profile counts at least, and shingles of a set for each of them at most.
 CLASSES, PER_CLASS = 64, 64
-#: A region that keeps more than this share of its parent's documents is finished without a further split.
+#: A region of which one cell keeps more than this share of the documents is finished without a split.
 SHRINK = 0.7
 
 
@@ -161,7 +161,8 @@ def _regions(percent: int):
 
 
 def _split(scratch: Scratch, large: DataFrame, sets: DataFrame, percent: int, level: int) -> tuple[DataFrame, DataFrame]:
-    """The regions ``large(region, n, doc_id, n_shingles, label)`` around pivots of their own, and the likely links to pivots.
+    """The regions ``large(region, n, doc_id, n_shingles, label)`` as regions around pivots of their own, with their ``parent``,
+    and the likely links to pivots.
 
     Two documents with a link stand together in the region that is home to one of them: with o at home at p and q at
     home at r, d(o, r) <= d(q, r) + e <= d(q, p) + e <= d(o, p) + 2e, so o is also in the region of r.
@@ -175,9 +176,13 @@ def _split(scratch: Scratch, large: DataFrame, sets: DataFrame, percent: int, le
     met = rows.unionByName(centres).join(sets.select("doc_id", "members"), "doc_id").groupBy("region", "slice").applyInArrow(_regions(percent), f"region bigint, doc_id {kind}, pivot {kind}, linked boolean")
     met = scratch.table(met.distinct())
     links = met.where("linked AND doc_id <> pivot").select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b")).distinct()
-    parents = large.groupBy("region").agg(F.max("n").alias("n_parent"))
-    placed = met.join(parents, "region").select(F.xxhash64("region", "pivot").alias("region"), "doc_id", "n_parent")
-    return placed.join(large.select("doc_id", "n_shingles").distinct(), "doc_id"), links
+    placed = met.select(F.col("region").alias("parent"), F.xxhash64("region", "pivot").alias("region"), "doc_id")
+    return scratch.table(placed.join(large.select("doc_id", "n_shingles").distinct(), "doc_id")), links
+
+
+def _counted(regions: DataFrame) -> DataFrame:
+    """``regions(region, doc_id, …)`` with the number ``n`` of their documents."""
+    return regions.join(regions.groupBy("region").agg(F.count(F.lit(1)).alias("n")), "region")
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, percent: int = 90) -> DataFrame:
@@ -267,24 +272,29 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     sets = scratch.table(docs.join(groups.select("doc_id").hint("merge"), "doc_id", "left_semi").mapInArrow(full_sets(shingle), f"doc_id {kind}, members binary, profile binary"))
     sizes = members.select("doc_id", "n_shingles").groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
     regions = groups.select(F.xxhash64("label").alias("region"), "doc_id").join(sizes, "doc_id")
-    regions = scratch.table(regions.join(regions.groupBy("region").agg(F.count(F.lit(1)).alias("n")), "region").withColumn("n_parent", F.lit(None).cast("bigint")))
-    level = 0
+    regions, level = scratch.table(_counted(regions)), 0
     while True:
-        left = mixed(regions.select("region", "n", "n_parent", "doc_id", "n_shingles"), labels)
+        left = mixed(regions, labels)
         if left.isEmpty():
-            scratch.drop(left)
             break
-        level += 1
-        whole = f"(n <= {SMALL} OR coalesce(n > {SHRINK} * n_parent, false))"
-        labels = add(finished(scratch, left.where(whole), sets, percent, by_profile=False))
-        large = scratch.table(left.where(f"NOT {whole}").select("region", "n", "doc_id", "n_shingles", "label"))
-        scratch.drop(left)
+        small, large = left.where(F.col("n") <= SMALL), left.where(F.col("n") > SMALL)
+        if not small.isEmpty():
+            labels = add(finished(scratch, small, sets, percent, by_profile=False))
         if large.isEmpty():
             break
         placed, near = _split(scratch, large, sets, percent, level)
         labels = add(verified(scratch, sets, near, percent))
-        count = placed.groupBy("region").agg(F.count(F.lit(1)).alias("n"))
-        regions = scratch.table(placed.join(count, "region"))
+        # Where the windows hold nearly all documents, the region is not split but finished.
+        cells = placed.groupBy("parent", "region").agg(F.count(F.lit(1)).alias("n_cell"))
+        parents = large.select("region", "n").distinct().withColumnRenamed("region", "parent")
+        stuck = scratch.table(cells.join(parents, "parent").where(F.col("n_cell") > SHRINK * F.col("n")).select("parent").distinct())
+        if not stuck.isEmpty():
+            back = mixed(large.drop("label").join(stuck, F.col("region") == F.col("parent"), "left_semi"), labels)
+            labels = add(finished(scratch, back, sets, percent, by_profile=False))
+            scratch.drop(back)
+        regions = scratch.table(_counted(placed.join(stuck, "parent", "left_anti").drop("parent")))
+        scratch.drop(left, placed, stuck)
+        level += 1
     scratch.drop(members, profiles, sets, *links)
     rows = coded.select("doc_id", "n_shingles", "digest")
     ends = scratch.spark.createDataFrame([], f"node {kind}, label {kind}") if labels is None else labels
