@@ -36,6 +36,8 @@ CHUNK = 1024
 # id. It only decides where cells lie; every row is put in a cell.
 MAX_CELLS = 1024
 COARSE_POOL, CELL_POOL = 32, 4
+# Rows of a small cell at least where every vector meets whole cells: a product of so many rows costs less than a visit.
+JOIN_CELL = 2048
 # Scores are compared after rounding, so that equal vectors tie and ids decide on every layout.
 COS_DIGITS = 12
 
@@ -254,7 +256,7 @@ def cell_tree(catalogue: DataFrame, n: int, per_cell: int | None = None) -> Cell
     n) are fitted in the same way. A row's cell is the nearest small centre of its coarse cell.
     """
     per_cell = per_cell or int(np.ceil(np.sqrt(n)))
-    k = min(MAX_CELLS, int(np.ceil(n**0.25)))
+    k = min(MAX_CELLS, int(np.ceil(n**0.25)), int(np.ceil(n / per_cell)))
     kind = catalogue.schema["id"].dataType.simpleString()
     # At most 2^15 rows on the mean.
     first = catalogue.withColumn("draw", F.expr(draw(0))).filter(F.col("draw") < COARSE_POOL * k / n)
@@ -363,7 +365,11 @@ def knn_join(queries: DataFrame, catalogue: DataFrame, k: int, transform: str =
     n = c.count()
     if n == 0:
         return _empty(q, c, k, transform)
-    tree = cell_tree(c, n, cells and int(np.ceil(n / cells)))
+    per_cell = int(np.ceil(n / cells)) if cells else max(int(np.ceil(np.sqrt(n))), JOIN_CELL)
+    if n <= per_cell:  # a tree of one cell
+        one = F.lit(0).cast("bigint").alias("cell")
+        return _finish(_block_join(q.select("id", "v", one), c.select("id", "v", one), k, schema), k, transform)
+    tree = cell_tree(c, n, per_cell)
     visits = exact_visits(q, tree, k, schema)
     return _finish(_block_join(visits, tree.rows, k, schema), k, transform)
 

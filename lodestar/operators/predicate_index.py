@@ -104,6 +104,21 @@ def _wanted(shapes: DataFrame, keys: DataFrame) -> DataFrame:
     return out.unionByName(met.distinct())
 
 
+def _anchors(rows: DataFrame, shapes: DataFrame) -> DataFrame:
+    """``(match_id, key, n)``: the keys of each combination's rarest clause, and how many records have one of them at most."""
+    keys = materialise(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
+    wanted = materialise(_wanted(shapes, keys))
+    cost = wanted.join(keys, "key", "left").groupBy("match_id", "clause").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    best = cost.groupBy("match_id").agg(F.min_by("clause", F.struct("n", "clause")).alias("clause"), F.min("n").alias("n"))
+    return wanted.join(best, ["match_id", "clause"]).select("match_id", "key", "n")
+
+
+def upper_bounds(catalogue: DataFrame, shapes: DataFrame) -> DataFrame:
+    """``(match_id, n)``: no more than ``n`` records satisfy the combination."""
+    rows = catalogue.selectExpr("id", f"explode({record_keys(catalogue.schema)}) AS key")
+    return _anchors(rows, shapes).select("match_id", "n").distinct()
+
+
 def indexed_matches(catalogue: DataFrame, shapes: DataFrame) -> DataFrame:
     """The rows of ``catalogue`` joined to the filter combinations ``shapes(match_id, f_…)`` that they satisfy.
 
@@ -111,11 +126,6 @@ def indexed_matches(catalogue: DataFrame, shapes: DataFrame) -> DataFrame:
     combination meets a record that has none of the keys of its rarest clause.
     """
     rows = catalogue.selectExpr("id", f"explode({record_keys(catalogue.schema)}) AS key")
-    keys = materialise(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
-    wanted = materialise(_wanted(shapes, keys))
-    cost = wanted.join(keys, "key", "left").groupBy("match_id", "clause").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
-    best = cost.groupBy("match_id").agg(F.min_by("clause", F.struct("n", "clause")).alias("clause"))
-    anchors = wanted.join(best, ["match_id", "clause"]).select("match_id", "key")
-    pairs = rows.join(anchors, "key").select(F.col("id").alias("_id"), "match_id").distinct()
+    pairs = rows.join(_anchors(rows, shapes).select("match_id", "key"), "key").select(F.col("id").alias("_id"), "match_id").distinct()
     met = catalogue.join(pairs, F.col("id").eqNullSafe(F.col("_id"))).drop("_id")
     return met.join(shapes, "match_id").filter(batch_predicate(catalogue.schema))

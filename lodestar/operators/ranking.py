@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestar.sources.tables import materialise
+
 # Up to this k Spark itself drops surplus rows before the shuffle (window group limit).
 GROUP_LIMIT = 1000
 # Scores are ranked after rounding, so that rows of equal score are ordered by id in every run.
@@ -92,12 +94,29 @@ def pages(matches: DataFrame, keys: list[str], depths: dict[str, int]) -> DataFr
     for name, wanted in (("shallow", f"{LAST_ROW} <= {GROUP_LIMIT}"), ("deep", f"{LAST_ROW} > {GROUP_LIMIT}")):
         if depths[name] <= 0:
             continue
-        ranked = top_k(matches.filter(wanted), keys, batch_order(), depths[name])
+        rows = matches.filter(wanted)
+        ranked = top_k(rows, keys, batch_order(), depths[name]) if name == "shallow" else ranked_by_range(rows, keys, batch_order(), f"`from` < {LAST_ROW}", "`from`", LAST_ROW)
         inside = ranked.filter(f"rn > `from` AND rn <= {LAST_ROW}").withColumn("row_num", F.expr("int(rn - `from`)")).drop("rn")
         out = inside if out is None else out.unionByName(inside)
     return matches.withColumn("row_num", F.lit(0)).filter(F.lit(False)) if out is None else out
 
 
+def ranked_by_range(df: DataFrame, keys: list[str], order: list[Column], wanted: str, first: str, last: str) -> DataFrame:
+    """Rows that are ``wanted`` with their rank ``rn`` in their group, those at least whose rank is above ``first`` and up to ``last``.
+
+    Rows are dealt by ranges of group and order, whose bounds Spark samples, and stored with the number of their range.
+    A range's rows of a group are counted, the counts of the ranges before it add up to where it starts, and
+    only ranges that hold a wanted rank are ranked, each by itself. So no group is sorted in one task, however deep.
+    """
+    stored = materialise(df.filter(wanted).repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()))
+    counts = stored.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"), F.first(F.expr(first)).alias("_first"), F.first(F.expr(last)).alias("_last"))
+    # One row for each group and range.
+    upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_range"))
+    starts = counts.withColumn("_before", upto - F.col("_n")).filter("_before < _last AND _before + _n > _first").select(*keys, "_range", "_before")
+    inside = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order))
+    return stored.join(starts, [*keys, "_range"]).withColumn("rn", F.col("_before") + inside).drop("_range", "_before")
+
+
 def page_depths(asked: DataFrame) -> dict[str, int]:
     """The largest last row of shallow and of deep pages, 0 where there are none."""
     last = F.expr(LAST_ROW)

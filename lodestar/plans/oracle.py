@@ -523,7 +523,7 @@ SELECT g, seed, list(x ORDER BY dim) AS x FROM (
 
 _DRAW = "CAST(('0x' || substr(md5('{0}:' || vec_id), 1, 12)) AS BIGINT)::DOUBLE / 281474976710656"
 ORACLE["knn_tree"] = f"""
-WITH {_CENTROIDS}, size AS (SELECT count(*)::DOUBLE AS n, ceil(sqrt(count(*))) AS per_cell, ceil(pow(count(*), 0.25)) AS k FROM v),
+WITH {_CENTROIDS}, size AS (SELECT count(*)::DOUBLE AS n, ceil(sqrt(count(*))) AS per_cell, least(ceil(pow(count(*), 0.25)), ceil(count(*) / ceil(sqrt(count(*))))) AS k FROM v),
 d AS MATERIALIZED (
 SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u, {_DRAW.format(0)} AS first_draw, {_DRAW.format(1)} AS draw FROM v),
 pool AS MATERIALIZED (SELECT vec_id, u, k, row_number() OVER (ORDER BY first_draw, vec_id) AS r FROM d, size WHERE first_draw < 32 * k / n),

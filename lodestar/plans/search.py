@@ -17,12 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import analyse, highlight
-from lodestar.functions.vectors import dot, embed, norm
+from lodestar.functions.vectors import embed
 from lodestar.operators.bm25 import SavedIndex, TextIndex, best_fields, build_index
 from lodestar.operators.facets import facet_columns, facet_counts
+from lodestar.operators.filtered_knn import filtered_neighbours
 from lodestar.operators.filters import FILTER_COLUMNS, batch_predicate, predicate
 from lodestar.operators.ingest import expand_patterns
-from lodestar.operators.knn import COS_DIGITS, knn, score_of
+from lodestar.operators.knn import knn, score_of
 from lodestar.operators.predicate_index import indexed_matches
 from lodestar.operators.ranking import order_columns, page, page_depths, pages, rank_score, top_k
 from lodestar.plans.requests import normalise_requests, with_shapes
@@ -158,23 +159,12 @@ def _with_flag_only(scored: DataFrame, shapes: DataFrame, narrow: DataFrame, min
 
 
 def _prefiltered(shapes, catalogue, narrow, text, k, min_score, flag, encoder, dim) -> DataFrame:
-    """Neighbours are searched among the filtered rows only: one kNN per filter combination."""
-    spec = shapes.select("match_id", "q", *FILTER_COLUMNS)
-    encoded = embed(spec.select("match_id", "q"), "q", encoder, "vector", dim)
-    allowed = theta_matches(catalogue, spec)
-    near = None
-    if allowed is not None:
-        pairs = allowed.select("match_id", "id", F.col("vector").alias("v")).join(
-            encoded.select("match_id", F.col("vector").alias("u")), "match_id"
-        )
-        sized = pairs.filter("size(v) > 0").withColumn("len", F.expr(f"{norm('v')} * {norm('u')}")).filter("len > 0")
-        cos = f"round({dot('v', 'u')} / len, {COS_DIGITS}) AS cos"
-        order = [F.col("cos").desc(), F.col("id").asc()]
-        near = top_k(sized.selectExpr("match_id", "id", cos), ["match_id"], order, k).selectExpr(
-            "match_id", "id", f"{score_of('cos')} AS knn_score"
-        )
+    """Neighbours are searched among the records that the filters allow, cells in order of distance."""
+    encoded = embed(shapes.select("match_id", "q"), "q", encoder, "vector", dim).select("match_id", "vector")
+    asked = shapes.select("match_id", *FILTER_COLUMNS).join(encoded, "match_id")
+    near = filtered_neighbours(catalogue, asked, [*NARROW, *FILTERED], k, theta_matches).selectExpr("match_id", "id", f"{score_of('cos')} AS knn_score")
     text = text.join(shapes.select("match_id", "q"), "q").drop("q")
-    parts = text.join(near, ["match_id", "id"], "full_outer") if near is not None else text.withColumn("knn_score", F.lit(None).cast("double"))
+    parts = text.join(near, ["match_id", "id"], "full_outer")
     scored = parts.join(narrow, "id").join(shapes, "match_id").filter(batch_predicate(catalogue.schema))
     scored = scored.withColumn("score", F.expr(combined_score(flag)))
     return _with_flag_only(scored, shapes, narrow, min_score, flag)

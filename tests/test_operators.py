@@ -207,6 +207,44 @@ def test_knn_plans_agree(spark, monkeypatch):
     assert as_lists(knn.knn_join(qs, cs, 7, cells=3)) == want
 
 
+def clustered(rng, n, dim=16, per=40):
+    middle = rng.normal(size=(max(n // per, 1), dim))
+    return middle[rng.integers(0, len(middle), n)] + 0.15 * rng.normal(size=(n, dim))
+
+
+def test_the_join_skips_cells_and_finds_all(spark):
+    rng = np.random.default_rng(11)
+    c, q = clustered(rng, 3000), clustered(rng, 200)
+    cs, qs = vector_table(spark, c), vector_table(spark, np.concatenate([c[:150], q[:50]]))
+    want = brute(np.concatenate([c[:150], q[:50]]), c, 4)
+    assert as_lists(knn.knn_join(qs, cs, 4, cells=60)) == want
+    u, v = (tables.materialise(knn.usable(t, "id", "vector")) for t in (qs, cs))
+    tree = knn.cell_tree(v, 3000, 50)
+    sizes = [r["n"] for r in tree.small.collect()]
+    assert sum(sizes) == tree.rows.count() == 3000 and len(sizes) >= 40 and len(tree.coarse) <= 8
+    visits = knn.exact_visits(u, tree, 4, "qid bigint, id bigint, cos double")
+    share = knn.visited_share(visits, tree).first()
+    assert share["rows"] == 3000 and share["pairs"] < 0.5 * 200 * 3000
+
+
+@pytest.mark.parametrize("n", [1000, 9000])
+def test_tree_recall_and_work(spark, n):
+    """Recall at 10 on clustered vectors, and what a query compares, at two sizes: the root of the rows for each cell it visits."""
+    rng = np.random.default_rng(n)
+    c = clustered(rng, n)
+    picked = rng.choice(n, 100, replace=False)
+    cs = vector_table(spark, c)
+    qs = spark.createDataFrame([(int(i), [float(x) for x in c[i]]) for i in picked], "id bigint, vector array<double>")
+    unit = c / np.linalg.norm(c, axis=1, keepdims=True)
+    got = as_lists(knn.knn_tree(qs, cs, 10))
+    recall = np.mean([len(set(got[i]) & set(np.argsort(-(unit[i] @ unit.T), kind="stable")[:10])) / 10 for i in picked.tolist()])
+    assert recall >= 0.9
+    u, v = (tables.materialise(knn.usable(t, "id", "vector")) for t in (qs, cs))
+    tree = knn.cell_tree(v, n)
+    share = knn.visited_share(knn.nearest_cells(u, tree, 16, 8), tree).first()
+    assert share["pairs"] <= 100 * 16 * 4 * n**0.5
+
+
 def test_knn_null_and_zero(spark):
     c = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 0.0]), (4, None)], "id bigint, vector array<double>")
     q = spark.createDataFrame([(0, [1.0, 0.0])], "id bigint, vector array<double>")

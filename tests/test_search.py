@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestar.operators import filters
@@ -88,6 +89,26 @@ def test_index_finds_what_the_predicate_does(spark, catalogue):
     assert "Cross" not in plan and "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_filtered_neighbours_in_rounds_are_those_of_all_allowed(spark, sf, catalogue, monkeypatch):
+    from lodestar.operators import filtered_knn
+
+    monkeypatch.setattr(filtered_knn, "FIRST", 1)
+    asked = search.with_shapes(search.normalise_requests(X.requests(spark, sf), X.TODAY)).filter("reject IS NULL").select("match_id", *search.FILTER_COLUMNS).distinct()
+    vectors = catalogue.select("vector").withColumn("n", F.row_number().over(Window.orderBy("vector")))
+    shapes = tables.materialise(asked.withColumn("n", F.row_number().over(Window.orderBy("match_id"))).join(vectors, "n").drop("n"))
+    columns = [*search.NARROW, *search.FILTERED]
+    want, got = (rows(filtered_knn.filtered_neighbours(catalogue, shapes, columns, 5, search.theta_matches, direct), "match_id", "cos", "id") for direct in (10**9, -1))
+    assert got == want and len(want) > 50
+
+
+def test_deep_pages_are_those_of_one_sort(spark, sf, catalogue, monkeypatch, result):
+    from lodestar.operators import ranking
+
+    monkeypatch.setattr(ranking, "GROUP_LIMIT", 2)
+    deep = search.semantic_search(X.requests(spark, sf), catalogue, X.TODAY)
+    assert rows(deep.hits, "req_id", "row_num") == rows(result.hits, "req_id", "row_num")
+
+
 def test_browse_equals_batch(catalogue, result):
     for r in result.requests.filter("q = ''").limit(3).collect():
         raw = {k: r[k] for k in ("bbox", "relation", "begin", "end", "org")}
