@@ -26,14 +26,17 @@ def acc_at_k(ranks: DataFrame) -> DataFrame:
     return ranks.agg(F.avg(F.col("rank").isNotNull().cast("double")).alias("acc"))
 
 
+#: Distinct passages, and characters of them in all, that are looked for in every text directly.
+MAX_SCANNED, MAX_SCANNED_CHARS = 256, 1 << 20
 #: Candidates are sent to the texts, not the texts to them, up to so many bytes of them (measured).
 MAX_CANDIDATE_BYTES = 64 << 20
 
 
 def judged_pairs(documents: DataFrame, passages: DataFrame, n_words: int = 5) -> DataFrame:
-    """``(req_id, id)``: documents that contain a passage, found by equi-joins on parts of it.
+    """``(req_id, id)``: documents that contain a passage.
 
-    The words of a passage except its first and last stand between blanks in both texts. A passage of
+    A few passages (their number is checked) are looked for in each text, in one scan without a shuffle. More are found by
+    equi-joins on parts of them. The words of a passage except its first and last stand between blanks in both texts. A passage of
     ``n_words`` more than these two is found by the run of words after its first one; one of three words or
     more by the inner word that the fewest documents hold. A shorter passage stands inside one word, or at the
     end of one and the start of the next: its longer piece is looked up among the distinct words of
@@ -44,7 +47,13 @@ def judged_pairs(documents: DataFrame, passages: DataFrame, n_words: int = 5) ->
     """
     blank = literal(r"\s+")
     asked = passages.filter("passage <> ''").select("req_id", "passage").distinct()
-    p = asked.select("passage").distinct().selectExpr("passage", f"split(passage, {blank}) AS ws")
+    distinct = materialise(asked.select("passage").distinct())
+    measured = distinct.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.char_length("passage")), F.lit(0)).alias("chars")).first()
+    if measured["n"] <= MAX_SCANNED and measured["chars"] <= MAX_SCANNED_CHARS:
+        few = [r["passage"] for r in distinct.collect()]
+        held = F.filter(F.array(*map(F.lit, few)), lambda passage: F.contains(F.col("text"), passage)) if few else F.array().cast("array<string>")
+        return documents.select("id", F.explode(held).alias("passage")).join(asked, "passage").select("req_id", "id").distinct()
+    p = distinct.selectExpr("passage", f"split(passage, {blank}) AS ws")
     is_long, is_inner, is_short = f"size(ws) >= {n_words + 2}", f"size(ws) BETWEEN 3 AND {n_words + 1}", "size(ws) < 3"
     kinds = p.agg(*[F.coalesce(F.expr(f"bool_or({c})"), F.lit(False)) for c in (is_long, is_inner, is_short)]).first()
     pairs = documents.sparkSession.createDataFrame([], f"passage string, id {documents.schema['id'].dataType.simpleString()}")

@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import time
 
 import numpy as np
 import pytest
@@ -291,7 +292,9 @@ def test_mrr_and_acc(spark):
     assert evaluate.acc_at_k(first).first()["acc"] == pytest.approx(0.5)
 
 
-def test_judged_pairs(spark):
+@pytest.mark.parametrize("scanned", [256, 0])
+def test_judged_pairs(spark, monkeypatch, scanned):
+    monkeypatch.setattr(evaluate, "MAX_SCANNED", scanned)
     docs = spark.createDataFrame([("1", "xx one two three four five six seven yy"), ("2", "one two three"), ("3", "zone two threes")], ["id", "text"])
     passages = spark.createDataFrame([("p", "x one two three four five six seven"), ("s", "one two three")], ["req_id", "passage"])
     got = sorted(map(tuple, evaluate.judged_pairs(docs, passages).collect()))
@@ -302,6 +305,23 @@ def test_judged_pairs(spark):
     assert sorted(map(tuple, evaluate.judged_pairs(docs, short).collect())) == want
 
 
+@pytest.mark.parametrize("scanned", [256, 0])
+def test_judged_pairs_of_long_texts_and_odd_passages(spark, monkeypatch, scanned):
+    """Texts of 400,000 characters, with and without blanks, take no step for each pair of their characters."""
+    monkeypatch.setattr(evaluate, "MAX_SCANNED", scanned)
+    rng = np.random.default_rng(5)
+    long = " ".join("".join(chr(97 + x) for x in rng.integers(0, 26, 5)) for _ in range(70_000))
+    texts = {"a": long, "b": long.replace(" ", ""), "c": "é\tö  ü", "d": "", "e": " lead", "f": "日本 語\n", "g": None}
+    words = long.split()
+    asked = ["é\tö", "ö  ü", "ö ü", " lead", "lead", "d", " ", "\t", "本 語", "語\n", "日", " ".join(words[500:509]), " ".join(words[40:44]), words[7][1:] + " " + words[8][:2], long[90:93], "nowhere to be", ""]
+    docs = spark.createDataFrame(list(texts.items()), "id string, text string")
+    passages = spark.createDataFrame([(str(i), p) for i, p in enumerate(asked)] + [("0", asked[0]), ("1", asked[0]), ("x", None)], "req_id string, passage string")
+    want = sorted({(r, i) for r, p in [(str(i), p) for i, p in enumerate(asked)] + [("1", asked[0])] for i, t in texts.items() if p and t and p in t})
+    start = time.perf_counter()
+    assert sorted(map(tuple, evaluate.judged_pairs(docs, passages).collect())) == want
+    assert time.perf_counter() - start < 120
+
+
 def test_quartiles_are_exact(spark):
     values = [float((i * 7919) % 1009) for i in range(1009)] + [5.0] * 400
     df = spark.createDataFrame([(v, None if i % 3 else -v) for i, v in enumerate(values)], "a double, b double")
