@@ -248,24 +248,26 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     near = [scratch.table(pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "profile_a", "profile_b").mapInArrow(_likely_pairs(percent), f"a {kind}, b {kind}"))]
     # What was compared with all others of its region leaves it.
     rest = members.join(centre, "region").where("doc_id <> pivot AND n > 2").select("region", "doc_id", "n_shingles")
-    apart = mixed(rest, components(scratch, near[0]))
+    first = components(scratch, near[0], True)
+    apart = mixed(rest, first)
     near.append(scratch.table(
         blocks_of(apart).join(profiles, "doc_id").groupBy("region", "i", "j").applyInArrow(_likely_links(percent), f"a {kind}, b {kind}").distinct()
     ))
-    groups = components(scratch, near[0].unionByName(near[1])).withColumnRenamed("node", "doc_id")
+    groups = first if near[1].isEmpty() else components(scratch, near[0].unionByName(near[1]), True)
+    groups = groups.withColumnRenamed("node", "doc_id")
     scratch.drop(apart, *near)
 
     own = usable.join(classes, "digest").select("doc_id", "rep")
     shared = own.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z")
     links = [scratch.table(own.join(shared, "doc_id").select("a", F.col("rep").alias("b")))]
-    labels = None if links[0].isEmpty() else components(scratch, links[0])
+    labels = None if links[0].isEmpty() else components(scratch, links[0], True)
 
-    def add(more: DataFrame) -> DataFrame:
-        links.append(more)
+    def add(*more: DataFrame) -> DataFrame:
+        links.extend(more)
         every = links[0]
         for x in links[1:]:
             every = every.unionByName(x)
-        return components(scratch, every)
+        return components(scratch, every, True)
 
     # Documents that likely pairs connect are a region each; only their whole sets are needed, and each once.
     # Merged whatever its size, so that every run shuffles each text once and not more.
@@ -278,12 +280,12 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         if left.isEmpty():
             break
         small, large = left.where(F.col("n") <= SMALL), left.where(F.col("n") > SMALL)
-        if not small.isEmpty():
-            labels = add(finished(scratch, small, sets, percent, by_profile=False))
+        found = finished(scratch, small, sets, percent, by_profile=False)
         if large.isEmpty():
+            labels = add(found)
             break
         placed, near = _split(scratch, large, sets, percent, level)
-        labels = add(verified(scratch, sets, near, percent))
+        labels = add(found, verified(scratch, sets, near, percent))
         # Where the windows hold nearly all documents, the region is not split but finished.
         cells = placed.groupBy("parent", "region").agg(F.count(F.lit(1)).alias("n_cell"))
         parents = large.select("region", "n").distinct().withColumnRenamed("region", "parent")
