@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.llm import graph, line_dedup, near_dedup, substring_dedup, words
+from lodestar.llm import graph, line_dedup, near_dedup, setlinks, substring_dedup, words
 from lodestar.llm.frames import Scratch
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -83,7 +83,7 @@ def test_near_duplicates_finish_without_stars(spark, near_rows):
 
 
 def test_near_duplicates_in_many_blocks(spark, near_rows, monkeypatch):
-    monkeypatch.setattr(near_dedup, "BLOCK_DOCS", 7)
+    monkeypatch.setattr(setlinks, "BLOCK_DOCS", 7)
     got = near_dedup.near_duplicates(table(spark, near_rows), shingle=4, star_rounds=0)
     want = expected_groups([r for r in near_rows if r[0] is not None], 4, 80)
     assert {r.doc_id: r.component_id for r in got.collect() if r.doc_id is not None} == want
