@@ -87,7 +87,7 @@ def upsert_repeated(spark, sf):
     """Three loads of the stored catalogue: all, labelled records three times each, and of these every third again."""
     path, spec = tables.work_dir(spark), CatalogueSpec(vector_dim=64)
     raw = X.raw_records(spark, sf)
-    catalogue.load(raw, path, spec)
+    catalogue.load(raw, path, spec, buckets=8)
     labels = tables.read_table(spark, sf, "labels").select(F.concat(F.lit("doc-"), F.col("doc_id")).alias(P + "id"), F.col("doc_id").alias("n"))
     again = raw.join(labels, P + "id").withColumn("load_seq", F.explode(F.array(F.lit(2), F.lit(0), F.lit(1))))
     catalogue.load(again.withColumn("features_popularity", (F.col("load_seq") + 7000).cast("string")).drop("n"), path, spec)

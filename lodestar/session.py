@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -29,7 +30,10 @@ def ship_package(spark: SparkSession) -> SparkSession:
     context = spark.sparkContext
     if not getattr(context, "_lodestar_shipped", False):
         root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-        archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="lodestar-"), "lodestar"), "zip", root, "lodestar")
+        folder = tempfile.mkdtemp(prefix="lodestar-")
+        # Executors fetch it as long as the application runs.
+        atexit.register(shutil.rmtree, folder, True)
+        archive = shutil.make_archive(os.path.join(folder, "lodestar"), "zip", root, "lodestar")
         context.addPyFile(archive)
         context._lodestar_shipped = True
     return spark

@@ -21,17 +21,18 @@ from lodestar.schemas import CatalogueSpec
 # Degrees of a cell that records are laid out by.
 CELL = 5
 LAYOUT = (f"floor(xmin / {CELL})", f"floor(ymin / {CELL})", "begin_date", "id")
-#: Buckets of a new table; a table keeps its own number, which is part of the partition column's name.
-BUCKETS = 16
+#: Records of a bucket of a new table, and buckets at most; a table keeps its number of buckets, which is part of
+#: the partition column's name.
+PER_BUCKET, MOST_BUCKETS = 100_000, 4096
 _PARTITION = re.compile(r"bucket_of_(\d+)")
 
 
 def load(raw: DataFrame, path: str, spec: CatalogueSpec = CatalogueSpec(), theme: DataFrame | None = None,
-         foundational: DataFrame | None = None, encoder=None, buckets: int = BUCKETS) -> None:
+         foundational: DataFrame | None = None, encoder=None, buckets: int | None = None) -> None:
     """Raw records into the stored catalogue: embedded, normalised, the last row of each id by
     ``load_seq``, and put in place of stored rows with the same id. Without ``load_seq`` a load that
     repeats an id fails, as it does not say which row is the last. ``buckets`` is for a table that is not there yet;
-    one of the order of its size over a gigabyte lets a load rewrite little.
+    if it is not given, the first load's rows are counted for it.
 
     A vector of another length than declared ends the load before the stored table is touched.
     """
@@ -42,9 +43,12 @@ def load(raw: DataFrame, path: str, spec: CatalogueSpec = CatalogueSpec(), theme
         new = last_per_id(new).drop("load_seq")
     recover(spark, path)
     if not exists(spark, path):
-        write(new, path, spec, buckets)
+        write(new, path, spec, buckets or min(MOST_BUCKETS, max(1, raw.count() // PER_BUCKET)))
         return
     stored = spark.read.parquet(path)
+    if _bucketing(stored) is None:  # a table of an older layout gets buckets
+        write(upsert(stored, checked(new, spec)), path, spec, buckets)
+        return
     column, n = _bucketing(stored)
     # Written once: the buckets it touches are read off, and the rows then go in.
     incoming = f"{_beside(path)}.load-{uuid.uuid4().hex}"
@@ -62,12 +66,12 @@ def _beside(path: str) -> str:
     return path.rstrip("/")
 
 
-def _bucketing(stored: DataFrame) -> tuple[str, int]:
+def _bucketing(stored: DataFrame) -> tuple[str, int] | None:
     """The partition column of a stored table and its number of buckets."""
     for column in stored.columns:
         if found := _PARTITION.fullmatch(column):
             return column, int(found[1])
-    raise ValueError("the stored table has no buckets")
+    return None
 
 
 def _bucketed(rows: DataFrame, column: str, n: int) -> DataFrame:
@@ -127,9 +131,12 @@ def checked(catalogue: DataFrame, spec: CatalogueSpec) -> DataFrame:
     return catalogue.withColumn("vector", F.expr(f"CASE WHEN {wrong} THEN CAST({error} AS array<float>) ELSE vector END"))
 
 
-def write(catalogue: DataFrame, path: str, spec: CatalogueSpec = CatalogueSpec(), buckets: int = BUCKETS) -> None:
-    """The whole table anew: written beside the old one, which is renamed aside, and deleted last."""
+def write(catalogue: DataFrame, path: str, spec: CatalogueSpec = CatalogueSpec(), buckets: int | None = None) -> None:
+    """The whole table anew, in as many buckets as given, as the old one has, or in one: written beside the old one, which is renamed aside, and deleted last."""
     spark = catalogue.sparkSession
+    if buckets is None:
+        old_table = _bucketing(spark.read.parquet(path)) if exists(spark, path) else None
+        buckets = old_table[1] if old_table else 1
     fresh, aside = (f"{_beside(path)}.{part}{uuid.uuid4().hex}" for part in ("", "replaced-"))
     column = f"bucket_of_{buckets}"
     rows = _bucketed(checked(catalogue.drop(*[c for c in catalogue.columns if _PARTITION.fullmatch(c)]), spec), column, buckets)
@@ -152,7 +159,7 @@ def read(spark: SparkSession, path: str, spec: CatalogueSpec = CatalogueSpec())
     missing -= set(table.columns)
     if missing:
         raise ValueError(f"{path} lacks {sorted(missing)}")
-    return table.drop(_bucketing(table)[0])
+    return table.drop(*[c for c in table.columns if _PARTITION.fullmatch(c)])
 
 
 def exists(spark: SparkSession, path: str) -> bool:

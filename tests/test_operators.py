@@ -362,9 +362,9 @@ def bucket_files(path):
 def test_a_load_rewrites_its_buckets_only(spark, sf, tmp_path):
     path, spec = tmp_path / "catalogue", CatalogueSpec(vector_dim=64)
     raw = tables.materialise(X.raw_records(spark, sf))
-    store.load(raw, str(path), spec)
+    store.load(raw, str(path), spec, buckets=16)
     before = bucket_files(path)
-    assert len({f.split("/")[0] for f in before}) == store.BUCKETS
+    assert len({f.split("/")[0] for f in before}) == 16
     one = raw.limit(1).withColumn("features_popularity", F.lit("77"))
     key = one.first()["features_properties_id"]
     store.load(one, str(path), spec)
@@ -380,7 +380,7 @@ def test_a_load_rewrites_its_buckets_only(spark, sf, tmp_path):
 def test_a_load_that_broke_off_is_finished_later(spark, sf, tmp_path):
     path, spec = tmp_path / "catalogue", CatalogueSpec(vector_dim=64)
     raw = tables.materialise(X.raw_records(spark, sf).limit(60))
-    store.load(raw, str(path), spec)
+    store.load(raw, str(path), spec, buckets=16)
     stored = spark.read.parquet(str(path))
     column, _ = store._bucketing(stored)
     # A complete replacement of two buckets that was not put in place yet, one bucket renamed aside already.
