@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -44,6 +45,8 @@ def clean_tokens(text: str, stopwords: list[str]) -> str:
     return f"filter(split({bare}, {literal(chr(92) + 's+')}), tok -> tok <> '' AND tok NOT IN ({literals(stopwords)}))"
 
 
+# Distinct words of a batch that are Python strings at a time.
+VOCABULARY = 1 << 16
 # A worker remembers the stems of frequent words from batch to batch.
 stem_of = lru_cache(1 << 17)(porter_stem)
 
@@ -52,16 +55,18 @@ def _stem_each(token: pd.Series) -> pd.Series:
     return token.map(stem_of, na_action="ignore")
 
 
-def _stem_arrays(tokens: pd.Series) -> pd.Series:
-    lengths = [0 if row is None else len(row) for row in tokens]
-    flat = np.concatenate([row for row in tokens if row is not None and len(row)] or [np.empty(0, object)])
-    codes, vocabulary = pd.factorize(flat)
-    stems = np.array([*map(stem_of, vocabulary), None], object)
-    return pd.Series(np.split(stems[codes], np.cumsum(lengths)[:-1]), index=tokens.index, dtype=object)
+def _stem_arrays(tokens: pa.Array) -> pa.Array:
+    """The tokens stay in Arrow's buffers; only the distinct ones become Python strings, some at a time."""
+    coded = tokens.flatten().dictionary_encode()
+    words = coded.dictionary
+    stems = [pa.array(map(stem_of, words.slice(at, VOCABULARY).to_pylist()), words.type) for at in range(0, len(words), VOCABULARY)]
+    stemmed = pa.concat_arrays([*stems, pa.nulls(0, words.type)]).take(coded.indices)
+    ends = pc.cumulative_sum(pc.fill_null(pc.list_value_length(tokens), 0).cast(pa.int32()))
+    return pa.ListArray.from_arrays(pa.concat_arrays([pa.array([0], pa.int32()), ends]), stemmed, mask=tokens.is_null())
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def stem_tokens(tokens: pd.Series) -> pd.Series:
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def stem_tokens(tokens: pa.Array) -> pa.Array:
     """Stem arrays of tokens; each Arrow batch stems its own distinct words once."""
     return _stem_arrays(tokens)
 

@@ -1,5 +1,7 @@
 import datetime as dt
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,6 +149,16 @@ def test_stem_batches(spark):
     assert got["a"] == ["run", "cat", "run"] and got["b"] == []
 
 
+def test_stems_are_made_in_arrow_buffers():
+    tokens = pa.array([["running", "cats"] * 500] * 2000 + [None, [], [None, "ponies"]])
+    tracemalloc.start()
+    got = text._stem_arrays(tokens)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got[0].as_py() == ["run", "cat"] * 500 and got[2000:].to_pylist() == [None, [], [None, "poni"]]
+    assert peak < 1 << 20  # a Python object for each token would be 16 MB of references alone
+
+
 def test_vectors(spark, value):
     rows = [(1, [1.0, 0.0], 1), (1, [3.0, 4.0], 1), (1, [9.0, 9.0], 0), (2, [5.0, 5.0], 0)]
     df = spark.createDataFrame(rows, "id int, v array<double>, m int")
