@@ -38,6 +38,8 @@ MAX_CELLS = 1024
 COARSE_POOL, CELL_POOL = 32, 4
 # Rows of a small cell at least where every vector meets whole cells: a product of so many rows costs less than a visit.
 JOIN_CELL = 2048
+# Rows at most of either side that meet in a task of the exact join.
+JOIN_ROWS = 1 << 15
 # Scores are compared after rounding, so that equal vectors tie and ids decide on every layout.
 COS_DIGITS = 12
 
@@ -326,8 +328,8 @@ def nearest_cells(queries: DataFrame, cells: Cells, nprobe: int, coarse_probes:
     return top_k(ranked, ["id"], [F.col("cos").desc(), F.col("cell").asc()], nprobe).select("id", "v", "cell")
 
 
-def reachable_cells(queries: DataFrame, cells: Cells) -> DataFrame:
-    """``(id, v, cell)``: all cells that may hold a vector within the angle ``bound`` of ``queries(id, v, bound)``."""
+def _near_coarse(queries: DataFrame, cells: Cells) -> DataFrame:
+    """``(id, v, bound, coarse)``: the coarse cells that may hold a vector within the angle ``bound`` of ``queries(id, v, bound)``."""
     shared = queries.sparkSession.sparkContext.broadcast((cells.coarse, cells.reach))
     kind = queries.schema["id"].dataType.simpleString()
 
@@ -338,13 +340,19 @@ def reachable_cells(queries: DataFrame, cells: Cells) -> DataFrame:
                 row, cell = np.nonzero(_angles(unit_rows(batch["v"]), centres) - reach[None, :] <= batch["bound"].to_numpy()[:, None])
                 yield batch.iloc[row].assign(coarse=cell.astype("int32"))
 
+    return queries.select("id", "v", "bound").mapInPandas(coarse, f"id {kind}, v array<double>, bound double, coarse int")
+
+
+def reachable_cells(queries: DataFrame, cells: Cells) -> DataFrame:
+    """``(id, v, cell)``: all cells that may hold a vector within the angle ``bound`` of ``queries(id, v, bound)``."""
+    kind = queries.schema["id"].dataType.simpleString()
+
     def small(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         apart = _angles(unit_rows(rows["v"]), unit_rows(own["centre"])) - own["radius"].to_numpy()[None, :]
         row, cell = np.nonzero(apart <= rows["bound"].to_numpy()[:, None])
         return pd.DataFrame({"id": rows["id"].to_numpy()[row], "v": rows["v"].to_numpy()[row], "cell": own["cell"].to_numpy()[cell]})
 
-    near = materialise(queries.select("id", "v", "bound").mapInPandas(coarse, f"id {kind}, v array<double>, bound double, coarse int"))
-    return _meet(near, cells.small, small, f"id {kind}, v array<double>, cell bigint")
+    return _meet(materialise(_near_coarse(queries, cells)), cells.small, small, f"id {kind}, v array<double>, cell bigint")
 
 
 def visited_share(visits: DataFrame, cells: Cells) -> DataFrame:
@@ -370,18 +378,84 @@ def knn_join(queries: DataFrame, catalogue: DataFrame, k: int, transform: str =
         one = F.lit(0).cast("bigint").alias("cell")
         return _finish(_block_join(q.select("id", "v", one), c.select("id", "v", one), k, schema), k, transform)
     tree = cell_tree(c, n, per_cell)
-    visits = exact_visits(q, tree, k, schema)
-    return _finish(_block_join(visits, tree.rows, k, schema), k, transform)
+    kinds = {t.schema[name].dataType.simpleString() for t, name in ((queries, query_vector), (catalogue, vector))}
+    kind = "array<float>" if kinds == {"array<float>"} else "array<double>"
+    return _finish(_coarse_join(bounded(q, tree, k, schema), tree, k, schema, kind), k, transform)
 
 
-def exact_visits(queries: DataFrame, tree: Cells, k: int, schema: str, probes: int = 2) -> DataFrame:
-    """The cells that may hold one of the ``k`` nearest: a search of the nearest cells bounds the k-th, and the bound the cells."""
+def bounded(queries: DataFrame, tree: Cells, k: int, schema: str, probes: int = 2) -> DataFrame:
+    """``(id, v, bound)``: the angle within which the ``k`` nearest lie, of the k-th in the nearest cells; 4 where these hold fewer."""
     first = _block_join(materialise(nearest_cells(queries, tree, probes, probes)), tree.rows, k, schema)
     # The margin covers the rounding of arccos near zero.
     kth = top_k(first, ["qid"], [F.col("cos").desc(), F.col("id").asc()], k).groupBy("qid").agg(F.count(F.lit(1)).alias("found"), F.min("cos").alias("least"))
     kth = kth.filter(F.col("found") >= k).select("qid", (F.acos(F.least(F.greatest("least", F.lit(-1.0)), F.lit(1.0))) + 2e-6).alias("near"))
-    bounded = queries.join(kth, queries["id"].eqNullSafe(kth["qid"]), "left").select("id", "v", F.coalesce("near", F.lit(4.0)).alias("bound"))
-    return materialise(reachable_cells(bounded, tree))
+    return materialise(queries.join(kth, queries["id"].eqNullSafe(kth["qid"]), "left").select("id", "v", F.coalesce("near", F.lit(4.0)).alias("bound")))
+
+
+def exact_visits(queries: DataFrame, tree: Cells, k: int, schema: str, probes: int = 2) -> DataFrame:
+    """The cells that may hold one of the ``k`` nearest: a search of the nearest cells bounds the k-th, and the bound the cells."""
+    return materialise(reachable_cells(bounded(queries, tree, k, schema, probes), tree))
+
+
+def _coarse_join(queries: DataFrame, cells: Cells, k: int, schema: str, kind: str) -> DataFrame:
+    """The ``k`` nearest in each coarse cell within the ``bound`` of a query; its small cells are looked at where they lie.
+
+    A query is sent to a coarse cell once, not to each small one, and both sides are cut into slices of up to
+    ``JOIN_ROWS`` rows. So what is shuffled grows with the coarse cells and the slices: where cells tell
+    little and all pairs are compared, two blocks of that size are read for their product. ``kind`` holds the vectors.
+    """
+    n = queries.count()
+    slices = max(1, -(-n // min(JOIN_ROWS, max(JOIN_CELL, -(-n // 8)))))
+    held = cells.small.groupBy("coarse").agg(F.ceil(F.sum("n") / JOIN_ROWS).cast("int").alias("n_c"))
+    asked = _near_coarse(queries, cells).join(held, "coarse").select(
+        "id", F.col("v").cast(kind).alias("v"), "bound", "coarse", F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int").alias("q_slice"),
+        F.explode(F.sequence(F.lit(0), F.col("n_c") - 1)).alias("c_slice"),
+    )
+    rows = cells.rows.withColumn("coarse", F.shiftright("cell", 32).cast("int")).join(held, "coarse").select(
+        "id", F.col("v").cast(kind).alias("v"), "cell", "coarse", F.pmod(F.xxhash64("id"), F.col("n_c")).cast("int").alias("c_slice"),
+        F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("q_slice"),
+    )
+    keys = ["coarse", "q_slice", "c_slice"]
+
+    def nearest(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(c):
+            return pd.DataFrame({"qid": [], "id": [], "cos": []})
+        c = c.sort_values("cell")
+        return _within(q["id"].to_numpy(), unit_rows(q["v"]), q["bound"].to_numpy(), c["id"], unit_rows(c["v"]), c["cell"].to_numpy(), k)
+
+    return asked.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInPandas(nearest, schema)
+
+
+def _within(query_ids: np.ndarray, queries: np.ndarray, bound: np.ndarray, ids: pd.Series, vectors: np.ndarray, cell: np.ndarray, k: int) -> pd.DataFrame:
+    """The ``k`` nearest ``vectors`` within the angle ``bound`` of each query, equal scores by id; ``cell`` is in order."""
+    order = pd.factorize(ids, sort=True)[0]
+    starts = np.unique(np.concatenate([np.flatnonzero(np.diff(cell, prepend=cell[0] - 1)), np.arange(0, len(cell), JOIN_CELL)]))
+    parts = []
+    for a, b in zip(starts, [*starts[1:], len(cell)]):
+        centre = vectors[a:b].mean(0)
+        centre = centre / np.linalg.norm(centre) if np.linalg.norm(centre) > 0 else vectors[a]
+        parts.append((a, b, centre, _angles(vectors[a:b], centre[None, :]).max()))
+    # Scores are compared after rounding, so what is nearly as near is kept until then.
+    slack = 10.0 ** (1 - COS_DIGITS)
+    floor = np.where(bound < np.pi, np.cos(np.minimum(bound, np.pi)) - slack, -np.inf)
+    out = []
+    for at in range(0, len(queries), CHUNK):
+        met = [[np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]]
+        for a, b, centre, radius in parts:
+            asking = at + np.flatnonzero(_angles(queries[at:at + CHUNK], centre[None, :])[:, 0] - radius <= bound[at:at + CHUNK])
+            cos = queries[asking] @ vectors[a:b].T
+            least = floor[asking]
+            if b - a > k and not np.isfinite(least).all():
+                least = np.maximum(least, np.partition(cos, b - a - k, axis=1)[:, b - a - k] - slack)
+            row, col = np.nonzero(cos >= least[:, None])
+            for held, more in zip(met, (asking[row], a + col, np.round(cos[row, col], COS_DIGITS))):
+                held.append(more)
+        row, col, cos = map(np.concatenate, met)
+        by = np.lexsort((order[col], -cos, row))
+        row, col, cos = row[by], col[by], cos[by]
+        kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+        out.append(pd.DataFrame({"qid": query_ids[row[kept]], "id": ids.to_numpy()[col[kept]], "cos": cos[kept]}))
+    return pd.concat(out, ignore_index=True)
 
 
 def knn_tree(queries: DataFrame, catalogue: DataFrame, k: int, nprobe: int = 16, coarse_probes: int = 8, transform: str = "reciprocal",

@@ -3,6 +3,7 @@ import json
 import time
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -228,6 +229,29 @@ def test_the_join_skips_cells_and_finds_all(spark):
     assert share["rows"] == 3000 and share["pairs"] < 0.5 * 200 * 3000
 
 
+def test_the_join_sends_a_query_to_few_cells_where_cells_tell_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    c = rng.normal(size=(1500, 12))
+    c[700:1400:2] = c[1400]  # more copies than are looked for, and equal scores
+    q = np.concatenate([c[:60], c[1390:1410], rng.normal(size=(20, 12))])
+    sent, join = [], knn._block_join
+    monkeypatch.setattr(knn, "_block_join", lambda visits, *rest: sent.append(visits.count()) or join(visits, *rest))
+    monkeypatch.setattr(knn, "JOIN_ROWS", 200)
+    assert as_lists(knn.knn_join(vector_table(spark, q), vector_table(spark, c), 6, cells=60)) == brute(q, c, 6)
+    assert 0 < sum(sent) <= 2 * len(q)
+
+
+def test_the_k_nearest_of_a_block_without_bounds():
+    rng = np.random.default_rng(6)
+    c, q = (knn.unit_rows(list(rng.normal(size=(n, 8)))) for n in (900, 30))
+    c[100:140] = c[99]
+    ids = rng.permutation(900)
+    got = knn._within(np.arange(30), q, np.full(30, 4.0), pd.Series(ids), c, np.arange(900) // 250, 5)
+    cos = np.round(q @ c.T, knn.COS_DIGITS)
+    want = [(i, ids[j]) for i in range(30) for j in sorted(range(900), key=lambda j: (-cos[i, j], ids[j]))[:5]]
+    assert list(zip(got["qid"], got["id"])) == want
+
+
 @pytest.mark.parametrize("n", [1000, 9000])
 def test_tree_recall_and_work(spark, n):
     """Recall at 10 on clustered vectors, and what a query compares, at two sizes: the root of the rows for each cell it visits."""
