@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions.vectors import embed
-from lodestar.operators.ingest import embedding_text, last_per_id, normalise, upsert
+from lodestar.operators.ingest import P, embedding_text, last_per_id, normalise, upsert
 from lodestar.schemas import CatalogueSpec
 
 # Degrees of a cell that records are laid out by.
@@ -36,14 +36,19 @@ def load(raw: DataFrame, path: str, spec: CatalogueSpec = CatalogueSpec(), theme
 
     A vector of another length than declared ends the load before the stored table is touched.
     """
-    spark = raw.sparkSession
-    texts = embed(raw.withColumn("_text", F.expr(embedding_text())), "_text", encoder, "vector", spec.vector_dim)
-    new = normalise(texts.drop("_text"), theme, foundational)
-    if "load_seq" in new.columns:
-        new = last_per_id(new).drop("load_seq")
+    spark, rows = raw.sparkSession, raw
+    if "load_seq" in raw.columns:  # rows that later ones replace are not embedded
+        rows = last_per_id(raw if P + "id" in raw.columns else raw.withColumn(P + "id", F.lit("")), P + "id")
+    texts = embed(rows.withColumn("_text", F.expr(embedding_text())), "_text", encoder, "vector", spec.vector_dim)
+    new = normalise(texts.drop("_text"), theme, foundational).drop("load_seq")
     recover(spark, path)
     if not exists(spark, path):
-        write(new, path, spec, buckets or min(MOST_BUCKETS, max(1, raw.count() // PER_BUCKET)))
+        # Written once as they come: the layout reads its rows twice, for the bounds of its ranges and to deal them.
+        made = f"{_beside(path)}.load-{uuid.uuid4().hex}"
+        checked(new, spec).write.parquet(made)
+        made_ = spark.read.schema(new.schema).parquet(made)
+        write(made_, path, spec, buckets or min(MOST_BUCKETS, max(1, raw.count() // PER_BUCKET)))
+        _delete(spark, made)
         return
     stored = spark.read.parquet(path)
     if _bucketing(stored) is None:  # a table of an older layout gets buckets

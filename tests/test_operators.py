@@ -454,6 +454,25 @@ def test_catalogue_load(spark, sf, tmp_path):
         store.read(spark, str(tmp_path / "other"), spec)
 
 
+def test_a_load_embeds_each_record_once(spark, sf, tmp_path):
+    path, spec = str(tmp_path / "catalogue"), CatalogueSpec(vector_dim=2)
+    raw = X.raw_records(spark, sf).limit(30).cache()
+    rows = raw.withColumn("load_seq", F.explode(F.array(F.lit(1), F.lit(2), F.lit(0)))).withColumn("features_popularity", F.col("load_seq").cast("string"))
+    embedded = spark.sparkContext.accumulator(0)
+
+    def encoder(texts):
+        embedded.add(len(texts))
+        return np.ones((len(texts), 2))
+
+    store.load(rows, path, spec, encoder=encoder)
+    assert embedded.value == 30 == raw.count()
+    store.load(rows.withColumn("features_popularity", F.concat("features_popularity", F.lit("0"))), path, spec, encoder=encoder)
+    assert embedded.value == 60
+    got = store.read(spark, path, spec)
+    assert got.count() == 30 and got.where("popularity <> 20").isEmpty() and "load_seq" not in got.columns
+    assert [f.name for f in tmp_path.iterdir()] == ["catalogue"]
+
+
 def test_tables(spark, tmp_path):
     path = str(tmp_path / "t")
     df = spark.createDataFrame([("1",), ("2",)], ["id"])
