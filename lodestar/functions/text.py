@@ -56,13 +56,13 @@ def _stem_each(token: pd.Series) -> pd.Series:
 
 
 def _stem_arrays(tokens: pa.Array) -> pa.Array:
-    """The tokens stay in Arrow's buffers; only the distinct ones become Python strings, some at a time."""
+    """The tokens stay in Arrow's buffers; only the distinct ones become Python strings, some at a time. No array gives an empty one."""
     coded = tokens.flatten().dictionary_encode()
     words = coded.dictionary
     stems = [pa.array(map(stem_of, words.slice(at, VOCABULARY).to_pylist()), words.type) for at in range(0, len(words), VOCABULARY)]
     stemmed = pa.concat_arrays([*stems, pa.nulls(0, words.type)]).take(coded.indices)
     ends = pc.cumulative_sum(pc.fill_null(pc.list_value_length(tokens), 0).cast(pa.int32()))
-    return pa.ListArray.from_arrays(pa.concat_arrays([pa.array([0], pa.int32()), ends]), stemmed, mask=tokens.is_null())
+    return pa.ListArray.from_arrays(pa.concat_arrays([pa.array([0], pa.int32()), ends]), stemmed)
 
 
 @F.arrow_udf(T.ArrayType(T.StringType()))
