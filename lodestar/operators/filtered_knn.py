@@ -34,9 +34,9 @@ def filtered_neighbours(
     is scored is the cells around a request, not each of its records.
     """
     shapes = materialise(shapes)
-    asked = materialise(usable(shapes, "match_id", "vector").select(F.col("id").alias("match_id"), F.col("v").alias("u")))
+    asked = materialise(usable(shapes, "match_id", "vector").select(F.col("id").alias("match_id"), F.col("v").alias("u"), F.expr(norm("v")).alias("u_norm")))
     shapes = materialise(shapes.drop("vector").join(asked, "match_id"))
-    v = materialise(usable(catalogue, "id", "vector"))
+    v = materialise(usable(catalogue, "id", "vector").withColumn("v_norm", F.expr(norm("v"))))
     # A zero vector has no direction, so such records are no neighbours.
     rows = v.join(catalogue.select("id", *[c for c in columns if c != "id"]), "id")
     n = v.count()
@@ -57,7 +57,7 @@ def filtered_neighbours(
 
 
 def _scored(pairs: DataFrame) -> DataFrame:
-    return pairs.selectExpr("match_id", "id", f"round({dot('v', 'u')} / ({norm('v')} * {norm('u')}), {COS_DIGITS}) AS cos")
+    return pairs.selectExpr("match_id", "id", f"round({dot('v', 'u')} / (v_norm * u_norm), {COS_DIGITS}) AS cos")
 
 
 def _by_reach(shapes: DataFrame, tree: Cells) -> DataFrame:
@@ -84,7 +84,9 @@ def _in_rounds(tree: Cells, rows: DataFrame, shapes: DataFrame, allowed: str, k:
         due = cells.filter((F.col("place") > a) & (F.col("place") <= b)).select("match_id", "cell", "low")
         if bound is not None:
             due = due.join(bound, "match_id", "left").filter("bound IS NULL OR low <= bound + 2e-6D").drop("bound")
-        met = _scored(members.join(due.drop("low"), "cell").join(shapes, "match_id").filter(allowed))
+        # Dealt to all cores: if the members are small enough to be broadcast, it is these rows that the tasks work off.
+        due = due.drop("low").repartition(4 * due.sparkSession.sparkContext.defaultParallelism, "match_id", "cell")
+        met = _scored(members.join(due, "cell").join(shapes, "match_id").filter(allowed))
         met = top_k(met if best is None else met.unionByName(best), ["match_id"], _order(), k).select("match_id", "id", "cos")
         best = materialise(met)
         bound = best.groupBy("match_id").agg(F.count(F.lit(1)).alias("n"), F.min("cos").alias("cos")).filter(F.col("n") >= k)

@@ -101,6 +101,18 @@ def test_filtered_neighbours_in_rounds_are_those_of_all_allowed(spark, sf, catal
     assert got == want and len(want) > 50
 
 
+def test_rounds_of_filtered_neighbours_use_all_cores(spark, sf, catalogue, monkeypatch):
+    from lodestar.operators import filtered_knn
+
+    tasks, scored = [], filtered_knn._scored
+    monkeypatch.setattr(filtered_knn, "_scored", lambda pairs: tasks.append(pairs.rdd.getNumPartitions()) or scored(pairs))
+    shapes = search.with_shapes(search.normalise_requests(X.requests(spark, sf), X.TODAY)).filter("reject IS NULL AND q <> ''").select("match_id", "q", *search.FILTER_COLUMNS).distinct()
+    shapes = search.embed(shapes, "q").drop("q")
+    filtered_knn.filtered_neighbours(catalogue, shapes, [*search.NARROW, *search.FILTERED], 5, search.theta_matches, -1).count()
+    # The first entry is that of the combinations that score all their records.
+    assert len(tasks) > 1 and min(tasks[1:]) >= spark.sparkContext.defaultParallelism
+
+
 def test_deep_pages_are_those_of_one_sort(spark, sf, catalogue, monkeypatch, result):
     from lodestar.operators import ranking
 
