@@ -65,6 +65,12 @@ def unit_rows(vectors) -> np.ndarray:
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
+def id_places(ids) -> np.ndarray:
+    """The place of each id in the order of all of them; nulls come last."""
+    place = pd.factorize(ids, sort=True)[0]
+    return np.where(place < 0, place.max(initial=-1) + 1, place)
+
+
 class _Best:
     """The k best catalogue rows of every query seen so far in one task."""
 
@@ -80,9 +86,8 @@ class _Best:
     def _add_chunk(self, vectors: np.ndarray, ids: np.ndarray) -> None:
         """Old best rows and the chunk side by side; the k best of each query, equal scores by id."""
         new = np.round(self.queries @ vectors.T, COS_DIGITS)
-        held = self.ids != None  # noqa: E711
-        names = np.concatenate([self.ids[held], ids.astype(object)])
-        place = np.unique(names, return_inverse=True)[1]
+        held = np.isfinite(self.cos)
+        place = id_places(np.concatenate([self.ids[held], ids.astype(object)]))
         old_place = np.zeros(self.ids.shape, np.int64)
         old_place[held] = place[: int(held.sum())]
         cos = np.hstack([self.cos, new])
@@ -190,7 +195,7 @@ def _block_join(visits: DataFrame, cells: DataFrame, k: int, schema: str) -> Dat
 
 
 def _finish(candidates: DataFrame, k: int, transform: str) -> DataFrame:
-    ranked = top_k(candidates, ["qid"], [F.col("cos").desc(), F.col("id").asc()], k)
+    ranked = top_k(candidates, ["qid"], [F.col("cos").desc(), F.col("id").asc_nulls_last()], k)
     return ranked.selectExpr("qid", "id", "cos", f"{score_of('cos', transform)} AS score", "rn")
 
 
@@ -369,7 +374,7 @@ def knn_join(queries: DataFrame, catalogue: DataFrame, k: int, transform: str =
     schema = _result_schema(q, c)
     # Of equal vectors only the k smallest ids can be among k nearest, so a large group of copies
     # shrinks to k rows (each task drops its surplus before the shuffle) and no result changes.
-    c = materialise(top_k(c, ["v"], [F.col("id").asc()], k).select("id", "v"))
+    c = materialise(top_k(c, ["v"], [F.col("id").asc_nulls_last()], k).select("id", "v"))
     n = c.count()
     if n == 0:
         return _empty(q, c, k, transform)
@@ -428,7 +433,7 @@ def _coarse_join(queries: DataFrame, cells: Cells, k: int, schema: str, kind: st
 
 def _within(query_ids: np.ndarray, queries: np.ndarray, bound: np.ndarray, ids: pd.Series, vectors: np.ndarray, cell: np.ndarray, k: int) -> pd.DataFrame:
     """The ``k`` nearest ``vectors`` within the angle ``bound`` of each query, equal scores by id; ``cell`` is in order."""
-    order = pd.factorize(ids, sort=True)[0]
+    order = id_places(ids)
     starts = np.unique(np.concatenate([np.flatnonzero(np.diff(cell, prepend=cell[0] - 1)), np.arange(0, len(cell), JOIN_CELL)]))
     parts = []
     for a, b in zip(starts, [*starts[1:], len(cell)]):

@@ -279,6 +279,23 @@ def test_knn_null_and_zero(spark):
     assert as_lists(knn.knn_join(q, c, 4)) == {0: [1, 2]}
 
 
+@pytest.mark.parametrize("cells", [None, 6])
+def test_knn_takes_rows_without_an_id(spark, cells):
+    """A null id is a row as any other; of equal scores it comes last."""
+    rng = np.random.default_rng(8)
+    m = rng.normal(size=(60, 8))
+    m[10:14] = m[14]
+    names = [None if i in (10, 12, 40) else f"r{i:02}" for i in range(60)]
+    c = spark.createDataFrame([(n, [float(x) for x in v]) for n, v in zip(names, m)], "id string, vector array<double>").repartition(3)
+    q = spark.createDataFrame([(i, [float(x) for x in m[i]]) for i in (10, 40, 55)], "id bigint, vector array<double>")
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    cos = np.round(unit @ unit.T, knn.COS_DIGITS)
+    for k in (3, 7):
+        want = {i: [names[j] for j in sorted(range(60), key=lambda j: (-cos[i, j], names[j] is None, names[j] or ""))[:k]] for i in (10, 40, 55)}
+        found = knn.knn(q, c, k) if cells is None else knn.knn_join(q, c, k, cells=cells)
+        assert as_lists(found) == want
+
+
 def test_cells_recall(spark, sf):
     v = X.vectors(spark, sf).selectExpr("vec_id AS id", "embedding AS vector")
     exact = as_lists(knn.knn(v, v, 5))

@@ -37,6 +37,12 @@ def test_repeated_requests_share_their_answer(spark, sf, catalogue, result):
     assert a == rows(got.filter("req_id = 'b'").drop("req_id"), "row_num") == rows(result.hits.filter("req_id = '5'").drop("req_id"), "row_num")
 
 
+def test_a_record_without_an_id_stops_no_search(spark, sf, catalogue):
+    odd = catalogue.withColumn("id", F.expr("CASE WHEN id <> 'doc-7' THEN id END"))
+    got = search.semantic_search(X.requests(spark, sf).filter("q <> ''"), odd, X.TODAY).hits
+    assert not got.isEmpty() and got.filter("id IS NULL").isEmpty()
+
+
 def test_facets_do_not_exceed_total(result):
     joined = result.facets.join(result.totals, "req_id")
     assert joined.filter("doc_count > total_hits").isEmpty() and not joined.isEmpty()
