@@ -71,6 +71,11 @@ def id_places(ids) -> np.ndarray:
     return np.where(place < 0, place.max(initial=-1) + 1, place)
 
 
+def _no_rows(schema: str) -> pd.DataFrame:
+    """No rows of ``schema``. Columns of objects become any Arrow type; empty lists would be floats, which become neither texts nor arrays."""
+    return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")}, dtype=object)
+
+
 class _Best:
     """The k best catalogue rows of every query seen so far in one task."""
 
@@ -103,7 +108,7 @@ class _Best:
     def frame(self) -> pd.DataFrame:
         found = np.isfinite(self.cos)
         return pd.DataFrame({
-            "qid": np.repeat(self.query_ids, found.sum(1)), "id": self.ids[found].tolist(), "cos": self.cos[found],
+            "qid": np.repeat(self.query_ids, found.sum(1)), "id": self.ids[found], "cos": self.cos[found],
         })
 
 
@@ -186,7 +191,7 @@ def _block_join(visits: DataFrame, cells: DataFrame, k: int, schema: str) -> Dat
 
     def nearest(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(c):
-            return pd.DataFrame({"qid": [], "id": [], "cos": []})
+            return _no_rows(schema)
         best = _Best(q["id"].to_numpy(), unit_rows(q["v"]), k)
         best.add(unit_rows(c["v"]), c["id"].to_numpy())
         return best.frame()
@@ -247,10 +252,9 @@ def _meet(rows: DataFrame, centres: DataFrame, each, schema: str) -> DataFrame:
     counts = rows.groupBy("coarse").agg(F.ceil(F.count(F.lit(1)) / SLICE_ROWS).cast("int").alias("slices"))
     left = rows.join(counts, "coarse").select(*rows.columns, F.pmod(F.xxhash64("id"), F.col("slices")).cast("int").alias("slice"))
     right = centres.join(counts, "coarse").select(*centres.columns, F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
-    empty = pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return each(a, b.sort_values("cell")) if len(a) and len(b) else empty
+        return each(a, b.sort_values("cell")) if len(a) and len(b) else _no_rows(schema)
 
     return left.groupBy("coarse", "slice").cogroup(right.groupBy("coarse", "slice")).applyInPandas(run, schema)
 
@@ -424,7 +428,7 @@ def _coarse_join(queries: DataFrame, cells: Cells, k: int, schema: str, kind: st
 
     def nearest(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(c):
-            return pd.DataFrame({"qid": [], "id": [], "cos": []})
+            return _no_rows(schema)
         c = c.sort_values("cell")
         return _within(q["id"].to_numpy(), unit_rows(q["v"]), q["bound"].to_numpy(), c["id"], unit_rows(c["v"]), c["cell"].to_numpy(), k)
 

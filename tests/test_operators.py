@@ -296,6 +296,30 @@ def test_knn_takes_rows_without_an_id(spark, cells):
         assert as_lists(found) == want
 
 
+def test_knn_scans_parts_without_rows(spark):
+    """Parquet files longer than a split leave tasks without rows; these give none, whatever kind the ids are."""
+    q = spark.createDataFrame([("a", [1.0, 0.0])], "id string, vector array<double>")
+    texts = spark.createDataFrame([("x", [1.0, 0.1]), ("y", [0.0, 1.0])], "id string, vector array<double>")
+    numbers = spark.createDataFrame([(2**60 + 1, [1.0, 0.1]), (None, [0.0, 1.0])], "id bigint, vector array<double>")
+    assert as_lists(knn.knn(q, texts.repartition(8), 2)) == {"a": ["x", "y"]}
+    assert as_lists(knn.knn(q, numbers.repartition(8, "id"), 2)) == {"a": [2**60 + 1, None]}
+
+
+def test_join_meets_slices_without_rows(spark, monkeypatch):
+    """Rows of equal id, null here, lie in one slice of their cell, so the other slices are empty."""
+    monkeypatch.setattr(knn, "SLICE_ROWS", 2)
+    rng = np.random.default_rng(9)
+    m = rng.normal(size=(24, 8))
+    names = [f"r{i:02}" if i < 4 else None for i in range(24)]
+    c = spark.createDataFrame([(n, [float(x) for x in v]) for n, v in zip(names, m)], "id string, vector array<double>")
+    q = c.filter("id IS NOT NULL")
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    cos = np.round(unit @ unit.T, knn.COS_DIGITS)
+    want = {names[i]: [names[j] for j in np.argsort(-cos[i])[:5]] for i in range(4)}
+    for cells in (1, 4):
+        assert as_lists(knn.knn_join(q, c, 5, cells=cells)) == want
+
+
 def test_cells_recall(spark, sf):
     v = X.vectors(spark, sf).selectExpr("vec_id AS id", "embedding AS vector")
     exact = as_lists(knn.knn(v, v, 5))
