@@ -20,6 +20,8 @@ from lodestar.sources.tables import materialise
 
 # Above this many fields the per-field sums become rows instead of columns.
 MAX_FIELD_COLUMNS = 24
+# Pairs of a posting and a query that a task makes on the mean.
+TASK_PAIRS = 1 << 18
 
 
 def field_text(schema: StructType, path: str) -> str:
@@ -140,7 +142,7 @@ def query_terms(queries: DataFrame, text: str = "q") -> DataFrame:
 
 def term_weights(terms: DataFrame, index: TextIndex, boosts: dict[str, float], k1: float = K1, b: float = B,
                  found: DataFrame | None = None) -> DataFrame:
-    """``(q, field, term, weight, c0, c1)`` such that a posting scores ``weight*tf/(tf+c0+c1*dl)``.
+    """``(q, field, term, weight, c0, c1, df)`` such that a posting scores ``weight*tf/(tf+c0+c1*dl)``.
 
     Document frequencies are counted only for words that some query has, in ``found``, all postings of
     these words, if that is given.
@@ -155,40 +157,51 @@ def term_weights(terms: DataFrame, index: TextIndex, boosts: dict[str, float], k
             "q", "field", "term",
             f"qtf * ln(1 + (n_docs - df + 0.5D) / (df + 0.5D)) * {k1 + 1!r}D * {boost} AS weight",
             f"{k1 * (1 - b)!r}D AS c0",
-            f"{k1 * b!r}D / avgdl AS c1",
+            f"{k1 * b!r}D / avgdl AS c1", "df",
         )
     )
 
 
-def _hits(queries: DataFrame, index: TextIndex, boosts: dict[str, float], text: str) -> DataFrame:
+def _hits(queries: DataFrame, index: TextIndex, boosts: dict[str, float], text: str, also: DataFrame | None = None) -> DataFrame:
     narrowed = index.narrowed([f for f in index.fields if f in boosts])
     terms = materialise(query_terms(queries, text))
     # The postings are read once; what the queries' words have is small and gives counts and scores.
     found = materialise(narrowed.postings_of(terms).join(terms.select("term").distinct(), "term", "left_semi"))
     # Written, the weights have a measured size: the planner broadcasts them when it is small, and
     # otherwise joins on (field, term), where the postings of frequent words are split at run time.
-    weights = materialise(term_weights(terms, narrowed, boosts, found=found))
+    weights = term_weights(terms, narrowed, boosts, found=found)
+    if also is not None:
+        # Such a pair is a posting without a score, of a field without a name.
+        none = lambda table, **given: [f"CAST({given.get(c.name, 'NULL')} AS {c.dataType.simpleString()}) AS {c.name}" for c in table.schema]
+        found = found.unionByName(also.selectExpr(*none(found, field="''", id="id", term="q")))
+        weights = weights.unionByName(also.select("q").distinct().selectExpr(*none(weights, q="q", field="''", term="q", df="0")))
+    weights = materialise(weights)
+    # A record's postings lie in one task before each meets its queries: they are far fewer than the pairs they make, and
+    # these are summed, and joined by id, where they are made. The number of tasks is given, as only the pairs tell it.
+    pairs = weights.agg(F.sum("df")).first()[0] or 0
+    found = found.repartition(max(found.sparkSession.sparkContext.defaultParallelism, -(-pairs // TASK_PAIRS)), "id")
     return found.join(weights, ["field", "term"]).selectExpr(
         "q", "id", "field", "weight * tf / (tf + c0 + c1 * dl) AS part"
     )
 
 
-def field_scores(queries: DataFrame, index: TextIndex, boosts: dict[str, float] | None = None, text: str = "q") -> DataFrame:
+def field_scores(queries: DataFrame, index: TextIndex, boosts: dict[str, float] | None = None, text: str = "q", also: DataFrame | None = None) -> DataFrame:
     """``(q, id, field, score)``: BM25 sum over the query's words, any word may match."""
     boosts = boosts or {f: 1.0 for f in index.fields}
-    return _hits(queries, index, boosts, text).groupBy("q", "id", "field").agg(F.sum("part").alias("score"))
+    return _hits(queries, index, boosts, text, also).groupBy("q", "id", "field").agg(F.sum("part").alias("score"))
 
 
-def best_fields(queries: DataFrame, index: TextIndex, boosts: dict[str, float] | None = None, text: str = "q") -> DataFrame:
-    """``(q, id, score)``: the highest boosted field score.
+def best_fields(queries: DataFrame, index: TextIndex, boosts: dict[str, float] | None = None, text: str = "q", also: DataFrame | None = None) -> DataFrame:
+    """``(q, id, score)``: the highest boosted field score; the pairs ``also(q, id)`` have a row too, without a score if no word matches.
 
-    One shuffle on ``(q, id)``: the sum of every field is a column of the same aggregation.
+    One shuffle of the postings by ``id``: the sum of every field is a column of the same aggregation. While the words'
+    weights are small enough to be broadcast, the result is dealt by ``id`` and a join on it shuffles only the other side.
     """
     boosts = boosts or {f: 1.0 for f in index.fields}
     fields = [f for f in index.fields if f in boosts]
     if len(fields) > MAX_FIELD_COLUMNS:
-        return field_scores(queries, index, boosts, text).groupBy("q", "id").agg(F.max("score").alias("score"))
-    hits = _hits(queries, index, boosts, text)
+        return field_scores(queries, index, boosts, text, also).groupBy("q", "id").agg(F.max("score").alias("score"))
+    hits = _hits(queries, index, boosts, text, also)
     sums = ", ".join(f"sum(part) FILTER (WHERE field = '{f}')" for f in fields)
     best = f"greatest({sums})" if len(fields) > 1 else sums
     return hits.groupBy("q", "id").agg(F.expr(best).alias("score"))

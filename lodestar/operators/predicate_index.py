@@ -119,13 +119,22 @@ def upper_bounds(catalogue: DataFrame, shapes: DataFrame) -> DataFrame:
     return _anchors(rows, shapes).select("match_id", "n").distinct()
 
 
-def indexed_matches(catalogue: DataFrame, shapes: DataFrame) -> DataFrame:
-    """The rows of ``catalogue`` joined to the filter combinations ``shapes(match_id, f_…)`` that they satisfy.
+def indexed_matches(catalogue: DataFrame, shapes: DataFrame, but: DataFrame | None = None) -> DataFrame:
+    """The rows of ``catalogue`` joined to the filter combinations ``shapes(match_id, f_…)`` that they satisfy, ``but`` for
+    the pairs ``but(match_id, id)``.
 
     The catalogue is read twice, for its keys and for the rows found, however many combinations there are; no
-    combination meets a record that has none of the keys of its rarest clause.
+    combination meets a record that has none of the keys of its rarest clause. What is shuffled is a row for each id
+    with the numbers of its combinations; only behind that do records and combinations become pairs.
     """
     rows = catalogue.selectExpr("id", f"explode({record_keys(catalogue.schema)}) AS key")
-    pairs = rows.join(_anchors(rows, shapes).select("match_id", "key"), "key").select(F.col("id").alias("_id"), "match_id").distinct()
-    met = catalogue.join(pairs, F.col("id").eqNullSafe(F.col("_id"))).drop("_id")
-    return met.join(shapes, "match_id").filter(batch_predicate(catalogue.schema))
+    numbered = materialise(shapes.withColumn("_n", F.monotonically_increasing_id()))
+    numbers = numbered.select("match_id", "_n")
+    anchors = materialise(_anchors(rows, numbered).join(numbers, "match_id").groupBy("key").agg(F.collect_set("_n").alias("_of_key")))
+    found = rows.join(anchors, "key").groupBy(F.col("id").alias("_id")).agg(F.array_distinct(F.flatten(F.collect_list("_of_key"))).alias("_asked"))
+    if but is not None:
+        held = but.join(numbers, "match_id").groupBy(F.col("id").alias("_but")).agg(F.collect_set("_n").alias("_held"))
+        asked = F.when(F.col("_held").isNull(), F.col("_asked")).otherwise(F.array_except("_asked", "_held"))
+        found = found.join(held, F.col("_id") == F.col("_but"), "left").select("_id", asked.alias("_asked"))
+    met = catalogue.join(found, F.col("id").eqNullSafe(F.col("_id"))).select(*catalogue.columns, F.explode("_asked").alias("_n"))
+    return met.join(numbered, "_n").drop("_n").filter(batch_predicate(catalogue.schema))

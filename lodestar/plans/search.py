@@ -89,8 +89,9 @@ def text_index(catalogue: DataFrame, index: TextIndex | SavedIndex | None = None
     return build_index(catalogue, list(fields)).materialise()
 
 
-def text_parts(queries: DataFrame, index: TextIndex, boosts: dict[str, float]) -> DataFrame:
-    return best_fields(queries, index, boosts).select("q", "id", F.col("score").alias("text_score"))
+def text_parts(queries: DataFrame, index: TextIndex, boosts: dict[str, float], also: DataFrame | None = None) -> DataFrame:
+    """``(q, id, text_score)`` of the records with a word of the text, and of the pairs ``also(q, id)``, null where no word matches."""
+    return best_fields(queries, index, boosts, also=also).select("q", "id", F.col("score").alias("text_score"))
 
 
 def knn_parts(queries: DataFrame, catalogue: DataFrame, k: int, encoder=None, dim: int = 64) -> DataFrame:
@@ -101,15 +102,21 @@ def knn_parts(queries: DataFrame, catalogue: DataFrame, k: int, encoder=None, di
     return found.select(F.col("qid").alias("q"), "id", F.col("score").alias("knn_score"))
 
 
-def theta_matches(catalogue: DataFrame, shapes: DataFrame) -> DataFrame | None:
-    """Catalogue rows per filter combination. A few combinations (counted) are sent to one catalogue scan
-    and checked there; more meet the catalogue by the keys of their clauses."""
+def theta_matches(catalogue: DataFrame, shapes: DataFrame, but: DataFrame | None = None) -> DataFrame | None:
+    """Catalogue rows per filter combination, ``but`` for the pairs ``but(match_id, id)``. A few combinations (counted) are
+    sent to one catalogue scan and checked there; more meet the catalogue by the keys of their clauses. The pairs to leave
+    out meet the records, as a list for each id, before these are joined to combinations."""
     n = shapes.count()
     if n == 0:
         return None
-    if n <= MAX_BROADCAST_SHAPES:
-        return catalogue.join(F.broadcast(shapes), F.expr(batch_predicate(catalogue.schema)))
-    return indexed_matches(catalogue, shapes)
+    if n > MAX_BROADCAST_SHAPES:
+        return indexed_matches(catalogue, shapes, but)
+    allowed = batch_predicate(catalogue.schema)
+    if but is None:
+        return catalogue.join(F.broadcast(shapes), F.expr(allowed))
+    held = but.groupBy("id").agg(F.collect_set("match_id").alias("_held"))
+    free = "NOT coalesce(array_contains(_held, match_id), false)"
+    return catalogue.join(held, "id", "left").join(F.broadcast(shapes), F.expr(f"{free} AND {allowed}")).drop("_held")
 
 
 # Missing parts count as nothing.
@@ -132,42 +139,45 @@ def hybrid_matches(shapes: DataFrame, catalogue: DataFrame, index: TextIndex, bo
     flag = flag_weight(catalogue) if flag is None else flag
     narrow = catalogue.select(*NARROW, *FILTERED)
     queries = shapes.select("q").distinct()
-    text = text_parts(queries, index, boosts)
     if prefilter:
-        return _prefiltered(shapes, catalogue, narrow, text, k, min_score, flag, encoder, dim)
+        return _prefiltered(shapes, catalogue, narrow, lambda also: text_parts(queries, index, boosts, also), k, min_score, flag, encoder, dim)
 
     cut = -math.inf if min_score is None else min_score
-    parts = text.join(knn_parts(queries, catalogue, k, encoder, dim), ["q", "id"], "full_outer")
+    # The neighbours are few, so they are joined where the text scores lie, which have a row for each of them.
+    near = materialise(knn_parts(queries, catalogue, k, encoder, dim))
+    parts = text_parts(queries, index, boosts, near.select("q", "id")).join(near, ["q", "id"], "left")
     if cut > -math.inf:
         # The slack covers the rounding of sums taken in another order.
         parts = parts.filter(f"{TEXT_AND_NEAR} + {max(flag, 0.0)!r}D >= {cut - 1e-9!r}D")
     scored = parts.join(narrow, "id").join(shapes, "q").filter(batch_predicate(catalogue.schema))
     scored = scored.withColumn("score", F.expr(combined_score(flag)))
-    return _with_flag_only(scored, shapes, narrow, min_score, flag)
+    return _with_flag_only(scored, parts.join(shapes.select("q", "match_id"), "q").select("match_id", "id"), shapes, narrow, min_score, flag)
 
 
-def _with_flag_only(scored: DataFrame, shapes: DataFrame, narrow: DataFrame, min_score: float | None, flag: float) -> DataFrame:
-    """Add the records that the flag alone makes a hit, and cut."""
+def _with_flag_only(scored: DataFrame, have: DataFrame, shapes: DataFrame, narrow: DataFrame, min_score: float | None, flag: float) -> DataFrame:
+    """Add the records that the flag alone makes a hit, and cut. ``have(match_id, id)`` are the pairs with a part, whether
+    the filters allow them or not: a record that they allow has its pair among the scored ones exactly if it is one of these."""
     cut = -math.inf if min_score is None else min_score
     if flag >= cut and flag > 0:
-        only = theta_matches(narrow.filter(F.col("mappable") == "true"), shapes)
+        only = theta_matches(narrow.filter(F.col("mappable") == "true"), shapes, have)
         if only is not None:
-            have = scored.select("match_id", "id")
-            only = only.withColumn("score", F.lit(flag)).join(have, ["match_id", "id"], "left_anti")
-            scored = scored.unionByName(only, allowMissingColumns=True)
+            scored = scored.unionByName(only.withColumn("score", F.lit(flag)), allowMissingColumns=True)
     return scored.filter(F.col("score") >= cut) if cut > -math.inf else scored
 
 
-def _prefiltered(shapes, catalogue, narrow, text, k, min_score, flag, encoder, dim) -> DataFrame:
-    """Neighbours are searched among the records that the filters allow, cells in order of distance."""
+def _prefiltered(shapes, catalogue, narrow, text_with, k, min_score, flag, encoder, dim) -> DataFrame:
+    """Neighbours are searched among the records that the filters allow, cells in order of distance. ``text_with(also)`` are the text scores."""
     encoded = embed(shapes.select("match_id", "q"), "q", encoder, "vector", dim).select("match_id", "vector")
     asked = shapes.select("match_id", *FILTER_COLUMNS).join(encoded, "match_id")
-    near = filtered_neighbours(catalogue, asked, [*NARROW, *FILTERED], k, theta_matches).selectExpr("match_id", "id", f"{score_of('cos')} AS knn_score")
-    text = text.join(shapes.select("match_id", "q"), "q").drop("q")
-    parts = text.join(near, ["match_id", "id"], "full_outer")
+    near = filtered_neighbours(catalogue, asked, [*NARROW, *FILTERED], k, theta_matches)
+    near = materialise(near.selectExpr("match_id", "id", f"{score_of('cos')} AS knn_score", "true AS _near"))
+    texts = shapes.select("match_id", "q")
+    text = text_with(near.join(texts, "match_id").select("q", "id")).join(texts, "q").drop("q")
+    # A text's pair without a word is there for the combinations only of which it is a neighbour.
+    parts = text.join(near, ["match_id", "id"], "left").filter("text_score IS NOT NULL OR _near").drop("_near")
     scored = parts.join(narrow, "id").join(shapes, "match_id").filter(batch_predicate(catalogue.schema))
     scored = scored.withColumn("score", F.expr(combined_score(flag)))
-    return _with_flag_only(scored, shapes, narrow, min_score, flag)
+    return _with_flag_only(scored, parts.select("match_id", "id"), shapes, narrow, min_score, flag)
 
 
 def browse_matches(shapes: DataFrame, catalogue: DataFrame) -> DataFrame | None:

@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -98,15 +100,35 @@ def work_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/lodestar/{uuid.uuid4().hex}"
 
 
+#: Tells Spark to delete the shuffle files of a plan when it has ended.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Plans that begin inside leave no shuffle files; else these stay until the driver happens to collect its garbage."""
+    before = spark.conf.get(DROP_SHUFFLES, None)
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(DROP_SHUFFLES)
+        else:
+            spark.conf.set(DROP_SHUFFLES, before)
+
+
 def materialise(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Used where several branches of a plan read the same expensive table: it is computed once, its
-    lineage ends, and a lost executor costs a re-read, not a re-computation.
+    lineage ends, and a lost executor costs a re-read, not a re-computation. Nothing reads the plan's
+    shuffle files after that, so they go at once.
     """
     path = work_dir(df.sparkSession)
-    writer = df.write.mode("overwrite")
+    writer = df.write.mode("overwrite").option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    with shuffles_dropped(df.sparkSession):
+        writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

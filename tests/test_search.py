@@ -1,4 +1,6 @@
 import json
+import os
+import time
 
 import pytest
 from pyspark.sql import Window
@@ -119,6 +121,64 @@ def test_rounds_of_filtered_neighbours_use_all_cores(spark, sf, catalogue, monke
     assert len(tasks) > 1 and min(tasks[1:]) >= spark.sparkContext.defaultParallelism
 
 
+def _text_shapes(spark, sf):
+    asked = search.with_shapes(search.normalise_requests(X.requests(spark, sf), X.TODAY)).filter("reject IS NULL AND q <> ''")
+    return tables.materialise(asked.select("match_id", "org_lang", "q", *search.FILTER_COLUMNS).distinct())
+
+
+def _without_cut(spark, sf, catalogue, prefilter):
+    index = search.text_index(catalogue)
+    boosts = search.expand_patterns(catalogue.schema, search.HYBRID_PATTERNS)
+    return search.hybrid_matches(_text_shapes(spark, sf), catalogue, index, boosts, min_score=None, prefilter=prefilter)
+
+
+def test_pairs_of_request_and_record_are_not_shuffled(spark, sf, catalogue, monkeypatch):
+    """Postings are dealt by record before they meet the queries, and records before they meet the combinations."""
+    for few in (1000, 0):
+        monkeypatch.setattr(search, "MAX_BROADCAST_SHAPES", few)
+        found = _without_cut(spark, sf, catalogue, False)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+        by_pair = [x for x in dealt if any(f"{name}#" in x.split("hashpartitioning(")[1].split(")")[0] for name in ("q", "match_id"))]
+        # The distinct texts or combinations themselves may be, as they are few.
+        assert dealt and not [x for x in by_pair if "id#" in x.split("hashpartitioning(")[1].replace("match_id#", "")], plan
+
+
+@pytest.mark.parametrize("few", [1000, 0])
+def test_matches_leave_out_given_pairs(spark, catalogue, monkeypatch, few):
+    """As an anti join does it, where ids are repeated or null too."""
+    monkeypatch.setattr(search, "MAX_BROADCAST_SHAPES", few)
+    names = ["method", "lang", "bbox", "org"]
+    table = spark.createDataFrame([("SemanticSearch", "en", *r) for r in (("", ""), ("-100,40,-60,60", ""), ("", "org 1"), ("0,0,1,1", ""))], names)
+    shapes = tables.materialise(search.with_shapes(search.normalise_requests(table, X.TODAY)).select("match_id", *search.FILTER_COLUMNS).distinct())
+    narrow = catalogue.select(*search.NARROW, *search.FILTERED).filter("substr(id, -1) IN ('1', '2', '3', '4')")
+    odd = narrow.withColumn("id", F.expr("CASE substr(id, -1) WHEN '1' THEN NULL WHEN '2' THEN 'twice' ELSE id END"))
+    every = search.theta_matches(odd, shapes)
+    but = tables.materialise(every.filter("id IS NULL OR id = 'twice' OR id LIKE '%3'").select("match_id", "id"))
+    # Those of one combination stay, and what is no match takes nothing away.
+    one = shapes.first()["match_id"]
+    but = but.filter(F.col("match_id") != one).union(but.selectExpr("match_id", "'none' AS id"))
+    columns = ["match_id", "id", "title_en", "xmin", "ymin"]
+    got = rows(search.theta_matches(odd, shapes, but).select(columns), *columns)
+    want = rows(every.join(but, ["match_id", "id"], "left_anti").select(columns), *columns)
+    assert got == want and any(r[1] is None for r in got) and 0 < len(got) < every.count()
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    import glob
+
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    written = lambda: {f for d in folders for f in glob.glob(f"{d}/*/shuffle_*.data")}
+    before, setting = written(), spark.conf.get(tables.DROP_SHUFFLES)
+    stored = tables.materialise(spark.range(1000).repartition(5, "id").groupBy(F.col("id") % 7).count())
+    for _ in range(50):  # they go in the background
+        if not (left := written() - before):
+            break
+        time.sleep(0.1)
+    assert not left and spark.conf.get(tables.DROP_SHUFFLES) == setting
+    assert len(stored.collect()) == 7
+
+
 def test_deep_pages_are_those_of_one_sort(spark, sf, catalogue, monkeypatch, result):
     from lodestar.operators import ranking
 
