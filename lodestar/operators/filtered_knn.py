@@ -57,7 +57,8 @@ def filtered_neighbours(
 
 
 def _scored(pairs: DataFrame) -> DataFrame:
-    return pairs.selectExpr("match_id", "id", f"round({dot('v', 'u')} / (v_norm * u_norm), {COS_DIGITS}) AS cos")
+    kept = [c for c in ("least",) if c in pairs.columns]
+    return pairs.selectExpr("match_id", "id", f"round({dot('v', 'u')} / (v_norm * u_norm), {COS_DIGITS}) AS cos", *kept)
 
 
 def _by_reach(shapes: DataFrame, tree: Cells) -> DataFrame:
@@ -87,10 +88,13 @@ def _in_rounds(tree: Cells, rows: DataFrame, shapes: DataFrame, allowed: str, k:
         # Dealt to all cores: if the members are small enough to be broadcast, it is these rows that the tasks work off.
         due = due.drop("low").repartition(4 * due.sparkSession.sparkContext.defaultParallelism, "match_id", "cell")
         met = _scored(members.join(due, "cell").join(shapes, "match_id").filter(allowed))
+        if bound is not None:
+            # What is farther than the k-th found so far goes before it is sorted.
+            met = met.filter("least IS NULL OR cos IS NULL OR cos >= least").drop("least")
         met = top_k(met if best is None else met.unionByName(best), ["match_id"], _order(), k).select("match_id", "id", "cos")
         best = materialise(met)
         bound = best.groupBy("match_id").agg(F.count(F.lit(1)).alias("n"), F.min("cos").alias("cos")).filter(F.col("n") >= k)
-        bound = materialise(bound.select("match_id", F.acos(F.least(F.greatest("cos", F.lit(-1.0)), F.lit(1.0))).alias("bound")))
+        bound = materialise(bound.select("match_id", F.acos(F.least(F.greatest("cos", F.lit(-1.0)), F.lit(1.0))).alias("bound"), F.col("cos").alias("least")))
         left = cells.filter(F.col("place") > b).join(bound, "match_id", "left").filter("bound IS NULL OR low <= bound + 2e-6D")
         if left.isEmpty():
             break

@@ -179,6 +179,21 @@ def test_stored_tables_leave_no_shuffle_files(spark):
     assert len(stored.collect()) == 7
 
 
+def test_rounds_rank_only_what_may_be_among_the_nearest(spark, sf, catalogue, monkeypatch):
+    from lodestar.operators import filtered_knn
+
+    given, top_k = [], filtered_knn.top_k
+    monkeypatch.setattr(filtered_knn, "FIRST", 1)
+    monkeypatch.setattr(filtered_knn, "top_k", lambda df, *rest: given.append(df.select("match_id", "cos").collect()) or top_k(df, *rest))
+    shapes = search.embed(_text_shapes(spark, sf).orderBy("match_id").limit(6), "q").drop("q", "org_lang")
+    filtered_knn.filtered_neighbours(catalogue, shapes, [*search.NARROW, *search.FILTERED], 5, search.theta_matches, -1)
+    held, farther = {}, 0
+    for seen in given:  # the best of the rounds before among them
+        farther += sum(r["cos"] < held[r["match_id"]][4] for r in seen if len(held.get(r["match_id"], ())) == 5)
+        held = {m: sorted((r["cos"] for r in seen if r["match_id"] == m), reverse=True)[:5] for m in {r["match_id"] for r in seen}}
+    assert len(given) > 1 and any(len(cos) == 5 for cos in held.values()) and farther == 0
+
+
 def test_deep_pages_are_those_of_one_sort(spark, sf, catalogue, monkeypatch, result):
     from lodestar.operators import ranking
 
